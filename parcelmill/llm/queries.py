@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, packing, token_counts, url_filter
+from . import language_id, packing, permutation_index, token_counts, url_filter
 from .common import table
 
 #: (host, path, verdict) rules of the url query.
@@ -31,6 +31,11 @@ def in_fold(modulus: int, remainder: int):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus == remainder, F.lit(False))
 
 
+def op1_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return permutation_index.search(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10)
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), rules)
@@ -51,6 +56,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_permutation_index": op1_permutation_index,
     "op2_url_filter": op2_url_filter,
     "op4_token_counts": op4_token_counts,
     "op6_language_id": op6_language_id,

@@ -15,14 +15,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, ceil_div, column, mix64, prepare
-
-#: Bits of filter for each listed key, and the largest filter that is broadcast (bytes).  Past that many keys the
-#: filter stays at its bound: more false positives reach the join, and the results stay exact.
-BITS_PER_KEY = 16
-MAX_FILTER_BYTES = 64 << 20
-BLOCK_BYTES = 64
-PROBES = 8
+from . import bloom
+from .common import U64, column, prepare
+
 #: Path lengths in the list are broadcast only up to this many; past it, every prefix of a path is probed.
 MAX_LENGTHS = 4096
 
@@ -31,69 +26,6 @@ def key_hashes(keys: list[str]) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(k) for k in keys), U64, len(keys))
 
 
-def bit_positions(hashes: np.ndarray, n_blocks: int) -> tuple[np.ndarray, np.ndarray]:
-    """Block of each hash, and its PROBES bit positions inside the block."""
-    block = ((hashes >> U64(32)) * U64(n_blocks)) >> U64(32)
-    second = mix64(hashes)
-    bits = np.stack([(second >> U64(7 * i)) & U64(BLOCK_BYTES * 8 - 1) for i in range(PROBES - 1)] + [hashes & U64(511)], 1)
-    return block.astype(np.int64), bits.astype(np.int64)
-
-
-class BlockedBloom:
-    """A Bloom filter each of whose keys touches one 64-byte block."""
-
-    def __init__(self, n_blocks: int, data: bytes | None = None):
-        self.n_blocks = n_blocks
-        self.data = np.zeros(n_blocks * BLOCK_BYTES, np.uint8) if data is None else np.frombuffer(data, np.uint8)
-
-    @classmethod
-    def sized(cls, n_keys: int) -> "BlockedBloom":
-        wanted = ceil_div(max(n_keys, 1) * BITS_PER_KEY, BLOCK_BYTES * 8)
-        return cls(min(wanted, MAX_FILTER_BYTES // BLOCK_BYTES))
-
-    def add(self, hashes: np.ndarray) -> None:
-        block, bits = bit_positions(hashes, self.n_blocks)
-        at = block[:, None] * BLOCK_BYTES + (bits >> 3)
-        np.bitwise_or.at(self.data, at.ravel(), (1 << (bits & 7)).astype(np.uint8).ravel())
-
-    def might_hold(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(hashes):
-            return np.zeros(0, bool)
-        block, bits = bit_positions(hashes, self.n_blocks)
-        found = self.data[block[:, None] * BLOCK_BYTES + (bits >> 3)] >> (bits & 7).astype(np.uint8)
-        return (found & 1).all(1)
-
-
-def build_filter(listed: DataFrame) -> BlockedBloom:
-    """OR the partitions' filters, block range by block range; the driver receives the bounded filter only."""
-    n_blocks = BlockedBloom.sized(listed.count()).n_blocks
-    piece = 1024
-
-    def fill(batches):
-        bloom = BlockedBloom(n_blocks)
-        for batch in batches:
-            bloom.add(key_hashes(column(batch, "listed_key")))
-        for at in range(0, n_blocks, piece):
-            part = bloom.data[at * BLOCK_BYTES : (at + piece) * BLOCK_BYTES]
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([part.tobytes()], pa.binary())], ["at", "part"])
-
-    parts = listed.select("listed_key").mapInArrow(fill, "at long, part binary").groupBy("at").applyInArrow(merged_part, "at long, part binary")
-    bloom = BlockedBloom(n_blocks)
-    for row in parts.toLocalIterator():
-        bits = np.frombuffer(row["part"], np.uint8)
-        bloom.data[row["at"] * BLOCK_BYTES : row["at"] * BLOCK_BYTES + len(bits)] = bits
-    return bloom
-
-
-def merged_part(key, t):
-    merged = None
-    for part in t.column("part").to_pylist():
-        bits = np.frombuffer(part, np.uint8)
-        merged = bits.copy() if merged is None else np.bitwise_or(merged, bits)
-    return pa.table({"at": pa.array([key[0].as_py()], pa.int64()), "part": pa.array([merged.tobytes()], pa.binary())})
-
-
 def with_host_path(pages: DataFrame, url: str = "url") -> DataFrame:
     """Add host (A-Z lower-cased) and path of the url; both are empty where it is null or has no ``://``."""
     rest = F.when(F.instr(url, "://") > 0, F.expr(f"substring({url}, instr({url}, '://') + 3)")).otherwise(F.lit(""))
@@ -124,15 +56,15 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", id_col: st
         F.concat(F.col("host"), F.lit("\u0001"), F.col("path")).alias("listed_key"), F.length("host").alias("host_size"), F.concat("host", "path").alias("rule"), "verdict"
     )
     rules = rules.groupBy("listed_key", "host_size", "rule").agg(F.min("verdict").alias("verdict"))
-    bloom = build_filter(rules)
+    listed = bloom.build(rules.select("listed_key"), rules.count(), lambda batch: key_hashes(column(batch, "listed_key")))
     found = [r[0] for r in rules.select((F.length("rule") - F.col("host_size")).alias("n")).distinct().orderBy("n").limit(MAX_LENGTHS + 1).collect()]
-    sent = spark.sparkContext.broadcast((bloom.n_blocks, bloom.data.tobytes(), np.array(found, np.int64) if len(found) <= MAX_LENGTHS else None))
+    sent = spark.sparkContext.broadcast((listed.n_blocks, listed.data.tobytes(), np.array(found, np.int64) if len(found) <= MAX_LENGTHS else None))
 
     parsed = with_host_path(pages.select(F.col(id_col).alias("page_id"), F.col(url).alias("url")), "url").select("page_id", "host", "path")
 
     def probe(batches):
         n_blocks, data, lengths = sent.value
-        mine = BlockedBloom(n_blocks, data)
+        mine = bloom.BlockedBloom(n_blocks, data)
         for batch in batches:
             rows, keys = [], []
             seen: dict[tuple[str, str], None] = dict.fromkeys(zip(column(batch, "host"), column(batch, "path"), strict=True))
