@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, packing, permutation_index, token_counts, url_filter
+from . import language_id, ngram_join, packing, permutation_index, token_counts, url_filter
 from .common import table
 
 #: (host, path, verdict) rules of the url query.
@@ -55,12 +55,17 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), separator=2, window=4096)
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_permutation_index": op1_permutation_index,
     "op2_url_filter": op2_url_filter,
     "op4_token_counts": op4_token_counts,
     "op6_language_id": op6_language_id,
     "op8_packing": op8_packing,
+    "op10_ngram_join": op10_ngram_join,
 }
 
 ORACLES: dict[str, str] = {
