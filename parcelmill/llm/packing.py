@@ -15,13 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ceil_div, column, materialise, prepare, texts
+from .common import ceil_div, column, prepare, texts
 
 WINDOW = 4096
 #: Documents a shard is sized for.  A shard's rows are six numbers each.
 SHARD_DOCS = 25_000
 #: Entries of a worker's cache of word ids; longer words are encoded anew.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 600_000
 CACHE_CHARS = 48
 
 _tokenizers: dict[str, object] = {}
@@ -39,9 +39,58 @@ def tokenizer(path: str):
     return _tokenizers[path]
 
 
+#: The 256 byte symbols of a byte-level vocabulary: printable bytes stand for themselves, the rest follow from U+0100.
+_PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_SYMBOLS = {b: b for b in _PRINTABLE} | {b: 0x100 + i for i, b in enumerate(x for x in range(256) if x not in set(_PRINTABLE))}
+
+
+def plain(word: str) -> bool:
+    """Whether normalising and splitting leave a word as it is: lower-case letters of Latin-1 alone."""
+    if not (word.isalpha() and word.islower()):
+        return False
+    if word.isascii():
+        return True
+    try:
+        word.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def id_bytes(path: str, words: list[str]) -> list[bytes]:
-    found = tokenizer(path).encode_batch_fast(words, add_special_tokens=False) if words else []
-    return [np.array(x.ids, "<u4").tobytes() for x in found]
+    """Little-endian 32-bit ids of words.  Plain words, and those with one full stop or comma after them, go straight
+    to the tokenizer's model; all others take its whole way."""
+    whole = tokenizer(path)
+    merge = whole.model.tokenize
+
+    def symbols(word: str) -> str:
+        return word if word.isascii() else word.encode().decode("latin-1").translate(_SYMBOLS)
+
+    ends = {mark: [t.id for t in merge(mark)] for mark in (".", ",")}
+    found: list[bytes] = [b""] * len(words)
+    others = []
+    for i, word in enumerate(words):
+        if plain(word):
+            found[i] = np.array([t.id for t in merge(symbols(word))], "<u4").tobytes()
+        elif word[-1:] in ends and plain(word[:-1]):
+            found[i] = np.array([t.id for t in merge(symbols(word[:-1]))] + ends[word[-1]], "<u4").tobytes()
+        elif word:
+            others.append(i)
+    for i, x in zip(others, whole.encode_batch_fast([words[i] for i in others], add_special_tokens=False) if others else [], strict=True):
+        found[i] = np.array(x.ids, "<u4").tobytes()
+    return found
+
+
+def split_words(text: str) -> list[str]:
+    """Pieces between spaces and line ends.  Latin-1 texts are lower-cased first, as the tokenizer would, letter by
+    letter, so that more pieces repeat."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        pass
+    else:
+        text = text.lower()
+    return text.replace("\n", " ").split(" ")
 
 
 def encode_docs(path: str, docs: list[str]) -> list[bytes]:
@@ -51,7 +100,7 @@ def encode_docs(path: str, docs: list[str]) -> list[bytes]:
     pieces between spaces and line ends; pieces repeat, and a cache keeps their ids.
     """
     cache = _caches.setdefault(path, {})
-    split = [t.replace("\n", " ").split(" ") for t in docs]
+    split = [split_words(t) for t in docs]
     wanted = set().union(*split)
     long = [w for w in wanted if len(w) > CACHE_CHARS]
     wanted.difference_update(long)
