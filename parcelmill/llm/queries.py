@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, ngram_join, packing, permutation_index, token_counts, url_filter
+from . import language_id, ngram_join, packing, permutation_index, token_counts, toxicity, url_filter
 from .common import table
 
 #: (host, path, verdict) rules of the url query.
@@ -19,6 +19,9 @@ URL_RULES = [
     ("com", "/de/", "block"),
 ]
 
+#: Score from which a document counts as toxic.
+TOXIC_SCORE = 0.3
+
 
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
@@ -41,6 +44,12 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").where(~in_fold(4, 2))
+    found = toxicity.score_documents(table(spark, sf_dir, "documents"), labels)
+    return found.select("doc_id", in_fold(4, 2).alias("held_out"), "score", (F.col("score") >= TOXIC_SCORE).cast("int").alias("predicted"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), 4096)
 
@@ -62,6 +71,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_permutation_index": op1_permutation_index,
     "op2_url_filter": op2_url_filter,
+    "op3_toxicity": op3_toxicity,
     "op4_token_counts": op4_token_counts,
     "op6_language_id": op6_language_id,
     "op8_packing": op8_packing,
