@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, ngram_join, packing, permutation_index, token_counts, toxicity, url_filter
+from . import language_id, line_dedup, ngram_join, packing, permutation_index, token_counts, toxicity, url_filter
 from .common import table
 
 #: (host, path, verdict) rules of the url query.
@@ -60,6 +60,11 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", in_fold(3, 1).alias("held_out"), "lang_pred", "score")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_cut", F.col("n_chars").alias("chars_left"), F.crc32("text").alias("text_crc32"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), separator=2, window=4096)
 
@@ -74,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op4_token_counts": op4_token_counts,
     "op6_language_id": op6_language_id,
+    "op7_line_dedup": op7_line_dedup,
     "op8_packing": op8_packing,
     "op10_ngram_join": op10_ngram_join,
 }
