@@ -1,2 +1,715 @@
-QUERIES = {}
-ORACLES = {}
+"""Queries over the supplied tables, one or more for each operator, and their SQL twins.
+
+The tables stand in for listings: events for sightings, orders for priced records with dates, part for properties with a
+type, a size and a price, and nation and supplier for places.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import address, geo, geocode
+from .functions.ordering import contiguous_folds
+from .operators import filters, islands, records, sequences, stats
+from .plans import design_matrix as dm
+from .plans import models
+from .sources import web
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its SQL twin."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- islands -------------------------------------------------------------------------------------------------------
+
+
+def _sightings(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("row_id"), "user_id", "event_type", F.col("ts").alias("first_encounted"), F.col("ts").alias("last_encounted"),
+        (F.col("event_id") % 2 == 0).alias("sequence_broken"), F.col("value").alias("price_min"), (F.col("value") + 1).alias("price_max"),
+    )
+
+
+_EVENT_ISLANDS = """
+    WITH a AS (SELECT *, lag(ts) OVER w AS before FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)),
+    b AS (SELECT *, sum(CASE WHEN before IS NULL OR ts > before + INTERVAL 3 DAY THEN 1 ELSE 0 END)
+                 OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island FROM a)
+"""
+
+
+@query(
+    _EVENT_ISLANDS
+    + """
+    SELECT arg_min(event_id, (ts, event_id)) AS row_id, user_id, event_type, min(ts) AS first_encounted, max(ts) AS last_encounted,
+           arg_max(event_id % 2 = 0, (ts, event_id)) AS sequence_broken, arg_max(value, (ts, event_id)) AS price_min, arg_max(value + 1, (ts, event_id)) AS price_max
+    FROM b GROUP BY user_id, event_type, island
+    """
+)
+def island_merge(spark, sf_dir):
+    rows = _sightings(spark, sf_dir)
+    props = islands.property_columns(rows)
+    return islands.merge_islands(islands.island_ids(rows, props, gap_seconds=3 * 86400), props).select("row_id", "user_id", "event_type", "first_encounted", "last_encounted", "sequence_broken", "price_min", "price_max")
+
+
+_LINE_ORDER = "l_shipdate, l_orderkey, l_partkey, l_suppkey, l_linenumber"
+
+
+@query(
+    f"""
+    WITH a AS (SELECT *, lag(l_shipdate) OVER w AS before FROM lineitem WINDOW w AS (PARTITION BY l_partkey, l_suppkey ORDER BY {_LINE_ORDER}))
+    SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber,
+           CAST(sum(CASE WHEN before IS NULL OR l_shipdate > before + INTERVAL 5256000 SECOND THEN 1 ELSE 0 END)
+                OVER (PARTITION BY l_partkey, l_suppkey ORDER BY {_LINE_ORDER} ROWS UNBOUNDED PRECEDING) AS BIGINT) AS island
+    FROM a
+    """
+)
+def island_ids(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate")
+    order = _LINE_ORDER.split(", ")
+    return islands.island_ids(rows, ["l_partkey", "l_suppkey"], "l_shipdate", "l_shipdate", order).drop("l_shipdate")
+
+
+@query(
+    """
+    WITH a AS (SELECT *, max(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM orders)
+    SELECT o_orderkey, o_custkey,
+           CAST(sum(CASE WHEN before IS NULL OR o_orderdate > before + INTERVAL 5256000 SECOND THEN 1 ELSE 0 END)
+                OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) AS BIGINT) AS island
+    FROM a
+    """
+)
+def island_running_max(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    return islands.island_ids(rows, ["o_custkey"], "o_orderdate", "o_orderdate", ["o_orderdate", "o_orderkey"], running_max=True).drop("o_orderdate")
+
+
+@query(
+    """
+    WITH r AS (SELECT *, nullif(o_orderpriority, '1-URGENT') AS priority FROM orders),
+    a AS (SELECT *, lag(o_orderdate) OVER (PARTITION BY o_custkey, priority ORDER BY o_orderdate, o_orderkey) AS before FROM r)
+    SELECT o_orderkey,
+           CAST(sum(CASE WHEN before IS NULL OR priority IS NULL OR o_orderdate > before + INTERVAL 5256000 SECOND THEN 1 ELSE 0 END)
+                OVER (PARTITION BY o_custkey, priority ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) AS BIGINT) AS island
+    FROM a
+    """
+)
+def island_missing_property(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", F.nullif("o_orderpriority", F.lit("1-URGENT")).alias("priority"))
+    return islands.island_ids(rows, ["o_custkey", "priority"], "o_orderdate", "o_orderdate", ["o_orderdate", "o_orderkey"]).select("o_orderkey", "island")
+
+
+def _orders_as_listings(spark, sf_dir) -> DataFrame:
+    last = F.col("o_orderdate") + F.make_dt_interval(F.col("o_custkey").cast("int") % 5 - 1)
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("row_id"), "o_custkey", "o_orderpriority", F.col("o_orderdate").alias("first_encounted"), last.alias("last_encounted"), (F.col("o_orderstatus") == "F").alias("sequence_broken")
+    )
+
+
+_LISTINGS = "SELECT o_orderkey AS row_id, o_custkey, o_orderpriority, o_orderdate AS first_encounted, o_orderdate + (o_custkey % 5 - 1) * INTERVAL 1 DAY AS last_encounted, o_orderstatus = 'F' AS sequence_broken FROM orders"
+
+
+@query(
+    f"""
+    WITH l AS ({_LISTINGS}), n AS (
+        SELECT *, lead(first_encounted) OVER w AS f2, lead(last_encounted) OVER w AS l2 FROM l WINDOW w AS (PARTITION BY o_custkey, o_orderpriority ORDER BY row_id))
+    SELECT row_id FROM n WHERE first_encounted > f2 OR (first_encounted = f2 AND last_encounted > l2)
+    """
+)
+def seq_check_order(spark, sf_dir):
+    return islands.unordered_listings(_orders_as_listings(spark, sf_dir), ["o_custkey", "o_orderpriority"]).select("row_id")
+
+
+@query(f"SELECT row_id FROM ({_LISTINGS}) WHERE first_encounted > last_encounted")
+def seq_check_dates(spark, sf_dir):
+    return _orders_as_listings(spark, sf_dir).where("first_encounted > last_encounted").select("row_id")
+
+
+@query(f"WITH l AS (SELECT * FROM ({_LISTINGS}) WHERE NOT sequence_broken) SELECT row_id FROM l WHERE last_encounted < (SELECT max(last_encounted) FROM l)")
+def seq_check_unbroken(spark, sf_dir):
+    return islands.stale_unbroken(_orders_as_listings(spark, sf_dir)).select("row_id")
+
+
+@query("SELECT * FROM (SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey, o_orderstatus, o_orderpriority) AS n FROM orders) WHERE n > 1")
+def dup_groups_all(spark, sf_dir):
+    return islands.duplicate_groups(table(spark, sf_dir, "orders"), ["o_custkey", "o_orderstatus", "o_orderpriority"]).select("o_orderkey", "n")
+
+
+@query("SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders GROUP BY 1")
+def keep_first(spark, sf_dir):
+    return islands.keep_first(table(spark, sf_dir, "orders"), ["o_custkey"], ["o_orderkey"]).select("o_custkey", "o_orderkey")
+
+
+@query("SELECT o_custkey, max(o_orderkey) AS o_orderkey FROM orders GROUP BY 1")
+def keep_last(spark, sf_dir):
+    return islands.keep_last(table(spark, sf_dir, "orders"), ["o_custkey"], ["o_orderkey"]).select("o_custkey", "o_orderkey")
+
+
+# --- sequence upsert -----------------------------------------------------------------------------------------------
+
+_SCRAPE = "2024-01-25"
+
+
+def _store_and_batch(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    events = table(spark, sf_dir, "events").select("event_id", F.nullif("user_id", F.lit(7).cast("long")).alias("user_id"), "event_type", "ts")
+    held = events.where("ts < timestamp_ntz'2024-01-20'").groupBy("user_id", "event_type").agg(F.min("event_id").alias("row_id"), F.min("ts").alias("first_encounted"), F.max("ts").alias("last_encounted"))
+    current = held.select("row_id", "user_id", "event_type", "first_encounted", "last_encounted", F.lit(False).alias("sequence_broken"))
+    batch = events.where("ts >= timestamp_ntz'2024-01-20' and ts < timestamp_ntz'2024-01-25'").select(F.col("event_id").alias("batch_row_id"), "user_id", "event_type", F.col("ts").alias("date_scraped"))
+    return current, batch
+
+
+_UPSERT = f"""
+    WITH e AS (SELECT event_id, nullif(user_id, 7) AS user_id, event_type, ts FROM events),
+    current AS (SELECT min(event_id) AS row_id, user_id, event_type, min(ts) AS first_encounted, max(ts) AS last_encounted FROM e WHERE ts < '2024-01-20' GROUP BY user_id, event_type),
+    batch AS (SELECT event_id AS batch_row_id, user_id, event_type, ts AS date_scraped FROM e WHERE ts >= '2024-01-20' AND ts < '2024-01-25'),
+    aged AS (SELECT *, last_encounted <= TIMESTAMP '{_SCRAPE}' - INTERVAL 10 DAY AS sequence_broken FROM current),
+    firsts AS (SELECT user_id, event_type, arg_min(date_scraped, batch_row_id) AS seen FROM batch GROUP BY user_id, event_type),
+    refreshed AS (
+        SELECT a.row_id, a.user_id, a.event_type, a.first_encounted, coalesce(f.seen, a.last_encounted) AS last_encounted, a.sequence_broken
+        FROM aged a LEFT JOIN firsts f ON NOT a.sequence_broken AND a.user_id IS NOT DISTINCT FROM f.user_id AND a.event_type IS NOT DISTINCT FROM f.event_type),
+    fresh AS (
+        SELECT b.* FROM batch b WHERE NOT EXISTS (
+            SELECT 1 FROM aged a WHERE NOT a.sequence_broken AND a.user_id IS NOT DISTINCT FROM b.user_id AND a.event_type IS NOT DISTINCT FROM b.event_type))
+"""
+_STORE_COLUMNS = "row_id, user_id, event_type, first_encounted, last_encounted, sequence_broken"
+
+
+def _scraped():
+    return F.lit(_SCRAPE).cast("timestamp_ntz")
+
+
+@query(
+    _UPSERT
+    + f"""
+    SELECT {_STORE_COLUMNS} FROM refreshed
+    UNION ALL
+    SELECT (SELECT max(row_id) FROM current) + row_number() OVER (ORDER BY batch_row_id), user_id, event_type, date_scraped, date_scraped, false FROM fresh
+    """
+)
+def seq_upsert(spark, sf_dir):
+    return sequences.upsert(*_store_and_batch(spark, sf_dir), _scraped(), 10)
+
+
+@query(_UPSERT + f"SELECT {_STORE_COLUMNS} FROM aged")
+def seq_expire(spark, sf_dir):
+    return sequences.expire(_store_and_batch(spark, sf_dir)[0], _scraped(), 10)
+
+
+@query(_UPSERT + f"SELECT {_STORE_COLUMNS} FROM refreshed")
+def seq_refresh(spark, sf_dir):
+    current, batch = _store_and_batch(spark, sf_dir)
+    return sequences.refresh(sequences.expire(current, _scraped(), 10), batch)
+
+
+@query(_UPSERT + "SELECT batch_row_id, user_id, event_type, date_scraped AS first_encounted, date_scraped AS last_encounted, false AS sequence_broken FROM fresh")
+def seq_new_only(spark, sf_dir):
+    current, batch = _store_and_batch(spark, sf_dir)
+    return sequences.as_sequences(sequences.unmatched(sequences.expire(current, _scraped(), 10), batch))
+
+
+# --- counts, pivots, summaries -------------------------------------------------------------------------------------
+
+
+@query("SELECT p_type, count(*) AS n FROM part WHERE p_type IS NOT NULL GROUP BY 1")
+def grouped_count(spark, sf_dir):
+    return stats.count_by(table(spark, sf_dir, "part"), "p_type")
+
+
+@query("SELECT c_mktsegment, count(*) AS n FROM customer WHERE c_mktsegment IS NOT NULL GROUP BY 1 ORDER BY n DESC, 1")
+def value_counts(spark, sf_dir):
+    return stats.value_counts(table(spark, sf_dir, "customer"), "c_mktsegment")
+
+
+@query("SELECT p_type, least(p_size, 8) AS p_size, count(*) AS n FROM part GROUP BY 1, 2")
+def grouped_count_capped(spark, sf_dir):
+    return stats.capped_count_by(table(spark, sf_dir, "part"), {"p_type": None, "p_size": 8})
+
+
+_STATUSES = ("F", "O", "P")
+
+
+@query("SELECT o_orderpriority, " + ", ".join(f"count(*) FILTER (o_orderstatus = '{s}') AS \"{s}\"" for s in _STATUSES) + " FROM orders WHERE o_orderpriority IS NOT NULL GROUP BY 1")
+def pivot_count(spark, sf_dir):
+    return stats.pivot_count(table(spark, sf_dir, "orders"), "o_orderpriority", "o_orderstatus", _STATUSES)
+
+
+@query("SELECT p_type, " + ", ".join(f"count(*) FILTER ({f'p_size = {v}' if v < 8 else 'p_size >= 8'}) AS \"{v if v < 8 else '8+'}\"" for v in range(1, 9)) + " FROM part GROUP BY 1")
+def pivot_count_capped(spark, sf_dir):
+    return stats.capped_pivot_count(table(spark, sf_dir, "part"), "p_type", "p_size", 8)
+
+
+@query(
+    "SELECT count(p_retailprice) AS n, round(avg(p_retailprice), 6) AS mean, round(stddev_samp(p_retailprice), 6) AS std, min(p_retailprice) AS least, round(quantile_cont(p_retailprice, 0.25), 6) AS p25, "
+    "round(quantile_cont(p_retailprice, 0.5), 6) AS p50, round(quantile_cont(p_retailprice, 0.75), 6) AS p75, max(p_retailprice) AS most FROM part"
+)
+def describe_numeric(spark, sf_dir):
+    found = stats.describe(table(spark, sf_dir, "part"), "p_retailprice")
+    return found.select(*[F.round(c, 6).alias(c) if c not in ("n", "least", "most") else F.col(c) for c in found.columns])
+
+
+@query("SELECT count(*) AS rows, count(*) FILTER (o_totalprice > 50000) AS kept, round(count(*) FILTER (o_totalprice > 50000) / count(*), 9) AS ratio FROM orders")
+def filtered_ratio(spark, sf_dir):
+    return stats.filtered_ratio(table(spark, sf_dir, "orders"), F.col("o_totalprice") > 50000).withColumn("ratio", F.round("ratio", 9))
+
+
+@query("SELECT count(DISTINCT o_custkey) AS customers, count(DISTINCT nullif(o_orderstatus, 'P')) + 1 AS statuses FROM orders HAVING max(o_orderstatus = 'P')")
+def distinct_counts(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").withColumn("status", F.nullif("o_orderstatus", F.lit("P")))
+    return rows.agg(stats.distinct_count("o_custkey").alias("customers"), stats.distinct_count("status", missing_counts=True).cast("long").alias("statuses"))
+
+
+@query("SELECT count(*) FILTER (nullif(p_size, 1) IS NULL) AS p_size, count(*) FILTER (p_name IS NULL) AS p_name FROM part")
+def null_counts(spark, sf_dir):
+    return stats.null_counts(table(spark, sf_dir, "part").withColumn("p_size", F.nullif("p_size", F.lit(1))), ["p_size", "p_name"])
+
+
+def _error_query(period: str, part: str):
+    by = ", CAST(year(o_orderdate) AS INTEGER) AS year, CAST(month(o_orderdate) AS INTEGER) AS month" + (f", {part}" if part else "")
+
+    @query(f"SELECT round(avg(abs(o_totalprice - 100000)), 4) AS mean_error{by} FROM orders GROUP BY ALL")
+    def error_by(spark, sf_dir):
+        found = stats.mean_error_by(table(spark, sf_dir, "orders"), "o_orderdate", F.col("o_totalprice") - 100000, period)
+        return found.withColumn("mean_error", F.round("mean_error", 4))
+
+    for registry in (QUERIES, ORACLES):
+        registry[f"error_by_{period}"] = registry.pop("error_by")
+
+
+_error_query("day", "CAST(day(o_orderdate) AS INTEGER) AS day")
+_error_query("week", "CAST(week(o_orderdate) AS INTEGER) AS week")
+_error_query("month", "")
+
+
+@query("SELECT o_orderkey, round(abs((o_totalprice - 100000) / nullif(o_totalprice, 0)), 9) AS error FROM orders")
+def normalised_error(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.round(stats.normalised_error(F.col("o_totalprice") - 100000, F.col("o_totalprice")), 9).alias("error"))
+
+
+_BREAKS = [20000.0, 40000.0, 60000.0, 70000.0, 80000.0, 100000.0, 150000.0]
+_BIN = "CASE WHEN p IS NULL THEN -1 " + " ".join(f"WHEN p <= {b} THEN {i}" for i, b in enumerate(_BREAKS)) + f" ELSE {len(_BREAKS)} END"
+_PRICES = "(SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END AS p FROM orders)"
+
+
+def _prices(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice")).alias("p"))
+
+
+@query(f"SELECT o_orderkey, {_BIN} AS bin FROM {_PRICES}")
+def bin_breaks(spark, sf_dir):
+    return _prices(spark, sf_dir).select("o_orderkey", stats.bin_of(F.col("p"), _BREAKS).alias("bin"))
+
+
+@query(f"WITH b AS (SELECT {_BIN} AS bin FROM {_PRICES}) SELECT CAST(i.range AS INTEGER) AS bin, count(b.bin) AS n FROM range(-1, {len(_BREAKS) + 1}) i LEFT JOIN b ON b.bin = i.range GROUP BY 1")
+def bin_counts(spark, sf_dir):
+    return stats.bin_counts(_prices(spark, sf_dir), "p", _BREAKS)
+
+
+@query("SELECT o_orderstatus, CAST(count(*) AS BIGINT) AS n, round(sum(CASE WHEN abs(e) < 0.5 THEN e * e / 2 ELSE 0.5 * (abs(e) - 0.25) END), 4) AS huber, round(avg(e * e), 6) AS mse, round(avg(abs(e)), 6) AS mae FROM (SELECT o_orderstatus, (o_totalprice - 100000) / 50000 AS e FROM orders) GROUP BY 1")
+def error_metrics(spark, sf_dir):
+    e = (F.col("o_totalprice") - 100000) / 50000
+    zero = F.lit(0.0)
+    return table(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.round(stats.huber_sum(e, zero), 4).alias("huber"), F.round(stats.mse(e, zero), 6).alias("mse"), F.round(stats.mae(e, zero), 6).alias("mae"))
+
+
+@query("SELECT p_partkey, round((p_size - (SELECT avg(p_size) FROM part)) / (SELECT stddev_pop(p_size) FROM part), 9) AS p_size FROM part")
+def standardise(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("p_size"))
+    return stats.standardised(rows, ["p_size"]).withColumn("p_size", F.round("p_size", 9))
+
+
+@query("SELECT round(min(least(p_retailprice, p_size * 30)), 6) AS low, round(max(greatest(p_retailprice, p_size * 30)), 6) AS high FROM part")
+def axis_limits(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select("p_retailprice", (F.col("p_size") * 30.0).alias("other"))
+    return stats.axis_limits(rows, "p_retailprice", "other").select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+
+
+@query("SELECT least(p_size, 8) AS panel, count(*) AS n FROM part GROUP BY 1")
+def scatter_panels(spark, sf_dir):
+    return stats.scatter_groups(table(spark, sf_dir, "part"), "p_size", "p_retailprice", "p_partkey", 8).groupBy("panel").agg(F.count("*").alias("n"))
+
+
+@query()
+def kernel_density(spark, sf_dir):
+    return stats.kernel_density(table(spark, sf_dir, "part"), "p_retailprice", 200)
+
+
+# --- filters, sets, joins ------------------------------------------------------------------------------------------
+
+
+@query("SELECT o_orderkey, o_custkey FROM (SELECT *, count(o_custkey) OVER (PARTITION BY o_custkey) AS n FROM orders) WHERE n >= 12")
+def min_population_filter(spark, sf_dir):
+    return filters.min_population(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_custkey", 12)
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 20000 AND o_totalprice < 400000")
+def price_qc(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").where(filters.price_in((2e4, 4e5), "o_totalprice"))
+
+
+@query("SELECT o_orderkey FROM (SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END AS p FROM orders) WHERE coalesce(NOT (p > 20000 AND p < 400000), true)")
+def price_qc_rejects(spark, sf_dir):
+    return _prices(spark, sf_dir).where(filters.rejected(filters.price_in((2e4, 4e5), "p"))).select("o_orderkey")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_totalprice < 50000 THEN 50000 WHEN o_totalprice > 200000 THEN 200000 ELSE o_totalprice END AS price FROM orders")
+def clamp_values(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", filters.clamp(F.col("o_totalprice"), 50000.0, 200000.0).alias("price"))
+
+
+@query("SELECT n.n_name AS name, coalesce(s.value, -1) AS value FROM nation n LEFT JOIN (SELECT n_name AS name, count(*) AS value FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1 HAVING count(*) > 3) s ON s.name = n.n_name")
+def left_fill(spark, sf_dir):
+    nation = table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), "n_nationkey")
+    counts = table(spark, sf_dir, "supplier").join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey")).groupBy("name").agg(F.count("*").alias("value")).where("value > 3")
+    return geo.names_with_fill(nation, counts, "name", "value", -1)
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+def anti_names(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 9000)")
+def semi_in(spark, sf_dir):
+    rich = table(spark, sf_dir, "customer").where("c_acctbal > 9000").select("c_custkey")
+    return table(spark, sf_dir, "orders").join(rich, F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("o_orderkey")
+
+
+@query("SELECT coalesce(a.k, b.k) AS row_id, a.p_size, b.p_type FROM (SELECT p_partkey AS k, p_size FROM part WHERE p_partkey % 2 = 0) a FULL JOIN (SELECT p_partkey AS k, p_type FROM part WHERE p_partkey % 3 = 0) b ON a.k = b.k")
+def outer_extend(spark, sf_dir):
+    part = table(spark, sf_dir, "part").withColumnRenamed("p_partkey", "row_id")
+    return records.full_extend(part.where("row_id % 2 = 0").select("row_id", "p_size"), part.where("row_id % 3 = 0").select("row_id", "p_size", "p_type"))
+
+
+@query("SELECT p_partkey AS row_id FROM part ORDER BY 1 LIMIT 1000")
+def bounded_preview(spark, sf_dir):
+    return records.preview(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("row_id")))
+
+
+@query("SELECT a.p_partkey AS i, b.p_partkey AS j, round(sqrt(pow(a.p_size - b.p_size, 2) + pow(a.p_retailprice - b.p_retailprice, 2)), 9) AS w FROM part a JOIN part b ON a.p_partkey <> b.p_partkey AND abs(a.p_size - b.p_size) <= 2 AND abs(a.p_retailprice - b.p_retailprice) <= 2 WHERE sqrt(pow(a.p_size - b.p_size, 2) + pow(a.p_retailprice - b.p_retailprice, 2)) <= 2")
+def radius_join(spark, sf_dir):
+    return geo.radius_join(table(spark, sf_dir, "part"), "p_partkey", "p_size", "p_retailprice", 2.0).withColumn("w", F.round("w", 9))
+
+
+@query(
+    "WITH d AS (SELECT a.p_partkey AS i, b.p_partkey AS j, sqrt(pow(a.p_size - b.p_size, 2) + pow(a.p_retailprice - b.p_retailprice, 2)) AS w FROM part a JOIN part b ON a.p_partkey <> b.p_partkey), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY w, j) AS n FROM d) SELECT i, j, round(w, 9) AS w FROM r WHERE n <= 3"
+)
+def knn_join(spark, sf_dir):
+    return geo.knn_join(table(spark, sf_dir, "part"), "p_partkey", "p_size", "p_retailprice", 3, cell=8.0).withColumn("w", F.round("w", 9))
+
+
+# --- geometry ------------------------------------------------------------------------------------------------------
+
+_E = "0.08181919092890624"
+
+
+@query(
+    f"WITH p AS (SELECT s_suppkey, radians(s_suppkey % 360 - 180) AS lon, radians((s_suppkey * 7) % 160 - 80) AS lat FROM supplier) "
+    f"SELECT s_suppkey, round(6378137.0 * lon, 3) AS x, round(6378137.0 * ln(tan(pi() / 4 + lat / 2) * pow((1 - {_E} * sin(lat)) / (1 + {_E} * sin(lat)), {_E} / 2)), 3) AS y FROM p"
+)
+def mercator_xy(spark, sf_dir):
+    x, y = geo.mercator(F.col("s_suppkey") % 360 - 180, (F.col("s_suppkey") * 7) % 160 - 80)
+    return table(spark, sf_dir, "supplier").select("s_suppkey", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
+
+
+@query("SELECT p_partkey AS point_id FROM part WHERE NOT ((p_size > 10 AND p_size < 20 AND p_retailprice > 1000 AND p_retailprice < 1500) OR (p_size > 30 AND p_retailprice > 1200 AND (p_size - 30) / 10 + (p_retailprice - 1200) / 300 < 1))")
+def points_outside(spark, sf_dir):
+    box = [(10.0, 1000.0), (20.0, 1000.0), (20.0, 1500.0), (10.0, 1500.0)]
+    triangle = [(30.0, 1200.0), (40.0, 1200.0), (30.0, 1500.0)]
+    # Moved by a hair, so that no point lies on an edge.
+    shapes = spark.createDataFrame([("box", [(x + (1e-7 if x == 10 else -1e-7), y + (1e-7 if y == 1000 else -1e-7)) for x, y in box]), ("triangle", [(x + 1e-7, y + 1e-7) if (x, y) == (30.0, 1200.0) else (x - 3e-7, y + 1e-7) if y == 1200 else (x + 1e-7, y - 9e-6) for x, y in triangle])], "name string, ring array<struct<x: double, y: double>>")
+    points = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("point_id"), F.col("p_size").cast("double").alias("X"), F.col("p_retailprice").alias("Y"))
+    return geo.points_outside(points, shapes, cell=100.0).select("point_id")
+
+
+@query("SELECT y.range AS row, x.range AS col, round(x.range * 10.0 / 19, 9) AS X, round(5 + y.range * 20.0 / 39, 9) AS Y FROM range(40) y, range(20) x")
+def grid_cross(spark, sf_dir):
+    return geo.coordinate_grid(spark, (0.0, 5.0), (10.0, 25.0), 20).select("row", "col", F.round("X", 9).alias("X"), F.round("Y", 9).alias("Y"))
+
+
+@query("SELECT y.range AS row, x.range AS col, round(greatest(200.0, least(900.0, 100 + 30 * (x.range * 10.0 / 19) + 20 * (5 + y.range * 20.0 / 39) + 9)), 6) AS estimate FROM range(40) y, range(20) x")
+def grid_clamp(spark, sf_dir):
+    grid = geo.coordinate_grid(spark, (0.0, 5.0), (10.0, 25.0), 20)
+    inputs = dm.surface_inputs(grid, F.lit("House"), 3, 2, 1)
+    surface = dm.price_surface(inputs, lambda d: d.withColumn("estimate", 100 + 30 * F.col("X") + 20 * F.col("Y") + F.col("bedrooms_^2")), (200.0, 900.0))
+    return surface.select("row", "col", F.round("estimate", 6).alias("estimate"))
+
+
+# --- features and models -------------------------------------------------------------------------------------------
+
+
+@query("SELECT o_orderkey, CAST(ntile(5) OVER (ORDER BY o_orderkey) - 1 AS INTEGER) AS fold FROM orders")
+def kfold_assign(spark, sf_dir):
+    return contiguous_folds(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 5)
+
+
+@query("SELECT p_partkey, CAST(dense_rank() OVER (ORDER BY p_brand) - 1 AS BIGINT) AS code FROM part")
+def label_encode(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    return part.select("p_partkey", dm.encode(F.col("p_brand"), dm.encoder(part, "p_brand")).alias("code"))
+
+
+@query("SELECT DISTINCT p_brand AS brand FROM part")
+def label_decode(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    values = dm.encoder(part, "p_brand")
+    return part.select(dm.decode(dm.encode(F.col("p_brand"), values), values).alias("brand")).distinct()
+
+
+@query("SELECT o_orderkey, " + ", ".join(f"CAST(o_orderstatus = '{s}' AS INTEGER) AS \"o_orderstatus_{s}\"" for s in _STATUSES) + " FROM orders")
+def one_hot(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    return orders.select("o_orderkey", *[dm.dummy(F.col("o_orderstatus"), s).alias(f"o_orderstatus_{s}") for s in stats.levels(orders, "o_orderstatus")])
+
+
+@query("SELECT p_partkey, p_size, CAST(pow(p_size, 2) AS DOUBLE) AS \"p_size_^2\", CAST(pow(p_size, 3) AS DOUBLE) AS \"p_size_^3\" FROM part")
+def polynomial(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", "p_size", *[c.alias(n) for n, c in dm.powers("p_size").items()])
+
+
+@query("SELECT o_orderkey, " + ", ".join(f"CASE WHEN o_orderstatus = '{s}' THEN o_totalprice ELSE 0.0 END AS \"price_by_{s}\"" for s in _STATUSES) + " FROM orders")
+def interaction(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", *[dm.interaction(F.col("o_orderstatus"), s, "o_totalprice").alias(f"price_by_{s}") for s in _STATUSES])
+
+
+@query("SELECT p_partkey, CASE WHEN p_size = 1 THEN NULL WHEN p_size > 8 THEN 8 ELSE p_size END AS p_size FROM part")
+def ordinal(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", dm.ordinal("p_size").alias("p_size"))
+
+
+@query("SELECT o_orderkey, CAST(datediff('day', DATE '2017-11-09', CAST(o_orderdate AS DATE)) AS INTEGER) AS days FROM orders")
+def days_since_epoch(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", dm.days_since_epoch("o_orderdate").alias("days"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN p_retailprice WHEN p_size % 3 = 1 THEN p_retailprice * 2 ELSE (p_retailprice * 3) / 2 END AS y FROM part")
+def price_target(spark, sf_dir):
+    p, k = F.col("p_retailprice"), F.col("p_size") % 3
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.when(k != 1, p).alias("price_min"), F.when(k != 0, p * 2).alias("price_max"))
+    return rows.select("p_partkey", dm.target().alias("y"))
+
+
+@query("SELECT p_partkey, coalesce(nullif(p_size, 1), -1) AS bedrooms FROM part")
+def fill_missing(spark, sf_dir):
+    return dm.fill_counts(table(spark, sf_dir, "part").select("p_partkey", F.nullif("p_size", F.lit(1)).alias("bedrooms")))
+
+
+def _parts_as_properties(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("row_id"), F.col("p_size").alias("bedrooms"), F.concat(F.lit("T"), (F.col("p_size") % 4).cast("string")).alias("property_type"), F.col("p_retailprice").alias("price_min"), (F.col("p_retailprice") + 10).alias("price_max"))
+
+
+@query(
+    "SELECT p_partkey AS row_id, p_size AS bedrooms, CAST(pow(p_size, 2) AS DOUBLE) AS bedrooms_p2, CAST(pow(p_size, 3) AS DOUBLE) AS bedrooms_p3, "
+    + ", ".join(f"CAST(p_size % 4 = {i} AS INTEGER) AS \"property_type_T{i}\"" for i in range(4))
+    + ", round(p_retailprice + 5, 6) AS y FROM part"
+)
+def design_matrix(spark, sf_dir):
+    built = dm.build(_parts_as_properties(spark, sf_dir), [(("bedrooms",), "polynomial"), (("property_type",), "categorical")])
+    return built.table.withColumnRenamed("bedrooms_^2", "bedrooms_p2").withColumnRenamed("bedrooms_^3", "bedrooms_p3").withColumn("y", F.round("y", 6))
+
+
+_FIT = "WITH f AS (SELECT p_partkey, p_size, p_retailprice, ntile(5) OVER (ORDER BY p_partkey) - 1 AS fold FROM part), "
+_FIT += "m AS (SELECT k.range AS fold, regr_slope(p_retailprice, p_size) AS b, regr_intercept(p_retailprice, p_size) AS a FROM range(5) k JOIN f ON f.fold <> k.range GROUP BY 1), "
+_FIT += "e AS (SELECT f.*, m.a + m.b * f.p_size AS estimate FROM f JOIN m ON m.fold = f.fold) "
+
+
+def _price_by_size(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("row_id"), F.col("p_size").cast("double").alias("p_size"), F.col("p_retailprice").alias("y"))
+
+
+@query(_FIT + "SELECT CAST(fold AS INTEGER) AS fold, round(avg(abs(p_retailprice - estimate)), 4) AS mae FROM e GROUP BY 1")
+def cv_mae(spark, sf_dir):
+    _, scores = models.cross_validate(_price_by_size(spark, sf_dir), ["p_size"], "y", models.ols)
+    return scores.select("fold", F.round("mae", 4).alias("mae"))
+
+
+@query(_FIT + "SELECT CAST(fold AS INTEGER) AS fold, round(1 - sum(pow(p_retailprice - estimate, 2)) / (count(*) * var_pop(p_retailprice)), 5) AS r2 FROM e GROUP BY 1")
+def r2_by_fold(spark, sf_dir):
+    _, scores = models.cross_validate(_price_by_size(spark, sf_dir), ["p_size"], "y", models.ols)
+    return scores.select("fold", F.round("r2", 5).alias("r2"))
+
+
+@query(_FIT + "SELECT p_partkey AS row_id, p_retailprice AS actuals, round(estimate, 4) AS cv_estimates, round(estimate - p_retailprice, 4) AS cv_errors FROM e")
+def cv_estimates(spark, sf_dir):
+    found, _ = models.cross_validate(_price_by_size(spark, sf_dir), ["p_size"], "y", models.ols)
+    return models.estimation_table(found).select("row_id", "actuals", F.round("cv_estimates", 4).alias("cv_estimates"), F.round("cv_errors", 4).alias("cv_errors"))
+
+
+@query("SELECT 0 AS place, 'intercept' AS feature, round(regr_intercept(p_retailprice, p_size), 4) AS coefficient FROM part UNION ALL SELECT 1, 'p_size', round(regr_slope(p_retailprice, p_size), 4) FROM part")
+def ols_fit(spark, sf_dir):
+    model = models.ols(models.assembled(_price_by_size(spark, sf_dir), ["p_size"]), "features", "y")
+    return models.coefficient_table(spark, ["p_size"], model).withColumn("coefficient", F.round("coefficient", 4))
+
+
+@query(
+    "WITH s AS (SELECT covar_pop(p_retailprice, p_size) * count(*) AS xy, var_pop(p_size) * count(*) AS xx, avg(p_size) AS mx, avg(p_retailprice) AS my FROM part), "
+    "b AS (SELECT xy / (xx + 0.1) AS b, my, mx FROM s) SELECT 0 AS place, 'intercept' AS feature, round(my - b * mx, 4) AS coefficient FROM b UNION ALL SELECT 1, 'p_size', round(b, 4) FROM b"
+)
+def ridge_fit(spark, sf_dir):
+    model = models.ridge(models.assembled(_price_by_size(spark, sf_dir), ["p_size"]), "features", "y")
+    return models.coefficient_table(spark, ["p_size"], model).withColumn("coefficient", F.round("coefficient", 4))
+
+
+@query()
+def forest_importance(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("row_id"), F.col("p_size").cast("double").alias("p_size"), (F.col("p_partkey") % 7).cast("double").alias("other"), F.col("p_retailprice").alias("y"))
+    model = models.forest(models.assembled(rows, ["p_size", "other"]), "features", "y", numTrees=5, maxDepth=4)
+    return models.importance_table(spark, ["p_size", "other"], model)
+
+
+@query()
+def boosted_estimates(spark, sf_dir):
+    rows = models.assembled(_price_by_size(spark, sf_dir), ["p_size"])
+    return models.boosted(rows, "features", "y", maxIter=3).transform(rows).select("row_id", F.col("prediction").alias("estimate"))
+
+
+_SCORES = [({"depth": "3", "rate": "0.1"}, [0.5, 0.7]), ({"depth": "5", "rate": "0.1"}, [0.6, 0.8]), ({"depth": "3", "rate": "0.2"}, [0.4, 0.5])]
+
+
+@query("SELECT '5' AS depth, '0.1' AS rate, 0.7 :: DOUBLE AS mean_score")
+def best_params(spark, sf_dir):
+    results = spark.createDataFrame(_SCORES, "params map<string,string>, scores array<double>")
+    return stats.best_params(results).select(F.col("params")["depth"].alias("depth"), F.col("params")["rate"].alias("rate"), F.round("mean_score", 9).alias("mean_score"))
+
+
+@query("SELECT '0.1' AS rate, '3:0.6,5:0.7' AS line UNION ALL SELECT '0.2', '3:0.45'")
+def score_lines(spark, sf_dir):
+    results = spark.createDataFrame(_SCORES, "params map<string,string>, scores array<double>")
+    line = F.array_join(F.transform("line", lambda p: F.concat_ws(":", p["value"], F.round(p["mean_score"], 6).cast("string"))), ",")
+    return stats.score_lines(results, "depth").select(F.col("others")[0]["value"].alias("rate"), line.alias("line"))
+
+
+@query("SELECT 'depth=3,rate=0.1' AS params, '0.500000;0.700000' AS scores UNION ALL SELECT 'depth=5,rate=0.1', '0.600000;0.800000' UNION ALL SELECT 'depth=3,rate=0.2', '0.400000;0.500000'")
+def score_log(spark, sf_dir):
+    return models.score_log_rows(spark.createDataFrame(_SCORES, "params map<string,string>, scores array<double>"))
+
+
+@query("SELECT b.range + 1 AS bedrooms, t.p_type AS property_type, n.n_name AS suburb FROM range(3) b, (SELECT DISTINCT p_type FROM part) t, nation n")
+def comparison_cross(spark, sf_dir):
+    types = stats.levels(table(spark, sf_dir, "part"), "p_type")
+    names = stats.levels(table(spark, sf_dir, "nation"), "n_name")
+    rows = dm.combinations(spark, [([(b, 1, 1) for b in (1, 2)], types, names), ([(3, 1, 1)], types, names)])
+    return rows.select(F.col("bedrooms").cast("long").alias("bedrooms"), "property_type", "suburb")
+
+
+# --- text, addresses, records --------------------------------------------------------------------------------------
+
+
+@query("SELECT c_custkey, trim(regexp_replace('  ' || replace(c_name, '#', '''*') || '^ ', '[\"''*^]|%22', '', 'g')) AS cleaned FROM customer")
+def regex_clean(spark, sf_dir):
+    messy = F.concat(F.lit("  "), F.replace(F.col("c_name"), F.lit("#"), F.lit("'*")), F.lit("^ "))
+    return table(spark, sf_dir, "customer").select("c_custkey", geocode.clean_part(messy).alias("cleaned"))
+
+
+@query("SELECT c_custkey, ltrim(regexp_extract(lower('Unit ' || (c_custkey % 9) || '/ ' || c_custkey || 'A '), '([^/]*)$', 1)) AS number FROM customer")
+def street_number(spark, sf_dir):
+    text = F.concat(F.lit("Unit "), (F.col("c_custkey") % 9).cast("string"), F.lit("/ "), F.col("c_custkey").cast("string"), F.lit("A "))
+    return table(spark, sf_dir, "customer").select("c_custkey", geocode.street_number(text).alias("number"))
+
+
+@query("SELECT c_custkey, regexp_replace(concat_ws('+', CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment || '/' END, CAST(c_custkey AS VARCHAR), 'high st,', c_name || ',', 'act'), '\\s+', '+', 'g') || '+' || CAST(2600 + c_nationkey AS VARCHAR) AS query FROM customer")
+def query_string(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).alias("house"), F.col("c_custkey").cast("string").alias("house_number"), F.lit("high st").alias("road"), F.col("c_name").alias("suburb"), F.lit("act").alias("state"), (F.col("c_nationkey") + 2600).alias("postcode"))
+    return rows.select("c_custkey", geocode.query_string(F.col("postcode")).alias("query"))
+
+
+@query("SELECT n_nationkey, p.range + 1 AS page, 'http://list-' || (p.range + 1) AS url, 'http://find/in-' || (2600 + n_nationkey) || '+' || lower(n_name) || '/list-' || (p.range + 1) || '?s=1' AS place_url FROM nation, range(3) p")
+def page_urls(spark, sf_dir):
+    pages = spark.range(1, 4).select(F.col("id").alias("page"))
+    rows = table(spark, sf_dir, "nation").crossJoin(F.broadcast(pages))
+    return rows.select("n_nationkey", "page", web.page_url_column("http://list", F.col("page")).alias("url"), web.page_url_of_column("http://find/", F.col("page"), F.col("n_nationkey") + 2600, F.lower("n_name"), "?s=1").alias("place_url"))
+
+
+@query(
+    "SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN false WHEN 3 THEN false ELSE true END AS address_is_valid, "
+    "CASE c_custkey % 5 WHEN 1 THEN NULL WHEN 3 THEN '__' || lower(c_name) ELSE lower(c_name) END AS suburb FROM customer"
+)
+def address_validate(spark, sf_dir):
+    name, k = F.lower("c_name"), F.col("c_custkey") % 5
+    state, code = address.component("act", "state"), address.component("2600", "postcode")
+    parts = (
+        F.when(k == 0, F.array(address.component(name, "suburb"), state, code)).when(k == 1, F.array(address.component("high st", "road"), state, code))
+        .when(k == 2, F.array(address.component(name, "suburb"), address.component("canberra", "city"), state, code))
+        .when(k == 3, F.array(address.component(F.concat(F.lit("__"), name), "suburb"), state, code)).otherwise(F.array(address.component(name, "city"), address.component("address available on request", "special")))
+    )
+    found = table(spark, sf_dir, "customer").select("c_custkey", address.address_record(parts).alias("a"))
+    return found.select("c_custkey", "a.address_is_valid", "a.suburb")
+
+
+@query(
+    "SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'the towers' END AS house, CASE c_custkey % 3 WHEN 0 THEN c_custkey || '/5' ELSE CAST(c_custkey AS VARCHAR) END AS house_number, "
+    "CASE c_custkey % 3 WHEN 1 THEN 'rolph place' ELSE 'high street' END AS road, 'reid' AS suburb, 'act' AS state, '2612' AS postcode, true AS address_is_valid FROM customer"
+)
+def address_parse(spark, sf_dir):
+    k = F.col("c_custkey")
+    text = F.concat(F.when(k % 4 == 0, F.lit("'The Towers', ")).otherwise(F.lit("")), F.when(k % 3 == 0, F.concat(F.lit("Unit "), k.cast("string"), F.lit(", 5"))).otherwise(k.cast("string")), F.when(k % 3 == 1, F.lit(" Rolph Place, ")).otherwise(F.lit(" High Street, ")), F.lit("Reid, ACT 2612"))
+    # 'Unit n, 5 …' only opens the address where no house name stands before it.
+    text = F.when((k % 4 == 0) & (k % 3 == 0), F.concat(F.lit("The Towers, "), k.cast("string"), F.lit("/5 High Street, Reid, ACT 2612"))).otherwise(text)
+    rows = table(spark, sf_dir, "customer").select("c_custkey", text.alias("address_text"))
+    return address.parse_addresses(rows).drop("address_text")
+
+
+@query(
+    "WITH a AS (SELECT c_custkey AS row_id, CAST(c_custkey % 50 AS VARCHAR) AS number, 'street ' || (c_custkey % 7) AS road, 'town ' || (c_nationkey % 5) AS suburb FROM customer), "
+    "g AS (SELECT CAST(s_suppkey % 40 AS VARCHAR) AS number, 'Street ' || (s_suppkey % 7) AS street, 'Town ' || (s_nationkey % 5) AS city, s_suppkey * 1.0 AS x, s_suppkey * 2.0 AS y, s_suppkey AS hit_rank FROM supplier), "
+    "m AS (SELECT a.row_id, g.x, g.y, coalesce(lower(g.street) = a.road, false) AS ok, row_number() OVER (PARTITION BY a.row_id ORDER BY coalesce(lower(g.street) = a.road, false) DESC, g.hit_rank NULLS LAST) AS n FROM a LEFT JOIN g ON g.number = a.number AND lower(g.city) = a.suburb) "
+    "SELECT row_id, CAST(y AS DOUBLE) AS latitude, CAST(x AS DOUBLE) AS longitude, ok AS geocoding_is_valid FROM m WHERE n = 1"
+)
+def geocode_join(spark, sf_dir):
+    k = F.col("c_custkey")
+    rows = table(spark, sf_dir, "customer").select(k.alias("row_id"), F.lit(None).cast("string").alias("house"), F.concat((k % 3).cast("string"), F.lit("/ "), (k % 50).cast("string")).alias("house_number"), F.concat(F.lit("street "), (k % 7).cast("string")).alias("road"), F.concat(F.lit("'town "), (F.col("c_nationkey") % 5).cast("string"), F.lit("'")).alias("suburb"), F.lit("act").alias("state"), F.lit(2600).alias("postcode"))
+    s = F.col("s_suppkey")
+    gazetteer = table(spark, sf_dir, "supplier").select((s % 40).cast("string").alias("number"), F.concat(F.lit("Street "), (s % 7).cast("string")).alias("street"), F.concat(F.lit("Town "), (F.col("s_nationkey") % 5).cast("string")).alias("city"), F.lit("ACT").alias("region"), F.lit("2600").alias("postcode"), s.cast("double").alias("x"), (s * 2).cast("double").alias("y"), s.alias("hit_rank"))
+    return geocode.geocode(rows, gazetteer).select("row_id", "latitude", "longitude", "geocoding_is_valid")
+
+
+@query(
+    "WITH f AS (SELECT s_suppkey AS row_id, CASE WHEN s_suppkey % 4 = 0 THEN 'sale_type' WHEN s_suppkey % 6 = 0 THEN 'details' END AS error_type FROM supplier) "
+    "SELECT row_id, error_type, row_number() OVER (ORDER BY error_type, row_id) - 1 AS error_number FROM f WHERE error_type IS NOT NULL"
+)
+def failures_log(spark, sf_dir):
+    k = F.col("s_suppkey")
+    flags = table(spark, sf_dir, "supplier").select(k.alias("row_id"), F.struct((k % 4 != 0).alias("is_valid")).alias("sale_type"), F.struct((k % 6 != 0).alias("is_valid")).alias("details"))
+    names = ("sale_type", "details")
+    _, failed = records.split_valid(flags, records.is_valid(names))
+    return records.failure_log(failed.select("row_id", records.error_type(names).alias("error_type")))
+
+
+@query(
+    "SELECT p_partkey AS row_id, p_type AS sale_type, false AS under_contract, CAST(NULL AS BOOLEAN) AS under_application, CASE WHEN p_size % 5 > 0 THEN p_retailprice END AS price_min, CASE WHEN p_size % 5 > 0 THEN p_retailprice + 7 END AS price_max, "
+    "p_brand AS property_type, p_size AS bedrooms, 1 AS bathrooms, CAST(NULL AS INTEGER) AS garage_spaces, p_name AS address_text, 'act' AS state, 2600 AS postcode FROM part"
+)
+def record_flatten(spark, sf_dir):
+    p = F.col("p_retailprice")
+    ok = F.lit(True).alias("is_valid")
+    nested = table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("row_id"), F.struct(F.col("p_type").alias("name"), F.when(F.col("p_size") % 5 > 0, F.array(p + 7, p)).alias("prices"), F.lit(False).alias("under_contract"), F.lit(None).cast("boolean").alias("under_application"), ok).alias("sale_type"),
+        F.struct(F.col("p_brand").alias("property_type"), F.col("p_size").alias("bedrooms"), F.lit(1).alias("bathrooms"), F.lit(None).cast("int").alias("garage_spaces"), ok).alias("details"),
+        F.struct(F.col("p_name").alias("string"), ok).alias("address_text"), F.struct(F.lit("act").alias("state"), F.lit(2600).alias("postcode"), ok).alias("state_and_postcode"),
+    )
+    return records.flatten(nested)
+
+
+@query("SELECT p_partkey AS row_id, concat_ws(', ', p_type, CASE WHEN p_size % 2 = 0 THEN '$' || p_size || ' and $' || (p_size + 1) END, p_brand, 'act 2600') AS summary FROM part")
+def record_summary(spark, sf_dir):
+    n = F.col("p_size").cast("double")
+    prices = F.when(F.col("p_size") % 2 == 0, F.array(n, n + 1))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("row_id"), records.summary(F.col("p_type"), F.col("p_brand"), prices, F.lit("act"), F.lit(2600)).alias("summary"))
