@@ -22,7 +22,7 @@ def clean_parts(df: DataFrame) -> DataFrame:
     return df.withColumns({c: clean_part(F.col(c)) for c in ("house", "house_number", "road", "suburb")})
 
 
-def query_string(postcode: Column = F.lit(None)) -> Column:
+def query_string(postcode: Column) -> Column:
     """The parts that are there, each with its suffix, joined by plus signs; blanks become plus signs too."""
     parts = [F.when(F.length(F.col(c)) > 0, F.concat(F.col(c), F.lit(s))) for c, s in PART_SUFFIXES]
     return F.concat(F.regexp_replace(F.concat_ws("+", *parts), r"\s+", "+"), F.format_string("+%.0f", postcode.cast("double")))

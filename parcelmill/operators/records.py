@@ -6,7 +6,6 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .sequences import as_sequences
 
@@ -30,7 +29,7 @@ PROPERTY_TYPES = ("House", "Town House", "Unit", "Serviced Apartment", "UnitBloc
 LATER_COLUMNS = {"address_text": "string", "state": "string", "postcode": "int"}
 ATTRIBUTES = ("sale_type", "details", "address_text", "state_and_postcode")
 
-RECORD = T.StructType.fromDDL(
+RECORD = (
     "row_id bigint, sale_type struct<name string, prices array<double>, under_contract boolean, under_application boolean, is_valid boolean>, "
     "details struct<property_type string, bedrooms int, bathrooms int, garage_spaces int, is_valid boolean>, "
     "address_text struct<string string, is_valid boolean>, state_and_postcode struct<state string, postcode int, is_valid boolean>"
