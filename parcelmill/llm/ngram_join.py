@@ -6,8 +6,8 @@
    of the smaller, so only those are posted.
 3. Under a key, nodes are compared in size-banded tiles by hashed bitmaps: bits of one that the other lacks bound the
    overlap from above.  What the bound leaves is checked by exact intersection of the sorted arrays.
-4. Nodes under a key that are already connected are not compared: star links to the key's first node of each size band
-   are checked first, and only nodes of different components go to the tiles.  Large groups are split into tile pairs.
+4. Nodes under a key that are already connected are not compared: star links to the hub of each key and size band are
+   checked first, and only nodes of different components go to the tiles.  Large groups are split into tile pairs.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import U64, column, ints, materialise, mix64, prepare, signed
+from .common import U64, column, ints, materialise, mix64, prepare, signed, worker_cache
 from .components import connected
 
 WORDS = 5
@@ -32,6 +32,8 @@ TILE = 4096
 #: Counters of the shingle frequency sketch, and those in one of its rows.
 COUNTERS = 1 << 18
 COUNTER_ROW = 4096
+#: Bits of the narrowest bitmap.
+LEAST_WIDTH = 2048
 
 _COEFFICIENTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], U64)
 
@@ -76,29 +78,31 @@ def index_size(n):
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_id of every text; and the partitions' frequency sketches in rows with a chunk."""
+    """doc_id, n_shingles, set_id and bits of every text; and the partitions' frequency sketches in rows with a chunk."""
+    names = ["doc_id", "n_shingles", "set_id", "bits", "chunk", "counts"]
 
     def run(batches):
+        worker_cache("ngram_join")
         sketch = np.zeros(COUNTERS, np.int64)
         for batch in batches:
-            sizes, names = [], []
+            sizes, sets, maps = [], [], []
             for text in column(batch, "text"):
                 found = shingles(text)
                 sizes.append(len(found))
-                names.append(set_id(found))
+                sets.append(set_id(found))
+                maps.append(bitmap(found) if len(found) else None)
                 np.add.at(sketch, (found & U64(COUNTERS - 1)).astype(np.int64), 1)
             n = len(sizes)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(column(batch, "doc_id"), pa.int64()), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
-                ["doc_id", "n_shingles", "set_id", "chunk", "counts"],
+                [pa.array(column(batch, "doc_id"), pa.int64()), pa.array(sizes, pa.int64()), pa.array(sets, pa.int64()), pa.array(maps, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names
             )
         if sketch.any():
             rows = COUNTERS // COUNTER_ROW
             parts = [sketch[i * COUNTER_ROW : (i + 1) * COUNTER_ROW].astype(np.int64).tobytes() for i in range(rows)]
             none = pa.nulls(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(range(rows), pa.int32()), pa.array(parts, pa.binary())], ["doc_id", "n_shingles", "set_id", "chunk", "counts"])
+            yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(rows, pa.binary()), pa.array(range(rows), pa.int32()), pa.array(parts, pa.binary())], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_id long, chunk int, counts binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_id long, bits binary, chunk int, counts binary")
 
 
 def common_classes(scanned: DataFrame) -> np.ndarray:
@@ -169,7 +173,7 @@ def whole_runs(batches, names: list[str]):
 
 
 def candidate_rows(posts: DataFrame) -> DataFrame:
-    """Pairs (a, b) that share a key, of small groups and of stars; and the rows (key, a, meta) of large groups."""
+    """Pairs (a, b) that share a key of a small group; and the rows (key, a, meta) of large groups."""
 
     def run(batches):
         for keys, names, metas in whole_runs(batches, ["key", "set_id", "meta"]):
@@ -192,16 +196,6 @@ def candidate_rows(posts: DataFrame) -> DataFrame:
                 left.append(names[i[ok]])
                 right.append(names[j[ok]])
             big = np.flatnonzero(sizes[run_of] > SMALL_GROUP)
-            if len(big):
-                # Stars: the first node of each (key, size band) and all others of it.
-                band = np.floor(np.log(n[big]) / np.log(4 / 3)).astype(np.int64)
-                order = np.lexsort((names[big], band, run_of[big]))
-                r, b, s = run_of[big][order], band[order], names[big][order]
-                start = np.ones(len(r), bool)
-                start[1:] = (r[1:] != r[:-1]) | (b[1:] != b[:-1])
-                centre = s[np.maximum.accumulate(np.where(start, np.arange(len(r)), 0))]
-                left.append(centre[~start])
-                right.append(s[~start])
             left, right = np.concatenate(left), np.concatenate(right)
             pairs = np.unique(np.stack([np.minimum(left, right), np.maximum(left, right)], 1), axis=0) if len(left) else np.zeros((0, 2), np.int64)
             none = pa.nulls(len(pairs), pa.int64())
@@ -212,9 +206,22 @@ def candidate_rows(posts: DataFrame) -> DataFrame:
     return posts.repartition("key").sortWithinPartitions("key", "set_id").mapInArrow(run, "key long, a long, b long, meta long")
 
 
+def star_pairs(groups: DataFrame) -> DataFrame:
+    """One pair (a, b) at most for each node of the groups (key, a, component, degree, n): with a hub of another component.
+
+    The hub of a key and size band is its node with most rows in large groups.  Copies edited apart share less with
+    each other than with what they were made from, which has no rare shingles of its own and so has most such rows.
+    """
+    banded = groups.withColumn("band", F.floor(F.log("n") / float(np.log(DEN / NUM))))
+    hubs = banded.groupBy("key", "band").agg(F.max(F.struct("degree", "a", "component")).alias("hub"))
+    met = banded.join(hubs, ["key", "band"]).where("component <> hub.component")
+    best = met.groupBy("a").agg(F.max("hub").alias("hub")).select("a", F.col("hub.a").alias("b"))
+    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def bitmap(found: np.ndarray) -> bytes:
-    """A hashed bitmap of two to four bits a shingle, its width a power of two from 64 bits up."""
-    width = 1 << max(6, int(2 * len(found) - 1).bit_length())
+    """A hashed bitmap of two to four bits a shingle, its width a power of two from LEAST_WIDTH bits up."""
+    width = max(LEAST_WIDTH, 1 << int(2 * len(found) - 1).bit_length())
     bits = np.zeros(width, np.uint8)
     bits[(found >> U64(20)).astype(np.int64) & (width - 1)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
@@ -241,7 +248,7 @@ def enough(overlap: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
 
 
 def set_table(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """set_id, n, bits and items (sorted hashes) of the named nodes (set_id, doc_id of one text that has the set).
+    """set_id and items (sorted hashes) of the named nodes (set_id, doc_id of one text that has the set).
 
     A bounded Bloom filter of the doc ids spares other texts the hashing; the join on doc_id makes it exact.
     """
@@ -257,26 +264,24 @@ def set_table(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             batch = batch.filter(batch.column(0).is_valid())
             passed = np.flatnonzero(mine.might_hold(id_hashes(batch))) if batch.num_rows else ()
             ids, bodies = column(batch, "doc_id"), batch.column(1)
-            rows: list[list] = [[], [], []]
+            rows: list[list] = [[], []]
             for i in passed:
-                found = shingles(bodies[int(i)].as_py())
-                if len(found):
-                    rows[0].append(ids[i])
-                    rows[1].append(bitmap(found))
-                    rows[2].append(found.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.binary())], ["doc_id", "bits", "items"])
+                rows[0].append(ids[i])
+                rows[1].append(shingles(bodies[int(i)].as_py()).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.binary())], ["doc_id", "items"])
 
-    made = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, bits binary, items binary").dropDuplicates(["doc_id"])
-    return made.join(nodes, "doc_id").select("set_id", (F.length("items") / 8).cast("long").alias("n"), "bits", "items")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, items binary").dropDuplicates(["doc_id"]).join(nodes, "doc_id").select("set_id", "items")
 
 
 def words_of(maps: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(maps), U64).reshape(len(maps), -1)
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets pass: first by the bitmaps' bound, then by exact intersection."""
-    small = sets.select("set_id", "n", "bits")
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets pass: first by the bitmaps' bound, then by exact intersection.
+
+    nodes: set_id, doc_id, n, bits.  Shingles are hashed anew for the nodes that the bound leaves, and only for them.
+    """
 
     def bound(batches):
         for batch in batches:
@@ -307,8 +312,10 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept)], ["a", "b"])
 
     side = lambda df, s, *cols: df.select(F.col("set_id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in cols])
-    near = pairs.select("a", "b").join(side(small, "a", "n", "bits"), "a").join(side(small, "b", "n", "bits"), "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(bound, "a long, b long")
+    near = pairs.select("a", "b").join(side(nodes, "a", "n", "bits"), "a").join(side(nodes, "b", "n", "bits"), "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(bound, "a long, b long")
     near = materialise(near, "near")
+    named = near.select(F.col("a").alias("set_id")).union(near.select("b")).distinct()
+    sets = materialise(set_table(docs, materialise(nodes.select("set_id", "doc_id").join(named, "set_id"), "named")), "sets")
     full = near.join(side(sets, "b", "items"), "b").join(side(sets, "a", "items"), "a").select("a", "b", "items_a", "items_b")
     return full.mapInArrow(exact, "a long, b long")
 
@@ -376,23 +383,27 @@ def join_documents(docs: DataFrame) -> DataFrame:
     prepare(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     scanned = materialise(scan(docs), "scan")
-    documents = scanned.where("chunk is null").select("doc_id", "n_shingles", "set_id")
+    documents = scanned.where("chunk is null").select("doc_id", "n_shingles", "set_id", "bits")
     known = documents.where("doc_id is not null")
     classes = spark.sparkContext.broadcast(common_classes(scanned))
 
     rows = materialise(candidate_rows(posted(docs.where("doc_id is not null"), classes)), "keys")
-    stars = materialise(rows.where("key is null").select("a", "b").distinct(), "stars")
-    groups = rows.where("key is not null").select("key", "a", "meta")
+    tried = materialise(rows.where("key is null").select("a", "b").distinct(), "pairs")
+    groups = rows.where("key is not null").select("key", "a", "meta", F.shiftright("meta", 1).alias("n"))
+    degrees = groups.groupBy("a").agg(F.count("*").alias("degree"))
 
     nodes = known.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
-    named = stars.select(F.col("a").alias("set_id")).union(stars.select("b")).union(groups.select("a")).distinct()
-    sets = materialise(set_table(docs, materialise(nodes.join(named, "set_id", "left_semi").select("set_id", "doc_id"), "nodes")), "sets")
-
-    links = materialise(verified(stars, sets), "first-links")
+    named = tried.select(F.col("a").alias("set_id")).union(tried.select("b")).union(degrees.select("a")).distinct()
+    mapped = known.select("doc_id", F.col("n_shingles").alias("n"), "bits").dropDuplicates(["doc_id"])
+    near_nodes = materialise(nodes.join(named, "set_id").join(mapped, "doc_id").select("set_id", "doc_id", "n", "bits"), "nodes")
+
+    # Small groups' pairs and the stars.
+    labelled = materialise(groups.join(degrees, "a").withColumn("component", F.col("a")), "groups")
+    new = materialise(star_pairs(labelled).join(tried, ["a", "b"], "left_anti").unionByName(tried), "stars")
+    links, tried = materialise(verified(new, near_nodes, docs), "links"), new
     joined = connected(links)
-
-    # Large groups whose nodes are not all connected yet: their tile pairs.
-    labelled = groups.join(joined.select(F.col("node").alias("a"), "component"), "a", "left").withColumn("component", F.coalesce("component", "a"))
+    # What the stars left unconnected under a key: its tile pairs.
+    labelled = labelled.drop("component").join(joined.select(F.col("node").alias("a"), "component"), "a", "left").withColumn("component", F.coalesce("component", "a"))
     open_groups = labelled.groupBy("key").agg(F.count("*").alias("rows"), F.min("component").alias("least"), F.max("component").alias("most")).where("least < most")
     tiled = labelled.join(open_groups.select("key", F.ceil(F.col("rows") / TILE).alias("tiles")), "key").withColumn("own", F.pmod(F.xxhash64("a"), F.col("tiles")))
     tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
@@ -400,10 +411,10 @@ def join_documents(docs: DataFrame) -> DataFrame:
         F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("tile"),
         F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).cast("long").alias("side"), "a", "component", "meta",
     )
-    tiled = tiled.join(sets.select(F.col("set_id").alias("a"), "bits"), "a")
-    more = materialise(tile_pairs(tiled).distinct().join(stars, ["a", "b"], "left_anti"), "tile-pairs")
+    tiled = tiled.join(near_nodes.select(F.col("set_id").alias("a"), "bits"), "a")
+    more = materialise(tile_pairs(tiled).distinct().join(tried, ["a", "b"], "left_anti"), "tile-pairs")
     if not more.isEmpty():
-        links = materialise(links.unionByName(verified(more, sets)), "links-all")
+        links = materialise(links.unionByName(verified(more, near_nodes, docs)), "links-all")
         joined = connected(links)
 
     placed = nodes.join(joined.select(F.col("node").alias("set_id"), "component"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
