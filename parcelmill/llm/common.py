@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 U64 = np.uint64
 #: Rows in one Arrow batch: texts can be long, so batches are kept short.
-BATCH_ROWS = 1000
+BATCH_ROWS = 250
 
 
 def prepare(spark: SparkSession) -> None:
@@ -47,6 +47,17 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_held: list[tuple[tuple, dict]] = []
+
+
+def worker_cache(*owner) -> dict:
+    """The dictionary that its owner keeps in this Python worker between tasks.  A worker holds one at a time, so
+    operators that follow each other in a session do not add up."""
+    if not _held or _held[0][0] != owner:
+        _held[:] = [(owner, {})]
+    return _held[0][1]
+
+
 def ceil_div(a: int, b: int) -> int:
     return -(-a // b)
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ceil_div, column, prepare, texts
+from .common import ceil_div, column, prepare, texts, worker_cache
 
 WINDOW = 4096
 #: Documents a shard is sized for.  A shard's rows are six numbers each.
@@ -25,7 +25,6 @@ CACHE_ENTRIES = 600_000
 CACHE_CHARS = 48
 
 _tokenizers: dict[str, object] = {}
-_caches: dict[str, dict[str, bytes]] = {}
 
 
 def tokenizer(path: str):
@@ -99,7 +98,7 @@ def encode_docs(path: str, docs: list[str]) -> list[bytes]:
     The tokenizer drops white space between words and merges nothing across it, so a text's ids are those of its
     pieces between spaces and line ends; pieces repeat, and a cache keeps their ids.
     """
-    cache = _caches.setdefault(path, {})
+    cache = worker_cache("packing", path)
     split = [split_words(t) for t in docs]
     wanted = set().union(*split)
     long = [w for w in wanted if len(w) > CACHE_CHARS]

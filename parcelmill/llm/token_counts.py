@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, prepare, texts
+from .common import column, prepare, texts, worker_cache
 
 #: Entries each partition reports, entries broadcast, characters of the longest such entry, entries of a worker's cache.
 SUMMARY_ENTRIES = 1024
@@ -30,7 +30,6 @@ MARK = "▁"
 RUNS = re.compile(r" *[^ ]+| +$")
 
 _models: dict[str, object] = {}
-_caches: dict[str, dict[str, int]] = {}
 
 
 def model(path: str):
@@ -95,7 +94,7 @@ def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096) -> DataFra
 
     def count(batches):
         frequent = sent.value
-        cache = _caches.setdefault(model_path, {})
+        cache = worker_cache("token_counts", model_path)
         for batch in batches:
             docs_here = texts(batch)
             split = [pretokens(t) for t in docs_here]
