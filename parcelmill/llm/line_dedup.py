@@ -6,8 +6,9 @@ the two lengths and the segment's number fix.  Segments of the shorter line and
 one meet under one key that holds the indexed length; pairs are verified by a banded bit-parallel edit distance.
 Of every class of linked lines the first in document order stays, and the others are cut out.
 
-A key that many lines share is not paired.  Its lines go by their deletion neighbourhoods instead: lines one edit apart
-agree when the edited character is left out, so all partners of a line meet it under an exact key and a star links them.
+A key that many lines share is not paired.  Its lines meet anew under keys that hold all but an eighth of them, and where
+those are crowded too, by their deletion neighbourhoods: lines one edit apart agree when the edited character is left
+out, so all partners of a line meet it under an exact key and a star links them.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import U64, column, ints, materialise, mix64, prepare, signed
+from .common import U64, column, ints, materialise, mix64, prepare, signed, worker_cache
 from .components import connected
 from .ngram_join import runs_of, whole_runs
 
@@ -29,7 +30,11 @@ EDITS = 1
 LEAST_CHARS = 40
 #: Lines under one key that are paired at once.
 SMALL_GROUP = 8
+#: Segments of lines under larger keys.
+REFINED = 8
 
+#: Characters hashed at a time.
+GROUP_CHARS = 1 << 20
 BASE = 0x9E3779B97F4A7C15
 
 
@@ -127,6 +132,20 @@ def eligible(text: str | None, least: int) -> list[tuple[int, str]]:
     return [(i, line) for i, line in enumerate(text.split("\n")) if len(line) >= least and not line.isspace()] if text else []
 
 
+def line_groups(batches, least: int):
+    """Distinct lines that take part, batch by batch, in groups of about GROUP_CHARS characters."""
+    for batch in batches:
+        group, size = [], 0
+        for line in {line for text in column(batch, "text") for _, line in eligible(text, least)}:
+            group.append(line)
+            size += len(line)
+            if size >= GROUP_CHARS:
+                yield group
+                group, size = [], 0
+        if group:
+            yield group
+
+
 def occurrences(docs: DataFrame, least: int) -> DataFrame:
     """line, doc_id and line_no of every line that takes part."""
 
@@ -147,10 +166,8 @@ def posts(docs: DataFrame, least: int) -> DataFrame:
     """key, line and size: segments of every line, and the substrings of it that may equal a shorter line's segments."""
 
     def run(batches):
-        for batch in batches:
-            lines = list({line for text in column(batch, "text") for _, line in eligible(text, least)})
-            if not lines:
-                continue
+        worker_cache("line_dedup")
+        for lines in line_groups(batches, least):
             hashes = SubstringHashes(lines)
             names = np.fromiter(map(line_key, lines), np.int64, len(lines))
             lengths = hashes.lengths
@@ -192,6 +209,31 @@ def candidate_rows(rows: DataFrame) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", "line").mapInArrow(run, "a long, b long")
 
 
+def refined_posts(lines: DataFrame) -> DataFrame:
+    """key, line and size of lines under crowded keys: all of the line but one of REFINED segments, from both ends.
+
+    Lines one edit apart agree outside the segment that holds it.  Lines that only share a half meet no more.
+    """
+
+    def run(batches):
+        for batch in batches:
+            texts = column(batch, "line_text")
+            if not texts:
+                continue
+            hashes, names = SubstringHashes(texts), ints(batch, "line")
+            lengths, found = hashes.lengths, []
+            for shorter in range(EDITS + 1):
+                indexed = lengths - shorter
+                for j in range(REFINED):
+                    start, end = indexed * j // REFINED, indexed * (j + 1) // REFINED
+                    tail = indexed - end
+                    key = hashes.of(np.zeros_like(start), start) * U64(3) + hashes.of(lengths - tail, tail)
+                    found.append(signed(mix64(key + indexed.astype(U64) * U64(REFINED) + U64(j))))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.tile(names, len(found))), pa.array(np.tile(lengths, len(found)))], ["key", "line", "size"])
+
+    return lines.select("line", "line_text").mapInArrow(run, "key long, line long, size long")
+
+
 def named_lines(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
     """line and line_text of the wanted lines.  A bounded Bloom filter spares the others the shuffle."""
     hashes_of = lambda batch: mix64(ints(batch, "line").astype(np.int64).view(U64))
@@ -200,8 +242,7 @@ def named_lines(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
 
     def run(batches):
         mine = bloom.BlockedBloom(*sent.value)
-        for batch in batches:
-            lines = list({line for text in column(batch, "text") for _, line in eligible(text, least)})
+        for lines in line_groups(batches, least):
             names = np.fromiter(map(line_key, lines), np.int64, len(lines))
             passed = np.flatnonzero(mine.might_hold(mix64(names.view(U64))))
             yield pa.RecordBatch.from_arrays([pa.array(names[passed]), pa.array([lines[i] for i in passed], pa.string())], ["line", "line_text"])
@@ -257,6 +298,9 @@ def repeated_lines(docs: DataFrame, least: int = LEAST_CHARS) -> tuple[DataFrame
     pairs, crowded = rows.where("b is not null").distinct(), rows.where("b is null").select(F.col("a").alias("line")).distinct()
     wanted = materialise(pairs.select(F.col("a").alias("line")).union(pairs.select("b")).union(crowded).distinct(), "line-names")
     lines = materialise(named_lines(docs, wanted, least), "lines")
+    finer = materialise(candidate_rows(refined_posts(lines.join(crowded, "line", "left_semi"))), "line-pairs")
+    pairs = pairs.unionByName(finer.where("b is not null")).distinct()
+    crowded = finer.where("b is null").select(F.col("a").alias("line")).distinct()
     links = verified(pairs, lines).unionByName(neighbourhood_links(lines.join(crowded, "line", "left_semi")))
     classes = connected(links)
     own = seen.groupBy("line").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"))
