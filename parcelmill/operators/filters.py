@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Price ranges (open at both ends), kinds of sale, largest separate count.
@@ -55,8 +55,12 @@ def rejected(accepted: Column) -> Column:
 
 
 def min_population(df: DataFrame, by: str, least: int) -> DataFrame:
-    """Rows whose group has at least `least` rows; a missing group has none."""
-    return df.withColumn("_n", F.count(by).over(Window.partitionBy(by))).where(F.col("_n") >= least).drop("_n")
+    """Rows whose group has at least `least` rows; a missing group has none.
+
+    Groups are counted map-side first and met in a semi join, so one large group never sits in one task.
+    """
+    large = df.groupBy(by).agg(F.count(by).alias("_n")).where(F.col("_n") >= least).select(by)
+    return df.join(large, by, "left_semi")
 
 
 def min_population_report(df: DataFrame, by: str, least: int) -> DataFrame:

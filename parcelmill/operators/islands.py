@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ordering import null_safe
+
 #: The largest gap inside an island, 365 / 6 days, and the columns that do not tell properties apart.
 MAX_GAP_SECONDS = 5_256_000
 OTHER_COLUMNS = ("price_min", "price_max", "sequence_broken", "first_encounted", "last_encounted")
@@ -97,8 +99,12 @@ def keep_last(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFra
 
 
 def duplicate_groups(df: DataFrame, by: Sequence[str]) -> DataFrame:
-    """All rows of groups with more than one, with the group's size as n."""
-    return df.withColumn("n", F.count("*").over(Window.partitionBy(*by))).where("n > 1")
+    """All rows of groups with more than one, missing values equal, with the group's size as n.
+
+    Sizes are counted map-side first and joined back, so one large group never sits in one task.
+    """
+    sizes = df.groupBy(*[F.col(c).alias(f"_g_{c}") for c in by]).agg(F.count("*").alias("n")).where("n > 1")
+    return df.join(sizes, null_safe([F.col(c) for c in by], [F.col(f"_g_{c}") for c in by])).select(*df.columns, "n")
 
 
 def unordered_listings(df: DataFrame, props: Sequence[str], row_id: str = "row_id") -> DataFrame:

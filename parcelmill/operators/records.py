@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ordering import BUCKET
 from .sequences import as_sequences
 
 #: Names of the kinds of sale and of property, and which of them are parse failures.
@@ -71,17 +72,18 @@ def split_valid(records: DataFrame, valid: Column) -> tuple[DataFrame, DataFrame
     return records.where(valid), records.where(~F.coalesce(valid, F.lit(False)))
 
 
-def failure_log(failures: DataFrame, error: str = "error_type", row_id: str = "row_id", per: int | None = None) -> DataFrame:
+def failure_log(failures: DataFrame, error: str = "error_type", row_id: str = "row_id", bucket: int = BUCKET) -> DataFrame:
     """Failures numbered from 0 by (error type, row id).
 
-    Error types are few, so each is numbered apart and starts where the counts of those before it end.
+    Rows are numbered inside a type's range of row ids, and each range starts where the counts of those before it end.
     """
-    counts = failures.groupBy(error).agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.orderBy(F.col(error).asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1))
-    starts = counts.select(F.col(error).alias("_error"), F.coalesce(before, F.lit(0)).alias("_start"))
-    inside = F.row_number().over(Window.partitionBy(error).orderBy(row_id)) - 1
-    numbered = failures.withColumn("_inside", inside).join(F.broadcast(starts), F.col(error).eqNullSafe(F.col("_error")))
-    return numbered.withColumn("error_number", F.col("_start") + F.col("_inside")).drop("_start", "_inside", "_error")
+    ranged = failures.withColumn("_range", F.floor(F.col(row_id) / bucket))
+    counts = ranged.groupBy(error, "_range").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy(F.col(error).asc_nulls_last(), "_range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select(F.col(error).alias("_error"), F.col("_range").alias("_at"), F.coalesce(before, F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy(error, "_range").orderBy(row_id)) - 1
+    numbered = ranged.withColumn("_inside", inside).join(starts, F.col(error).eqNullSafe(F.col("_error")) & (F.col("_range") == F.col("_at")))
+    return numbered.withColumn("error_number", F.col("_start") + F.col("_inside")).select(*failures.columns, "error_number")
 
 
 def batch_of(records: DataFrame, scraped: datetime) -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .filters import cap
+from .islands import duplicate_groups
 
 #: The pivots of the feature report (row, column, cap) and its counts.
 FEATURE_PIVOTS = (("property_type", "bedrooms", 8), ("suburb", "bedrooms", 8), ("suburb", "property_type", None))
@@ -199,5 +200,4 @@ def scatter_groups(df: DataFrame, feature: str, x: str, y: str, cap_at: int | No
 
 
 def duplicates_report(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
-    n = F.count("*").over(Window.partitionBy(*by))
-    return df.withColumn("n", n).where("n > 1").orderBy(*[F.col(c).asc_nulls_last() for c in order])
+    return duplicate_groups(df, by).orderBy(*[F.col(c).asc_nulls_last() for c in order])
