@@ -284,10 +284,11 @@ def null_counts(spark, sf_dir):
 def _error_query(period: str, part: str):
     by = ", CAST(year(o_orderdate) AS INTEGER) AS year, CAST(month(o_orderdate) AS INTEGER) AS month" + (f", {part}" if part else "")
 
-    @query(f"SELECT round(avg(abs(o_totalprice - 100000)), 4) AS mean_error{by} FROM orders GROUP BY ALL")
+    # In whole cents, so that sums are exact in any order.
+    @query(f"SELECT avg(abs(CAST(round((o_totalprice - 100000) * 100) AS BIGINT))) AS mean_error{by} FROM orders GROUP BY ALL")
     def error_by(spark, sf_dir):
-        found = stats.mean_error_by(table(spark, sf_dir, "orders"), "o_orderdate", F.col("o_totalprice") - 100000, period)
-        return found.withColumn("mean_error", F.round("mean_error", 4))
+        cents = F.round((F.col("o_totalprice") - 100000) * 100).cast("long")
+        return stats.mean_error_by(table(spark, sf_dir, "orders"), "o_orderdate", cents, period)
 
     for registry in (QUERIES, ORACLES):
         registry[f"error_by_{period}"] = registry.pop("error_by")
@@ -413,7 +414,7 @@ def radius_join(spark, sf_dir):
     "r AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY w, j) AS n FROM d) SELECT i, j, round(w, 9) AS w FROM r WHERE n <= 3"
 )
 def knn_join(spark, sf_dir):
-    return geo.knn_join(table(spark, sf_dir, "part"), "p_partkey", "p_size", "p_retailprice", 3, cell=8.0).withColumn("w", F.round("w", 9))
+    return geo.knn_join(table(spark, sf_dir, "part"), "p_partkey", "p_size", "p_retailprice", 3).withColumn("w", F.round("w", 9))
 
 
 # --- geometry ------------------------------------------------------------------------------------------------------
@@ -422,11 +423,11 @@ _E = "0.08181919092890624"
 
 
 @query(
-    f"WITH p AS (SELECT s_suppkey, radians(s_suppkey % 360 - 180) AS lon, radians((s_suppkey * 7) % 160 - 80) AS lat FROM supplier) "
+    f"WITH p AS (SELECT s_suppkey, radians(s_suppkey % 360 - 180) AS lon, radians((s_suppkey * 7) % 160 - 80.5) AS lat FROM supplier) "
     f"SELECT s_suppkey, round(6378137.0 * lon, 3) AS x, round(6378137.0 * ln(tan(pi() / 4 + lat / 2) * pow((1 - {_E} * sin(lat)) / (1 + {_E} * sin(lat)), {_E} / 2)), 3) AS y FROM p"
 )
 def mercator_xy(spark, sf_dir):
-    x, y = geo.mercator(F.col("s_suppkey") % 360 - 180, (F.col("s_suppkey") * 7) % 160 - 80)
+    x, y = geo.mercator(F.col("s_suppkey") % 360 - 180, (F.col("s_suppkey") * 7) % 160 - 80.5)
     return table(spark, sf_dir, "supplier").select("s_suppkey", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
 
 
