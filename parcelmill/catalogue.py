@@ -714,3 +714,128 @@ def record_summary(spark, sf_dir):
     n = F.col("p_size").cast("double")
     prices = F.when(F.col("p_size") % 2 == 0, F.array(n, n + 1))
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("row_id"), records.summary(F.col("p_type"), F.col("p_brand"), prices, F.lit("act"), F.lit(2600)).alias("summary"))
+
+
+# --- listings end to end -------------------------------------------------------------------------------------------
+
+_KINDS = ("Private Treaty", "Auction", "Rental", "Maybe Private Treaty")
+
+
+def _listings(spark, sf_dir) -> DataFrame:
+    """Orders as priced listings: kinds, counts, suburbs and validity flags follow from their keys."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    kind = F.element_at(F.array(*[F.lit(x) for x in _KINDS]), (k % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "orders").select(
+        k.alias("row_id"), kind.alias("sale_type"), F.when(k % 7 != 0, F.col("o_totalprice")).alias("price_min"), F.when(k % 11 != 0, F.col("o_totalprice") + 1000).alias("price_max"),
+        F.nullif((k % 6).cast("int"), F.lit(5)).alias("bedrooms"), (c % 3).cast("int").alias("bathrooms"), (c % 12).cast("int").alias("garage_spaces"),
+        F.when(c % 13 != 0, F.concat(F.lit("s"), (c % 40).cast("string"))).alias("suburb"), (k % 5 != 0).alias("geocoding_is_valid"),
+        F.when(c % 10 == 0, F.lit("Not Specified")).otherwise(F.concat(F.lit("T"), (c % 4).cast("string"))).alias("property_type"),
+        (F.col("o_orderstatus") == "F").alias("sequence_broken"), F.col("o_orderdate").alias("first_encounted"), (F.col("o_orderdate") + F.make_dt_interval((c % 30).cast("int"))).alias("last_encounted"),
+    )
+
+
+_LISTING_SQL = """
+    WITH l AS (SELECT o_orderkey AS row_id, CASE o_orderkey % 4 WHEN 0 THEN 'Private Treaty' WHEN 1 THEN 'Auction' WHEN 2 THEN 'Rental' ELSE 'Maybe Private Treaty' END AS sale_type,
+                CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice END AS price_min, CASE WHEN o_orderkey % 11 <> 0 THEN o_totalprice + 1000 END AS price_max,
+                CAST(nullif(o_orderkey % 6, 5) AS INTEGER) AS bedrooms, CAST(o_custkey % 3 AS INTEGER) AS bathrooms, CAST(o_custkey % 12 AS INTEGER) AS garage_spaces,
+                CASE WHEN o_custkey % 13 <> 0 THEN 's' || (o_custkey % 40) END AS suburb, o_orderkey % 5 <> 0 AS geocoding_is_valid,
+                CASE WHEN o_custkey % 10 = 0 THEN 'Not Specified' ELSE 'T' || (o_custkey % 4) END AS property_type,
+                o_orderstatus = 'F' AS sequence_broken, o_orderdate AS first_encounted, o_orderdate + (o_custkey % 30) * INTERVAL 1 DAY AS last_encounted FROM orders),
+    priced AS (SELECT * FROM l WHERE price_min IS NOT NULL OR price_max IS NOT NULL),
+    sales AS (SELECT * FROM priced WHERE sale_type IN ('Private Treaty', 'Maybe Private Treaty') AND price_min > 20000 AND price_max > 20000 AND price_min < 10000000 AND price_max < 10000000 AND geocoding_is_valid),
+    busy AS (SELECT * FROM sales WHERE suburb IN (SELECT suburb FROM sales WHERE suburb IS NOT NULL GROUP BY 1 HAVING count(*) >= 5))
+"""
+
+
+@query(_LISTING_SQL + "SELECT row_id FROM busy")
+def accepted_sales(spark, sf_dir):
+    return dm.accepted(_listings(spark, sf_dir), "sales", least_suburb=5).select("row_id")
+
+
+@query(_LISTING_SQL + "SELECT row_id FROM priced WHERE sale_type = 'Rental' AND price_min > 20 AND price_max > 20 AND price_min < 10000 AND price_max < 10000 AND geocoding_is_valid")
+def accepted_rentals(spark, sf_dir):
+    return dm.accepted(_listings(spark, sf_dir), "rentals").select("row_id")
+
+
+@query(_LISTING_SQL + "SELECT row_id FROM priced WHERE suburb IS NOT NULL AND bedrooms IS NOT NULL AND bathrooms IS NOT NULL AND garage_spaces IS NOT NULL")
+def complete_listings(spark, sf_dir):
+    return _listings(spark, sf_dir).where(filters.complete()).select("row_id")
+
+
+@query(
+    _LISTING_SQL
+    + "SELECT (SELECT count(*) FROM sales) AS rows_before, (SELECT count(DISTINCT suburb) + max(CAST(suburb IS NULL AS INTEGER)) FROM sales) AS groups_before, (SELECT count(*) FROM busy) AS rows_after, (SELECT count(DISTINCT suburb) FROM busy) AS groups_after"
+)
+def population_report(spark, sf_dir):
+    return filters.min_population_report(dm.accepted(_listings(spark, sf_dir), "sales"), "suburb", 5)
+
+
+_MATRIX_SPEC = [(("bedrooms",), "polynomial"), (("garage_spaces",), "ordinal"), (("last_encounted",), "time_sequence"), (("bathrooms", "property_type"), "linear_by_categorical"), (("property_type",), "categorical")]
+_TYPES = ("T0", "T1", "T2", "T3")
+
+
+@query(
+    _LISTING_SQL
+    + ", f AS (SELECT *, coalesce(bedrooms, -1) AS b, coalesce(bathrooms, -1) AS t, coalesce(garage_spaces, -1) AS g, nullif(property_type, 'Not Specified') AS p FROM busy) "
+    + "SELECT row_id, b AS bedrooms, CAST(datediff('day', DATE '2017-11-09', CAST(last_encounted AS DATE)) AS INTEGER) AS last_encounted, CAST(b * b AS DOUBLE) AS \"bedrooms_^2\", CAST(b * b * b AS DOUBLE) AS \"bedrooms_^3\", "
+    + ", ".join(f"CASE WHEN p = '{v}' THEN t ELSE 0 END AS \"bathrooms_by_{v}\"" for v in _TYPES)
+    + ", "
+    + ", ".join(f"CAST(g <> 1 AND least(g, 8) = {v} AS INTEGER) AS \"garage_spaces_{v}\"" for v in (0, *range(2, 9)))
+    + ", "
+    + ", ".join(f"CAST(coalesce(p = '{v}', false) AS INTEGER) AS \"property_type_{v}\"" for v in _TYPES)
+    + ", round((price_min + price_max) / 2, 6) AS y FROM f"
+)
+def listing_matrix(spark, sf_dir):
+    rows = dm.fill_counts(dm.accepted(_listings(spark, sf_dir), "sales", least_suburb=5))
+    return dm.build(rows, _MATRIX_SPEC).table.withColumn("y", F.round("y", 6))
+
+
+@query(
+    _LISTING_SQL
+    + """, a AS (SELECT *, lag(last_encounted) OVER w AS before FROM sales WINDOW w AS (PARTITION BY bathrooms, bedrooms, garage_spaces, geocoding_is_valid, property_type, sale_type, suburb ORDER BY first_encounted, last_encounted, row_id)),
+    b AS (SELECT *, sum(CASE WHEN before IS NULL OR first_encounted > before + INTERVAL 5256000 SECOND OR bedrooms IS NULL OR suburb IS NULL THEN 1 ELSE 0 END)
+                 OVER (PARTITION BY bathrooms, bedrooms, garage_spaces, geocoding_is_valid, property_type, sale_type, suburb ORDER BY first_encounted, last_encounted, row_id ROWS UNBOUNDED PRECEDING) AS island FROM a)
+    SELECT arg_min(row_id, (first_encounted, last_encounted, row_id)) AS row_id, min(first_encounted) AS first_encounted, max(last_encounted) AS last_encounted,
+           arg_max(price_min, (last_encounted, first_encounted, row_id)) AS price_min, arg_max(price_max, (last_encounted, first_encounted, row_id)) AS price_max,
+           arg_max(sequence_broken, (last_encounted, first_encounted, row_id)) AS sequence_broken
+    FROM b GROUP BY bathrooms, bedrooms, garage_spaces, geocoding_is_valid, property_type, sale_type, suburb, island
+    """
+)
+def merged_sales(spark, sf_dir):
+    found = islands.check_and_unduplicate(dm.accepted(_listings(spark, sf_dir), "sales"))
+    return found.select("row_id", "first_encounted", "last_encounted", "price_min", "price_max", "sequence_broken")
+
+
+@query(_LISTING_SQL + "SELECT row_id FROM l WHERE NOT coalesce(price_min > 20000 AND price_max > 20000 AND price_min < 10000000 AND price_max < 10000000, false)")
+def qc_rejects(spark, sf_dir):
+    return dm.qc_rejects(_listings(spark, sf_dir), "sales").select("row_id")
+
+
+@query("SELECT s_name AS name, s_name || chr(10) || s_suppkey AS label FROM supplier")
+def place_labels(spark, sf_dir):
+    return table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"), geo.place_label(F.col("s_name"), F.col("s_suppkey")).alias("label"))
+
+
+@query("SELECT i.range AS place, '$ ' || format('{:,}', CAST(lo AS BIGINT)) || ' - ' || format('{:,}', CAST(hi AS BIGINT)) AS label FROM range(3) i JOIN (VALUES (0, 0, 20000), (1, 20000, 40000), (2, 40000, 1000000)) v(n, lo, hi) ON v.n = i.range")
+def break_labels(spark, sf_dir):
+    return spark.createDataFrame(list(enumerate(geo.break_labels([20000.0, 40000.0, 1000000.0]))), "place long, label string")
+
+
+@query("SELECT i.range AS row_id, CAST(i.range + 1 AS BIGINT) AS bedrooms, CAST((i.range + 1) * (i.range + 1) AS DOUBLE) AS \"bedrooms_^2\", CAST(1 AS INTEGER) AS \"property_type_House\", CAST(0 AS INTEGER) AS \"property_type_Unit\" FROM range(3) i")
+def comparison_encoding(spark, sf_dir):
+    rows = dm.combinations(spark, [([(b, 1, 1) for b in (1, 2, 3)], ["House"], ["reid"])])
+    return dm.encode_like(rows, ["bedrooms", "bedrooms_^2", "property_type_House", "property_type_Unit"]).withColumn("bedrooms", F.col("bedrooms").cast("long"))
+
+
+@query()
+def identifiable_columns(spark, sf_dir):
+    rows = dm.fill_counts(dm.accepted(_listings(spark, sf_dir), "sales", least_suburb=5))
+    return spark.createDataFrame([(c,) for c in dm.identifiable(dm.build(rows, _MATRIX_SPEC))], "feature string")
+
+
+@query()
+def spatial_error_fit(spark, sf_dir):
+    points = table(spark, sf_dir, "part").where("p_partkey <= 300").select(F.col("p_partkey").alias("row_id"), F.col("p_size").cast("double").alias("x"), F.col("p_retailprice").alias("y"))
+    near = geo.knn_join(points, "row_id", "x", "y", 4).withColumn("w", F.lit(1.0))
+    intercept, (slope,), lam = models.spatial_error_fit(points, ["x"], "y", near)
+    return spark.createDataFrame([(intercept, slope, lam)], "intercept double, slope double, lambda double")
