@@ -304,7 +304,7 @@ def normalised_error(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", F.round(stats.normalised_error(F.col("o_totalprice") - 100000, F.col("o_totalprice")), 9).alias("error"))
 
 
-_BREAKS = [20000.0, 40000.0, 60000.0, 70000.0, 80000.0, 100000.0, 150000.0]
+_BREAKS = [b / 10 for b in stats.map_breaks("sales", "House")]
 _BIN = "CASE WHEN p IS NULL THEN -1 " + " ".join(f"WHEN p <= {b} THEN {i}" for i, b in enumerate(_BREAKS)) + f" ELSE {len(_BREAKS)} END"
 _PRICES = "(SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END AS p FROM orders)"
 

@@ -14,6 +14,26 @@ from .islands import duplicate_groups
 FEATURE_PIVOTS = (("property_type", "bedrooms", 8), ("suburb", "bedrooms", 8), ("suburb", "property_type", None))
 FEATURE_COUNTS = ("suburb", "property_type")
 
+# Upper bounds of map colours, by what is drawn and for which property types.
+SALES_HIGH = (200_000, 400_000, 600_000, 700_000, 800_000, 1_000_000, 1_500_000)
+SALES_LOW = (0, 200_000, 300_000, 400_000, 500_000, 600_000, 800_000)
+RENTALS_HIGH = (400, 500, 600, 700, 800, 1000, 1200)
+RENTALS_LOW = (250, 300, 400, 500, 600, 800, 1000)
+YIELDS = (0.01, 0.03, 0.04, 0.045, 0.05, 0.055, 0.06, 0.07, 1)
+LOW_TYPES = ("Unit", "Town House", "Studio")
+
+
+def map_breaks(kind: str, property_type: str) -> tuple:
+    """The bounds for sales, rentals or yields of a property type."""
+    if kind == "yields":
+        return YIELDS
+    low = property_type in LOW_TYPES
+    if kind == "sales":
+        return SALES_LOW if low else SALES_HIGH
+    if kind == "rentals":
+        return RENTALS_LOW if low else RENTALS_HIGH
+    raise ValueError(f"unknown kind {kind}")
+
 
 def count_by(df: DataFrame, *by: str) -> DataFrame:
     """Rows per group; groups with a missing key are left out."""

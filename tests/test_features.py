@@ -123,3 +123,12 @@ def test_feature_report(listings):
 def test_bins_need_sorted_breaks(spark):
     with pytest.raises(ValueError):
         stats.bin_of(F.lit(1), [2.0, 1.0])
+
+
+def test_map_breaks_ascend():
+    for kind in ("sales", "rentals", "yields"):
+        for name in ("House", "Unit", "Studio", "Land"):
+            found = stats.map_breaks(kind, name)
+            assert list(found) == sorted(found)
+    with pytest.raises(ValueError):
+        stats.map_breaks("loans", "House")
