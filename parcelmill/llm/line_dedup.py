@@ -309,23 +309,29 @@ def repeated_lines(docs: DataFrame, least: int = LEAST_CHARS) -> tuple[DataFrame
     return seen, own.select("line", "class_id").join(firsts.select("class_id", F.col("first.doc_id").alias("first_doc"), F.col("first.line_no").alias("first_no")), "class_id")
 
 
+def cut_lines(docs: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
+    """dedup_lines, with the two counts as _n_lines and _n_cut: no column of docs is lost."""
+    known = docs.where("doc_id is not null").select("doc_id", "text")
+    seen, classes = repeated_lines(known, least)
+    cut = seen.join(classes, "line").where("doc_id <> first_doc or line_no <> first_no").groupBy(F.col("doc_id").alias("_cut_doc")).agg(F.collect_set(F.col("line_no").cast("int")).alias("_cut_lines"))
+    joined = docs.join(cut, F.col("doc_id") == F.col("_cut_doc"), "left")
+    parts = F.split("text", "\n", -1)
+    kept = F.filter(parts, lambda x, i: ~F.array_contains(F.col("_cut_lines"), i))
+    joined = joined.withColumns({"_n_lines": F.coalesce(F.size(parts), F.lit(0)), "_n_cut": F.coalesce(F.size("_cut_lines"), F.lit(0))})
+    joined = joined.withColumn("text", F.when(F.col("_cut_lines").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
+    if "n_chars" in docs.columns:
+        joined = joined.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
+    return joined.select(*docs.columns, "_n_lines", "_n_cut")
+
+
 def dedup_lines(docs: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
     """The documents' columns with repeated lines cut from text (n_chars follows), and n_lines, n_cut of each.
 
     Of each class of equal or nearly equal lines, the one with the smallest (doc_id, line number) stays.  Lines of
     fewer than `least` characters, and blank ones, are left alone.  A document that loses every line that takes part
     keeps the rest as its text.  Null texts stay null and empty ones empty; rows with a null doc_id take no part and are
-    left alone; rows that share a doc_id count as one document and lose the same lines.  Further columns are kept.
+    left alone; rows that share a doc_id count as one document and lose the same lines.  Further columns are kept, but
+    for any of the names n_lines and n_cut.  An empty table gives no rows.
     """
-    known = docs.where("doc_id is not null").select("doc_id", "text")
-    seen, classes = repeated_lines(known, least)
-    cut = seen.join(classes, "line").where("doc_id <> first_doc or line_no <> first_no").groupBy("doc_id").agg(F.collect_set(F.col("line_no").cast("int")).alias("cut_lines"))
-    names = [c for c in docs.columns if c not in ("n_lines", "n_cut", "cut_lines")]
-    joined = docs.select(*names).join(cut, "doc_id", "left")
-    parts = F.split("text", "\n", -1)
-    kept = F.filter(parts, lambda x, i: ~F.array_contains(F.col("cut_lines"), i))
-    joined = joined.withColumns({"n_lines": F.coalesce(F.size(parts), F.lit(0)), "n_cut": F.coalesce(F.size("cut_lines"), F.lit(0))})
-    joined = joined.withColumn("text", F.when(F.col("cut_lines").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
-    if "n_chars" in names:
-        joined = joined.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
-    return joined.select(*names, "n_lines", "n_cut")
+    docs = docs.drop("n_lines", "n_cut")
+    return cut_lines(docs, least).withColumnsRenamed({"_n_lines": "n_lines", "_n_cut": "n_cut"})

@@ -182,7 +182,7 @@ def test_mixing_meets_its_targets(spark, cells):
 
 
 def test_mixing_odd_rows(spark):
-    docs = documents(spark, odd_rows()).withColumn("weight", F.lit("mine")).drop("weight").withColumn("topic", F.lit("mine"))
+    docs = documents(spark, odd_rows()).withColumns({c: F.lit("mine") for c in ("weight", "topic", "selected", "tokens", "wanted")})
     docs = docs.unionByName(docs.limit(1).withColumns({"source": F.lit(None).cast("string"), "lang": F.lit(None).cast("string")}))
     rows = mixing.mix(docs).collect()
     assert len(rows) == len(odd_rows()) + 1 and all(0 <= r["probability"] <= 1 for r in rows)
@@ -288,9 +288,9 @@ def test_line_neighbourhoods(spark):
 
 def test_lines_odd_rows(spark):
     rows = odd_rows()
-    docs = documents(spark, rows).withColumn("line", F.lit("mine")).withColumn("cut_lines", F.lit("mine"))
-    found = line_dedup.dedup_lines(docs)
-    assert found.columns == [*[c for c in docs.columns if c != "cut_lines"], "n_lines", "n_cut"]
+    docs = documents(spark, rows).withColumns({c: F.lit("mine") for c in ("line", "cut_lines", "first_doc", "class_id")})
+    found = line_dedup.dedup_lines(docs.withColumn("n_cut", F.lit("mine")))
+    assert found.columns == [*docs.columns, "n_lines", "n_cut"]
     got = defaultdict(list)
     for r in found.collect():
         got[r["doc_id"]].append((r["text"], r["n_cut"], r["n_chars"]))
