@@ -67,7 +67,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_lines", "n_cut", F.col("n_chars").alias("chars_left"), F.crc32("text").alias("text_crc32"))
+    return found.select("doc_id", "n_lines", "n_cut", F.col("n_chars").alias("chars_left"), F.md5("text").alias("text_md5"))
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,6 +96,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ngram_join": op10_ngram_join,
 }
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = f"regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+')"
+
 ORACLES: dict[str, str] = {
     "op2_url_filter": """
         WITH cut AS (
@@ -115,4 +118,41 @@ ORACLES: dict[str, str] = {
         SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.verdict, 'allow') AS verdict
         FROM parsed p LEFT JOIN fits f ON f.page_id = p.page_id AND f.n = 1
     """,
+    "op7_line_dedup": """
+        WITH RECURSIVE raw AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents),
+        l AS (SELECT doc_id, unnest(range(len(parts))) AS line_no, unnest(parts) AS line FROM raw),
+        d AS (SELECT line, length(line) AS n, min(row(doc_id, line_no)) AS first FROM l WHERE length(line) >= 40 AND regexp_matches(line, '[^\\s]') GROUP BY line),
+        own AS (SELECT line, n AS size, 0 AS side, left(line, n // 2) AS part FROM d UNION ALL SELECT line, n, 1, right(line, n - n // 2) FROM d),
+        longer AS (SELECT line, n - 1 AS size, 0 AS side, left(line, (n - 1) // 2) AS part FROM d UNION ALL SELECT line, n - 1, 1, right(line, n - 1 - (n - 1) // 2) FROM d),
+        pairs AS (SELECT DISTINCT a.line AS a, b.line AS b FROM own a JOIN (SELECT * FROM own UNION ALL SELECT * FROM longer) b USING (size, side, part) WHERE a.line <> b.line),
+        links AS (SELECT a, b FROM pairs WHERE levenshtein(a, b) <= 1 UNION SELECT b, a FROM pairs WHERE levenshtein(a, b) <= 1),
+        reach(a, b) AS (SELECT line, line FROM d UNION SELECT r.a, k.b FROM reach r JOIN links k ON k.a = r.b),
+        firsts AS (SELECT r.a AS line, min(d.first) AS first FROM reach r JOIN d ON d.line = r.b GROUP BY r.a),
+        kept AS (SELECT l.doc_id, l.line_no, l.line, f.line IS NULL OR f.first = row(l.doc_id, l.line_no) AS stays FROM l LEFT JOIN firsts f ON f.line = l.line),
+        out AS (SELECT doc_id, CAST(count(*) AS INTEGER) AS n_lines, CAST(count(*) FILTER (NOT stays) AS INTEGER) AS n_cut, coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (stays), '') AS text FROM kept GROUP BY doc_id)
+        SELECT doc_id, n_lines, n_cut, CAST(length(text) AS BIGINT) AS chars_left, md5(text) AS text_md5 FROM out
+    """,
+    "op9_topk_search": f"""
+        WITH w AS (SELECT doc_id, unnest({_WORDS}) AS term FROM documents),
+        tf AS (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY 1, 2),
+        size AS (SELECT doc_id, CAST(sum(tf) AS DOUBLE) AS size FROM tf GROUP BY 1),
+        total AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT sum(size) FROM size) / (SELECT count(*) FROM documents) AS mean),
+        idf AS (SELECT term, ln(1 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf, total GROUP BY term),
+        scored AS (
+            SELECT q.doc_id AS query_id, t.doc_id, round(sum(i.idf * t.tf * 2.2 / (t.tf + 1.2 * (0.25 + 0.75 * s.size / total.mean))), 9) AS score
+            FROM tf q JOIN tf t ON t.term = q.term JOIN idf i ON i.term = q.term JOIN size s ON s.doc_id = t.doc_id, total
+            WHERE q.doc_id % 100 = 0 GROUP BY 1, 2),
+        ranked AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0)
+        SELECT * FROM ranked WHERE rank <= 10
+    """,
+    "op10_ngram_join": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+        s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]) END AS s FROM w),
+        e AS (SELECT doc_id, unnest(s) AS shingle FROM s),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM e a JOIN e b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        half AS (SELECT p.a, p.b FROM p JOIN s x ON x.doc_id = p.a JOIN s y ON y.doc_id = p.b WHERE 100 * k >= 75 * (len(x.s) + len(y.s) - k)),
+        links AS (SELECT a, b FROM half UNION SELECT b, a FROM half),
+        reach(a, b) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.a, k.b FROM reach r JOIN links k ON k.a = r.b)
+        SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, c.component_id FROM s JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON c.a = s.doc_id
+    """,
 }
