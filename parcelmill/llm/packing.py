@@ -8,7 +8,9 @@ windows leave open.
 
 from __future__ import annotations
 
+import sys
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +58,14 @@ def plain(word: str) -> bool:
     return True
 
 
+def packed(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit ids."""
+    found = array("I", ids)
+    if sys.byteorder == "big":
+        found.byteswap()
+    return found.tobytes()
+
+
 def id_bytes(path: str, words: list[str]) -> list[bytes]:
     """Little-endian 32-bit ids of words.  Plain words, and those with one full stop or comma after them, go straight
     to the tokenizer's model; all others take its whole way."""
@@ -65,18 +75,18 @@ def id_bytes(path: str, words: list[str]) -> list[bytes]:
     def symbols(word: str) -> str:
         return word if word.isascii() else word.encode().decode("latin-1").translate(_SYMBOLS)
 
-    ends = {mark: [t.id for t in merge(mark)] for mark in (".", ",")}
+    ends = {mark: packed([t.id for t in merge(mark)]) for mark in (".", ",")}
     found: list[bytes] = [b""] * len(words)
     others = []
     for i, word in enumerate(words):
         if plain(word):
-            found[i] = np.array([t.id for t in merge(symbols(word))], "<u4").tobytes()
+            found[i] = packed([t.id for t in merge(symbols(word))])
         elif word[-1:] in ends and plain(word[:-1]):
-            found[i] = np.array([t.id for t in merge(symbols(word[:-1]))] + ends[word[-1]], "<u4").tobytes()
+            found[i] = packed([t.id for t in merge(symbols(word[:-1]))]) + ends[word[-1]]
         elif word:
             others.append(i)
     for i, x in zip(others, whole.encode_batch_fast([words[i] for i in others], add_special_tokens=False) if others else [], strict=True):
-        found[i] = np.array(x.ids, "<u4").tobytes()
+        found[i] = packed(x.ids)
     return found
 
 
@@ -117,7 +127,7 @@ def encode_docs(path: str, docs: list[str]) -> list[bytes]:
 
 def cut_pieces(docs: DataFrame, tokenizer_path: str, separator: int, window: int = WINDOW) -> DataFrame:
     """One row per piece: full windows of each document, then what is left (documents always end in the separator)."""
-    end = np.array([separator], "<u4").tobytes()
+    end = packed([separator])
     step = 4 * window
 
     def cut(batches):
