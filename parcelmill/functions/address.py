@@ -71,6 +71,8 @@ STATES = {
     "western australia": "wa",
     "northern territory": "nt",
 }
+#: Words that end a street's name.
+STREET_KINDS = ("street", "st", "place", "avenue", "ave", "crescent", "circuit", "court", "close", "drive", "road", "rd", "terrace", "view", "way", "lane", "parade", "loop", "boulevard", "highway", "walk", "rise", "gardens", "square")
 
 COMPONENTS = "array<struct<value: string, label: string>>"
 
@@ -112,9 +114,12 @@ def restore(components: Column) -> Column:
 def parse_by_rules(text: Column) -> Column:
     """The default grammar, over lower-case text.
 
-    A trailing postcode and state are taken off; the last comma-separated part is then the suburb.  Of the part before
-    it, a leading number is the house number, and the rest the road.  Earlier parts are the house.
+    A trailing postcode and state are taken off; the last comma-separated part is then the suburb, and the one before it
+    the street.  A part that stands alone is cut after its last word that names a kind of street.  Of the street, a marked
+    name or words before a number are the house, a leading unit is the unit, a leading number the house number, and the
+    rest the road.  Earlier parts are the house.
     """
+    absent = lambda c: F.nullif(c, F.lit(""))
     t = F.trim(F.lower(text))
     postcode = F.regexp_extract(t, r"(?:^|[ ,])(\d{4})$", 1)
     t = F.trim(F.regexp_replace(t, r"[ ,]*(?:^|[ ,])\d{4}$", ""))
@@ -122,14 +127,23 @@ def parse_by_rules(text: Column) -> Column:
     state = F.regexp_extract(t, rf"(?:^|[ ,])({names})$", 1)
     t = F.regexp_replace(t, rf"[ ,]*(?:^|[ ,])(?:{names})$", "")
     parts = F.filter(F.transform(F.split(t, ","), lambda p: F.trim(p)), lambda p: p != "")
-    n = F.size(parts)
-    suburb = F.when(n >= 1, F.element_at(parts, -1))
-    street = F.when(n >= 2, F.try_element_at(parts, F.lit(-2)))
-    house = F.when(n >= 3, F.array_join(F.slice(parts, F.lit(1), F.greatest(n - 2, F.lit(0))), ", "))
-    lead = r"^((?:[a-z]?\d+[a-z]?)(?:\s*[-/&]\s*\d+[a-z]?)*)\s+"
-    number = F.regexp_extract(street, lead, 1)
-    road = F.trim(F.regexp_replace(street, lead, ""))
-    found = F.array(component(house, "house"), component(F.nullif(number, F.lit("")), "house_number"), component(F.nullif(road, F.lit("")), "road"), component(suburb, "suburb"), component(F.nullif(state, F.lit("")), "state"), component(F.nullif(postcode, F.lit("")), "postcode"))
+    n, last = F.size(parts), F.try_element_at(parts, F.lit(-1))
+    alone = rf"^(.*\b(?:{'|'.join(STREET_KINDS)}))(?: (.+))?$"
+    cut = F.when(n == 1, F.regexp_extract(last, alone, 1)).otherwise("")
+    suburb = F.when(cut != "", absent(F.regexp_extract(last, alone, 2))).otherwise(last)
+    street = F.regexp_replace(F.when(n >= 2, F.try_element_at(parts, F.lit(-2))).when(cut != "", cut), r"^- ", "")
+    earlier = F.when(n >= 3, F.array_join(F.slice(parts, F.lit(1), F.greatest(n - 2, F.lit(0))), ", "))
+
+    house = r"^(__\w+?__(?= (?!street))|(?!lot |block |corner |units? )[a-z][a-z' ]*?(?= \d)) "
+    named = absent(F.regexp_extract(street, house, 1))
+    rest = F.regexp_replace(street, house, "")
+    unit = r"^(unit(?= \d+/)|unit \d+[a-z]?(?= [a-z])) "
+    number = r"^((?:units )?[a-z]?\d+[a-z]?(?:\s*[-/&]\s*\d+[a-z]?)*)\s+"
+    road = F.regexp_replace(rest, unit, "")
+    found = F.array(
+        component(F.coalesce(named, earlier), "house"), component(absent(F.regexp_extract(rest, unit, 1)), "unit"), component(absent(F.regexp_extract(road, number, 1)), "house_number"),
+        component(absent(F.trim(F.regexp_replace(road, number, ""))), "road"), component(suburb, "suburb"), component(absent(state), "state"), component(absent(postcode), "postcode"),
+    )
     return F.filter(found, lambda c: c["value"].isNotNull())
 
 

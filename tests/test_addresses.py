@@ -65,3 +65,20 @@ def test_geocode(spark):
     for strict in (False, True):
         got = {r["row_id"]: (r["latitude"], r["geocoding_is_valid"]) for r in geocode.geocode(rows, gazetteer, strict=strict).collect()}
         assert got == {0: (-35.2, True), 1: (2.0, False), 2: (None, False)}
+
+
+@pytest.mark.parametrize("text, house, number, road, suburb, valid", [
+    ("12 Kurrajong Street Hawker ACT 2614", None, "12", "kurrajong street", "hawker", True),
+    ("'The Grange'/9 Giles Street, Kingston, ACT 2604", "the grange", "9", "giles street", "kingston", True),
+    ("Units 3-5/21 Lowe Street, Queanbeyan, NSW 2620", None, "units 3-5/21", "lowe street", "queanbeyan", True),
+    ("Unit 3/21 Lowe Street, Queanbeyan, NSW 2620", None, "3/21", "lowe street", "queanbeyan", True),
+    ("Unit 30 Lowe Street, Queanbeyan, NSW 2620", None, None, "lowe street", "queanbeyan", True),
+    ("9 Kern Street 'Form', Yarralumla, ACT 2600", "form", "9", "kern street", "yarralumla", True),
+    ("- Emu View, Kingston, ACT 2604", None, None, "emu view", "kingston", True),
+    ("5 Wentworth Avenue, ACT 2604", None, "5", "wentworth avenue", None, False),
+    ("Gundaroo, NSW 2620", None, None, None, "gundaroo", True),
+    ("", None, None, None, None, False),
+])
+def test_grammar(spark, text, house, number, road, suburb, valid):
+    (r,) = parsed(spark, text)
+    assert (r["house"], r["house_number"], r["road"], r["suburb"], r["address_is_valid"]) == (house, number, road, suburb, valid)
