@@ -404,7 +404,10 @@ def join_documents(docs: DataFrame) -> DataFrame:
     joined = connected(links)
     # What the stars left unconnected under a key: its tile pairs.
     labelled = labelled.drop("component").join(joined.select(F.col("node").alias("a"), "component"), "a", "left").withColumn("component", F.coalesce("component", "a"))
+    labelled = materialise(labelled, "labelled")
     open_groups = labelled.groupBy("key").agg(F.count("*").alias("rows"), F.min("component").alias("least"), F.max("component").alias("most")).where("least < most")
+    # Written apart from the join, so that a large key's rows can be split over tasks there.
+    open_groups = materialise(open_groups.select("key", "rows"), "open-groups")
     tiled = labelled.join(open_groups.select("key", F.ceil(F.col("rows") / TILE).alias("tiles")), "key").withColumn("own", F.pmod(F.xxhash64("a"), F.col("tiles")))
     tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
     tiled = tiled.select(
