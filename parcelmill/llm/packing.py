@@ -25,6 +25,8 @@ SHARD_DOCS = 25_000
 #: Entries of a worker's cache of word ids; longer words are encoded anew.
 CACHE_ENTRIES = 600_000
 CACHE_CHARS = 48
+#: What the tokenizer's added tokens start with.
+ADDED = "<|"
 
 _tokenizers: dict[str, object] = {}
 
@@ -92,13 +94,17 @@ def id_bytes(path: str, words: list[str]) -> list[bytes]:
 
 def split_words(text: str) -> list[str]:
     """Pieces between spaces and line ends.  Latin-1 texts are lower-cased first, as the tokenizer would, letter by
-    letter, so that more pieces repeat."""
+    letter, so that more pieces repeat; but for pieces that may hold one of its added tokens, which it looks for before
+    it lower-cases."""
     try:
         text.encode("latin-1")
     except UnicodeEncodeError:
         pass
     else:
-        text = text.lower()
+        if ADDED not in text:
+            text = text.lower()
+        else:
+            return [word if ADDED in word else word.lower() for word in text.replace("\n", " ").split(" ")]
     return text.replace("\n", " ").split(" ")
 
 

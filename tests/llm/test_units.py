@@ -34,6 +34,14 @@ def test_word_ids_are_the_librarys():
         assert a == b, repr(text)
 
 
+def test_look_alikes_of_added_tokens_stay_as_they_are():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = ["a <|ENDOFTEXT|> b", "One <|EndOfText|>Two, É<|endoftext|>É\nTHREE", "A <| B |> C <|STARTOFTEXT|>"]
+    whole = [np.array(x.ids, "<u4").tobytes() for x in packing.tokenizer(path).encode_batch(texts, add_special_tokens=False)]
+    assert packing.encode_docs(path, texts) == whole
+    assert np.frombuffer(whole[0], "<u4").tolist() == [320, 27, 347, 40786, 4160, 91, 285, 321]
+
+
 def test_best_fit_takes_the_tightest_window():
     rng = random.Random(3)
     for _ in range(200):
