@@ -47,6 +47,13 @@ def test_lines_stage(spark):
         assert not any(len(x) >= 40 and x.strip() for x in want[i].split("\n"))
 
 
+def test_lines_stage_keeps_short_lines_of_their_own(spark):
+    shared = "this line of a licence stands at the top of many files"
+    rows = [(1, shared + "\nfirst of all"), (2, shared + "\nroses are red\nviolets are blue"), (3, shared + "\n\t\n" + shared + " "), (4, shared)]
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.cut_repeated_lines(spark, documents(spark, rows), "").collect()}
+    assert got == {1: rows[0][1], 2: "roses are red\nviolets are blue"}
+
+
 def test_groups_stage(spark):
     rows = near_rows(5)
     got = {r["doc_id"] for r in corpus_pipeline.keep_one_of_each_group(spark, documents(spark, rows), "").collect()}
