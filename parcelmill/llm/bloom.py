@@ -1,4 +1,4 @@
-"""A blocked Bloom filter: each key touches one 64-byte block, and partitions' filters are merged by OR."""
+"""A blocked Bloom filter: each key touches one 64-byte block, and keys are dealt to ranges of blocks."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import U64, ceil_div, mix64
+from .common import U64, ceil_div, ints, mix64
 
 #: Bits of filter for each key, and the largest filter that is broadcast (bytes).  Past that many keys the
 #: filter stays at its bound: more false positives pass, and the results stay exact.
@@ -16,6 +16,8 @@ BITS_PER_KEY = 16
 MAX_FILTER_BYTES = 64 << 20
 BLOCK_BYTES = 64
 PROBES = 8
+#: Blocks in a range: 64 KB, and 1024 ranges at most.
+PIECE_BLOCKS = 1024
 
 
 def bit_positions(hashes: np.ndarray, n_blocks: int) -> tuple[np.ndarray, np.ndarray]:
@@ -26,6 +28,13 @@ def bit_positions(hashes: np.ndarray, n_blocks: int) -> tuple[np.ndarray, np.nda
     return block.astype(np.int64), bits.astype(np.int64)
 
 
+def set_bits(data: np.ndarray, first: int, n_blocks: int, hashes: np.ndarray) -> None:
+    """Set the bits of hashes in data, the blocks of a filter from `first` on."""
+    block, bits = bit_positions(hashes, n_blocks)
+    at = (block - first)[:, None] * BLOCK_BYTES + (bits >> 3)
+    np.bitwise_or.at(data, at.ravel(), (1 << (bits & 7)).astype(np.uint8).ravel())
+
+
 class BlockedBloom:
     """A Bloom filter each of whose keys touches one 64-byte block."""
 
@@ -39,9 +48,7 @@ class BlockedBloom:
         return cls(min(wanted, MAX_FILTER_BYTES // BLOCK_BYTES))
 
     def add(self, hashes: np.ndarray) -> None:
-        block, bits = bit_positions(hashes, self.n_blocks)
-        at = block[:, None] * BLOCK_BYTES + (bits >> 3)
-        np.bitwise_or.at(self.data, at.ravel(), (1 << (bits & 7)).astype(np.uint8).ravel())
+        set_bits(self.data, 0, self.n_blocks, hashes)
 
     def might_hold(self, hashes: np.ndarray) -> np.ndarray:
         if not len(hashes):
@@ -52,29 +59,35 @@ class BlockedBloom:
 
 
 def build(keys: DataFrame, n_keys: int, hashes_of: Callable[[pa.RecordBatch], np.ndarray]) -> BlockedBloom:
-    """The filter of all keys.  Partitions fill their own and are merged range by range; the driver receives the
-    bounded result only.  hashes_of gives the 64-bit hashes of a batch."""
+    """The filter of all keys.  Hashes are dealt to ranges of blocks, so every task fills its own ranges, one at a time,
+    and the driver receives the bounded result only.  hashes_of gives the 64-bit hashes of a batch."""
     n_blocks = BlockedBloom.sized(n_keys).n_blocks
-    piece = 1024
+
+    def deal(batches):
+        for batch in batches:
+            hashes = np.unique(hashes_of(batch))
+            piece = bit_positions(hashes, n_blocks)[0] // PIECE_BLOCKS
+            yield pa.RecordBatch.from_arrays([pa.array(piece), pa.array(hashes.view(np.int64))], ["piece", "hash"])
 
     def fill(batches):
-        bloom = BlockedBloom(n_blocks)
+        at, part = None, None
         for batch in batches:
-            bloom.add(hashes_of(batch))
-        for at in range(0, n_blocks, piece):
-            part = bloom.data[at * BLOCK_BYTES : (at + piece) * BLOCK_BYTES]
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([part.tobytes()], pa.binary())], ["at", "part"])
-
-    def merge(key, parts):
-        merged = None
-        for part in parts.column("part").to_pylist():
-            bits = np.frombuffer(part, np.uint8)
-            merged = bits.copy() if merged is None else np.bitwise_or(merged, bits)
-        return pa.table({"at": pa.array([key[0].as_py()], pa.int64()), "part": pa.array([merged.tobytes()], pa.binary())})
+            pieces, hashes = ints(batch, "piece"), ints(batch, "hash").view(U64)
+            ends = [*(np.flatnonzero(np.diff(pieces)) + 1).tolist(), len(pieces)]
+            for lo, hi in zip([0, *ends[:-1]], ends, strict=True):
+                if hi > lo and pieces[lo] != at:
+                    if part is not None:
+                        yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([part.tobytes()], pa.binary())], ["piece", "part"])
+                    at, part = int(pieces[lo]), np.zeros(PIECE_BLOCKS * BLOCK_BYTES, np.uint8)
+                if hi > lo:
+                    set_bits(part, at * PIECE_BLOCKS, n_blocks, hashes[lo:hi])
+        if part is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([part.tobytes()], pa.binary())], ["piece", "part"])
 
     bloom = BlockedBloom(n_blocks)
-    for row in keys.mapInArrow(fill, "at long, part binary").groupBy("at").applyInArrow(merge, "at long, part binary").toLocalIterator():
-        bits = np.frombuffer(row["part"], np.uint8)
-        bloom.data[row["at"] * BLOCK_BYTES : row["at"] * BLOCK_BYTES + len(bits)] = bits
+    rows = keys.mapInArrow(deal, "piece long, hash long").repartition("piece").sortWithinPartitions("piece")
+    for row in rows.mapInArrow(fill, "piece long, part binary").collect():
+        at = row["piece"] * PIECE_BLOCKS * BLOCK_BYTES
+        bits = np.frombuffer(row["part"], np.uint8)[: len(bloom.data) - at]
+        bloom.data[at : at + len(bits)] = bits
     return bloom

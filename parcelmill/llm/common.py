@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -11,13 +12,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 U64 = np.uint64
-#: Rows in one Arrow batch: texts can be long, so batches are kept short.
-BATCH_ROWS = 250
+#: Bytes in one Arrow batch: texts can be long, and a Python worker holds a few batches' worth of objects.
+BATCH_BYTES = 2 << 20
 
 
 def prepare(spark: SparkSession) -> None:
-    """Session settings the operators rely on: short Arrow batches bound a Python worker's memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """The session setting that the operators rely on: Arrow batches of bounded bytes.  Row counts stay as they are."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,9 +26,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir, or our own temporary folder where it is unset (tests)."""
+    """The folder every executor sees: spark.checkpoint.dir.
+
+    Where it is unset, a session whose executors all run on this machine (local mode, as in tests) gets a temporary
+    folder; on a cluster that is an error, as each executor would write to a disk of its own.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="parcelmill-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -36,15 +43,34 @@ def shared_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write df as Parquet under the shared folder, and read it back.
 
-    The files are dropped when the JVM ends; until then a lost executor costs a re-read, never a recomputation.
+    The files go when release() is given the table, and at the latest when the JVM ends; until then a lost executor
+    costs a re-read, never a recomputation.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    target, files = _files(spark, path)
+    files.deleteOnExit(target)
+    found = spark.read.schema(df.schema).parquet(path)
+    _written[id(found)] = (weakref.ref(found), path)
+    return found
+
+
+def release(*tables: DataFrame) -> None:
+    """Drop the files of materialised tables whose readers have all been written."""
+    for table in tables:
+        held, path = _written.pop(id(table), (None, None))
+        if held is not None and held() is table:
+            target, files = _files(table.sparkSession, path)
+            files.delete(target, True)
+
+
+_written: dict[int, tuple[weakref.ref, str]] = {}
+
+
+def _files(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 _held: list[tuple[tuple, dict]] = []

@@ -7,7 +7,10 @@
 3. Under a key, nodes are compared in size-banded tiles by hashed bitmaps: bits of one that the other lacks bound the
    overlap from above.  What the bound leaves is checked by exact intersection of the sorted arrays.
 4. Nodes under a key that are already connected are not compared: star links to the hub of each key and size band are
-   checked first, and only nodes of different components go to the tiles.  Large groups are split into tile pairs.
+   checked first; then nodes outside a key's largest component are compared with the key's nodes of other components
+   in tiles of bounded size.
+5. Rows of keys that stand out in the sketch are never brought together by key: they are counted, joined with their
+   key's hub and dealt to tiles, all of which split over tasks.
 """
 
 from __future__ import annotations
@@ -15,14 +18,17 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import U64, column, ints, materialise, mix64, prepare, signed, worker_cache
+from .common import U64, column, ints, materialise, mix64, prepare, release, signed, worker_cache
 from .components import connected
 
 WORDS = 5
+#: Sets that a task remembers having posted.
+SEEN_SETS = 1 << 18
 #: The threshold as a fraction: links need DEN * intersection >= NUM * union.
 NUM, DEN = 75, 100
 #: Groups under a key of up to this many nodes give their pairs at once.
@@ -32,6 +38,12 @@ TILE = 4096
 #: Counters of the shingle frequency sketch, and those in one of its rows.
 COUNTERS = 1 << 18
 COUNTER_ROW = 4096
+#: Partitions' sketches added up by one task, and times that this is done (enough for MERGED ** MERGES partitions).
+MERGED = 512
+MERGES = 2
+#: Counters that stand out and hold more than this mark heavy keys, whose rows are never brought together in one task.
+HEAVY = 4096
+HEAVY_MARK = 128
 #: Bits of the narrowest bitmap.
 LEAST_WIDTH = 2048
 
@@ -100,50 +112,67 @@ def scan(docs: DataFrame) -> DataFrame:
             rows = COUNTERS // COUNTER_ROW
             parts = [sketch[i * COUNTER_ROW : (i + 1) * COUNTER_ROW].astype(np.int64).tobytes() for i in range(rows)]
             none = pa.nulls(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(rows, pa.binary()), pa.array(range(rows), pa.int32()), pa.array(parts, pa.binary())], names)
+            # n_shingles of a sketch row is the partition that it comes from.
+            origin = pa.array(np.full(rows, TaskContext.get().partitionId(), np.int64))
+            yield pa.RecordBatch.from_arrays([none, origin, none, pa.nulls(rows, pa.binary()), pa.array(range(rows), pa.int32()), pa.array(parts, pa.binary())], names)
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_id long, bits binary, chunk int, counts binary")
 
 
 def common_classes(scanned: DataFrame) -> np.ndarray:
-    """Class of each sketch counter: 0, or more the further it stands out.  Common shingles are put last by it."""
+    """Class of each sketch counter: 0, or more the further it stands out.  Common shingles are put last by it.
+
+    Partitions' sketches are merged MERGED at a time, so no task adds up those of a whole large table.
+    """
 
     def add(key, part):
         total = sum(np.frombuffer(b, np.int64) for b in part.column("counts").to_pylist())
-        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "origin": pa.array([key[1].as_py()], pa.int64()), "counts": pa.array([total.tobytes()], pa.binary())})
 
+    rows = scanned.where("chunk is not null").select("chunk", F.col("n_shingles").alias("origin"), "counts")
+    for _ in range(MERGES):
+        rows = rows.withColumn("origin", F.floor(F.col("origin") / MERGED)).groupBy("chunk", "origin").applyInArrow(add, "chunk int, origin long, counts binary")
     total = np.zeros(COUNTERS, np.int64)
-    for row in scanned.where("chunk is not null").select("chunk", "counts").groupBy("chunk").applyInArrow(add, "chunk int, counts binary").collect():
-        total[row["chunk"] * COUNTER_ROW : (row["chunk"] + 1) * COUNTER_ROW] = np.frombuffer(row["counts"], np.int64)
+    for row in rows.collect():
+        total[row["chunk"] * COUNTER_ROW : (row["chunk"] + 1) * COUNTER_ROW] += np.frombuffer(row["counts"], np.int64)
     usual = 2 * np.median(total) + 16
-    return np.where(total > usual, 1 + np.log2(np.maximum(total / usual, 1)), 0).astype(np.uint8)
+    classes = np.where(total > usual, 1 + np.log2(np.maximum(total / usual, 1)), 0).astype(np.uint8)
+    return np.where(total > max(usual, HEAVY), classes | HEAVY_MARK, classes)
 
 
 def posted(docs: DataFrame, classes) -> DataFrame:
-    """key, set_id and meta (2 * size + whether the key is also posted towards larger sets) of every set's first shingles."""
+    """key, set_id, meta and route of every set's first shingles.
+
+    meta is 4 * size + 2 * (the key is heavy) + (the key is also posted towards larger sets).  Rows are dealt by route:
+    the key, or for a heavy key the key with the set.
+    """
 
     def run(batches):
         held = classes.value
+        seen: set[int] = set()
         for batch in batches:
             keys, names, metas = [], [], []
-            seen = set()
             for text in column(batch, "text"):
                 found = shingles(text)
                 n = len(found)
                 if not n or (name := set_id(found)) in seen:
                     continue
+                if len(seen) >= SEEN_SETS:
+                    seen.clear()
                 seen.add(name)
-                order = np.lexsort((found, held[(found & U64(COUNTERS - 1)).astype(np.int64)])) if n > 1 else np.zeros(1, np.int64)
-                first = found[order[: probe_size(n)]]
-                meta = np.full(len(first), 2 * n, np.int64)
+                of = held[(found & U64(COUNTERS - 1)).astype(np.int64)]
+                order = np.lexsort((found, of))[: probe_size(n)] if n > 1 else np.zeros(1, np.int64)
+                meta = 4 * n + 2 * (of[order] >= HEAVY_MARK).astype(np.int64)
                 meta[: index_size(n)] += 1
-                keys.append(first)
-                names.append(np.full(len(first), name, np.int64))
+                keys.append(found[order])
+                names.append(np.full(len(order), name, np.int64))
                 metas.append(meta)
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(keys))), pa.array(np.concatenate(names)), pa.array(np.concatenate(metas))], ["key", "set_id", "meta"])
+                key, name, meta = np.concatenate(keys), np.concatenate(names), np.concatenate(metas)
+                route = np.where(meta & 2, mix64(key ^ mix64(name.view(U64))), key)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(name), pa.array(meta), pa.array(signed(route))], ["key", "set_id", "meta", "route"])
 
-    return docs.select("text").mapInArrow(run, "key long, set_id long, meta long")
+    return docs.select("text").mapInArrow(run, "key long, set_id long, meta long, route long")
 
 
 def may_link(small: np.ndarray, large: np.ndarray) -> np.ndarray:
@@ -157,23 +186,32 @@ def runs_of(keys: np.ndarray) -> np.ndarray:
 
 
 def whole_runs(batches, names: list[str]):
-    """Batches of sorted rows regrouped so that no run of equal keys is cut."""
-    held: list[np.ndarray] | None = None
+    """Batches of sorted rows regrouped so that no run of equal keys is cut.  Callers bound the runs."""
+    held: list[list[np.ndarray]] = []
+    size = 0
     for batch in batches:
         if not batch.num_rows:
             continue
         new = [ints(batch, n) if not pa.types.is_binary(batch.schema.field(n).type) else np.array(column(batch, n), object) for n in names]
-        held = [np.concatenate([h, x]) for h, x in zip(held, new, strict=True)] if held is not None else new
-        last = int(np.searchsorted(held[0], held[0][-1], "left"))
-        if last and last >= 20_000:
-            yield [h[:last] for h in held]
-            held = [h[last:] for h in held]
-    if held is not None and len(held[0]):
-        yield held
+        held.append(new)
+        size += len(new[0])
+        last = int(np.searchsorted(new[0], new[0][-1], "left"))
+        # Rows up to the last run are whole once it begins inside this batch.
+        if last and size >= 20_000:
+            whole = [np.concatenate(parts) for parts in zip(*held[:-1], [x[:last] for x in new], strict=True)]
+            yield whole
+            held = [[x[last:] for x in new]]
+            size = len(held[0][0])
+    if held:
+        yield [np.concatenate(parts) for parts in zip(*held, strict=True)]
 
 
 def candidate_rows(posts: DataFrame) -> DataFrame:
-    """Pairs (a, b) that share a key of a small group; and the rows (key, a, meta) of large groups."""
+    """Pairs (a, b) that share a key of a small group; and the rows (key, a, meta) of large groups and heavy keys.
+
+    Heavy keys' rows come in anywhere and pass on as they are; a run of another key has HEAVY rows, or as many as an
+    unremarkable key has.
+    """
 
     def run(batches):
         for keys, names, metas in whole_runs(batches, ["key", "set_id", "meta"]):
@@ -183,38 +221,44 @@ def candidate_rows(posts: DataFrame) -> DataFrame:
             bounds = runs_of(keys)
             sizes = np.diff(bounds)
             run_of = np.repeat(np.arange(len(sizes)), sizes)
-            n, indexed = metas >> 1, (metas & 1).astype(bool)
+            n, indexed, heavy = metas >> 2, (metas & 1).astype(bool), (metas & 2).astype(bool)
+            large = heavy | (sizes[run_of] > SMALL_GROUP)
             left, right = [], []
             # Pairs at distance 1 .. SMALL_GROUP - 1 inside small runs.
             for gap in range(1, SMALL_GROUP):
-                i = np.flatnonzero((run_of[gap:] == run_of[:-gap]) & (sizes[run_of[gap:]] <= SMALL_GROUP)) if len(keys) > gap else np.zeros(0, np.int64)
+                i = np.flatnonzero((run_of[gap:] == run_of[:-gap]) & ~large[gap:]) if len(keys) > gap else np.zeros(0, np.int64)
                 j = i + gap
                 first_small = n[i] <= n[j]
-                small, large = np.where(first_small, i, j), np.where(first_small, j, i)
+                small, big = np.where(first_small, i, j), np.where(first_small, j, i)
                 equal = n[i] == n[j]
-                ok = may_link(n[small], n[large]) & (indexed[small] | (equal & indexed[large]))
+                ok = may_link(n[small], n[big]) & (indexed[small] | (equal & indexed[big]))
                 left.append(names[i[ok]])
                 right.append(names[j[ok]])
-            big = np.flatnonzero(sizes[run_of] > SMALL_GROUP)
             left, right = np.concatenate(left), np.concatenate(right)
             pairs = np.unique(np.stack([np.minimum(left, right), np.maximum(left, right)], 1), axis=0) if len(left) else np.zeros((0, 2), np.int64)
             none = pa.nulls(len(pairs), pa.int64())
             yield pa.RecordBatch.from_arrays([none, pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), none], ["key", "a", "b", "meta"])
+            big = np.flatnonzero(large)
             if len(big):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[big]), pa.array(names[big]), pa.nulls(len(big), pa.int64()), pa.array(metas[big])], ["key", "a", "b", "meta"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[big]), pa.array(names[big]), pa.nulls(len(big), pa.int64()), pa.array(metas[big] & ~2)], ["key", "a", "b", "meta"])
+
+    return posts.repartition("route").sortWithinPartitions("key", "set_id").mapInArrow(run, "key long, a long, b long, meta long")
 
-    return posts.repartition("key").sortWithinPartitions("key", "set_id").mapInArrow(run, "key long, a long, b long, meta long")
+
+def banded(groups: DataFrame) -> DataFrame:
+    """Add the size band: sets over the threshold are in the same band or in neighbouring ones."""
+    return groups.withColumn("band", F.floor(F.log("n") / float(np.log(DEN / NUM))))
 
 
 def star_pairs(groups: DataFrame) -> DataFrame:
-    """One pair (a, b) at most for each node of the groups (key, a, component, degree, n): with a hub of another component.
+    """One pair (a, b) at most for each node of the groups (key, a, degree, n, band): with the hub of a key.
 
     The hub of a key and size band is its node with most rows in large groups.  Copies edited apart share less with
     each other than with what they were made from, which has no rare shingles of its own and so has most such rows.
     """
-    banded = groups.withColumn("band", F.floor(F.log("n") / float(np.log(DEN / NUM))))
-    hubs = banded.groupBy("key", "band").agg(F.max(F.struct("degree", "a", "component")).alias("hub"))
-    met = banded.join(hubs, ["key", "band"]).where("component <> hub.component")
+    # Written apart from the join, so that a large key's rows can be split over tasks there.
+    hubs = materialise(groups.groupBy("key", "band").agg(F.max(F.struct("degree", "a")).alias("hub")), "hubs")
+    met = groups.join(hubs, ["key", "band"]).where("a <> hub.a")
     best = met.groupBy("a").agg(F.max("hub").alias("hub")).select("a", F.col("hub.a").alias("b"))
     return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -250,7 +294,8 @@ def enough(overlap: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
 def set_table(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """set_id and items (sorted hashes) of the named nodes (set_id, doc_id of one text that has the set).
 
-    A bounded Bloom filter of the doc ids spares other texts the hashing; the join on doc_id makes it exact.
+    A bounded Bloom filter of the doc ids spares other texts the hashing; the join on set_id makes it exact, also where
+    documents of several texts share an id.
     """
     spark = docs.sparkSession
     id_hashes = lambda batch: mix64(ints(batch, "doc_id").astype(np.int64).view(U64))
@@ -263,14 +308,15 @@ def set_table(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         for batch in batches:
             batch = batch.filter(batch.column(0).is_valid())
             passed = np.flatnonzero(mine.might_hold(id_hashes(batch))) if batch.num_rows else ()
-            ids, bodies = column(batch, "doc_id"), batch.column(1)
+            bodies = batch.column(1)
             rows: list[list] = [[], []]
             for i in passed:
-                rows[0].append(ids[i])
-                rows[1].append(shingles(bodies[int(i)].as_py()).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.binary())], ["doc_id", "items"])
+                found = shingles(bodies[int(i)].as_py())
+                rows[0].append(set_id(found))
+                rows[1].append(found.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.binary())], ["set_id", "items"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, items binary").dropDuplicates(["doc_id"]).join(nodes, "doc_id").select("set_id", "items")
+    return docs.select("doc_id", "text").mapInArrow(run, "set_id long, items binary").join(nodes.select("set_id"), "set_id", "left_semi").dropDuplicates(["set_id"])
 
 
 def words_of(maps: list[bytes]) -> np.ndarray:
@@ -320,10 +366,37 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     return full.mapInArrow(exact, "a long, b long")
 
 
+def tile_plan(groups: DataFrame) -> DataFrame:
+    """key, left and right band, and the chunks of either side, of the tiles that open groups need.
+
+    groups: key, band, component of each node.  A key's nodes that lie outside its largest component (the left sides)
+    are compared with all of the key's nodes in the same or a neighbouring band; those inside it need no comparison.
+    """
+    counts = materialise(groups.groupBy("key", "component", "band").agg(F.count("*").alias("rows")), "tile-counts")
+    whole = counts.groupBy("key", "component").agg(F.sum("rows").alias("rows")).groupBy("key").agg(F.max_by("component", F.struct("rows", "component")).alias("main"), F.count("*").alias("parts"))
+    counts = counts.join(whole.where("parts > 1"), "key")
+    sizes = materialise(counts.groupBy("key", "band", "main").agg(F.sum("rows").alias("rows"), F.sum(F.when(F.col("component") != F.col("main"), F.col("rows")).otherwise(0)).alias("others")), "tile-sizes")
+    left = sizes.where("others > 0").select("key", "main", F.col("band").alias("left_band"), F.ceil(F.col("others") / TILE).alias("left_chunks"), F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("right_band"))
+    right = sizes.select("key", F.col("band").alias("right_band"), F.ceil(F.col("rows") / TILE).alias("right_chunks"))
+    return left.join(right, ["key", "right_band"])
+
+
+def tiled(groups: DataFrame, plan: DataFrame) -> DataFrame:
+    """tile, side (0: left, 1: right), a, component and meta: every node in the tiles that it belongs to."""
+    chunk = lambda many: F.pmod(F.xxhash64("a"), F.col(many))
+    every = lambda many: F.explode(F.sequence(F.lit(0).cast("long"), F.col(many) - 1))
+    name = F.xxhash64("key", "left_band", "right_band", "left", "right").alias("tile")
+    lefts = groups.withColumnRenamed("band", "left_band").join(plan, ["key", "left_band"]).where("component <> main")
+    lefts = lefts.withColumn("left", chunk("left_chunks")).withColumn("right", every("right_chunks")).select(name, F.lit(0).cast("long").alias("side"), "a", "component", "meta")
+    rights = groups.withColumnRenamed("band", "right_band").join(plan, ["key", "right_band"])
+    rights = rights.withColumn("right", chunk("right_chunks")).withColumn("left", every("left_chunks")).select(name, F.lit(1).cast("long").alias("side"), "a", "component", "meta")
+    return lefts.unionByName(rights)
+
+
 def tile_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs of different components under one key tile pair that the bitmaps' bound passes.
+    """Pairs of different components in a tile that the bitmaps' bound passes.
 
-    rows: tile (a struct's hash with the key), side (0: first tile, 1: second, 2: within one), a, component, meta, bits.
+    rows: tile, side, a, component, meta, bits.  A tile holds about TILE nodes a side.
     """
 
     def run(batches):
@@ -337,33 +410,29 @@ def tile_pairs(rows: DataFrame) -> DataFrame:
 
 
 def within(names, parts, metas, sides, maps) -> np.ndarray:
-    """Pairs of one tile pair, in size-banded tiles of equal bitmap width."""
+    """Pairs (smaller name first) of a tile's left and right nodes, by equal bitmap widths and in order of size."""
     found = [np.zeros((0, 2), np.int64)]
-    if (parts == parts[0]).all():
-        return found[0]
-    n, indexed = metas >> 1, (metas & 1).astype(bool)
-    order = np.argsort(n, kind="stable")
-    names, parts, n, indexed, sides, maps = names[order], parts[order], n[order], indexed[order], sides[order], maps[order]
+    n, indexed = metas >> 2, (metas & 1).astype(bool)
     widths = np.fromiter((len(m) // 8 for m in maps), np.int64, len(maps))
-    bands = {int(w): np.flatnonzero(widths == w) for w in np.unique(widths)}
-    tables = {w: words_of(list(maps[at])) for w, at in bands.items()}
-    for w, at in bands.items():
-        for other in (w, 2 * w):
-            if other not in bands:
+    ends = {}
+    for side in (0, 1):
+        at = np.flatnonzero(sides == side)
+        at = at[np.argsort(n[at], kind="stable")]
+        ends[side] = {int(w): at[widths[at] == w] for w in np.unique(widths[at])}
+    for w, left in ends[0].items():
+        for v, right in ends[1].items():
+            if v not in (w // 2, w, 2 * w):
                 continue
-            to = bands[other]
-            folded = fold(tables[other], w)
-            for k, i in enumerate(at.tolist()):
-                # Partners at least as large, within the threshold's size bound, in another component.
-                lo = k + 1 if other == w else 0
-                hi = int(np.searchsorted(n[to], DEN * n[i] // NUM, "right"))
-                if hi <= lo:
-                    continue
-                j = to[lo:hi]
-                ok = (parts[j] != parts[i]) & ((sides[j] != sides[i]) | (sides[j] == 2)) & (indexed[i] | ((n[j] == n[i]) & indexed[j]))
-                rows = np.flatnonzero(ok)
+            low = min(v, w)
+            mine, theirs = fold(words_of(list(maps[left])), low), fold(words_of(list(maps[right])), low)
+            for k, i in enumerate(left.tolist()):
+                lo = int(np.searchsorted(n[right], -(-NUM * n[i] // DEN), "left"))
+                hi = int(np.searchsorted(n[right], DEN * n[i] // NUM, "right"))
+                j = right[lo:hi]
+                first = (n[i] < n[j]) | ((n[i] == n[j]) & indexed[i])
+                rows = np.flatnonzero((parts[j] != parts[i]) & np.where(first, indexed[i], indexed[j]))
                 if len(rows):
-                    most = overlap_bound(tables[w][k][None], folded[lo:hi][rows], n[i], n[j[rows]])
+                    most = overlap_bound(mine[k][None], theirs[lo:hi][rows], n[i], n[j[rows]])
                     good = j[rows][enough(most, n[i], n[j[rows]])]
                     if len(good):
                         x, y = np.full(len(good), names[i]), names[good]
@@ -371,59 +440,62 @@ def within(names, parts, metas, sides, maps) -> np.ndarray:
     return np.unique(np.concatenate(found), axis=0)
 
 
+def shared_ids(known: DataFrame) -> DataFrame:
+    """Links (a, b) between the sets of documents that share a doc_id: such documents are one node of the join."""
+    ids = known.groupBy("doc_id").agg(F.min("set_id").alias("a"), F.max("set_id").alias("b")).where("a < b")
+    ids = materialise(ids.select("doc_id", "a"), "shared-ids")
+    return known.select("doc_id", F.col("set_id").alias("b")).join(ids, "doc_id").where("a <> b").select("a", "b").distinct()
+
+
 def join_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every document.
 
     Two documents link when 100 * intersection >= 75 * union of their shingle sets; component_id is the smallest
     doc_id reachable by links, the document's own included.  A null text, or one without words, has an empty set and
     links with nothing.  Equal sets are one node.  Rows with a null doc_id are kept, and link with nothing; repeated
-    rows are kept each.  An empty table gives no rows.
+    rows are kept each; rows that share a doc_id have their own sets, and a path through one of them goes on from the
+    others (a row with an empty set stays apart).  An empty table gives no rows.
     """
     spark = docs.sparkSession
     prepare(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     scanned = materialise(scan(docs), "scan")
     documents = scanned.where("chunk is null").select("doc_id", "n_shingles", "set_id", "bits")
-    known = documents.where("doc_id is not null")
+    known = documents.where("doc_id is not null and n_shingles > 0")
     classes = spark.sparkContext.broadcast(common_classes(scanned))
 
     rows = materialise(candidate_rows(posted(docs.where("doc_id is not null"), classes)), "keys")
     tried = materialise(rows.where("key is null").select("a", "b").distinct(), "pairs")
-    groups = rows.where("key is not null").select("key", "a", "meta", F.shiftright("meta", 1).alias("n"))
+    groups = banded(rows.where("key is not null").select("key", "a", "meta").distinct().withColumn("n", F.shiftright("meta", 2)))
     degrees = groups.groupBy("a").agg(F.count("*").alias("degree"))
 
-    nodes = known.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
+    nodes = known.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
     named = tried.select(F.col("a").alias("set_id")).union(tried.select("b")).union(degrees.select("a")).distinct()
-    mapped = known.select("doc_id", F.col("n_shingles").alias("n"), "bits").dropDuplicates(["doc_id"])
-    near_nodes = materialise(nodes.join(named, "set_id").join(mapped, "doc_id").select("set_id", "doc_id", "n", "bits"), "nodes")
+    mapped = known.select("set_id", F.col("n_shingles").alias("n"), "bits").join(named, "set_id", "left_semi").dropDuplicates(["set_id"])
+    near_nodes = materialise(nodes.join(mapped, "set_id").select("set_id", "doc_id", "n", "bits"), "nodes")
 
     # Small groups' pairs and the stars.
-    labelled = materialise(groups.join(degrees, "a").withColumn("component", F.col("a")), "groups")
-    new = materialise(star_pairs(labelled).join(tried, ["a", "b"], "left_anti").unionByName(tried), "stars")
-    links, tried = materialise(verified(new, near_nodes, docs), "links"), new
+    groups = materialise(groups.join(materialise(degrees, "degrees"), "a"), "groups")
+    new = materialise(star_pairs(groups).join(tried, ["a", "b"], "left_anti").unionByName(tried), "stars")
+    release(tried)
+    links, tried = materialise(verified(new, near_nodes, docs).unionByName(shared_ids(known)), "links"), new
     joined = connected(links)
-    # What the stars left unconnected under a key: its tile pairs.
-    labelled = labelled.drop("component").join(joined.select(F.col("node").alias("a"), "component"), "a", "left").withColumn("component", F.coalesce("component", "a"))
+    # What these left unconnected under a key: tiles of those outside its largest component.
+    labelled = groups.drop("degree").join(joined.select(F.col("node").alias("a"), "component"), "a", "left").withColumn("component", F.coalesce("component", "a"))
     labelled = materialise(labelled, "labelled")
-    open_groups = labelled.groupBy("key").agg(F.count("*").alias("rows"), F.min("component").alias("least"), F.max("component").alias("most")).where("least < most")
-    # Written apart from the join, so that a large key's rows can be split over tasks there.
-    open_groups = materialise(open_groups.select("key", "rows"), "open-groups")
-    tiled = labelled.join(open_groups.select("key", F.ceil(F.col("rows") / TILE).alias("tiles")), "key").withColumn("own", F.pmod(F.xxhash64("a"), F.col("tiles")))
-    tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
-    tiled = tiled.select(
-        F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("tile"),
-        F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).cast("long").alias("side"), "a", "component", "meta",
-    )
-    tiled = tiled.join(near_nodes.select(F.col("set_id").alias("a"), "bits"), "a")
-    more = materialise(tile_pairs(tiled).distinct().join(tried, ["a", "b"], "left_anti"), "tile-pairs")
+    release(groups)
+    plan = materialise(tile_plan(labelled), "tile-plan")
+    rows = tiled(labelled, plan).join(near_nodes.select(F.col("set_id").alias("a"), "bits"), "a")
+    more = materialise(tile_pairs(rows).distinct().join(tried, ["a", "b"], "left_anti"), "tile-pairs")
+    release(labelled, plan)
     if not more.isEmpty():
         links = materialise(links.unionByName(verified(more, near_nodes, docs)), "links-all")
         joined = connected(links)
 
-    placed = nodes.join(joined.select(F.col("node").alias("set_id"), "component"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-    placed = materialise(placed.select("set_id", "doc_id", "component"), "placed")
-    least = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    placed = placed.join(least, "component").select("set_id", "component_id")
+    placed = materialise(nodes.join(joined.select(F.col("node").alias("set_id"), "component"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id")), "placed")
+    least = materialise(placed.groupBy("component").agg(F.min("doc_id").alias("component_id")), "least")
+    placed = materialise(placed.join(least, "component").select("set_id", "component_id"), "components")
+    release(near_nodes, links, tried, more, least)
     keyed = documents.withColumn("join_id", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("set_id")))
     return keyed.join(placed.withColumnRenamed("set_id", "join_id"), "join_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")

@@ -375,6 +375,31 @@ def test_groups_equal_brute_force(spark, seed, small, tile, monkeypatch):
     assert got == brute_groups(rows)
 
 
+def test_documents_that_share_an_id_are_one_node(spark):
+    rng = random.Random(21)
+    x, y = sentence(rng, 60), sentence(rng, 60)
+    rows = [(5, x), (5, y), (7, x + " tail"), (8, y + " tail"), (9, sentence(rng, 40)), (6, None), (6, "one two")]
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.join_documents(documents(spark, rows)).collect())
+    assert [(i, c) for i, _, c in got] == [(5, 5), (5, 5), (6, 6), (6, 6), (7, 5), (8, 5), (9, 9)]
+
+
+@pytest.mark.parametrize("heavy", [4096, 8])
+def test_groups_under_a_hot_key(spark, heavy, monkeypatch):
+    """Half of the rows share most words but not enough of them; the rest are copies of one text."""
+    monkeypatch.setattr(ngram_join, "HEAVY", heavy)
+    monkeypatch.setattr(ngram_join, "TILE", 16)
+    rng = random.Random(22)
+    passage = sentence(rng, 40)
+    rows = [(i, f"{passage} {sentence(rng, 25)}") for i in range(60)]
+    base = sentence(rng, 50).split(" ")
+    for i in range(60, 120):
+        words = list(base)
+        words[rng.randrange(50)] = rng.choice(WORDS) + "x"
+        rows.append((i, " ".join(words)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join_documents(documents(spark, rows)).collect()}
+    assert got == brute_groups(rows)
+
+
 def test_groups_odd_rows(spark):
     rows = odd_rows()
     found = ngram_join.join_documents(documents(spark, rows).withColumn("set_id", F.lit("mine"))).collect()
