@@ -33,8 +33,8 @@ SEEN_SETS = 1 << 18
 NUM, DEN = 75, 100
 #: Groups under a key of up to this many nodes give their pairs at once.
 SMALL_GROUP = 6
-#: Nodes of one key in a tile.
-TILE = 4096
+#: Nodes of one key on a side of a tile.
+TILE = 1024
 #: Counters of the shingle frequency sketch, and those in one of its rows.
 COUNTERS = 1 << 18
 COUNTER_ROW = 4096
@@ -250,6 +250,17 @@ def banded(groups: DataFrame) -> DataFrame:
     return groups.withColumn("band", F.floor(F.log("n") / float(np.log(DEN / NUM))))
 
 
+def told_apart(groups: DataFrame) -> DataFrame:
+    """The groups (key, a, meta) without keys that hold the same nodes as another key, or one node only.
+
+    A passage that documents share gives them many common keys; one of them finds the same pairs.  Keys are equal where
+    their counts and two 64-bit sums of their rows' hashes are.
+    """
+    marks = groups.groupBy("key").agg(F.count("*").alias("rows"), F.bit_xor(F.xxhash64("a", "meta")).alias("x"), F.bit_xor(F.xxhash64("meta", "a")).alias("y"))
+    kept = materialise(marks.where("rows > 1").groupBy("rows", "x", "y").agg(F.min("key").alias("key")).select("key"), "kept-keys")
+    return groups.join(kept, "key", "left_semi")
+
+
 def star_pairs(groups: DataFrame) -> DataFrame:
     """One pair (a, b) at most for each node of the groups (key, a, degree, n, band): with the hub of a key.
 
@@ -367,30 +378,35 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def tile_plan(groups: DataFrame) -> DataFrame:
-    """key, left and right band, and the chunks of either side, of the tiles that open groups need.
+    """key, main (its largest component), and, for each of its size bands, the nodes and those of other components.
 
-    groups: key, band, component of each node.  A key's nodes that lie outside its largest component (the left sides)
-    are compared with all of the key's nodes in the same or a neighbouring band; those inside it need no comparison.
+    groups: key, band, component of each node.  A key's nodes that lie outside its largest component are compared with
+    all of the key's nodes in the same or a neighbouring band; those inside it need no comparison.
     """
     counts = materialise(groups.groupBy("key", "component", "band").agg(F.count("*").alias("rows")), "tile-counts")
-    whole = counts.groupBy("key", "component").agg(F.sum("rows").alias("rows")).groupBy("key").agg(F.max_by("component", F.struct("rows", "component")).alias("main"), F.count("*").alias("parts"))
-    counts = counts.join(whole.where("parts > 1"), "key")
-    sizes = materialise(counts.groupBy("key", "band", "main").agg(F.sum("rows").alias("rows"), F.sum(F.when(F.col("component") != F.col("main"), F.col("rows")).otherwise(0)).alias("others")), "tile-sizes")
-    left = sizes.where("others > 0").select("key", "main", F.col("band").alias("left_band"), F.ceil(F.col("others") / TILE).alias("left_chunks"), F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("right_band"))
-    right = sizes.select("key", F.col("band").alias("right_band"), F.ceil(F.col("rows") / TILE).alias("right_chunks"))
-    return left.join(right, ["key", "right_band"])
+    whole = counts.groupBy("key", "component").agg(F.sum("rows").alias("rows")).groupBy("key").agg(F.max_by("component", F.struct("rows", "component")).alias("main"), F.sum("rows").alias("total"), F.count("*").alias("parts"))
+    counts = counts.join(whole.where("parts > 1").drop("parts"), "key")
+    return counts.groupBy("key", "band", "main", "total").agg(F.sum("rows").alias("rows"), F.sum(F.when(F.col("component") != F.col("main"), F.col("rows")).otherwise(0)).alias("others"))
 
 
 def tiled(groups: DataFrame, plan: DataFrame) -> DataFrame:
-    """tile, side (0: left, 1: right), a, component and meta: every node in the tiles that it belongs to."""
+    """tile, side (0: left, 1: right, 2: both), a, component and meta: every node in the tiles that it belongs to."""
     chunk = lambda many: F.pmod(F.xxhash64("a"), F.col(many))
     every = lambda many: F.explode(F.sequence(F.lit(0).cast("long"), F.col(many) - 1))
+    side = lambda n: F.lit(n).cast("long").alias("side")
+    # A key that fits one tile is one.
+    small = materialise(plan.where(F.col("total") <= TILE).select("key").distinct(), "small-keys")
+    whole = groups.join(small, "key").select(F.xxhash64("key").alias("tile"), side(2), "a", "component", "meta")
+
+    large = plan.where(F.col("total") > TILE)
+    left = large.where("others > 0").select("key", "main", F.col("band").alias("left_band"), F.ceil(F.col("others") / TILE).alias("left_chunks"), F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("right_band"))
+    tiles = materialise(left.join(large.select("key", F.col("band").alias("right_band"), F.ceil(F.col("rows") / TILE).alias("right_chunks")), ["key", "right_band"]), "large-tiles")
     name = F.xxhash64("key", "left_band", "right_band", "left", "right").alias("tile")
-    lefts = groups.withColumnRenamed("band", "left_band").join(plan, ["key", "left_band"]).where("component <> main")
-    lefts = lefts.withColumn("left", chunk("left_chunks")).withColumn("right", every("right_chunks")).select(name, F.lit(0).cast("long").alias("side"), "a", "component", "meta")
-    rights = groups.withColumnRenamed("band", "right_band").join(plan, ["key", "right_band"])
-    rights = rights.withColumn("right", chunk("right_chunks")).withColumn("left", every("left_chunks")).select(name, F.lit(1).cast("long").alias("side"), "a", "component", "meta")
-    return lefts.unionByName(rights)
+    lefts = groups.withColumnRenamed("band", "left_band").join(tiles, ["key", "left_band"]).where("component <> main")
+    lefts = lefts.withColumn("left", chunk("left_chunks")).withColumn("right", every("right_chunks")).select(name, side(0), "a", "component", "meta")
+    rights = groups.withColumnRenamed("band", "right_band").join(tiles, ["key", "right_band"])
+    rights = rights.withColumn("right", chunk("right_chunks")).withColumn("left", every("left_chunks")).select(name, side(1), "a", "component", "meta")
+    return whole.unionByName(lefts).unionByName(rights)
 
 
 def tile_pairs(rows: DataFrame) -> DataFrame:
@@ -412,11 +428,13 @@ def tile_pairs(rows: DataFrame) -> DataFrame:
 def within(names, parts, metas, sides, maps) -> np.ndarray:
     """Pairs (smaller name first) of a tile's left and right nodes, by equal bitmap widths and in order of size."""
     found = [np.zeros((0, 2), np.int64)]
+    if (parts == parts[0]).all():
+        return found[0]
     n, indexed = metas >> 2, (metas & 1).astype(bool)
     widths = np.fromiter((len(m) // 8 for m in maps), np.int64, len(maps))
     ends = {}
     for side in (0, 1):
-        at = np.flatnonzero(sides == side)
+        at = np.flatnonzero((sides == side) | (sides == 2))
         at = at[np.argsort(n[at], kind="stable")]
         ends[side] = {int(w): at[widths[at] == w] for w in np.unique(widths[at])}
     for w, left in ends[0].items():
@@ -430,7 +448,8 @@ def within(names, parts, metas, sides, maps) -> np.ndarray:
                 hi = int(np.searchsorted(n[right], DEN * n[i] // NUM, "right"))
                 j = right[lo:hi]
                 first = (n[i] < n[j]) | ((n[i] == n[j]) & indexed[i])
-                rows = np.flatnonzero((parts[j] != parts[i]) & np.where(first, indexed[i], indexed[j]))
+                once = (sides[i] != 2) | (names[i] < names[j])
+                rows = np.flatnonzero((parts[j] != parts[i]) & once & np.where(first, indexed[i], indexed[j]))
                 if len(rows):
                     most = overlap_bound(mine[k][None], theirs[lo:hi][rows], n[i], n[j[rows]])
                     good = j[rows][enough(most, n[i], n[j[rows]])]
@@ -466,7 +485,8 @@ def join_documents(docs: DataFrame) -> DataFrame:
 
     rows = materialise(candidate_rows(posted(docs.where("doc_id is not null"), classes)), "keys")
     tried = materialise(rows.where("key is null").select("a", "b").distinct(), "pairs")
-    groups = banded(rows.where("key is not null").select("key", "a", "meta").distinct().withColumn("n", F.shiftright("meta", 2)))
+    groups = materialise(rows.where("key is not null").select("key", "a", "meta").distinct(), "large-groups")
+    groups = banded(told_apart(groups).withColumn("n", F.shiftright("meta", 2)))
     degrees = groups.groupBy("a").agg(F.count("*").alias("degree"))
 
     nodes = known.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))

@@ -366,7 +366,7 @@ def near_rows(seed):
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize("seed, small, tile", [(1, 6, 4096), (2, 2, 4096), (3, 2, 16)])
+@pytest.mark.parametrize("seed, small, tile", [(1, 6, 1024), (2, 2, 1024), (3, 2, 16)])
 def test_groups_equal_brute_force(spark, seed, small, tile, monkeypatch):
     monkeypatch.setattr(ngram_join, "SMALL_GROUP", small)
     monkeypatch.setattr(ngram_join, "TILE", tile)
