@@ -84,6 +84,17 @@ def worker_cache(*owner) -> dict:
     return _held[0][1]
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to be none of df's columns."""
+    taken = {c.lower() for c in df.columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        found.append(name)
+    return found
+
+
 def ceil_div(a: int, b: int) -> int:
     return -(-a // b)
 

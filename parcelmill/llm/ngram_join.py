@@ -34,7 +34,7 @@ NUM, DEN = 75, 100
 #: Groups under a key of up to this many nodes give their pairs at once.
 SMALL_GROUP = 6
 #: Nodes of one key on a side of a tile.
-TILE = 1024
+TILE = 512
 #: Counters of the shingle frequency sketch, and those in one of its rows.
 COUNTERS = 1 << 18
 COUNTER_ROW = 4096

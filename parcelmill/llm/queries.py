@@ -121,11 +121,14 @@ ORACLES: dict[str, str] = {
     "op7_line_dedup": """
         WITH RECURSIVE raw AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents),
         l AS (SELECT doc_id, unnest(range(len(parts))) AS line_no, unnest(parts) AS line FROM raw),
-        d AS (SELECT line, length(line) AS n, min(row(doc_id, line_no)) AS first FROM l WHERE length(line) >= 40 AND regexp_matches(line, '[^\\s]') GROUP BY line),
-        own AS (SELECT line, n AS size, 0 AS side, left(line, n // 2) AS part FROM d UNION ALL SELECT line, n, 1, right(line, n - n // 2) FROM d),
-        longer AS (SELECT line, n - 1 AS size, 0 AS side, left(line, (n - 1) // 2) AS part FROM d UNION ALL SELECT line, n - 1, 1, right(line, n - 1 - (n - 1) // 2) FROM d),
+        d AS (SELECT line, length(line) AS n, min(row(doc_id, line_no)) AS first FROM l WHERE length(line) >= 20 AND regexp_matches(line, '[^\\s]') GROUP BY line),
+        e AS (SELECT line, n FROM d WHERE n >= 40),
+        own AS (SELECT line, n AS size, 0 AS side, left(line, n // 2) AS part FROM e UNION ALL SELECT line, n, 1, right(line, n - n // 2) FROM e),
+        longer AS (SELECT line, n - 1 AS size, 0 AS side, left(line, (n - 1) // 2) AS part FROM e UNION ALL SELECT line, n - 1, 1, right(line, n - 1 - (n - 1) // 2) FROM e),
         pairs AS (SELECT DISTINCT a.line AS a, b.line AS b FROM own a JOIN (SELECT * FROM own UNION ALL SELECT * FROM longer) b USING (size, side, part) WHERE a.line <> b.line),
-        links AS (SELECT a, b FROM pairs WHERE levenshtein(a, b) <= 1 UNION SELECT b, a FROM pairs WHERE levenshtein(a, b) <= 1),
+        wide AS (SELECT a.line AS a, b.line AS b FROM e a JOIN e b ON a.n >= 200 AND b.n BETWEEN a.n AND a.n + 2 AND a.line <> b.line),
+        near AS (SELECT a, b FROM pairs WHERE levenshtein(a, b) <= 1 UNION SELECT a, b FROM wide WHERE levenshtein(a, b) <= 2),
+        links AS (SELECT a, b FROM near UNION SELECT b, a FROM near),
         reach(a, b) AS (SELECT line, line FROM d UNION SELECT r.a, k.b FROM reach r JOIN links k ON k.a = r.b),
         firsts AS (SELECT r.a AS line, min(d.first) AS first FROM reach r JOIN d ON d.line = r.b GROUP BY r.a),
         kept AS (SELECT l.doc_id, l.line_no, l.line, f.line IS NULL OR f.first = row(l.doc_id, l.line_no) AS stays FROM l LEFT JOIN firsts f ON f.line = l.line),

@@ -211,7 +211,7 @@ def test_languages_apart(spark):
 # --- lines ---------------------------------------------------------------------------------------------------------
 
 
-def brute_lines(rows, least=line_dedup.LEAST_CHARS):
+def brute_lines(rows, least=line_dedup.LEAST_CHARS, bands=line_dedup.EDIT_BANDS):
     """Text left of every document, by comparing all lines with all."""
     rows = sorted(r for r in rows if r[0] is not None and r[1] is not None)
     first = {}
@@ -229,7 +229,8 @@ def brute_lines(rows, least=line_dedup.LEAST_CHARS):
 
     for a in range(len(lines)):
         for b in range(a):
-            if abs(len(lines[a]) - len(lines[b])) <= 1 and line_dedup.within_edits(lines[a], lines[b], 1):
+            most = max([-1, *(e for n, e in bands if min(len(lines[a]), len(lines[b])) >= n)])
+            if abs(len(lines[a]) - len(lines[b])) <= most and line_dedup.within_edits(lines[a], lines[b], most):
                 group[find(lines[a])] = find(lines[b])
     best = {}
     for x in lines:
@@ -260,6 +261,57 @@ def test_lines_equal_brute_force(spark, small, monkeypatch):
     assert got == brute_lines(rows)
 
 
+@pytest.mark.parametrize("bands", [((30, 2),), ((30, 1), (45, 3)), ((30, 1), (45, 2))])
+def test_lines_more_edits_apart_equal_brute_force(spark, bands, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SMALL_GROUP", 3)
+    rng = random.Random(14)
+    base = [sentence(rng, rng.randint(6, 9)) for _ in range(8)]
+    template = sentence(rng, 7)
+    rows = []
+    for i in range(50):
+        lines = []
+        for _ in range(2):
+            line = list(rng.choice(base))
+            for _ in range(rng.randint(0, 4)):
+                k = rng.randrange(len(line))
+                line[k] = rng.choice(["", "x", line[k] + "y"])
+            lines.append("".join(line))
+        lines.append(f"{template} {rng.randint(0, 9999):04d}")
+        rows.append((i, "\n".join(lines)))
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(documents(spark, rows), bands=bands).collect()}
+    assert got == brute_lines(rows, bands=bands)
+
+
+def test_lines_of_a_hot_key(spark):
+    """Half of all lines are one line, a quarter share one half: no unique line is lost."""
+    rng = random.Random(15)
+    half = sentence(rng, 5)
+    rows = [(i, f"{sentence(rng, 8)}\n{half} {sentence(rng, 4)}\n{half} the very same line\n{half} the very same line") for i in range(60)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(documents(spark, rows)).collect()}
+    assert got == brute_lines(rows)
+
+
+def test_lines_of_documents_that_share_an_id(spark):
+    common, one, two = (x * 12 for x in ("boiler ", "first ", "second "))
+    rows = [(1, common), (2, f"{common}\n{one}"), (2, f"{two}\n{common}"), (3, one)]
+    got = sorted((r["doc_id"], r["text"]) for r in line_dedup.dedup_lines(documents(spark, rows)).collect())
+    assert got == [(1, common), (2, one), (2, two), (3, "")]
+
+
+def test_short_lines_repeat_exactly(spark):
+    line = "a line of thirty characters..."
+    rows = [(1, f"{line}\nshort"), (2, f"{line}\nshort"), (3, line[:-1] + "!")]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(documents(spark, rows)).collect()}
+    assert got == {1: rows[0][1], 2: "short", 3: rows[2][1]}
+
+
+def test_line_of_a_hundred_thousand_characters(spark):
+    long = "".join(random.Random(16).choices("abcdef ", k=100_000))
+    rows = [(1, long), (2, long[:50_000] + "x" + long[50_001:]), (3, long[::-1])]
+    got = {r["doc_id"]: len(r["text"]) for r in line_dedup.dedup_lines(documents(spark, rows)).collect()}
+    assert got == {1: 100_000, 2: 0, 3: 100_000}
+
+
 def test_line_neighbourhoods(spark):
     rng = random.Random(12)
     lines = ["abcdefghij" * 5]
@@ -288,7 +340,7 @@ def test_line_neighbourhoods(spark):
 
 def test_lines_odd_rows(spark):
     rows = odd_rows()
-    docs = documents(spark, rows).withColumns({c: F.lit("mine") for c in ("line", "cut_lines", "first_doc", "class_id")})
+    docs = documents(spark, rows).withColumns({c: F.lit("mine") for c in ("line", "cut_lines", "_n_cut", "_n_lines", "row", "cut_doc", "first_doc", "class_id")})
     found = line_dedup.dedup_lines(docs.withColumn("n_cut", F.lit("mine")))
     assert found.columns == [*docs.columns, "n_lines", "n_cut"]
     got = defaultdict(list)

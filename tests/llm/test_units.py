@@ -96,6 +96,26 @@ def test_banded_distance():
         b = edited(rng, a, rng.randint(0, 4))
         for most in (0, 1, 2, 3):
             assert line_dedup.within_edits(a, b, most) == (distance(a, b) <= most)
+    for _ in range(12):
+        a = "".join(rng.choice("ab") for _ in range(2600))
+        b = edited(rng, a, rng.randint(1, 5))
+        for most in (2, 4):
+            assert line_dedup.within_edits(a, b, most) == (distance(a, b) <= most)
+
+
+def test_segments_meet():
+    """Lines within the threshold share a segment at a start that is probed."""
+    rng = random.Random(14)
+    for _ in range(3000):
+        a = "".join(rng.choice("abcdefgh") for _ in range(rng.randint(8, 30)))
+        edits = rng.randint(1, 4)
+        b = edited(rng, a, rng.randint(1, edits))
+        short, long = sorted((a, b), key=len)
+        parts = [tuple(int(x[0]) for x in line_dedup.segment(np.array([len(short)]), edits, i)) for i in range(edits + 1)]
+        assert [p[0] for p in parts] == [sum(q[1] for q in parts[:i]) for i in range(edits + 1)] and sum(q[1] for q in parts) == len(short)
+        longer = len(long) - len(short)
+        if distance(a, b) <= edits:
+            assert any(short[s : s + n] == long[s + x : s + x + n] and s + x >= 0 for i, (s, n) in enumerate(parts) for x in line_dedup.probe_shifts(edits, longer, i))
 
 
 def test_bloom_has_no_false_negatives_and_few_positives():
