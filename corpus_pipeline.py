@@ -26,14 +26,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines equal to, or one edit from, a line of an earlier document or place are cut.
+    """Lines equal to, or a few edits from, a line of an earlier document or place are cut.
 
     A document from which lines were cut, and that has nothing but blanks left, goes: every line that it held stands in
     others or nearly so.  Lines too short to take part keep their document, as they may stand nowhere else.
     """
-    found = line_dedup.cut_lines(docs)
+    found, _, n_cut = line_dedup.cut_lines(docs)
     own = F.col("text").rlike(r"(?U)[^\s\x1c-\x1f]")
-    return found.where((F.col("_n_cut") == 0) | own).select(*docs.columns)
+    return found.where((F.col(n_cut) == 0) | own).select(*docs.columns)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
