@@ -7,7 +7,9 @@ model less that under the ordinary one.  Documents are compared on length-normal
 the mean of what stands out from the document's own median word by a margin (the median cancels the class's mixture of
 languages).  A logistic curve, fitted on training rows kept out of the counts, maps these to a score from 0 to 1.
 
-N-grams are packed in integers, twelve bits a character, so suffixes and contexts are shifts.
+Counts, continuation counts, discounts and probabilities of all n-grams are tables, keyed by 64-bit hashes of whole code
+points; what is gathered grows with the training texts and nothing is cut.  The weightiest rows are broadcast, up to a
+bound, with a filter of the others' keys; a word that may need others is scored by a join.
 """
 
 from __future__ import annotations
@@ -26,47 +28,59 @@ from .common import U64, column, ints, materialise, mix64, prepare, worker_cache
 
 ORDER = 5
 SHARED_ORDERS = 2
-BITS = 12
 DISCOUNT = 0.75
 START, END = 1, 2
-#: Most n-grams held in a model (the most frequent; the rest live in the shared backoff), 16 bytes each.
-MAX_GRAMS = 1_500_000
-#: About one training row in CALIBRATION_PART fits the curve, at most CALIBRATION_ROWS of them.
+#: Rows of the model that are broadcast at most, 12 bytes each: the weightiest.  The others stay a table, which is joined
+#: with the words that need them.
+HEAD_ROWS = 3_000_000
+#: About one training row in CALIBRATION_PART fits the curve, CALIBRATION_ROWS of them at most; with fewer than
+#: LEAST_CALIBRATION, or one class, counted rows fit it.
 CALIBRATION_PART = 6
 CALIBRATION_ROWS = 20_000
+LEAST_CALIBRATION = 20
 MARGINS = (2.0, 3.0)
 CACHE_ENTRIES = 300_000
 CACHE_CHARS = 48
 
 WORD = re.compile(r"[^\W_]+")
+PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], U64)
+
 
 def words_of(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
-def packed(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The longest n-gram of every character event of the words, and the index of its word."""
+def hashed(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the n-grams that end at every character event of the words, for the orders 1 .. ORDER (0 where the word
+    has begun later); hashes of their contexts, the n-gram without its last character; and the event's word.
+
+    Code points count whole.  A context of order n is the gram of order n - 1 that ends one character earlier.
+    """
     text = chr(START) + (chr(END) + chr(START)).join(words) + chr(END)
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    codes = np.where(codes < 4000, codes, 4000 + codes % 95)
-    index = np.cumsum(codes == START) - 1
-    grams = codes.copy()
-    alive = codes != START
-    for back in range(1, ORDER):
-        # Characters further back count while the word has not started before them.
-        grams[back:] += np.where(alive[back:], codes[:-back] << (BITS * back), 0)
-        alive[back:] &= codes[:-back] != START
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(U64)
+    starts = codes == START
+    index = np.cumsum(starts) - 1
+    grams = np.zeros((ORDER + 1, len(codes)), U64)
+    total, alive = np.zeros(len(codes), U64), np.ones(len(codes), bool)
+    for n in range(1, ORDER + 1):
+        # The character n - 1 places back counts while the word has not started after it.
+        back = n - 1
+        total[back:] += (codes[: len(codes) - back] + U64(1)) * PLACES[back]
         alive[:back] = False
-    events = codes != START
-    return grams[events], index[events]
-
-
-def order_of(grams: np.ndarray) -> np.ndarray:
-    return sum((grams >> (BITS * i)) > 0 for i in range(ORDER)).astype(np.int64)
+        grams[n] = np.where(alive, mix64(total + U64(n)) | U64(1), U64(0))
+        alive[back:] &= ~starts[: len(codes) - back]
+    contexts = np.zeros_like(grams)
+    contexts[1:, 1:] = grams[:-1, :-1]
+    contexts[1] = 2
+    contexts[grams == 0] = 0
+    events = ~starts
+    return grams[:, events], contexts[:, events], index[events]
 
 
 def gram_counts(train: DataFrame) -> DataFrame:
-    """gram, toxic and ordinary: counts over all training texts (text, toxic), summed in each partition first."""
+    """g1 .. g5, c2 .. c5, ordinary and toxic: the longest n-gram of every event with its suffixes and contexts, and how
+    often it comes in either class, over all training texts (text, toxic); summed in each partition first."""
+    names = [*(f"g{n}" for n in range(1, ORDER + 1)), *(f"c{n}" for n in range(2, ORDER + 1)), "ordinary", "toxic"]
 
     def run(batches):
         counts: tuple[Counter, Counter] = (Counter(), Counter())
@@ -75,12 +89,16 @@ def gram_counts(train: DataFrame) -> DataFrame:
             words = list(counts[0].keys() | counts[1].keys())
             if not words:
                 return
-            grams, index = packed(words)
+            grams, contexts, index = hashed(words)
             weights = [np.fromiter((c[w] for w in words), np.float64, len(words))[index] for c in counts]
-            keys, inverse = np.unique(grams, return_inverse=True)
-            sums = [np.bincount(inverse, w, len(keys)).astype(np.int64) for w in weights]
-            for at in range(0, len(keys), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 50_000]), pa.array(sums[1][at : at + 50_000]), pa.array(sums[0][at : at + 50_000])], ["gram", "toxic", "ordinary"])
+            # Equal longest grams have equal suffixes and contexts.
+            longest = grams[(grams > 0).sum(0), np.arange(grams.shape[1])]
+            _, first, inverse = np.unique(longest, return_index=True, return_inverse=True)
+            columns = [*grams[1:, first], *contexts[2:, first]]
+            sums = [np.bincount(inverse, w, len(first)).astype(np.int64) for w in weights]
+            for at in range(0, len(first), 50_000):
+                part = slice(at, at + 50_000)
+                yield pa.RecordBatch.from_arrays([pa.array(c[part].view(np.int64)) for c in columns] + [pa.array(x[part]) for x in sums], names)
             counts[0].clear()
             counts[1].clear()
 
@@ -91,105 +109,165 @@ def gram_counts(train: DataFrame) -> DataFrame:
                 yield from emit()
         yield from emit()
 
-    rows = train.select("text", "toxic").mapInArrow(run, "gram long, toxic long, ordinary long")
-    return rows.groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    rows = train.select("text", "toxic").mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    return rows.groupBy(*names[:-2]).agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
+
+
+def model_rows(counts: DataFrame) -> DataFrame:
+    """key, value and weight of the Kneser-Ney models of both classes, as a table: the log-likelihood ratio of every
+    n-gram above the shared orders, and that of falling back from every context (keys of contexts are turned over).
+
+    Every n-gram counted is in it, whatever its count, and in the continuation counts of the orders below.  A lower
+    order counts the distinct characters before a gram, and plainly where the word starts.
+    """
+    counts = materialise(counts, "gram-counts")
+    levels, above = {}, None
+    for n in range(ORDER, 0, -1):
+        chain = [*(f"g{k}" for k in range(1, n)), *(f"c{k}" for k in range(2, n + 1))]
+        gram = F.col(f"g{n}")
+        rows = counts.where(gram != 0)
+        if n < ORDER:
+            rows = rows.where(F.col(f"g{n + 1}") == 0)
+        rows = rows.select(gram.alias("gram"), *chain, F.col("ordinary").alias("v0"), F.col("toxic").alias("v1"))
+        if above is not None:
+            kinds = [F.when(F.col(v) > 0, 1).otherwise(0).cast("long").alias(v) for v in ("v0", "v1")]
+            rows = rows.unionByName(above.select(F.col(f"g{n}").alias("gram"), *chain, *kinds))
+        rows = rows.groupBy("gram").agg(*[F.first(c).alias(c) for c in chain], F.sum("v0").alias("v0"), F.sum("v1").alias("v1"))
+        levels[n] = above = materialise(rows, "grams")
+
+    found, lower = [], None
+    for n in range(1, ORDER + 1):
+        rows = levels[n].withColumn("context", F.col(f"c{n}") if n > 1 else F.lit(2).cast("long")).withColumn("weight", F.col("v0") + F.col("v1"))
+        if n <= SHARED_ORDERS:
+            rows = rows.withColumns({"v0": F.col("weight"), "v1": F.col("weight")})
+        sums = [x for k in (0, 1) for x in (F.sum(f"v{k}").alias(f"total{k}"), F.sum(F.when(F.col(f"v{k}") > 0, 1).otherwise(0)).alias(f"kinds{k}"))]
+        contexts = rows.groupBy("context").agg(*sums, F.sum("weight").alias("weight"))
+        spared = {k: F.when(F.col(f"total{k}") > 0, F.least(F.lit(1.0), DISCOUNT * F.col(f"kinds{k}") / F.col(f"total{k}"))).otherwise(1.0) for k in (0, 1)}
+        contexts = materialise(contexts.select("context", "weight", "total0", "total1", spared[0].alias("spared0"), spared[1].alias("spared1")), "contexts")
+        rows = rows.join(contexts.drop("weight"), "context")
+        if lower is None:
+            base = 1.0 / (levels[1].count() + 1)
+            rows = rows.withColumns({"b0": F.lit(base), "b1": F.lit(base)})
+        else:
+            rows = rows.join(lower.select(F.col("gram").alias(f"g{n - 1}"), F.col("p0").alias("b0"), F.col("p1").alias("b1")), f"g{n - 1}")
+        p = [(F.greatest(F.col(f"v{k}") - DISCOUNT, F.lit(0.0)) / F.greatest(F.col(f"total{k}").cast("double"), F.lit(1e-9)) + F.col(f"spared{k}") * F.col(f"b{k}")).alias(f"p{k}") for k in (0, 1)]
+        lower = materialise(rows.select("gram", "weight", *p), "probabilities")
+        if n > SHARED_ORDERS:
+            found.append(lower.select(F.col("gram").alias("key"), (F.log("p1") - F.log("p0")).cast("float").alias("value"), "weight"))
+            found.append(contexts.select(F.bitwise_not(F.col("context") + n).alias("key"), (F.log("spared1") - F.log("spared0")).cast("float").alias("value"), "weight"))
+    whole = found[0]
+    for more in found[1:]:
+        whole = whole.unionByName(more)
+    return materialise(whole, "model")
+
+
+def context_keys(contexts: np.ndarray, n: int) -> np.ndarray:
+    return ~(contexts + U64(n))
 
 
 class EvidenceModel:
-    """Log-likelihood ratios of n-grams, and of falling back from contexts, in sorted arrays."""
+    """The part of the model that is broadcast, in sorted arrays, and a filter of the keys of the rest."""
 
-    def __init__(self, grams: np.ndarray, ratio: np.ndarray, contexts: np.ndarray, fall: np.ndarray):
-        self.grams, self.ratio, self.contexts, self.fall = grams, ratio, contexts, fall
+    def __init__(self, keys: np.ndarray, values: np.ndarray, rest: bloom.BlockedBloom | None = None):
+        order = np.argsort(keys.view(U64))
+        self.keys, self.values, self.rest = keys.view(U64)[order], values[order].astype(np.float32), rest
         self.name = uuid.uuid4().hex
 
-    @staticmethod
-    def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(keys):
-            return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
-        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        return at, keys[at] == wanted
+    def _find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Values, whether they are held, and whether they may be among the rest."""
+        if not len(self.keys):
+            held = np.zeros(len(wanted), bool)
+            values = np.zeros(len(wanted))
+        else:
+            at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+            held = self.keys[at] == wanted
+            values = np.where(held, self.values[at], 0.0)
+        unsure = np.zeros(len(wanted), bool)
+        if self.rest is not None and len(wanted):
+            out = np.flatnonzero(~held)
+            unsure[out] = self.rest.might_hold(mix64(wanted[out]))
+        return values, held, unsure
 
     def evidence(self, words: list[str]) -> np.ndarray:
-        """Toxic less ordinary log-likelihood of each word."""
+        """Toxic less ordinary log-likelihood of each word; nan where the rest of the model may have a say."""
         if not words:
             return np.zeros(0)
-        grams, index = packed(words)
-        total = np.zeros(len(grams))
-        left, order = np.arange(len(grams)), order_of(grams)
-        for size in range(ORDER, SHARED_ORDERS, -1):
-            here = left[order[left] == size]
-            if not len(here):
-                continue
-            at, found = self._find(self.grams, grams[here])
-            total[here[found]] += self.ratio[at[found]]
-            order[here[found]] = 0
-            rest = here[~found]
-            at, known = self._find(self.contexts, grams[rest] >> BITS)
-            total[rest[known]] += self.fall[at[known]]
-            grams[rest] &= (1 << (BITS * (size - 1))) - 1
-            order[rest] = size - 1
+        grams, contexts, index = hashed(words)
+        total, left = np.zeros(grams.shape[1]), np.arange(grams.shape[1])
+        for n in range(ORDER, SHARED_ORDERS, -1):
+            here = left[grams[n][left] != 0]
+            values, held, unsure = self._find(grams[n][here])
+            total[here] += np.where(unsure, np.nan, values)
+            out = here[~held & ~unsure]
+            values, _, doubt = self._find(context_keys(contexts[n][out], n))
+            total[out] += np.where(doubt, np.nan, values)
+            alive = np.ones(len(total), bool)
+            alive[here[held | unsure]] = False
+            left = left[alive[left]]
         return np.bincount(index, total, len(words))
 
 
-def fit_models(grams: np.ndarray, counts: np.ndarray) -> EvidenceModel:
-    """Kneser-Ney models of both classes from the longest n-grams and their counts (row 0 ordinary, row 1 toxic)."""
-    sizes = order_of(grams)
-    tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    keys, values = grams[sizes == ORDER], counts[:, sizes == ORDER].astype(float)
-    for size in range(ORDER, 0, -1):
-        tables[size] = (keys, values)
-        # One order down: distinct characters before, and plain counts where the word starts.
-        mask = (1 << (BITS * (size - 1))) - 1
-        own = grams[sizes == size - 1] if size > 1 else np.zeros(0, np.int64)
-        own_counts = counts[:, sizes == size - 1].astype(float) if size > 1 else np.zeros((2, 0))
-        every = np.concatenate([keys & mask, own])
-        weight = np.concatenate([(values > 0).astype(float), own_counts], 1)
-        keys, inverse = np.unique(every, return_inverse=True)
-        values = np.stack([np.bincount(inverse, w, len(keys)) for w in weight])
-
-    found_grams, found_ratio, found_contexts, found_fall = [], [], [], []
-    lower_keys, lower_p = np.zeros(0, np.int64), np.zeros((2, 0))
-    for size in range(1, ORDER + 1):
-        keys, values = tables[size]
-        if size <= SHARED_ORDERS:
-            values = np.repeat(values.sum(0, keepdims=True), 2, 0)
-        contexts, of = np.unique(keys >> BITS, return_inverse=True)
-        total = np.stack([np.bincount(of, v, len(contexts)) for v in values])
-        kinds = np.stack([np.bincount(of, v > 0, len(contexts)) for v in values])
-        spared = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1e-9), 1.0)
-        spared = np.minimum(spared, 1.0)
-        if size == 1:
-            below = np.full((2, len(keys)), 1.0 / (len(keys) + 1))
-        else:
-            below = lower_p[:, np.searchsorted(lower_keys, keys & ((1 << (BITS * (size - 1))) - 1))]
-        p = np.maximum(values - DISCOUNT, 0) / np.maximum(total[:, of], 1e-9) + spared[:, of] * below
-        lower_keys, lower_p = keys, p
-        if size > SHARED_ORDERS:
-            found_grams.append(keys)
-            found_ratio.append(np.log(p[1]) - np.log(p[0]))
-            found_contexts.append(contexts)
-            found_fall.append(np.log(spared[1]) - np.log(spared[0]))
-    grams, ratio = np.concatenate(found_grams), np.concatenate(found_ratio)
-    contexts, fall = np.concatenate(found_contexts), np.concatenate(found_fall)
-    a, b = np.argsort(grams), np.argsort(contexts)
-    return EvidenceModel(grams[a], ratio[a].astype(np.float32), contexts[b], fall[b].astype(np.float32))
+def word_evidence(words: DataFrame, model: DataFrame) -> DataFrame:
+    """word and its evidence under the whole model: a join of the words' n-grams and contexts with the model's rows."""
+
+    def run(batches):
+        for batch in batches:
+            names = column(batch, "word")
+            if not names:
+                continue
+            grams, contexts, index = hashed(names)
+            for n in range(ORDER, SHARED_ORDERS, -1):
+                at = np.flatnonzero(grams[n])
+                for kind, keys in ((0, grams[n][at]), (1, context_keys(contexts[n][at], n))):
+                    for lo in range(0, len(at), 50_000):
+                        part = slice(lo, lo + 50_000)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([names[i] for i in index[at[part]]], pa.string()), pa.array(at[part]), pa.array(np.full(len(at[part]), 2 * n + kind)), pa.array(keys[part].view(np.int64))], ["word", "event", "role", "key"]
+                        )
+
+    rows = words.mapInArrow(run, "word string, event long, role long, key long").join(model.select("key", "value"), "key")
+    value = {(n, kind): F.max(F.when(F.col("role") == 2 * n + kind, F.col("value"))) for n in range(SHARED_ORDERS + 1, ORDER + 1) for kind in (0, 1)}
+    events = rows.groupBy("word", "event").agg(*[v.alias(f"v{n}_{kind}") for (n, kind), v in value.items()])
+    total = F.lit(0.0)
+    for n in range(SHARED_ORDERS + 1, ORDER + 1):
+        total = F.when(F.col(f"v{n}_0").isNotNull(), F.col(f"v{n}_0").cast("double")).otherwise(total + F.coalesce(F.col(f"v{n}_1"), F.lit(0.0)))
+    return events.groupBy("word").agg(F.sum(total).alias("evidence"))
+
+
+def split_model(model: DataFrame, most: int) -> tuple[EvidenceModel, bool]:
+    """The model's weightiest rows, `most` at most, and a bounded filter of the keys of all others, if there are any."""
+    size = F.floor(F.log2(F.greatest(F.col("weight"), F.lit(1)).cast("double"))).cast("int")
+    sizes = {r["size"]: r["n"] for r in model.groupBy(size.alias("size")).agg(F.count("*").alias("n")).collect()}
+    least, n = max(sizes, default=0) + 1, 0
+    while least - 1 in range(max(sizes, default=-1) + 1) and n + sizes.get(least - 1, 0) <= most:
+        least -= 1
+        n += sizes.get(least, 0)
+    head = model.where(size >= least).select("key", "value").toArrow()
+    n_rest, rest = sum(sizes.values()) - n, None
+    if n_rest:
+        rest = bloom.build(model.where(size < least).select("key"), n_rest, lambda batch: mix64(ints(batch, "key").astype(np.int64).view(U64)))
+    return EvidenceModel(head.column("key").to_numpy().astype(np.int64), head.column("value").to_numpy(), rest), bool(n_rest)
 
 
 def features(evidence: np.ndarray) -> np.ndarray:
-    """Length-normalised evidence of a document's words."""
+    """Length-normalised evidence of a document's words: its mean, and the means of what stands out from its median."""
     n = len(evidence)
     if not n:
-        return np.zeros(len(MARGINS) + 4)
+        return np.zeros(len(MARGINS) + 3)
     clear = evidence - np.median(evidence)
     top = np.partition(clear, n - 2)[-2:].mean() if n > 2 else clear.mean()
     beyond = [np.log(np.maximum(clear - m, 0).mean() + 1e-3) - np.log(1e-3) for m in MARGINS]
-    return np.array([*beyond, evidence.mean(), clear.mean(), top, np.log(n)])
+    return np.array([*beyond, evidence.mean(), clear.mean(), top])
+
 
+def featured(docs: DataFrame, model, keep: list[str], whole: DataFrame | None = None) -> DataFrame:
+    """The columns keep (long or int), and features of the text, of every row.
 
-def featured(docs: DataFrame, model, keep: list[str]) -> DataFrame:
-    """The columns keep (long or int), and features of the text, of every row."""
+    model is the broadcast part.  Where it is not all of the model, whole is: words that the rest may have a say in are
+    then scored by a join with it, and only documents that hold such words are put together anew.
+    """
     kinds = dict(docs.dtypes)
-    schema = ", ".join([f"{c} {kinds[c]}" for c in keep] + ["features array<double>"])
+    schema = ", ".join([f"{c} {kinds[c]}" for c in keep] + ["evidence array<double>", "open array<string>", "features array<double>"])
 
     def run(batches):
         held: EvidenceModel = model.value
@@ -206,16 +284,42 @@ def featured(docs: DataFrame, model, keep: list[str]) -> DataFrame:
             new = list(missing)
             cache.update(zip(new, held.evidence(new).tolist(), strict=True))
             once = dict(zip(long, held.evidence(long).tolist(), strict=True))
-            rows = []
+            found, known, open_words = [], [], []
             for words in split:
                 if long:
-                    found = np.array([cache[w] if w in cache else once[w] for w in words], float)
+                    values = np.array([cache[w] if w in cache else once[w] for w in words], float)
                 else:
-                    found = np.fromiter(map(cache.__getitem__, words), float, len(words))
-                rows.append(features(found).tolist())
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in keep] + [pa.array(rows, pa.list_(pa.float64()))], [*keep, "features"])
+                    values = np.fromiter(map(cache.__getitem__, words), float, len(words))
+                unsure = np.isnan(values) if held.rest is not None else None
+                if unsure is not None and unsure.any():
+                    found.append(None)
+                    known.append(values[~unsure].tolist())
+                    open_words.append([words[i] for i in np.flatnonzero(unsure)])
+                else:
+                    found.append(features(values).tolist())
+                    known.append(None)
+                    open_words.append(None)
+            many = pa.list_(pa.float64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(batch.schema.get_field_index(c)) for c in keep] + [pa.array(known, many), pa.array(open_words, pa.list_(pa.string())), pa.array(found, many)], [*keep, "evidence", "open", "features"]
+            )
+
+    rows = docs.select(*keep, "text").mapInArrow(run, schema)
+    if whole is None:
+        return rows.select(*keep, "features")
+    rows = materialise(rows.withColumn("row", F.monotonically_increasing_id()), "evidence")
+    waiting = rows.where("open is not null").select("row", F.explode("open").alias("word")).groupBy("row", "word").agg(F.count("*").alias("times"))
+    scores = materialise(word_evidence(waiting.select("word").distinct(), whole), "word-evidence")
+    values = waiting.join(scores, "word", "left").select("row", F.explode(F.array_repeat(F.coalesce("evidence", F.lit(0.0)), F.col("times").cast("int"))).alias("more")).groupBy("row").agg(F.collect_list("more").alias("more"))
+
+    def finish(batches):
+        for batch in batches:
+            found = [features(np.array(a + b, float)).tolist() for a, b in zip(column(batch, "evidence"), column(batch, "more"), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in keep] + [pa.array(found, pa.list_(pa.float64()))], [*keep, "features"])
 
-    return docs.select(*keep, "text").mapInArrow(run, schema)
+    joined = rows.where("open is not null").join(materialise(values, "open-evidence"), "row").select(*keep, "evidence", "more")
+    closed = joined.mapInArrow(finish, ", ".join([f"{c} {kinds[c]}" for c in keep] + ["features array<double>"]))
+    return rows.where("open is null").select(*keep, "features").unionByName(closed)
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 1e-2):
@@ -252,13 +356,13 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(run, "doc_id long, text string").join(known, "doc_id")
 
 
-def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def score_documents(docs: DataFrame, labels: DataFrame, head_rows: int = HEAD_ROWS) -> DataFrame:
     """doc_id and score of every document; labels (doc_id, toxic) are the rows to learn from.
 
     Scores run from 0 to 1, higher where toxic is likelier.  Null and empty texts get the score of a text without
     evidence.  Where labels hold only one class, every score is 0 or 1 accordingly (0 without labels).  Repeated
     labels of one id count as toxic if any is; repeated and null ids of documents are scored row by row.  An empty
-    table gives no rows.
+    table gives no rows.  head_rows bounds what is broadcast, and changes no score.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -268,19 +372,19 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     if len(classes) < 2:
         return docs.select("doc_id", F.lit(1.0 if classes.get(1) else 0.0).alias("score"))
     part = F.pmod(F.xxhash64("doc_id", F.lit("calibration")), F.lit(CALIBRATION_PART))
-    grams = gram_counts(train.where(part != 0)).orderBy(F.desc(F.col("toxic") + F.col("ordinary")), "gram").limit(MAX_GRAMS).toArrow()
-    model = fit_models(grams.column("gram").to_numpy(), np.stack([grams.column("ordinary").to_numpy(), grams.column("toxic").to_numpy()]))
-    sent = spark.sparkContext.broadcast(model)
+    model = model_rows(gram_counts(train.where(part != 0)))
+    head, split = split_model(model, head_rows)
+    sent, whole = spark.sparkContext.broadcast(head), model if split else None
 
     share = min(1.0, CALIBRATION_ROWS * CALIBRATION_PART / sum(classes.values()))
-    kept = train.where(part == 0).where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) < share * 1_000_000)
-    rows = featured(kept, sent, ["toxic"]).collect()
-    x, y = np.array([r["features"] for r in rows], float).reshape(len(rows), -1), np.array([r["toxic"] for r in rows], float)
-    if len(rows) < 20 or y.min() == y.max():
-        rows = featured(train.limit(CALIBRATION_ROWS), sent, ["toxic"]).collect()
-        x, y = np.array([r["features"] for r in rows], float), np.array([r["toxic"] for r in rows], float)
+    drawn = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000))
+    rows = featured(train.where(part == 0).where(drawn < share * 1_000_000), sent, ["toxic"], whole).collect()
+    if len(rows) < LEAST_CALIBRATION or len({r["toxic"] for r in rows}) < 2:
+        rows = featured(train.where(drawn < share / CALIBRATION_PART * 1_000_000) if share < 1 else train, sent, ["toxic"], whole).collect()
+    rows.sort(key=lambda r: (r["toxic"], r["features"]))
+    x, y = np.array([r["features"] for r in rows], float), np.array([r["toxic"] for r in rows], float)
     mean, scale, weights = fit_curve(x, y)
-    scored = featured(docs, sent, ["doc_id"])
+    scored = featured(docs, sent, ["doc_id"], whole)
     terms = [F.lit(float(w)) * (F.col("features")[i] - F.lit(float(m))) / F.lit(float(s)) for i, (w, m, s) in enumerate(zip(weights[1:], mean, scale, strict=True))]
     total = F.lit(float(weights[0]))
     for term in terms:

@@ -11,6 +11,7 @@ from conftest import SF, held_against_sql
 from pyspark.sql import functions as F
 
 from helpers import WORDS, documents, odd_rows, sentence
+from test_units import kneser_ney
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
@@ -120,6 +121,32 @@ def test_toxicity_on_held_out_rows(spark):
     assert all(0 <= r["score"] <= 1 for r in scored)
 
 
+def test_models_equal_a_plain_version(spark):
+    rng = random.Random(8)
+    words = [{"".join(rng.choice("abcd") for _ in range(rng.randint(1, 7))): rng.randint(1, 9) for _ in range(60)} for _ in range(2)]
+    train = spark.createDataFrame([(" ".join(w for w, n in words[k].items() for _ in range(n)), k) for k in (0, 1)], "text string, toxic int")
+    model = toxicity.model_rows(toxicity.gram_counts(train))
+    ratio = kneser_ney(words, toxicity.ORDER, toxicity.SHARED_ORDERS)
+    asked = [w for w in list(words[0])[:20] + list(words[1])[:20]] + ["abab", "dddd", "a"]
+    head, split = toxicity.split_model(model, 10**6)
+    assert not split
+    for w, got in zip(asked, head.evidence(asked), strict=True):
+        assert abs(got - ratio(w)) < 1e-4, w
+    joined = {r["word"]: r["evidence"] for r in toxicity.word_evidence(spark.createDataFrame([(w,) for w in set(asked)], "word string"), model).collect()}
+    part, split = toxicity.split_model(model, 200)
+    assert split and 0 < len(part.keys) <= 200
+    for w, got in zip(asked, part.evidence(asked), strict=True):
+        assert abs(joined.get(w, 0.0) - ratio(w)) < 1e-4, w
+        assert np.isnan(got) or abs(got - ratio(w)) < 1e-4, w
+
+
+def test_scores_do_not_hang_on_what_is_broadcast(spark):
+    docs = documents(spark, [*toxic_corpus(200), *[(None if i is None else i + 1000, t) for i, t in odd_rows()]])
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)], "doc_id long, toxic int")
+    runs = [sorted((str(r["doc_id"]), round(r["score"], 9)) for r in toxicity.score_documents(docs, labels, rows).collect()) for rows in (toxicity.HEAD_ROWS, 300, 0)]
+    assert runs[0] == runs[1] == runs[2]
+
+
 def test_toxicity_odd_rows_and_labels(spark):
     docs = documents(spark, [*toxic_corpus(), *[(None if i is None else i + 1000, t) for i, t in odd_rows()]])
     labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)] + [(0, 1), (None, 1), (5, None)], "doc_id long, toxic int")

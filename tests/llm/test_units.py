@@ -215,21 +215,11 @@ def kneser_ney(words, order, shared):
     return ratio
 
 
-def test_models_equal_a_plain_version():
-    rng = random.Random(8)
-    words = [{"".join(rng.choice("abcd") for _ in range(rng.randint(1, 7))): rng.randint(1, 9) for _ in range(60)} for _ in range(2)]
-    counts: dict[int, list[int]] = {}
-    for k in (0, 1):
-        names = list(words[k])
-        grams, index = toxicity.packed(names)
-        for g, i in zip(grams.tolist(), index.tolist(), strict=True):
-            counts.setdefault(g, [0, 0])[k] += words[k][names[i]]
-    keys = np.array(list(counts), np.int64)
-    model = toxicity.fit_models(keys, np.array(list(counts.values())).T)
-    ratio = kneser_ney(words, toxicity.ORDER, toxicity.SHARED_ORDERS)
-    asked = [w for w in list(words[0])[:20] + list(words[1])[:20]] + ["abab", "dddd", "a"]
-    for w, got in zip(asked, model.evidence(asked), strict=True):
-        assert abs(got - ratio(w)) < 1e-4, w
+def test_gram_hashes_are_of_whole_code_points():
+    grams, contexts, index = toxicity.hashed(["ab", "日本語", "日本誤", "ab"])
+    assert len(index) == 3 + 4 + 4 + 3 and (grams[:, :3] == grams[:, -3:]).all()
+    assert (grams[1][[3, 4]] == grams[1][[7, 8]]).all() and grams[1][5] != grams[1][9]
+    assert (contexts[2] == np.where(index >= 0, contexts[2], 0)).all() and contexts[3][5] == contexts[3][9]
 
 
 def test_set_ids_are_of_sets():
