@@ -81,13 +81,24 @@ def protected(street: str) -> str:
     return f"__{street.replace(' ', '_')}__ street"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, however often body names it: a one-element array's transform."""
+    return F.transform(F.array(value), body)[0]
+
+
 def clean(text: Column) -> Column:
-    """All substitutions, then the street protections (any case)."""
+    """All substitutions, then the street protections (any case), each once and only where one of the streets is there."""
     for pattern, replacement in CLEAN_UPS:
         text = F.regexp_replace(text, pattern, replacement)
-    for street in PROTECTED_STREETS:
-        text = F.regexp_replace(text, f"(?i){re.escape(street).replace(chr(92) + ' ', ' ')}, ", protected(street) + ", ")
-    return text
+    patterns = {s: f"{re.escape(s).replace(chr(92) + ' ', ' ')}, " for s in PROTECTED_STREETS}
+
+    def protect(found):
+        marked = found
+        for street, pattern in patterns.items():
+            marked = F.regexp_replace(marked, f"(?i){pattern}", protected(street) + ", ")
+        return F.when(found.rlike(f"(?i){'|'.join(patterns.values())}"), marked).otherwise(found)
+
+    return let(text, protect)
 
 
 def component(value: Column | str, label: Column | str) -> Column:
@@ -120,31 +131,40 @@ def parse_by_rules(text: Column) -> Column:
     rest the road.  Earlier parts are the house.
     """
     absent = lambda c: F.nullif(c, F.lit(""))
-    t = F.trim(F.lower(text))
-    postcode = F.regexp_extract(t, r"(?:^|[ ,])(\d{4})$", 1)
-    t = F.trim(F.regexp_replace(t, r"[ ,]*(?:^|[ ,])\d{4}$", ""))
     names = "|".join([*STATES, *STATES.values()])
-    state = F.regexp_extract(t, rf"(?:^|[ ,])({names})$", 1)
-    t = F.regexp_replace(t, rf"[ ,]*(?:^|[ ,])(?:{names})$", "")
-    parts = F.filter(F.transform(F.split(t, ","), lambda p: F.trim(p)), lambda p: p != "")
-    n, last = F.size(parts), F.try_element_at(parts, F.lit(-1))
-    alone = rf"^(.*\b(?:{'|'.join(STREET_KINDS)}))(?: (.+))?$"
-    cut = F.when(n == 1, F.regexp_extract(last, alone, 1)).otherwise("")
-    suburb = F.when(cut != "", absent(F.regexp_extract(last, alone, 2))).otherwise(last)
-    street = F.regexp_replace(F.when(n >= 2, F.try_element_at(parts, F.lit(-2))).when(cut != "", cut), r"^- ", "")
-    earlier = F.when(n >= 3, F.array_join(F.slice(parts, F.lit(1), F.greatest(n - 2, F.lit(0))), ", "))
-
+    kinds = rf"^(.*\b(?:{'|'.join(STREET_KINDS)}))(?: (.+))?$"
     house = r"^(__\w+?__(?= (?!street))|(?!lot |block |corner |units? )[a-z][a-z' ]*?(?= \d)) "
-    named = absent(F.regexp_extract(street, house, 1))
-    rest = F.regexp_replace(street, house, "")
     unit = r"^(unit(?= \d+/)|unit \d+[a-z]?(?= [a-z])) "
     number = r"^((?:units )?[a-z]?\d+[a-z]?(?:\s*[-/&]\s*\d+[a-z]?)*)\s+"
-    road = F.regexp_replace(rest, unit, "")
-    found = F.array(
-        component(F.coalesce(named, earlier), "house"), component(absent(F.regexp_extract(rest, unit, 1)), "unit"), component(absent(F.regexp_extract(road, number, 1)), "house_number"),
-        component(absent(F.trim(F.regexp_replace(road, number, ""))), "road"), component(suburb, "suburb"), component(absent(state), "state"), component(absent(postcode), "postcode"),
-    )
-    return F.filter(found, lambda c: c["value"].isNotNull())
+
+    def whole(t):
+        postcode = F.regexp_extract(t, r"(?:^|[ ,])(\d{4})$", 1)
+        return let(F.trim(F.regexp_replace(t, r"[ ,]*(?:^|[ ,])\d{4}$", "")), lambda rest: without_code(rest, postcode))
+
+    def without_code(t, postcode):
+        state = F.regexp_extract(t, rf"(?:^|[ ,])({names})$", 1)
+        rest = F.regexp_replace(t, rf"[ ,]*(?:^|[ ,])(?:{names})$", "")
+        parts = F.filter(F.transform(F.split(rest, ","), lambda p: F.trim(p)), lambda p: p != "")
+        return let(parts, lambda found: let(cut_alone(found), lambda cut: places(found, cut, state, postcode)))
+
+    def cut_alone(parts):
+        """A single part's street and what follows it, or two empty texts."""
+        last = F.try_element_at(parts, F.lit(-1))
+        one = F.size(parts) == 1
+        return F.struct(F.when(one, F.regexp_extract(last, kinds, 1)).otherwise("").alias("street"), F.when(one, F.regexp_extract(last, kinds, 2)).otherwise("").alias("rest"))
+
+    def places(parts, cut, state, postcode):
+        n, last = F.size(parts), F.try_element_at(parts, F.lit(-1))
+        suburb = F.when(cut["street"] != "", absent(cut["rest"])).otherwise(last)
+        street = F.regexp_replace(F.when(n >= 2, F.try_element_at(parts, F.lit(-2))).when(cut["street"] != "", cut["street"]), r"^- ", "")
+        earlier = F.when(n >= 3, F.array_join(F.slice(parts, F.lit(1), F.greatest(n - 2, F.lit(0))), ", "))
+        ends = (component(suburb, "suburb"), component(absent(state), "state"), component(absent(postcode), "postcode"))
+        return let(street, lambda s: let(F.regexp_replace(s, house, ""), lambda rest: let(F.regexp_replace(rest, unit, ""), lambda road: F.array(
+            component(F.coalesce(absent(F.regexp_extract(s, house, 1)), earlier), "house"), component(absent(F.regexp_extract(rest, unit, 1)), "unit"),
+            component(absent(F.regexp_extract(road, number, 1)), "house_number"), component(absent(F.trim(F.regexp_replace(road, number, ""))), "road"), *ends,
+        ))))
+
+    return F.filter(let(F.trim(F.lower(text)), whole), lambda c: c["value"].isNotNull())
 
 
 def labels(components: Column) -> Column:
