@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,10 +14,16 @@ BUCKET = 1_000_000
 def dense_index(df: DataFrame, key: str, name: str, bucket: int = BUCKET) -> DataFrame:
     """Add the 0-based position of each row by an integer key without nulls.
 
-    Rows are numbered inside ranges of the key, and each range starts where the counts of those before it end: only the
-    table of range counts, one row for each `bucket` keys, is ordered as a whole.  Equal keys are ordered arbitrarily.
+    The span of the keys is cut into equal ranges, about one for each `bucket` rows however sparse the keys are.  Rows
+    are numbered inside ranges, and each range starts where the counts of those before it end: only the table of range
+    counts is ordered as a whole.  Equal keys are ordered arbitrarily.
     """
-    ranged = df.withColumn("_range", F.floor(F.col(key) / bucket))
+    least, most, n = df.agg(F.min(key), F.max(key), F.count("*")).first()
+    ranges = max(1, -(-n // bucket))
+    width = max(1, -(-((most - least) + 1) // ranges)) if n else 1
+    # Spans of hashed keys are wider than a long.
+    place = (F.col(key) - least if n and most - least < 1 << 62 else F.col(key).cast("decimal(38,0)") - F.lit(least or 0).cast("decimal(38,0)")) / width
+    ranged = df.withColumn("_range", F.floor(place).cast("long"))
     counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
@@ -23,6 +31,17 @@ def dense_index(df: DataFrame, key: str, name: str, bucket: int = BUCKET) -> Dat
     return ranged.withColumn("_inside", inside).join(starts, "_range").withColumn(name, F.col("_start") + F.col("_inside")).drop("_range", "_inside", "_start")
 
 
+def meet(df: DataFrame, groups: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join rows with a table that was aggregated by the same columns, so that a large key's rows can be split.
+
+    An aggregate that is hashed by the join's keys is joined where it lies, and then adaptive execution cannot split a
+    large partition.  A hash as a further key makes the join deal both sides anew.
+    """
+    mark = "_meet"
+    marked = [t.withColumn(mark, F.xxhash64(*by)) for t in (df, groups)]
+    return marked[0].join(marked[1], [*by, mark], how).drop(mark)
+
+
 def contiguous_folds(df: DataFrame, key: str, folds: int, name: str = "fold") -> DataFrame:
     """Contiguous folds in key order; the first n mod folds of them hold one row more."""
     indexed = dense_index(df, key, "_index")

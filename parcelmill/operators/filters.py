@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ordering import meet
+
 #: Price ranges (open at both ends), kinds of sale, largest separate count.
 SALES_PRICES = (2e4, 1e7)
 RENTAL_PRICES = (2e1, 1e4)
@@ -57,10 +59,10 @@ def rejected(accepted: Column) -> Column:
 def min_population(df: DataFrame, by: str, least: int) -> DataFrame:
     """Rows whose group has at least `least` rows; a missing group has none.
 
-    Groups are counted map-side first and met in a semi join, so one large group never sits in one task.
+    Groups are counted map-side first and met in a semi join whose large keys can be split.
     """
     large = df.groupBy(by).agg(F.count(by).alias("_n")).where(F.col("_n") >= least).select(by)
-    return df.join(large, by, "left_semi")
+    return meet(df, large, [by], "left_semi")
 
 
 def min_population_report(df: DataFrame, by: str, least: int) -> DataFrame:
@@ -85,3 +87,8 @@ def clamp(c: Column, low, high) -> Column:
 def bucket(c: Column, most: int = COUNT_CAP) -> Column:
     """Groups of a count: 1 to most - 1 apart, and most or more."""
     return F.when(c >= most, F.lit(most)).when(c >= 1, c)
+
+
+def in_category(column: str, *values: str) -> Column:
+    """Rows of the given categories."""
+    return F.col(column).isin(*values)

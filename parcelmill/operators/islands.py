@@ -83,19 +83,34 @@ def unduplicate(df: DataFrame, null_safe: bool = False) -> DataFrame:
     return merge_islands(island_ids(df, props, null_safe=null_safe), props).select(*df.columns)
 
 
-def check_and_unduplicate(df: DataFrame) -> DataFrame:
-    """Check dates, then merge each property's islands.  (Order inside a property is set by the windows.)"""
+def check_and_unduplicate(df: DataFrame, ordered: bool = False, unbroken: bool = False, parallel: bool = False) -> DataFrame:
+    """Run the checks, then merge each property's islands.
+
+    Dates are always checked.  The windows sort each property's listings themselves, so their order as stored, in which
+    a store may be partial, is checked on request, as are unbroken listings and listings that run side by side.
+    """
     check_dates(df)
+    if ordered:
+        check_order(df)
+    if unbroken:
+        check_unbroken(df)
+    if parallel:
+        check_parallel(df)
     return unduplicate(df)
 
 
 def keep_first(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The first row of each group of equal values, missing ones equal, in the given total order."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("_n = 1").drop("_n")
+    """The first row of each group of equal values, missing ones equal and first, in the given total order."""
+    return _kept(df, by, F.min_by(F.struct(*df.columns), F.struct(*order)))
 
 
 def keep_last(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
-    return keep_first(df, by, [F.col(c).desc() for c in order])
+    return _kept(df, by, F.max_by(F.struct(*df.columns), F.struct(*order)))
+
+
+def _kept(df: DataFrame, by: Sequence[str], row: Column) -> DataFrame:
+    """One aggregate, combined map-side: a large group is never sorted in one task."""
+    return df.groupBy(*[F.col(c).alias(f"_g_{c}") for c in by]).agg(row.alias("_row")).select("_row.*")
 
 
 def duplicate_groups(df: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -122,6 +137,20 @@ def check_order(df: DataFrame) -> None:
         raise UnorderedListingsError(f"{n} listings out of order, such as {bad.limit(3).collect()}")
 
 
+def parallel_listings(df: DataFrame) -> DataFrame:
+    """Rows first seen before another listing of their property, seen earlier, was last seen."""
+    props = property_columns(df)
+    order = Window.partitionBy(*props).orderBy("first_encounted", "last_encounted", "row_id").rowsBetween(Window.unboundedPreceding, -1)
+    beside = F.coalesce(F.col("first_encounted") < F.max("last_encounted").over(order), F.lit(False))
+    return df.withColumn("_beside", beside & ~_any_missing(props)).where("_beside").drop("_beside")
+
+
+def check_parallel(df: DataFrame) -> None:
+    n = parallel_listings(df).count()
+    if n:
+        raise ParallelListingsError(f"{n} listings run beside another of their property")
+
+
 def check_dates(df: DataFrame) -> None:
     n = df.where("first_encounted > last_encounted").count()
     if n:

@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import stats
+from ..operators import filters, stats
 from ..operators.islands import duplicate_groups, property_columns
 from ..operators.records import full_extend
+from ..sources.io import write_text
 from . import models
 from .design_matrix import DesignMatrix, Spec, accepted, combinations, design_matrix, encode_like, qc_rejects
 
@@ -22,6 +23,29 @@ def data_summary(df: DataFrame, kind: str) -> dict[str, DataFrame]:
     return {"counts": counts, "prices": stats.describe(kept, "price_min"), "rejected": qc_rejects(df, kind)}
 
 
+def summary_text(df: DataFrame, kind: str) -> str:
+    """The summary's counts and ratios as a few lines of text."""
+    counts = data_summary(df, kind)["counts"].first()
+    n, open_rows = counts["rows"], df.where("sequence_broken = false").count()
+    share = lambda k: k / n if n else float("nan")
+    return f"Filtered from {n} to {counts['kept']} records, {share(counts['kept']):.2f} remaining\nUnbroken sequences, {open_rows} of {n} records, {share(open_rows):.2f}\n"
+
+
+def qc_text(df: DataFrame, kind: str, most_rows: int = 20) -> str:
+    """What the price check and the general check turn away: counts, and the first rows of each by row id."""
+    lines, n = [], df.count()
+    for name, rejected in (("Price filter", qc_rejects(df, kind)), ("General filter", df.where(filters.rejected(filters.general_qc())))):
+        rows = rejected.orderBy("row_id").limit(most_rows).toPandas()
+        lines.append(f"{name} - from {n} to {rejected.count()} records:\n{rows.to_string(index=False) if len(rows) else '(none)'}\n")
+    return "\n".join(lines)
+
+
+def write_reports(df: DataFrame, kind: str, folder: str) -> None:
+    """The two texts as files of a local folder."""
+    write_text(summary_text(df, kind), f"{folder}/data_notes.txt")
+    write_text(qc_text(df, kind), f"{folder}/qc_data_filter_report.txt")
+
+
 def broken_sequences(df: DataFrame, kind: str) -> DataFrame:
     """All listings of properties listed more than once."""
     kept = accepted(df, kind)

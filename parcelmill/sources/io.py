@@ -7,7 +7,6 @@ names the current one.
 from __future__ import annotations
 
 import json
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,47 +55,68 @@ def write_table(df: DataFrame, kind: str, path: str, mode: str = "overwrite") ->
         df.write.mode(mode).parquet(path)
 
 
-def write_html(df: DataFrame, most_rows: int = 1000) -> str:
-    """A small table as HTML; larger ones are an error, since a page is made on the driver."""
+def write_html(df: DataFrame, most_rows: int = 1000, wrap: bool = True, path: str | None = None) -> str:
+    """A small table as HTML, its cells kept on one line unless `wrap`, and written to a local file if a path is given;
+    larger tables are an error, since a page is made on the driver."""
     rows = df.limit(most_rows + 1).toPandas()
     if len(rows) > most_rows:
         raise ValueError(f"more than {most_rows} rows")
-    return rows.to_html(index=False)
+    page = rows.to_html(index=False)
+    page = page if wrap else page.replace("<table ", '<table style="white-space: nowrap" ', 1)
+    if path is not None:
+        write_text(page, path)
+    return page
+
+
+def write_text(text: str, path: str) -> None:
+    with open(path, "w") as f:
+        f.write(text)
 
 
 class Store:
-    """A table kept as versions under one folder, on any file system Spark writes to."""
+    """A table kept as numbered versions under one folder, on any file system Spark writes to.
+
+    The current version is the complete one with the largest number: Spark marks a folder complete as the last step of
+    its write, so a write that breaks off at any point leaves the version before it current.  The versions before the
+    last `kept` are removed after a write.
+    """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-        self._jvm = spark.sparkContext._jvm
-        self._conf = spark.sparkContext._jsc.hadoopConfiguration()
+    def __init__(self, spark: SparkSession, path: str, kept: int = 3):
+        self.spark, self.path, self.kept = spark, path.rstrip("/"), kept
+        self._root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        self._fs = self._root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _hadoop(self, name: str):
-        p = self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return p.getFileSystem(self._conf), p
+    def _path(self, name: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+
+    def _numbers(self) -> list[int]:
+        """Numbers of all versions, complete or not."""
+        if not self._fs.exists(self._root):
+            return []
+        names = [f.getPath().getName() for f in self._fs.listStatus(self._root)]
+        return sorted(int(n[2:]) for n in names if n.startswith("v-") and n[2:].isdigit())
+
+    def _complete(self) -> list[int]:
+        return [n for n in self._numbers() if self._fs.exists(self._path(f"v-{n:012d}/_SUCCESS"))]
 
     def exists(self) -> bool:
-        fs, p = self._hadoop("CURRENT")
-        return fs.exists(p)
+        return bool(self._complete())
 
     def current(self) -> str:
-        return f"{self.path}/{self.spark.read.text(f'{self.path}/CURRENT').first()[0]}"
+        found = self._complete()
+        if not found:
+            raise FileNotFoundError(f"no complete version in {self.path}")
+        return f"{self.path}/v-{found[-1]:012d}"
 
     def read(self) -> DataFrame:
         return self.spark.read.parquet(self.current())
 
     def write(self, df: DataFrame) -> None:
-        """Write a new version, then move the pointer to it."""
-        version = f"v-{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.path}/{version}")
-        fs, p = self._hadoop("CURRENT.next")
-        out = fs.create(p, True)
-        out.write(bytearray(version.encode()))
-        out.close()
-        _, target = self._hadoop("CURRENT")
-        fs.delete(target, False)
-        fs.rename(p, target)
+        """Write the next version.  Two writers of one number cannot both succeed: the second finds the folder there."""
+        number = max(self._numbers(), default=0) + 1
+        df.write.parquet(f"{self.path}/v-{number:012d}")
+        for old in self._complete()[: -self.kept]:
+            self._fs.delete(self._path(f"v-{old:012d}"), True)
 
     def create_unless_exists(self, df: DataFrame) -> None:
         if not self.exists():
@@ -134,20 +154,28 @@ def write_pages(df: DataFrame, path: str) -> None:
 
 
 def write_matrix(matrix, path: str) -> None:
-    """X and y side by side; column names that Parquet would not take are numbered, and kept beside."""
+    """X and y side by side; column names that Parquet would not take are numbered.  Names, groups of columns and the
+    encoders' values are kept beside."""
     names = {c: f"x{i}" for i, c in enumerate(matrix.columns)}
-    matrix.table.select(*[c for c in ("row_id",) if c in matrix.table.columns], *[F.col(f"`{c}`").alias(n) for c, n in names.items()], F.col(matrix.y).alias("y")).write.mode("overwrite").parquet(f"{path}/table")
-    matrix.table.sparkSession.createDataFrame([(n, c) for c, n in names.items()], "name string, column string").write.mode("overwrite").parquet(f"{path}/names")
+    matrix.table.select(*[c for c in ("row_id",) if c in matrix.table.columns], *[F.col(f"`{c}`").alias(n) for c, n in names.items()], F.col(f"`{matrix.y}`").alias("y")).write.mode("overwrite").parquet(f"{path}/table")
+    notes = {"columns": matrix.columns, "categorical_groups": matrix.categorical_groups, "interaction_groups": matrix.interaction_groups, "encoded_columns": matrix.encoded_columns, "encoders": matrix.encoders}
+    matrix.table.sparkSession.createDataFrame([(json.dumps(notes),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/notes")
 
 
 def read_matrix(spark: SparkSession, path: str):
     from ..plans.design_matrix import DesignMatrix
 
-    names = {r["name"]: r["column"] for r in spark.read.parquet(f"{path}/names").collect()}
+    notes = json.loads(spark.read.text(f"{path}/notes", wholetext=True).first()[0])
     table = spark.read.parquet(f"{path}/table")
-    for n, c in names.items():
-        table = table.withColumnRenamed(n, c)
-    return DesignMatrix(table, [names[f"x{i}"] for i in range(len(names))], "y")
+    table = table.select(*[c for c in ("row_id",) if c in table.columns], *[F.col(f"x{i}").alias(c) for i, c in enumerate(notes["columns"])], "y")
+    groups = {k: [tuple(g) for g in notes[k]] for k in ("categorical_groups", "interaction_groups", "encoded_columns")}
+    return DesignMatrix(table, notes["columns"], "y", encoders=notes["encoders"], **groups)
+
+
+def write_xy_csv(matrix, path: str) -> None:
+    """X and y as two CSV tables with the row id, headers on."""
+    for name, columns in (("x", matrix.columns), ("y", [matrix.y])):
+        matrix.table.select("row_id", *[F.col(f"`{c}`") for c in columns]).write.mode("overwrite").option("header", True).csv(f"{path}/{name}")
 
 
 def write_failures(log: DataFrame, path: str) -> None:
