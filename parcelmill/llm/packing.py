@@ -11,15 +11,19 @@ from __future__ import annotations
 import sys
 import zlib
 from array import array
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ceil_div, column, prepare, texts, worker_cache
+from .common import ceil_div, column, materialise, prepare, texts, worker_cache
 
 WINDOW = 4096
+#: Numbers of sequences that one full window fills; those of shards lie below.
+FULL_FROM = 1 << 62
 #: Documents a shard is sized for.  A shard's rows are six numbers each.
 SHARD_DOCS = 25_000
 #: Entries of a worker's cache of word ids; longer words are encoded anew.
@@ -132,22 +136,31 @@ def encode_docs(path: str, docs: list[str]) -> list[bytes]:
 
 
 def cut_pieces(docs: DataFrame, tokenizer_path: str, separator: int, window: int = WINDOW) -> DataFrame:
-    """One row per piece: full windows of each document, then what is left (documents always end in the separator)."""
+    """One row per piece: full windows of each document, then what is left (documents always end in the separator).
+
+    repeat tells a piece from equal ones before it in its task: 0 for the first.
+    """
     end = packed([separator])
     step = 4 * window
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "repeat"]
 
     def cut(batches):
+        seen: Counter[tuple[int | None, int]] = Counter()
+        task = TaskContext.get().partitionId() << 32
         for batch in batches:
-            rows: list[list] = [[], [], [], [], []]
+            rows: list[list] = [[] for _ in names]
             for doc_id, ids in zip(column(batch, "doc_id"), encode_docs(tokenizer_path, texts(batch)), strict=True):
                 ids += end
+                name = (doc_id, zlib.crc32(ids))
+                repeat = task + seen[name] if seen[name] else 0
+                seen[name] += 1
                 for at in range(0, len(ids), step):
                     part = ids[at : at + step]
-                    for values, value in zip(rows, (doc_id, at // 4, len(part) // 4, zlib.crc32(part), len(ids) // 4), strict=True):
+                    for values, value in zip(rows, (doc_id, at // 4, len(part) // 4, zlib.crc32(part), len(ids) // 4, repeat), strict=True):
                         values.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in rows], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in rows], names)
 
-    return docs.select("doc_id", "text").mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    return docs.select("doc_id", "text").mapInArrow(cut, ", ".join(f"{n} long" for n in names))
 
 
 class OpenWindows:
@@ -212,16 +225,21 @@ def pack(docs: DataFrame, tokenizer_path: str, separator: int = 2, window: int =
     result is the same on every run; repeated rows are packed as often as they come; an empty table gives no rows.
     """
     prepare(docs.sparkSession)
-    n_shards = max(1, ceil_div(docs.count(), shard_docs))
-    pieces = cut_pieces(docs, tokenizer_path, separator, window)
-    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(n_shards)).cast("long"))
+    pieces = materialise(cut_pieces(docs, tokenizer_path, separator, window), "pieces")
+    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    # A full window shares with nothing: it is a sequence of its own, and is not moved.
+    full = pieces.where(F.col("length") == window).withColumns({"sequence_id": F.monotonically_increasing_id() + FULL_FROM, "offset": F.lit(0).cast("long")})
+    parts = pieces.where(F.col("length") < window)
+    n_shards = max(1, ceil_div(parts.count(), shard_docs))
+    # Equal rows are dealt apart, so one that comes very often is spread over all shards.
+    shard = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "repeat"), F.lit(n_shards)).cast("long").alias("shard")
 
     def place(key, rows):
         rows = rows.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
         sequences, offsets = best_fit_decreasing(rows["length"].to_numpy(), window)
-        rows["sequence_id"] = (int(key[0]) << 36) + sequences
+        rows["sequence_id"] = (int(key[0]) << 32) + sequences
         rows["offset"] = offsets
-        return rows[["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]]
+        return rows[columns]
 
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return pieces.repartition(n_shards, "shard").groupBy("shard").applyInPandas(place, schema)
+    packed_parts = parts.select("*", shard).repartition(n_shards, "shard").groupBy("shard").applyInPandas(place, ", ".join(f"{c} long" for c in columns))
+    return packed_parts.unionByName(full.select(*columns))

@@ -1,9 +1,9 @@
 """Approximate nearest neighbours by a permutation index.
 
-Every vector is represented by the order of its nearest pivots.  A shard of vectors posts them in one inverted file
-per pivot, holding each vector's position of that pivot; a query adds up, over the files of its own nearest pivots,
-the footrule distance between its order and every vector's.  The nearest by footrule, ties included, are reranked by
-exact Euclidean distance, and shards' best are merged.
+Every vector is represented by the order of its nearest pivots.  A shard of vectors posts them in one inverted file for
+each pivot: the vectors that have the pivot in their order, with the place it takes there.  A query reads the files of
+the pivots in its own order only, which add up to the footrule distance between its order and every vector's.  The
+nearest by footrule, ties included, are reranked by exact Euclidean distance, and shards' best are merged.
 """
 
 from __future__ import annotations
@@ -15,16 +15,16 @@ from pyspark.sql import functions as F
 
 from .common import ceil_div, prepare
 
-#: Vectors the pivots are chosen from, pivots, pivots in an order.
+#: Vectors the pivots are chosen from (a bounded sample; every vector is indexed), pivots, pivots in an order.
 PIVOT_SAMPLE = 2048
-PIVOTS = 256
+PIVOTS = 1024
 ORDER = 128
-#: Share of a shard's vectors that the footrule ranking passes on, and the fewest of them.
-CANDIDATE_SHARE = 0.3
-LEAST_CANDIDATES = 1000
+#: Share of a shard's vectors that the footrule ranking passes on, and candidates for each neighbour asked for at least.
+CANDIDATE_SHARE = 0.04
+CANDIDATES_EACH = 10
 #: Vectors and queries in a task.
 SHARD_VECTORS = 16_384
-BLOCK_QUERIES = 4_096
+BLOCK_QUERIES = 16_384
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -52,44 +52,49 @@ def spread(sample: np.ndarray, n: int) -> np.ndarray:
 
 
 def orders(vectors: np.ndarray, pivots: np.ndarray, size: int) -> np.ndarray:
-    """The size nearest pivots of each vector, nearest first."""
+    """The size nearest pivots of each vector, nearest first; of equally near ones the earlier pivot first."""
     distance = (pivots**2).sum(1)[None] - 2 * vectors @ pivots.T
-    return np.argsort(distance, axis=1, kind="stable")[:, :size]
+    if size >= len(pivots):
+        return np.argsort(distance, axis=1, kind="stable")
+    near = np.sort(np.argpartition(distance, size - 1, axis=1)[:, :size], axis=1)
+    return np.take_along_axis(near, np.argsort(np.take_along_axis(distance, near, 1), axis=1, kind="stable"), 1)
 
 
 class PivotFiles:
-    """One inverted file per pivot: the position that pivot takes in the order of each of the shard's vectors."""
+    """One inverted file per pivot: the shard's vectors that have it in their order, and its place there."""
 
     def __init__(self, vectors: np.ndarray, pivots: np.ndarray, order: int):
         self.pivots, self.order, self.n = pivots, min(order, len(pivots)), len(vectors)
-        self.files = np.full((len(pivots), len(vectors)), self.order, np.int16)
-        for at in range(0, len(vectors), 4096):
-            found = orders(vectors[at : at + 4096], pivots, self.order)
-            self.files[found, np.arange(at, at + len(found))[:, None]] = np.arange(self.order, dtype=np.int16)[None]
-
-    def footrule(self, order: np.ndarray) -> np.ndarray:
-        """Footrule distance of a query's order to every vector's, less a constant.
-
-        Pivots outside both orders add nothing; those of a vector alone add what its others leave of a fixed sum.
+        found = np.concatenate([orders(vectors[at : at + 4096], pivots, self.order) for at in range(0, len(vectors), 4096)])
+        pivot = found.ravel()
+        by_pivot = np.argsort(pivot, kind="stable")
+        self.vectors = (by_pivot // self.order).astype(np.int32)
+        self.places = (by_pivot % self.order).astype(np.int16)
+        self.starts = np.searchsorted(pivot[by_pivot], np.arange(len(pivots) + 1))
+
+    def nearness(self, order: np.ndarray) -> np.ndarray:
+        """What every vector's footrule distance from a query's order lies below the distance of orders without a common
+        pivot (half of it).
+
+        A pivot outside an order has the place `self.order` there: one that both hold, at p and q, takes
+        2 * (self.order - max(p, q)) off the sum, and no other pivot takes anything off.
         """
-        total = np.zeros(self.n, np.int32)
-        for place, pivot in enumerate(order.tolist()):
-            file = self.files[pivot]
-            total += np.abs(file - np.int16(place))
-            total += file
-        return total
+        spans = [slice(self.starts[p], self.starts[p + 1]) for p in order.tolist()]
+        place = np.repeat(np.arange(len(order), dtype=np.int16), [s.stop - s.start for s in spans])
+        shared = self.order - np.maximum(np.concatenate([self.places[s] for s in spans]), place)
+        return np.bincount(np.concatenate([self.vectors[s] for s in spans]), shared, self.n)
 
     def candidates(self, order: np.ndarray, share: float, least: int) -> np.ndarray:
         wanted = max(least, int(np.ceil(share * self.n)))
         if wanted >= self.n:
             return np.arange(self.n)
-        total = self.footrule(order)
-        return np.flatnonzero(total <= np.partition(total, wanted - 1)[wanted - 1])
+        near = self.nearness(order)
+        return np.flatnonzero(near >= np.partition(near, self.n - wanted)[self.n - wanted])
 
 
-def nearest(files: PivotFiles, ids: np.ndarray, vectors: np.ndarray, query_id: int, query: np.ndarray, order: np.ndarray, k: int, share: float, least: int):
+def nearest(files: PivotFiles, ids: np.ndarray, vectors: np.ndarray, query_id: int, query: np.ndarray, order: np.ndarray, k: int, share: float):
     """ids and exact distances of the k nearest candidates, nearest first, ties to the smaller id."""
-    at = files.candidates(order, share, least)
+    at = files.candidates(order, share, CANDIDATES_EACH * k)
     at = at[ids[at] != query_id]
     distance = np.sqrt(((vectors[at] - query) ** 2).sum(1))
     if len(at) > k:
@@ -100,17 +105,18 @@ def nearest(files: PivotFiles, ids: np.ndarray, vectors: np.ndarray, query_id: i
 
 
 def search(
-    vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", n_pivots: int = PIVOTS, order: int = ORDER, share: float = CANDIDATE_SHARE, least: int = LEAST_CANDIDATES
+    vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", n_pivots: int = PIVOTS, order: int = ORDER, share: float = CANDIDATE_SHARE
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id and score (Euclidean distance) of each query's k nearest found vectors.
 
     Vectors that are null, empty, zero, or hold a null or non-finite component take no part, as base or as query; nor
     do null ids.  Vectors of different lengths are never compared.  A query's own id is no candidate; repeated ids are
-    candidates each.  Ties go to the smaller id.  Empty tables give no rows.
+    candidates each.  Queries of one id with different vectors are ranked apart; equal ones are one query.  Ties go to
+    the smaller id.  Empty tables give no rows.
     """
     spark = vectors.sparkSession
     prepare(spark)
-    base, asked = usable(vectors, id_col, vec_col), usable(queries, id_col, vec_col)
+    base, asked = usable(vectors, id_col, vec_col), usable(queries, id_col, vec_col).dropDuplicates(["vec_id", "v"]).withColumn("query", F.xxhash64("v"))
     by_hash = Window.partitionBy("dim").orderBy(F.xxhash64("vec_id"), "vec_id")
     sample: dict[int, list] = {}
     for r in base.withColumn("n", F.row_number().over(by_hash)).where(F.col("n") <= PIVOT_SAMPLE).select("dim", "v").collect():
@@ -123,27 +129,28 @@ def search(
     asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("long")).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_shards - 1).cast("long"))))
 
     def meet(key, left, right):
-        rows: list[list] = [[], [], []]
+        rows: list[list] = [[], [], [], []]
         if left.num_rows and right.num_rows:
             dim = key[0].as_py()
             mine, wanted = matrix(left, "v", dim), matrix(right, "v", dim)
             pivots = sent.value[dim]
             files = PivotFiles(mine, pivots, order)
             found = orders(wanted, pivots, files.order)
-            mine_ids, wanted_ids = ints_of(left), ints_of(right)
+            mine_ids, wanted_ids, names = ints_of(left, "vec_id"), ints_of(right, "vec_id"), ints_of(right, "query")
             for i, query_id in enumerate(wanted_ids.tolist()):
-                near, distance = nearest(files, mine_ids, mine, query_id, wanted[i], found[i], k, share, least)
+                near, distance = nearest(files, mine_ids, mine, query_id, wanted[i], found[i], k, share)
+                rows[3] += [names[i]] * len(near)
                 rows[0] += [query_id] * len(near)
                 rows[1] += near.tolist()
                 rows[2] += distance.tolist()
-        return pa.table({"query_id": pa.array(rows[0], pa.int64()), "vec_id": pa.array(rows[1], pa.int64()), "score": pa.array(rows[2], pa.float64())})
+        return pa.table({"query_id": pa.array(rows[0], pa.int64()), "vec_id": pa.array(rows[1], pa.int64()), "score": pa.array(rows[2], pa.float64()), "query": pa.array(rows[3], pa.int64())})
 
     keys = ["dim", "shard", "block"]
     found = asked.groupBy(*keys)
-    met = base.groupBy(*keys).cogroup(found).applyInArrow(meet, "query_id long, vec_id long, score double")
-    ranked = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    met = base.groupBy(*keys).cogroup(found).applyInArrow(meet, "query_id long, vec_id long, score double, query long")
+    ranked = F.row_number().over(Window.partitionBy("query_id", "query").orderBy("score", "vec_id"))
     return met.withColumn("rank", ranked).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def ints_of(table: pa.Table) -> np.ndarray:
-    return table.column("vec_id").to_numpy()
+def ints_of(table: pa.Table, name: str) -> np.ndarray:
+    return table.column(name).to_numpy()

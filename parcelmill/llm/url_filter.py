@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import U64, column, prepare
+from .common import U64, column, materialise, prepare
 
 #: Path lengths in the list are broadcast only up to this many; past it, every prefix of a path is probed.
 MAX_LENGTHS = 4096
@@ -33,14 +33,25 @@ def with_host_path(pages: DataFrame, url: str = "url") -> DataFrame:
     return pages.withColumns({"host": lower, "path": F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)})
 
 
-def candidates(host: str, path: str, lengths: np.ndarray | None) -> list[tuple[int, int]]:
-    """(start of the parent domain in host, length of the path prefix) of every key that could fit."""
+def candidates(host: str, path: str, lengths: np.ndarray | None) -> tuple[list[tuple[int, int]], list[int]]:
+    """(start of the parent domain in host, length of the path prefix) of every key that could fit, and the keys' hashes.
+
+    A path's prefixes are hashed one after the other, each from the one before it: no prefix is written out.
+    """
     starts, at = [0], host.find(".")
     while at >= 0:
         starts.append(at + 1)
         at = host.find(".", at + 1)
     sizes = range(len(path) + 1) if lengths is None else lengths[lengths <= len(path)].tolist()
-    return [(s, n) for s in starts for n in sizes]
+    places, hashes = [], []
+    for start in starts:
+        running, done = xxhash.xxh64(f"{host[start:]}\u0001"), 0
+        for size in sizes:
+            running.update(path[done:size].encode())
+            done = size
+            places.append((start, size))
+            hashes.append(running.intdigest())
+    return places, hashes
 
 
 def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", id_col: str = "page_id", default: str = "allow") -> DataFrame:
@@ -66,17 +77,14 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", id_col: st
         n_blocks, data, lengths = sent.value
         mine = bloom.BlockedBloom(n_blocks, data)
         for batch in batches:
-            rows, keys = [], []
-            seen: dict[tuple[str, str], None] = dict.fromkeys(zip(column(batch, "host"), column(batch, "path"), strict=True))
-            for host, path in seen:
-                for s, n in candidates(host, path, lengths) if host else ():
-                    rows.append((host, path))
-                    keys.append(f"{host[s:]}\u0001{path[:n]}")
-            passed = np.flatnonzero(mine.might_hold(key_hashes(keys)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([rows[i][0] for i in passed], pa.string()), pa.array([rows[i][1] for i in passed], pa.string()), pa.array([keys[i] for i in passed], pa.string())],
-                ["host", "path", "listed_key"],
-            )
+            rows: list[list[str]] = [[], [], []]
+            for host, path in dict.fromkeys(zip(column(batch, "host"), column(batch, "path"), strict=True)):
+                places, hashes = candidates(host, path, lengths) if host else ([], [])
+                for i in np.flatnonzero(mine.might_hold(np.array(hashes, U64))):
+                    start, size = places[i]
+                    for values, value in zip(rows, (host, path, f"{host[start:]}\u0001{path[:size]}"), strict=True):
+                        values.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(r, pa.string()) for r in rows], ["host", "path", "listed_key"])
 
     # Distinct (host, path) pairs carry the hits, so a url that a third of the pages share is judged once.
     hits = parsed.select("host", "path").mapInArrow(probe, "host string, path string, listed_key string").distinct()
@@ -86,4 +94,6 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", id_col: st
         .agg(F.min_by(F.struct("rule", "verdict"), F.struct(-F.length("rule"), -F.col("host_size"), F.col("verdict"))).alias("best"))
         .select("host", "path", F.col("best.rule").alias("rule"), F.col("best.verdict").alias("verdict"))
     )
+    # Written apart from the join, so that a hot url's pages can be split over tasks there.
+    best = materialise(best, "url-verdicts")
     return parsed.join(best, ["host", "path"], "left").select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))

@@ -55,9 +55,40 @@ def test_neighbours_equal_brute_force_on_a_small_table(spark):
     assert [v for v, _ in got[906]] == [907]
 
 
-def test_neighbour_recall(spark):
+def random_vectors(rng, n):
+    return rng.normal(size=(n, 64))
+
+
+def clustered_vectors(rng, n):
+    centres = rng.normal(size=(40, 64))
+    return centres[rng.integers(0, 40, n)] + 0.35 * rng.normal(size=(n, 64))
+
+
+@pytest.mark.parametrize("make", [random_vectors, clustered_vectors])
+def test_neighbour_recall_on_a_full_shard(make):
+    """With the query's own settings: a few hundredths of the vectors are reranked."""
     rng = np.random.default_rng(2)
-    vectors = rng.normal(size=(6000, 32))
+    vectors = make(rng, permutation_index.SHARD_VECTORS)
+    pivots = permutation_index.spread(vectors[rng.choice(len(vectors), permutation_index.PIVOT_SAMPLE, replace=False)], permutation_index.PIVOTS)
+    files, ids = permutation_index.PivotFiles(vectors, pivots, permutation_index.ORDER), np.arange(len(vectors))
+    hits = reranked = 0
+    asked = list(range(0, len(vectors), 163))
+    for q in asked:
+        order = permutation_index.orders(vectors[q : q + 1], pivots, files.order)[0]
+        reranked += len(files.candidates(order, permutation_index.CANDIDATE_SHARE, 100))
+        found, _ = permutation_index.nearest(files, ids, vectors, q, vectors[q], order, 10, permutation_index.CANDIDATE_SHARE)
+        d = ((vectors - vectors[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hits += len(set(found.tolist()) & set(np.argsort(d)[:10].tolist()))
+    assert hits / (10 * len(asked)) >= 0.9
+    assert reranked / (len(asked) * len(vectors)) < 0.05
+
+
+def test_neighbours_over_several_shards(spark, monkeypatch):
+    monkeypatch.setattr(permutation_index, "SHARD_VECTORS", 1500)
+    monkeypatch.setattr(permutation_index, "BLOCK_QUERIES", 20)
+    rng = np.random.default_rng(3)
+    vectors = random_vectors(rng, 6000)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
     got = defaultdict(set)
     for r in permutation_index.search(df, df.where("vec_id % 100 = 0"), k=10).collect():
@@ -70,6 +101,23 @@ def test_neighbour_recall(spark):
     assert hits / 600 >= 0.9
 
 
+def test_nearness_is_the_footrule():
+    rng = np.random.default_rng(4)
+    vectors, pivots = rng.normal(size=(200, 6)), rng.normal(size=(30, 6))
+    files = permutation_index.PivotFiles(vectors, pivots, 12)
+    found = permutation_index.orders(vectors, pivots, 12)
+    place = lambda order, p: int(np.flatnonzero(order == p)[0]) if p in order else 12
+    for q in range(5):
+        footrule = [sum(abs(place(found[q], p) - place(found[v], p)) for p in range(30)) for v in range(200)]
+        assert (2 * (12 * 13 // 2) - np.array(footrule) == 2 * files.nearness(found[q])).all()
+
+
+def test_queries_of_one_id(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0]), (1, [0.0, 1.0]), (2, [0.9, 0.1]), (3, [0.1, 0.9])], "vec_id long, embedding array<double>")
+    got = sorted((r["rank"], r["vec_id"]) for r in permutation_index.search(df, df.where("vec_id = 1"), k=2).collect())
+    assert got == [(1, 2), (1, 3), (2, 2), (2, 3)]
+
+
 # --- urls ----------------------------------------------------------------------------------------------------------
 
 
@@ -97,6 +145,17 @@ def test_url_filter_of_many_keys(spark):
     assert url_filter.filter_urls(pages, rules.limit(0)).where("verdict = 'allow'").count() == pages.count()
 
 
+@pytest.mark.parametrize("most", [4096, 2])
+def test_long_paths_and_a_hot_url(spark, most, monkeypatch):
+    monkeypatch.setattr(url_filter, "MAX_LENGTHS", most)
+    long = "/" + "a" * 100_000
+    rules = spark.createDataFrame([("a.com", long, "block"), ("a.com", "/", "allow"), ("b.com", "/hot", "block"), ("b.com", "/é", "block")], "host string, path string, verdict string")
+    urls = [f"http://x.a.com{long}z", f"http://a.com{long[:-1]}", "http://b.com/él"] + ["http://b.com/hot/page"] * 500
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()}
+    assert got[0] == (f"a.com{long}", "block") and got[1] == ("a.com/", "allow") and got[2] == ("b.com/é", "block")
+    assert len(got) == 503 and {got[i] for i in range(3, 503)} == {("b.com/hot", "block")}
+
+
 # --- toxicity ------------------------------------------------------------------------------------------------------
 
 
@@ -191,6 +250,15 @@ def test_repeated_rows_are_packed_each(spark):
     assert packing.pack(documents(spark, rows), WORD_BPE).where("start = 0").count() == len(rows)
 
 
+def test_rows_repeated_by_the_thousand_are_dealt_apart(spark):
+    docs = documents(spark, [(None, None)] * 2000 + [(1, "same")] * 2000).coalesce(2)
+    found = packing.pack(docs, WORD_BPE, shard_docs=100)
+    sizes = [r["count"] for r in found.groupBy(F.shiftright("sequence_id", 32)).count().collect()]
+    assert sum(sizes) == 4000 and max(sizes) < 400
+    assert found.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 4096").isEmpty()
+    assert found.groupBy("sequence_id", "offset").count().where("count > 1").isEmpty()
+
+
 # --- mixing --------------------------------------------------------------------------------------------------------
 
 
