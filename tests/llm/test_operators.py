@@ -303,6 +303,34 @@ def test_languages_apart(spark):
     assert {r["lang_pred"] for r in language_id.identify(docs, docs.limit(0)).collect()} == {"und"}
 
 
+def plain_grams(text):
+    counts = Counter()
+    for word in "".join(c if c.isalpha() else " " for c in text.lower()).split():
+        counts.update(word)
+        marked = f"\x01{word}\x01"
+        for n in (2, 3, 4):
+            counts.update(marked[i : i + n] for i in range(len(marked) - n + 1))
+    return counts
+
+
+def test_languages_equal_a_plain_version(spark):
+    rng = random.Random(18)
+    letters = {"en": "eeeeetttaaoinshr", "fr": "eeessaaitnruléèù", "ja": "のにるをはがとでし日本"}
+    rows = [(i, " ".join("".join(rng.choices(letters[k], k=rng.randint(1, 9))) for _ in range(rng.randint(1, 30))), k) for i in range(90) for k in [sorted(letters)[i % 3]]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    order = lambda counts: [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], len(x[0]), x[0]))][:60]
+    totals = defaultdict(Counter)
+    for i, t, k in rows:
+        if i % 2 == 0:
+            totals[k] += plain_grams(t)
+    profiles = {k: {g: n for n, g in enumerate(order(totals[k]))} for k in sorted(totals)}
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.identify(docs, docs.where("doc_id % 2 = 0"), ranks=60).collect()}
+    for i, t, _ in rows:
+        own = order(plain_grams(t))
+        far = sorted((sum(abs(p.get(g, 60) - n) for n, g in enumerate(own)), k) for k, p in profiles.items())
+        assert got[i][0] == far[0][1] and abs(got[i][1] - max(0, 1 - far[0][0] / far[1][0])) < 1e-12
+
+
 # --- lines ---------------------------------------------------------------------------------------------------------
 
 
@@ -472,6 +500,46 @@ def test_search_equals_brute_force(spark, entries, monkeypatch):
         assert got[q] == [(i, round(-s, 6)) for s, i in sorted(scored)[:7]], q
 
 
+def searched(rows, queries, first_blocks=None):
+    """Best of all rows, in shards of 512, and the share of blocks skipped."""
+    ids, counted = np.array([i for i, _ in rows]), [topk_search.term_counts(t) for _, t in rows]
+    keys, df = np.unique(np.concatenate([k for k, _ in counted]), return_counts=True)
+    mean = sum(int(c.sum()) for _, c in counted) / len(rows)
+    held = [topk_search.term_counts(q)[0] for q in queries]
+    terms = np.concatenate(held)
+    of_term = df[np.searchsorted(keys, terms)]
+    idf = np.log(1 + (len(rows) - of_term + 0.5) / (of_term + 0.5))
+    block = topk_search.QueryBlock(np.arange(len(queries)), np.repeat(np.arange(len(queries)), [len(h) for h in held]), terms, idf)
+    best = topk_search.Best(len(queries), 10)
+    for at in range(0, len(rows), 512):
+        part = counted[at : at + 512]
+        topk_search.Shard(block, ids[at : at + 512], [k for k, _ in part], [c for _, c in part], mean).search(best)
+    return best
+
+
+def test_pruning_skips_blocks_and_changes_no_result(monkeypatch):
+    rng = random.Random(17)
+    vocabularies = [[f"{w}{k}" for w in WORDS for _ in range(1)] for k in range(6)]
+    rows = []
+    for i in range(3000):
+        words = vocabularies[i % 6]
+        rows.append((i, " ".join(rng.choices(words, [1 / (k + 1) for k in range(len(words))], k=rng.randint(5, 80)))))
+    for queries, least in (([t for _, t in rows[:30]], 0.5), ([f"{WORDS[k]}0 {WORDS[-k]}1" for k in range(1, 20)], 0.5)):
+        found = searched(rows, queries)
+        monkeypatch.setattr(topk_search, "FIRST_BLOCKS", 10**6)  # every block is scored
+        whole = searched(rows, queries)
+        monkeypatch.undo()
+        assert (found.ids == whole.ids).all() and np.allclose(found.scores, whole.scores)
+        assert found.skipped / found.blocks > least
+
+
+def test_search_queries_of_one_id(spark):
+    docs = documents(spark, [(1, "aa bb"), (2, "cc dd"), (3, "aa"), (4, "dd")])
+    queries = documents(spark, [(7, "aa"), (7, "dd"), (7, "dd")])
+    got = sorted((r["rank"], r["doc_id"]) for r in topk_search.search(docs, queries, k=1).collect())
+    assert got == [(1, 3), (1, 4)]
+
+
 # --- n-gram join ---------------------------------------------------------------------------------------------------
 
 
