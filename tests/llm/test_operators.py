@@ -262,22 +262,50 @@ def test_rows_repeated_by_the_thousand_are_dealt_apart(spark):
 # --- mixing --------------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("cells", [100_000, 0])
-def test_mixing_meets_its_targets(spark, cells):
+def plain_raking(rows, targets):
+    """Weights of cells by turns of plain proportional fitting."""
+    tokens = Counter()
+    for r in rows:
+        tokens[(r["source"], r["lang"], r["topic"])] += r["n_tokens"]
+    weight, total = {c: 1.0 for c in tokens}, sum(tokens.values())
+    for _ in range(500):
+        for d in range(3):
+            now = Counter()
+            for c, n in tokens.items():
+                now[c[d]] += weight[c] * n
+            for c in tokens:
+                weight[c] *= targets[d][c[d]] * total / now[c[d]]
+    return weight
+
+
+@pytest.mark.parametrize("broadcast", [100_000, 0])
+def test_mixing_equals_plain_raking(spark, broadcast, monkeypatch):
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", broadcast)
     rng = random.Random(9)
     docs = documents(spark, [(i, sentence(rng, rng.randint(5, 80))) for i in range(400)])
-    targets = {"lang": {"en": 0.3, "fr": 0.7}}
-    rows = mixing.mix(docs, targets, budget=0.4, max_cells=cells).collect()
+    rows = mixing.mix(docs, {"lang": {"en": 0.3, "fr": 0.7}}, budget=0.4).collect()
     assert len(rows) == 400
-    total = sum(r["weight"] * r["n_tokens"] for r in rows)
-    assert abs(sum(r["weight"] * r["n_tokens"] for r in rows if r["lang"] == "fr") / total - 0.7) < 1e-3
-    assert abs(sum(r["probability"] * r["n_tokens"] for r in rows) / sum(r["n_tokens"] for r in rows) - 0.4) < 0.01
-    drawn = sum(r["n_tokens"] for r in rows if r["selected"]) / sum(r["n_tokens"] for r in rows)
-    assert abs(drawn - 0.4) < 0.12
+    totals = [Counter(), Counter()]
+    for r in rows:
+        totals[0][r["source"]] += r["n_tokens"]
+        totals[1][r["topic"]] += r["n_tokens"]
+    source, topic = ({k: n**0.5 / sum(m**0.5 for m in t.values()) for k, n in t.items()} for t in totals)
+    want = plain_raking(rows, [source, {"en": 0.3, "fr": 0.7}, topic])
+    assert all(abs(r["weight"] / want[(r["source"], r["lang"], r["topic"])] - 1) < 1e-5 for r in rows)
+    size = sum(r["n_tokens"] for r in rows)
+    assert abs(sum(r["probability"] * r["n_tokens"] for r in rows) / size - 0.4) < 1e-6
+    assert abs(sum(r["n_tokens"] for r in rows if r["selected"]) / size - 0.4) < 0.12
+
+
+def test_mixing_by_stated_columns_and_targets_that_cannot_be_met(spark):
+    docs = spark.createDataFrame([(i, "x y", "en" if i % 2 else "fr", f"s{i % 2}", f"t{i % 3}", i) for i in range(60)], "doc_id long, text string, lang string, source string, topic string, n long")
+    with pytest.warns(UserWarning, match="off its target"):
+        rows = mixing.mix(docs, {"lang": {"en": 0.9, "fr": 0.1}, "source": {"s0": 0.9, "s1": 0.1}}, topic_col="topic", tokens_col="n").collect()
+    assert {r["topic"] for r in rows} == {"t0", "t1", "t2"} and all(r["n_tokens"] == r["n"] for r in rows)
 
 
 def test_mixing_odd_rows(spark):
-    docs = documents(spark, odd_rows()).withColumns({c: F.lit("mine") for c in ("weight", "topic", "selected", "tokens", "wanted")})
+    docs = documents(spark, odd_rows()).withColumns({c: F.lit("mine") for c in ("weight", "topic", "selected", "tokens", "wanted", "_topic", "_weight", "_source", "_row")})
     docs = docs.unionByName(docs.limit(1).withColumns({"source": F.lit(None).cast("string"), "lang": F.lit(None).cast("string")}))
     rows = mixing.mix(docs).collect()
     assert len(rows) == len(odd_rows()) + 1 and all(0 <= r["probability"] <= 1 for r in rows)

@@ -153,19 +153,21 @@ def test_prefixes_meet():
         assert set(sorted(small)[: ngram_join.index_size(len(small))]) & set(sorted(large)[: ngram_join.probe_size(len(large))])
 
 
-def test_raking_meets_every_target():
-    import pandas as pd
-
+def test_raking_a_matrix_meets_both_targets():
     rng = np.random.default_rng(7)
-    cells = pd.DataFrame([(f"s{i}", f"l{j}", str(k), int(rng.integers(1, 1000))) for i in range(5) for j in range(3) for k in range(4)], columns=["source", "lang", "topic", "tokens"])
-    targets = {d: mixing.target_shares(cells.groupby(d)["tokens"].sum().to_dict(), None) for d in mixing.DIMENSIONS}
-    w = mixing.rake(cells, targets)
-    total = (w * cells["tokens"]).sum()
-    for d in mixing.DIMENSIONS:
-        for value, share in targets[d].items():
-            assert abs((w * cells["tokens"])[cells[d] == value].sum() / total - share) < 1e-6
-    c = mixing.scale_for(cells["tokens"].to_numpy(), w, 0.5)
-    assert abs((cells["tokens"] * np.minimum(1, c * w)).sum() / cells["tokens"].sum() - 0.5) < 1e-9
+    totals = rng.integers(1, 1000, (5, 4)).astype(float)
+    rows, columns = rng.dirichlet(np.ones(5)) * 100, rng.dirichlet(np.ones(4)) * 100
+    found = totals * mixing.rake(totals, rows, columns)
+    assert np.allclose(found.sum(1), rows) and np.allclose(found.sum(0), columns)
+
+
+def test_topics_part_vocabularies():
+    rng = random.Random(19)
+    words = [[f"{x}word{k}" for k in range(30)] for x in ("alpha", "beta", "gamma")]
+    texts = [" ".join(rng.choices(words[i % 3], k=40)) for i in range(300)]
+    idf, middle = mixing.fit_topics(texts)
+    own = (mixing.vectors([mixing.word_places(mixing.words_of(t), {}) for t in texts], idf) @ middle.T).argmax(1)
+    assert all(not set(own[i::3]) & set(own[j::3]) for i, j in ((0, 1), (0, 2), (1, 2)))
 
 
 def kneser_ney(words, order, shared):
