@@ -45,7 +45,8 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def draw_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn by probabilities raked to tempered source, language and topic shares, half of the tokens."""
-    return mixing.mixed(docs).where("_selected").select(*docs.columns)
+    found, names = mixing.mixed(docs)
+    return found.where(F.col(names["selected"])).select(*docs.columns)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
