@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 U64 = np.uint64
 #: Bytes in one Arrow batch: texts can be long, and a Python worker holds a few batches' worth of objects.
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 
 
 def prepare(spark: SparkSession) -> None:

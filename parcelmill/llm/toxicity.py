@@ -41,6 +41,7 @@ LEAST_CALIBRATION = 20
 MARGINS = (2.0, 3.0)
 CACHE_ENTRIES = 300_000
 CACHE_CHARS = 48
+GROUP_CHARS = 100_000
 
 WORD = re.compile(r"[^\W_]+")
 PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], U64)
@@ -77,6 +78,19 @@ def hashed(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return grams[:, events], contexts[:, events], index[events]
 
 
+def groups_of(words: list[str]):
+    """Words in groups of about GROUP_CHARS characters: what is worked out of them takes some hundred bytes a character."""
+    group, size = [], 0
+    for word in words:
+        group.append(word)
+        size += len(word) + 1
+        if size >= GROUP_CHARS:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
+
+
 def gram_counts(train: DataFrame) -> DataFrame:
     """g1 .. g5, c2 .. c5, ordinary and toxic: the longest n-gram of every event with its suffixes and contexts, and how
     often it comes in either class, over all training texts (text, toxic); summed in each partition first."""
@@ -86,19 +100,17 @@ def gram_counts(train: DataFrame) -> DataFrame:
         counts: tuple[Counter, Counter] = (Counter(), Counter())
 
         def emit():
-            words = list(counts[0].keys() | counts[1].keys())
-            if not words:
-                return
-            grams, contexts, index = hashed(words)
-            weights = [np.fromiter((c[w] for w in words), np.float64, len(words))[index] for c in counts]
-            # Equal longest grams have equal suffixes and contexts.
-            longest = grams[(grams > 0).sum(0), np.arange(grams.shape[1])]
-            _, first, inverse = np.unique(longest, return_index=True, return_inverse=True)
-            columns = [*grams[1:, first], *contexts[2:, first]]
-            sums = [np.bincount(inverse, w, len(first)).astype(np.int64) for w in weights]
-            for at in range(0, len(first), 50_000):
-                part = slice(at, at + 50_000)
-                yield pa.RecordBatch.from_arrays([pa.array(c[part].view(np.int64)) for c in columns] + [pa.array(x[part]) for x in sums], names)
+            # Words in order of their letters share n-grams with their neighbours.
+            every = sorted(counts[0].keys() | counts[1].keys())
+            for words in groups_of(every):
+                grams, contexts, index = hashed(words)
+                weights = [np.fromiter((c[w] for w in words), np.float64, len(words))[index] for c in counts]
+                # Equal longest grams have equal suffixes and contexts.
+                longest = grams[(grams > 0).sum(0), np.arange(grams.shape[1])]
+                _, first, inverse = np.unique(longest, return_index=True, return_inverse=True)
+                columns = [*grams[1:, first], *contexts[2:, first]]
+                sums = [np.bincount(inverse, w, len(first)).astype(np.int64) for w in weights]
+                yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns] + [pa.array(x) for x in sums], names)
             counts[0].clear()
             counts[1].clear()
 
@@ -190,8 +202,9 @@ class EvidenceModel:
 
     def evidence(self, words: list[str]) -> np.ndarray:
         """Toxic less ordinary log-likelihood of each word; nan where the rest of the model may have a say."""
-        if not words:
-            return np.zeros(0)
+        return np.concatenate([np.zeros(0), *(self._evidence(group) for group in groups_of(words))])
+
+    def _evidence(self, words: list[str]) -> np.ndarray:
         grams, contexts, index = hashed(words)
         total, left = np.zeros(grams.shape[1]), np.arange(grams.shape[1])
         for n in range(ORDER, SHARED_ORDERS, -1):
@@ -212,18 +225,12 @@ def word_evidence(words: DataFrame, model: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            names = column(batch, "word")
-            if not names:
-                continue
-            grams, contexts, index = hashed(names)
-            for n in range(ORDER, SHARED_ORDERS, -1):
-                at = np.flatnonzero(grams[n])
-                for kind, keys in ((0, grams[n][at]), (1, context_keys(contexts[n][at], n))):
-                    for lo in range(0, len(at), 50_000):
-                        part = slice(lo, lo + 50_000)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([names[i] for i in index[at[part]]], pa.string()), pa.array(at[part]), pa.array(np.full(len(at[part]), 2 * n + kind)), pa.array(keys[part].view(np.int64))], ["word", "event", "role", "key"]
-                        )
+            for names in groups_of(column(batch, "word")):
+                grams, contexts, index = hashed(names)
+                for n in range(ORDER, SHARED_ORDERS, -1):
+                    at = np.flatnonzero(grams[n])
+                    for kind, keys in ((0, grams[n][at]), (1, context_keys(contexts[n][at], n))):
+                        yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in index[at]], pa.string()), pa.array(at), pa.array(np.full(len(at), 2 * n + kind)), pa.array(keys.view(np.int64))], ["word", "event", "role", "key"])
 
     rows = words.mapInArrow(run, "word string, event long, role long, key long").join(model.select("key", "value"), "key")
     value = {(n, kind): F.max(F.when(F.col("role") == 2 * n + kind, F.col("value"))) for n in range(SHARED_ORDERS + 1, ORDER + 1) for kind in (0, 1)}
