@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 import weakref
@@ -77,10 +79,15 @@ _held: list[tuple[tuple, dict]] = []
 
 
 def worker_cache(*owner) -> dict:
-    """The dictionary that its owner keeps in this Python worker between tasks.  A worker holds one at a time, so
-    operators that follow each other in a session do not add up."""
+    """The dictionary that its owner keeps in this Python worker between tasks.  A worker holds one at a time, and gives
+    the memory of the one before back to the system, so operators that follow each other in a session do not add up."""
     if not _held or _held[0][0] != owner:
         _held[:] = [(owner, {})]
+        gc.collect()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except AttributeError:  # a C library without it
+            pass
     return _held[0][1]
 
 

@@ -43,7 +43,7 @@ BAND_CHARS = 64
 
 #: Characters hashed at a time, rows that a task reduces before it sends them, and lines it remembers having posted.
 GROUP_CHARS = 1 << 20
-POSTED_ROWS = 1 << 20
+POSTED_ROWS = 1 << 18
 SEEN_LINES = 1 << 18
 BASE = 0x9E3779B97F4A7C15
 #: Bits of a row's info, below its line's length: edits of the key, and what the row is.

@@ -385,7 +385,8 @@ def tile_plan(groups: DataFrame) -> DataFrame:
     """
     counts = materialise(groups.groupBy("key", "component", "band").agg(F.count("*").alias("rows")), "tile-counts")
     whole = counts.groupBy("key", "component").agg(F.sum("rows").alias("rows")).groupBy("key").agg(F.max_by("component", F.struct("rows", "component")).alias("main"), F.sum("rows").alias("total"), F.count("*").alias("parts"))
-    counts = counts.join(whole.where("parts > 1").drop("parts"), "key")
+    # Written apart from the join, so that a large key's rows can be split over tasks there.
+    counts = counts.join(materialise(whole.where("parts > 1").drop("parts"), "open-keys"), "key")
     return counts.groupBy("key", "band", "main", "total").agg(F.sum("rows").alias("rows"), F.sum(F.when(F.col("component") != F.col("main"), F.col("rows")).otherwise(0)).alias("others"))
 
 

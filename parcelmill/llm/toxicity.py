@@ -41,7 +41,7 @@ LEAST_CALIBRATION = 20
 MARGINS = (2.0, 3.0)
 CACHE_ENTRIES = 300_000
 CACHE_CHARS = 48
-GROUP_CHARS = 100_000
+GROUP_CHARS = 50_000
 
 WORD = re.compile(r"[^\W_]+")
 PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], U64)
