@@ -165,7 +165,7 @@ def test_topics_part_vocabularies():
     rng = random.Random(19)
     words = [[f"{x}word{k}" for k in range(30)] for x in ("alpha", "beta", "gamma")]
     texts = [" ".join(rng.choices(words[i % 3], k=40)) for i in range(300)]
-    counts = [mixing.word_places(mixing.words_of(t), {}) for t in texts]
+    counts = mixing.place_counts([mixing.words_of(t) for t in texts], mixing.Places())
     idf, middle = mixing.fit_topics(counts)
     own = (mixing.vectors(counts, idf) @ middle.T).argmax(1)
     assert all(not set(own[i::3]) & set(own[j::3]) for i, j in ((0, 1), (0, 2), (1, 2)))
