@@ -27,7 +27,7 @@ FULL_FROM = 1 << 62
 #: Documents a shard is sized for.  A shard's rows are six numbers each.
 SHARD_DOCS = 25_000
 #: Entries of a worker's cache of word ids; longer words are encoded anew.
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 150_000
 CACHE_CHARS = 48
 #: What the tokenizer's added tokens start with.
 ADDED = "<|"

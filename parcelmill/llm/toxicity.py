@@ -39,7 +39,7 @@ CALIBRATION_PART = 6
 CALIBRATION_ROWS = 20_000
 LEAST_CALIBRATION = 20
 MARGINS = (2.0, 3.0)
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 150_000
 CACHE_CHARS = 48
 GROUP_CHARS = 50_000
 
