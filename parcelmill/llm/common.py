@@ -75,6 +75,25 @@ def _files(spark: SparkSession, path: str):
     return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def give_back() -> None:
+    """Return what this worker has freed to the system: allocators keep it otherwise, and idle workers add up."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # a C library without it
+        pass
+
+
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, with its memory given back at the end of each task."""
+
+    def whole(batches):
+        yield from run(batches)
+        give_back()
+
+    return whole
+
+
 _held: list[tuple[tuple, dict]] = []
 
 
@@ -84,10 +103,7 @@ def worker_cache(*owner) -> dict:
     if not _held or _held[0][0] != owner:
         _held[:] = [(owner, {})]
         gc.collect()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except AttributeError:  # a C library without it
-            pass
+        give_back()
     return _held[0][1]
 
 

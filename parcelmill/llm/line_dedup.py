@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import U64, column, ints, materialise, mix64, prepare, release, signed, unused, worker_cache
+from .common import U64, column, ints, materialise, mix64, prepare, release, signed, tidied, unused, worker_cache
 from .components import connected
 from .ngram_join import runs_of, star_pairs, tile_plan, tiled, told_apart, whole_runs
 
@@ -203,7 +203,7 @@ def occurrences(docs: DataFrame, least: int) -> DataFrame:
                         values.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()) for r in rows], ["line", "doc_id", "row", "line_no"])
 
-    return docs.select("doc_id", "row", "text").mapInArrow(run, "line long, doc_id long, row long, line_no long")
+    return docs.select("doc_id", "row", "text").mapInArrow(tidied(run), "line long, doc_id long, row long, line_no long")
 
 
 def posts(docs: DataFrame, bands) -> DataFrame:
@@ -243,7 +243,7 @@ def posts(docs: DataFrame, bands) -> DataFrame:
         if held:
             yield reduced(held)
 
-    return docs.select("text").mapInArrow(run, "key long, line long, info long, route long")
+    return docs.select("text").mapInArrow(tidied(run), "key long, line long, info long, route long")
 
 
 def reduced(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
@@ -303,7 +303,7 @@ def candidate_rows(rows: DataFrame) -> DataFrame:
             if len(keys):
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(names), pa.nulls(len(keys), pa.int64()), pa.array(infos & ~CROWD)], ["key", "a", "b", "info"])
 
-    return rows.repartition("route").sortWithinPartitions("key").mapInArrow(run, "key long, a long, b long, info long")
+    return rows.repartition("route").sortWithinPartitions("key").mapInArrow(tidied(run), "key long, a long, b long, info long")
 
 
 def refined_posts(lines: DataFrame) -> DataFrame:
@@ -329,7 +329,7 @@ def refined_posts(lines: DataFrame) -> DataFrame:
                     held.append((signed(mix64(key + indexed.astype(U64) * U64(REFINED) + U64(j))), names, lengths * INFO + EDITS_AT + (INDEXED if not shorter else 0)))
             yield reduced(held)
 
-    return lines.select("line", "line_text").mapInArrow(run, "key long, line long, info long, route long")
+    return lines.select("line", "line_text").mapInArrow(tidied(run), "key long, line long, info long, route long")
 
 
 def named_lines(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
@@ -345,7 +345,7 @@ def named_lines(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
             passed = np.flatnonzero(mine.might_hold(mix64(names.view(U64))))
             yield pa.RecordBatch.from_arrays([pa.array(names[passed]), pa.array([group[i][1] for i in passed], pa.string())], ["line", "line_text"])
 
-    return docs.select("text").mapInArrow(run, "line long, line_text string").join(wanted, "line", "left_semi").groupBy("line").agg(F.min("line_text").alias("line_text"))
+    return docs.select("text").mapInArrow(tidied(run), "line long, line_text string").join(wanted, "line", "left_semi").groupBy("line").agg(F.min("line_text").alias("line_text"))
 
 
 def allowed_between(x: str, y: str, bands) -> int:
@@ -361,7 +361,7 @@ def verified(pairs: DataFrame, lines: DataFrame, bands) -> DataFrame:
 
     a = lines.select(F.col("line").alias("a"), F.col("line_text").alias("text_a"))
     b = lines.select(F.col("line").alias("b"), F.col("line_text").alias("text_b"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(tidied(run), "a long, b long")
 
 
 def neighbourhood_links(lines: DataFrame) -> DataFrame:
@@ -384,7 +384,7 @@ def neighbourhood_links(lines: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(both), pa.array(np.full(2 * len(k), line, np.int64)), pa.array(np.repeat(np.arange(2), len(k)))], ["key", "line", "kind"])
                 yield pa.RecordBatch.from_arrays([pa.array(signed(mix64(own[n:] + U64(n)))), pa.array([line], pa.int64()), pa.array([2], pa.int64())], ["key", "line", "kind"])
 
-    rows = materialise(lines.mapInArrow(run, "key long, line long, kind long").distinct(), "neighbours")
+    rows = materialise(lines.mapInArrow(tidied(run), "key long, line long, kind long").distinct(), "neighbours")
     same = rows.where("kind = 0")
     # Written apart from the join, so that a large key's rows can be split over tasks there.
     first = materialise(same.groupBy("key").agg(F.min("line").alias("a"), F.max("line").alias("last")).where("a < last").select("key", "a"), "neighbour-hubs")
@@ -446,7 +446,7 @@ def tile_links(rows: DataFrame, bands) -> DataFrame:
                     held[n] += values[n][lo:hi]
         yield from tile()
 
-    return rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "a long, b long")
+    return rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(tidied(run), "a long, b long")
 
 
 def crowd_links(groups: DataFrame, lines: DataFrame, bands) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import U64, column, ints, materialise, mix64, prepare, release, signed, worker_cache
+from .common import U64, column, ints, materialise, mix64, prepare, release, signed, tidied, worker_cache
 from .components import connected
 
 WORDS = 5
@@ -116,7 +116,7 @@ def scan(docs: DataFrame) -> DataFrame:
             origin = pa.array(np.full(rows, TaskContext.get().partitionId(), np.int64))
             yield pa.RecordBatch.from_arrays([none, origin, none, pa.nulls(rows, pa.binary()), pa.array(range(rows), pa.int32()), pa.array(parts, pa.binary())], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_id long, bits binary, chunk int, counts binary")
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), "doc_id long, n_shingles long, set_id long, bits binary, chunk int, counts binary")
 
 
 def common_classes(scanned: DataFrame) -> np.ndarray:
@@ -172,7 +172,7 @@ def posted(docs: DataFrame, classes) -> DataFrame:
                 route = np.where(meta & 2, mix64(key ^ mix64(name.view(U64))), key)
                 yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(name), pa.array(meta), pa.array(signed(route))], ["key", "set_id", "meta", "route"])
 
-    return docs.select("text").mapInArrow(run, "key long, set_id long, meta long, route long")
+    return docs.select("text").mapInArrow(tidied(run), "key long, set_id long, meta long, route long")
 
 
 def may_link(small: np.ndarray, large: np.ndarray) -> np.ndarray:
@@ -242,7 +242,7 @@ def candidate_rows(posts: DataFrame) -> DataFrame:
             if len(big):
                 yield pa.RecordBatch.from_arrays([pa.array(keys[big]), pa.array(names[big]), pa.nulls(len(big), pa.int64()), pa.array(metas[big] & ~2)], ["key", "a", "b", "meta"])
 
-    return posts.repartition("route").sortWithinPartitions("key", "set_id").mapInArrow(run, "key long, a long, b long, meta long")
+    return posts.repartition("route").sortWithinPartitions("key", "set_id").mapInArrow(tidied(run), "key long, a long, b long, meta long")
 
 
 def banded(groups: DataFrame) -> DataFrame:
@@ -327,7 +327,7 @@ def set_table(docs: DataFrame, nodes: DataFrame) -> DataFrame:
                 rows[1].append(found.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.binary())], ["set_id", "items"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "set_id long, items binary").join(nodes.select("set_id"), "set_id", "left_semi").dropDuplicates(["set_id"])
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), "set_id long, items binary").join(nodes.select("set_id"), "set_id", "left_semi").dropDuplicates(["set_id"])
 
 
 def words_of(maps: list[bytes]) -> np.ndarray:
@@ -369,12 +369,12 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept)], ["a", "b"])
 
     side = lambda df, s, *cols: df.select(F.col("set_id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in cols])
-    near = pairs.select("a", "b").join(side(nodes, "a", "n", "bits"), "a").join(side(nodes, "b", "n", "bits"), "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(bound, "a long, b long")
+    near = pairs.select("a", "b").join(side(nodes, "a", "n", "bits"), "a").join(side(nodes, "b", "n", "bits"), "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(tidied(bound), "a long, b long")
     near = materialise(near, "near")
     named = near.select(F.col("a").alias("set_id")).union(near.select("b")).distinct()
     sets = materialise(set_table(docs, materialise(nodes.select("set_id", "doc_id").join(named, "set_id"), "named")), "sets")
     full = near.join(side(sets, "b", "items"), "b").join(side(sets, "a", "items"), "a").select("a", "b", "items_a", "items_b")
-    return full.mapInArrow(exact, "a long, b long")
+    return full.mapInArrow(tidied(exact), "a long, b long")
 
 
 def tile_plan(groups: DataFrame) -> DataFrame:
@@ -423,7 +423,7 @@ def tile_pairs(rows: DataFrame) -> DataFrame:
                 if len(pairs):
                     yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    return rows.repartition("tile").sortWithinPartitions("tile", "a").mapInArrow(run, "a long, b long")
+    return rows.repartition("tile").sortWithinPartitions("tile", "a").mapInArrow(tidied(run), "a long, b long")
 
 
 def within(names, parts, metas, sides, maps) -> np.ndarray:

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ceil_div, column, materialise, prepare, texts, worker_cache
+from .common import ceil_div, column, materialise, prepare, texts, tidied, worker_cache
 
 WINDOW = 4096
 #: Numbers of sequences that one full window fills; those of shards lie below.
@@ -160,7 +160,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, separator: int, window: int
                         values.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in rows], names)
 
-    return docs.select("doc_id", "text").mapInArrow(cut, ", ".join(f"{n} long" for n in names))
+    return docs.select("doc_id", "text").mapInArrow(tidied(cut), ", ".join(f"{n} long" for n in names))
 
 
 class OpenWindows:

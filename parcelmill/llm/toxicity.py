@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import U64, column, ints, materialise, mix64, prepare, worker_cache
+from .common import U64, column, ints, materialise, mix64, prepare, tidied, worker_cache
 
 ORDER = 5
 SHARED_ORDERS = 2
@@ -121,7 +121,7 @@ def gram_counts(train: DataFrame) -> DataFrame:
                 yield from emit()
         yield from emit()
 
-    rows = train.select("text", "toxic").mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    rows = train.select("text", "toxic").mapInArrow(tidied(run), ", ".join(f"{c} long" for c in names))
     return rows.groupBy(*names[:-2]).agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
 
 
@@ -232,7 +232,7 @@ def word_evidence(words: DataFrame, model: DataFrame) -> DataFrame:
                     for kind, keys in ((0, grams[n][at]), (1, context_keys(contexts[n][at], n))):
                         yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in index[at]], pa.string()), pa.array(at), pa.array(np.full(len(at), 2 * n + kind)), pa.array(keys.view(np.int64))], ["word", "event", "role", "key"])
 
-    rows = words.mapInArrow(run, "word string, event long, role long, key long").join(model.select("key", "value"), "key")
+    rows = words.mapInArrow(tidied(run), "word string, event long, role long, key long").join(model.select("key", "value"), "key")
     value = {(n, kind): F.max(F.when(F.col("role") == 2 * n + kind, F.col("value"))) for n in range(SHARED_ORDERS + 1, ORDER + 1) for kind in (0, 1)}
     events = rows.groupBy("word", "event").agg(*[v.alias(f"v{n}_{kind}") for (n, kind), v in value.items()])
     total = F.lit(0.0)
@@ -311,7 +311,7 @@ def featured(docs: DataFrame, model, keep: list[str], whole: DataFrame | None =
                 [batch.column(batch.schema.get_field_index(c)) for c in keep] + [pa.array(known, many), pa.array(open_words, pa.list_(pa.string())), pa.array(found, many)], [*keep, "evidence", "open", "features"]
             )
 
-    rows = docs.select(*keep, "text").mapInArrow(run, schema)
+    rows = docs.select(*keep, "text").mapInArrow(tidied(run), schema)
     if whole is None:
         return rows.select(*keep, "features")
     rows = materialise(rows.withColumn("row", F.monotonically_increasing_id()), "evidence")
@@ -325,7 +325,7 @@ def featured(docs: DataFrame, model, keep: list[str], whole: DataFrame | None =
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in keep] + [pa.array(found, pa.list_(pa.float64()))], [*keep, "features"])
 
     joined = rows.where("open is not null").join(materialise(values, "open-evidence"), "row").select(*keep, "evidence", "more")
-    closed = joined.mapInArrow(finish, ", ".join([f"{c} {kinds[c]}" for c in keep] + ["features array<double>"]))
+    closed = joined.mapInArrow(tidied(finish), ", ".join([f"{c} {kinds[c]}" for c in keep] + ["features array<double>"]))
     return rows.where("open is null").select(*keep, "features").unionByName(closed)
 
 
@@ -360,7 +360,7 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
             if batch.num_rows:
                 yield batch.filter(pa.array(mine.might_hold(id_hashes(batch))))
 
-    return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(run, "doc_id long, text string").join(known, "doc_id")
+    return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(tidied(run), "doc_id long, text string").join(known, "doc_id")
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, head_rows: int = HEAD_ROWS) -> DataFrame:
