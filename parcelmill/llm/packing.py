@@ -27,7 +27,7 @@ FULL_FROM = 1 << 62
 #: Documents a shard is sized for.  A shard's rows are six numbers each.
 SHARD_DOCS = 25_000
 #: Entries of a worker's cache of word ids; longer words are encoded anew.
-CACHE_ENTRIES = 150_000
+CACHE_ENTRIES = 250_000
 CACHE_CHARS = 48
 #: What the tokenizer's added tokens start with.
 ADDED = "<|"
@@ -125,8 +125,10 @@ def encode_docs(path: str, docs: list[str]) -> list[bytes]:
     wanted.difference_update(long)
     missing = wanted - cache.keys()
     if len(cache) + len(missing) > CACHE_ENTRIES:
+        # What this batch needs stays: mostly the words that come everywhere.
+        kept = {w: cache[w] for w in wanted - missing}
         cache.clear()
-        missing = wanted
+        cache.update(kept)
     new = list(missing)
     cache.update(zip(new, id_bytes(path, new), strict=True))
     if not long:
