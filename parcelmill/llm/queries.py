@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, line_dedup, mixing, ngram_join, packing, permutation_index, token_counts, topk_search, toxicity, url_filter
+from . import language_id, line_dedup, mixing, ngram_join, packing, permutation_index, piece_codec, token_counts, topk_search, toxicity, url_filter
 from .common import table
 
 #: (host, path, verdict) rules of the url query.
@@ -83,6 +83,10 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_documents(table(spark, sf_dir, "documents"))
 
 
+def op13_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.digest_documents(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_permutation_index": op1_permutation_index,
     "op2_url_filter": op2_url_filter,
@@ -94,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_topk_search": op9_topk_search,
     "op10_ngram_join": op10_ngram_join,
+    "op13_piece_codec": op13_piece_codec,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
