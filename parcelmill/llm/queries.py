@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, line_dedup, mixing, ngram_join, packing, permutation_index, piece_codec, token_counts, topk_search, toxicity, url_filter
-from .common import table
+from . import collocations, language_id, line_dedup, mixing, ngram_join, packing, permutation_index, piece_codec, quantile_summaries, token_counts, topk_search, toxicity, url_filter
+from .common import materialise, table
 
 #: (host, path, verdict) rules of the url query.
 URL_RULES = [
@@ -83,6 +83,28 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_quantile_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies of a click are one row: of copies that differ, the smallest client and value count."""
+    keys = ["stream", "grp", "batch"]
+    cents = lambda money: F.floor(100 * money + F.lit(0.5))
+    batch = lambda name: (F.crc32(F.coalesce(F.col(name).cast("string"), F.lit(""))) % 8).cast("int").alias("batch")
+    finite = lambda money: money.isNotNull() & ~F.isnan(money) & (F.abs(money) != float("inf"))
+    clicks = table(spark, sf_dir, "clicks").groupBy("click_id").agg(F.min("client_id").alias("client_id"), F.min("value").alias("money"))
+    clicks = clicks.where(F.col("client_id").isNotNull() & finite(F.col("money")))
+    clicks = clicks.select(F.lit("value").alias("stream"), F.col("client_id").cast("string").alias("grp"), batch("click_id"), cents(F.col("money")).alias("x"), F.lit(1).cast("long").alias("w"))
+    # A line's batch and item are all that counts, so a hot item meets its price once for each batch.
+    lines = table(spark, sf_dir, "sale_lines").where("item_id IS NOT NULL").groupBy("item_id", batch("vendor_id")).agg(F.count("*").alias("w"))
+    items = table(spark, sf_dir, "items").where(F.col("brand").isNotNull() & finite(F.col("price"))).select("item_id", "brand", "price")
+    lines = lines.join(items, "item_id").select(F.lit("price").alias("stream"), F.col("brand").alias("grp"), "batch", cents(F.col("price")).alias("x"), "w")
+    rows = clicks.unionByName(lines).withColumn("x", F.col("x") + 1000 * F.col("batch"))
+    values = materialise(quantile_summaries.counted(rows, keys, "w"), "quantile-counts")
+    return quantile_summaries.judged(values, keys[:2], "batch", parts=10, least=20, error=0.05)
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), least=100, longest=5, top=2000)
+
+
 def op13_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.digest_documents(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
@@ -98,6 +120,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_topk_search": op9_topk_search,
     "op10_ngram_join": op10_ngram_join,
+    "op11_quantile_summaries": op11_quantile_summaries,
+    "op12_collocations": op12_collocations,
     "op13_piece_codec": op13_piece_codec,
 }
 
@@ -163,4 +187,20 @@ ORACLES: dict[str, str] = {
         reach(a, b) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.a, k.b FROM reach r JOIN links k ON k.a = r.b)
         SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, c.component_id FROM s JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON c.a = s.doc_id
     """,
+    "op12_collocations": r"""
+        WITH d AS (SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+        p AS (SELECT row_number() OVER () AS p, lang, piece FROM (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d)),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+        total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+        g AS (SELECT lang, k, unnest([array_to_string(w[i:i + k - 1], ' ') FOR i IN range(1, len(w) - k + 2)]) AS phrase FROM w, (VALUES (1), (2), (3), (4), (5)) s(k) WHERE len(w) >= k),
+        f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 100),
+        c AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+        cut AS (SELECT c.*, x.i, array_to_string(w[1:x.i], ' ') AS left_, array_to_string(w[x.i + 1:], ' ') AS right_ FROM c, (VALUES (1), (2), (3), (4)) x(i) WHERE x.i < k),
+        s AS (SELECT cut.lang, cut.phrase, cut.a, cut.i, l.a AS l, r.a AS r, n, CAST((1000::HUGEINT * cut.a * n) // (l.a::HUGEINT * r.a) AS BIGINT) AS score
+              FROM cut JOIN f l ON l.lang = cut.lang AND l.phrase = left_ JOIN f r ON r.lang = cut.lang AND r.phrase = right_ JOIN total ON total.lang = cut.lang),
+        best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) = 1),
+        held AS (SELECT DISTINCT x.lang, x.phrase FROM c x JOIN c y ON x.lang = y.lang AND y.k > x.k AND y.a >= x.a AND contains(' ' || y.phrase || ' ', ' ' || x.phrase || ' ')),
+        ranked AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM best ANTI JOIN held USING (lang, phrase))
+        SELECT * FROM ranked WHERE rank <= 2000
+    """,
 }

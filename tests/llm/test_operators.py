@@ -28,7 +28,7 @@ def test_query_equals_its_sql(name, spark, duck):
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_queries_on_empty_tables(name, spark, tmp_path):
-    for t in ("documents", "embeddings", "pages", "labels"):
+    for t in ("documents", "embeddings", "pages", "labels", "clicks", "sale_lines", "items"):
         spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))
     assert queries.QUERIES[name](spark, str(tmp_path)).count() == 0
 
