@@ -11,24 +11,33 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.records import as_sequences
-from ..operators.sequences import EXPIRY_DAYS, upsert
+from ..operators.sequences import EXPIRY_DAYS, id_columns, upsert
 from ..functions.ordering import dense_index
 from ..sources.io import Store
+from ..sources.merging_store import MergingStore
 
 
-def apply_batch(store: Store, batch: DataFrame, days: int = EXPIRY_DAYS) -> None:
-    """Upsert one micro-batch; the first one makes the store."""
+def apply_batch(store: Store | MergingStore, batch: DataFrame, days: int = EXPIRY_DAYS, batch_id: int | None = None) -> None:
+    """Upsert one micro-batch; the first one makes the store.
+
+    A merging store (whose own days count) writes the batch's rows alone and passes over a batch_id it has seen.
+    """
     latest = batch.agg(F.max("date_scraped")).first()[0]
     if latest is None:
         return
-    if store.exists():
+    if isinstance(store, MergingStore):
+        if not store.exists():
+            rows = as_sequences(batch.limit(0).withColumn("row_id", F.lit(0).cast("long"))).drop("batch_row_id")
+            store.create(rows, id_columns(batch))
+        store.upsert(batch, latest, "stream" if batch_id is not None else None, batch_id)
+    elif store.exists():
         store.write(upsert(store.read(), batch, latest, days))
     else:
         rows = dense_index(as_sequences(batch), "batch_row_id", "row_id")
         store.write(rows.select("row_id", *[c for c in rows.columns if c not in ("row_id", "batch_row_id")]))
 
 
-def stream_upserts(batches: DataFrame, store: Store, checkpoint: str, days: int = EXPIRY_DAYS, **trigger) -> StreamingQuery:
+def stream_upserts(batches: DataFrame, store: Store | MergingStore, checkpoint: str, days: int = EXPIRY_DAYS, **trigger) -> StreamingQuery:
     """Start the query; trigger as for DataStreamWriter.trigger (availableNow by default)."""
-    writer = batches.writeStream.foreachBatch(lambda df, _: apply_batch(store, df, days)).option("checkpointLocation", checkpoint)
+    writer = batches.writeStream.foreachBatch(lambda df, n: apply_batch(store, df, days, n)).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
