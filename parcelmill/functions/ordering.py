@@ -7,28 +7,33 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 #: Width of the key ranges that are numbered apart.
 BUCKET = 1_000_000
+#: The column that numbers segments, and how many large groups are broadcast.
+SEGMENT = "_segment"
+LARGE_GROUPS = 10_000
 
 
 def dense_index(df: DataFrame, key: str, name: str, bucket: int = BUCKET) -> DataFrame:
-    """Add the 0-based position of each row by an integer key without nulls.
+    """Add the 0-based position of each row by an integer key without nulls.  Equal keys are ordered arbitrarily.
 
-    The span of the keys is cut into equal ranges, about one for each `bucket` rows however sparse the keys are.  Rows
-    are numbered inside ranges, and each range starts where the counts of those before it end: only the table of range
-    counts is ordered as a whole.  Equal keys are ordered arbitrarily.
+    Rows are numbered inside ranges of the key, and each range starts where the counts of those before it end: only the
+    table of range counts is ordered as a whole.  A table of at most `bucket` rows is one range.  Larger ones are cut
+    at sampled bounds, about `bucket` rows each however uneven the keys are, and written to shared storage, as the
+    bounds must not be drawn anew.
     """
-    least, most, n = df.agg(F.min(key), F.max(key), F.count("*")).first()
-    ranges = max(1, -(-n // bucket))
-    width = max(1, -(-((most - least) + 1) // ranges)) if n else 1
-    # Spans of hashed keys are wider than a long.
-    place = (F.col(key) - least if n and most - least < 1 << 62 else F.col(key).cast("decimal(38,0)") - F.lit(least or 0).cast("decimal(38,0)")) / width
-    ranged = df.withColumn("_range", F.floor(place).cast("long"))
+    n = df.count()
+    if n <= bucket:
+        ranged = df.withColumn("_range", F.lit(0))
+    else:
+        ranged = written(df.repartitionByRange(-(-n // bucket), key).withColumn("_range", F.spark_partition_id()), "ranges")
     counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     inside = F.row_number().over(Window.partitionBy("_range").orderBy(key)) - 1
-    return ranged.withColumn("_inside", inside).join(starts, "_range").withColumn(name, F.col("_start") + F.col("_inside")).drop("_range", "_inside", "_start")
+    return ranged.withColumn("_inside", inside).join(F.broadcast(starts), "_range").withColumn(name, F.col("_start") + F.col("_inside")).drop("_range", "_inside", "_start")
 
 
 def meet(df: DataFrame, groups: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
@@ -42,6 +47,34 @@ def meet(df: DataFrame, groups: DataFrame, by: Sequence[str], how: str = "inner"
     return marked[0].join(marked[1], [*by, mark], how).drop(mark)
 
 
+def meet_null_safe(df: DataFrame, groups: DataFrame, by: Sequence[str]) -> DataFrame:
+    """df with the other columns of groups, which has a row for each of df's values of `by`; missing equals missing."""
+    other = groups.select(*[F.col(f"`{c}`").alias(f"_g_{c}") if c in by else F.col(f"`{c}`") for c in groups.columns])
+    found = df.join(other, null_safe([F.col(f"`{c}`") for c in by], [F.col(f"`_g_{c}`") for c in by]))
+    return found.drop(*[f"_g_{c}" for c in by])
+
+
+def split_by_size(df: DataFrame, by: Sequence[str], order_by: Sequence[str], segment_rows: int) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of groups with at most segment_rows rows, and those of larger groups with a segment number.
+
+    Segments are ranges of the order columns with about segment_rows rows each, all large groups together, so no group
+    has more than that in one segment however its rows lie.  The second part is written to shared storage: its ranges
+    come from a sample and must not be drawn anew.  It is None if there is no large group.
+    """
+    if df.count() <= segment_rows:
+        return df, None
+    large = df.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") > segment_rows)
+    groups, rows = large.agg(F.count("*"), F.sum("_n")).first()
+    if not groups:
+        return df, None
+    # At most one large group for each segment_rows rows of the table; few enough are sent to the tasks.
+    named = large.select(*[F.col(f"`{c}`").alias(f"_g_{c}") for c in by])
+    named = F.broadcast(named) if groups <= LARGE_GROUPS else named
+    same = null_safe([F.col(f"`{c}`") for c in by], [F.col(f"`_g_{c}`") for c in by])
+    many = df.join(named, same, "left_semi").repartitionByRange(-(-rows // segment_rows), *order_by).withColumn(SEGMENT, F.spark_partition_id())
+    return df.join(named, same, "left_anti"), written(many, "segments")
+
+
 def contiguous_folds(df: DataFrame, key: str, folds: int, name: str = "fold") -> DataFrame:
     """Contiguous folds in key order; the first n mod folds of them hold one row more."""
     indexed = dense_index(df, key, "_index")

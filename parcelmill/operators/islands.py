@@ -11,31 +11,21 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ordering import null_safe
+from ..functions.ordering import SEGMENT, meet_null_safe, null_safe, split_by_size
 
 #: The largest gap inside an island, 365 / 6 days, and the columns that do not tell properties apart.
 MAX_GAP_SECONDS = 5_256_000
+#: Rows of a property from which on it is cut into segments of about so many rows.
+SEGMENT_ROWS = 1_000_000
 OTHER_COLUMNS = ("price_min", "price_max", "sequence_broken", "first_encounted", "last_encounted")
 
 
-class DataValidationError(ValueError):
-    """A store that breaks a rule the merge relies on."""
+class ListingRuleError(ValueError):
+    """Listings that break a rule: its name, how many rows do, and some of them."""
 
-
-class ParallelListingsError(DataValidationError):
-    pass
-
-
-class UnbrokenListingsError(DataValidationError):
-    pass
-
-
-class UnorderedDateEncountedError(DataValidationError):
-    pass
-
-
-class UnorderedListingsError(DataValidationError):
-    pass
+    def __init__(self, rule: str, count: int, examples: Sequence = ()):
+        super().__init__(f"{rule}: {count} listings{', such as ' + str(list(examples)) if examples else ''}")
+        self.rule, self.count, self.examples = rule, count, list(examples)
 
 
 def property_columns(df: DataFrame, row_id: str = "row_id") -> list[str]:
@@ -52,20 +42,46 @@ def _any_missing(columns: Sequence[str]) -> Column:
 
 def island_ids(
     df: DataFrame, props: Sequence[str], first: str = "first_encounted", last: str = "last_encounted", order_by: Sequence[str] = ("first_encounted", "last_encounted", "row_id"),
-    gap_seconds: int = MAX_GAP_SECONDS, null_safe: bool = False, running_max: bool = False, name: str = "island",
+    gap_seconds: int = MAX_GAP_SECONDS, null_safe: bool = False, running_max: bool = False, name: str = "island", segment_rows: int = SEGMENT_ROWS,
 ) -> DataFrame:
     """Add the island number, from 1 inside each property.
 
     A row with a missing property value is an island of its own unless null_safe.  running_max compares with the latest
     sight among all earlier rows (the older rule) rather than the row just before.
+
+    A property with at most segment_rows rows is one window.  Larger ones are cut into segments in their order, each a
+    window of its own; what a segment needs to know of those before it, the last sight and how many islands have begun,
+    is carried over a table with a row for each segment.
     """
-    order = Window.partitionBy(*props).orderBy(*order_by)
-    before = F.max(last).over(order.rowsBetween(Window.unboundedPreceding, -1)) if running_max else F.lag(last).over(order)
-    apart = F.coalesce(F.col(first) > before + F.make_dt_interval(secs=F.lit(gap_seconds).cast("decimal(18,6)")), F.lit(False))
-    starts = before.isNull() | apart
-    if not null_safe:
-        starts = starts | _any_missing(props)
-    return df.withColumn("_starts", starts.cast("int")).withColumn(name, F.sum("_starts").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_starts")
+
+    def starts(before: Column) -> Column:
+        apart = F.coalesce(F.col(first) > before + F.make_dt_interval(secs=F.lit(gap_seconds).cast("decimal(18,6)")), F.lit(False))
+        found = before.isNull() | apart
+        return (found if null_safe else found | _any_missing(props)).cast("int")
+
+    def whole(rows: DataFrame) -> DataFrame:
+        order = Window.partitionBy(*props).orderBy(*order_by)
+        before = F.max(last).over(order.rowsBetween(Window.unboundedPreceding, -1)) if running_max else F.lag(last).over(order)
+        return rows.withColumn("_starts", starts(before)).withColumn(name, F.sum("_starts").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_starts")
+
+    def scanned(rows: DataFrame) -> DataFrame:
+        inside, across = Window.partitionBy(*props, SEGMENT).orderBy(*order_by), Window.partitionBy(*props).orderBy(SEGMENT)
+        earlier = across.rowsBetween(Window.unboundedPreceding, -1)
+        if running_max:
+            own, end, carry = F.max(last).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.max(last), F.max("_end").over(earlier)
+        else:
+            own, end, carry = F.lag(last).over(inside), F.max_by(last, F.struct(*order_by)), F.lag("_end").over(across)
+        ends = rows.groupBy(*props, SEGMENT).agg(end.alias("_end")).withColumn("_carry", carry).drop("_end")
+        rows = meet_null_safe(rows.withColumn("_own", own).withColumn("_opens", F.row_number().over(inside) == 1), ends, [*props, SEGMENT])
+        before = F.greatest("_own", "_carry") if running_max else F.when(F.col("_opens"), F.col("_carry")).otherwise(F.col("_own"))
+        rows = rows.withColumn("_starts", starts(before))
+        begun = rows.groupBy(*props, SEGMENT).agg(F.sum("_starts").alias("_n")).withColumn("_begun", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+        rows = meet_null_safe(rows, begun, [*props, SEGMENT])
+        count = F.col("_begun") + F.sum("_starts").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+        return rows.withColumn(name, count).select(*df.columns, name)
+
+    few, many = split_by_size(df, props, order_by, segment_rows)
+    return whole(few) if many is None else whole(few).unionByName(scanned(many))
 
 
 def merge_islands(df: DataFrame, props: Sequence[str], island: str = "island", row_id: str = "row_id") -> DataFrame:
@@ -134,27 +150,43 @@ def check_order(df: DataFrame) -> None:
     bad = unordered_listings(df, property_columns(df))
     n = bad.count()
     if n:
-        raise UnorderedListingsError(f"{n} listings out of order, such as {bad.limit(3).collect()}")
+        raise ListingRuleError("stored out of order", n, bad.limit(3).collect())
 
 
-def parallel_listings(df: DataFrame) -> DataFrame:
-    """Rows first seen before another listing of their property, seen earlier, was last seen."""
-    props = property_columns(df)
-    order = Window.partitionBy(*props).orderBy("first_encounted", "last_encounted", "row_id").rowsBetween(Window.unboundedPreceding, -1)
-    beside = F.coalesce(F.col("first_encounted") < F.max("last_encounted").over(order), F.lit(False))
-    return df.withColumn("_beside", beside & ~_any_missing(props)).where("_beside").drop("_beside")
+def parallel_listings(df: DataFrame, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
+    """Rows first seen before another listing of their property, seen earlier, was last seen.
+
+    The latest sight of large properties is carried from segment to segment, as for island_ids.
+    """
+    props, order_by = property_columns(df), ("first_encounted", "last_encounted", "row_id")
+
+    def beside(rows: DataFrame, latest: Column) -> DataFrame:
+        found = F.coalesce(F.col("first_encounted") < latest, F.lit(False))
+        return rows.withColumn("_beside", found & ~_any_missing(props)).where("_beside").select(*df.columns)
+
+    def latest(*by: str) -> Column:
+        return F.max("last_encounted").over(Window.partitionBy(*by).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, -1))
+
+    few, many = split_by_size(df, props, order_by, segment_rows)
+    found = beside(few, latest(*props))
+    if many is not None:
+        earlier = Window.partitionBy(*props).orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, -1)
+        ends = many.groupBy(*props, SEGMENT).agg(F.max("last_encounted").alias("_end")).withColumn("_carry", F.max("_end").over(earlier)).drop("_end")
+        rows = meet_null_safe(many.withColumn("_own", latest(*props, SEGMENT)), ends, [*props, SEGMENT])
+        found = found.unionByName(beside(rows, F.greatest("_own", "_carry")))
+    return found
 
 
 def check_parallel(df: DataFrame) -> None:
     n = parallel_listings(df).count()
     if n:
-        raise ParallelListingsError(f"{n} listings run beside another of their property")
+        raise ListingRuleError("side by side with another of the property", n)
 
 
 def check_dates(df: DataFrame) -> None:
     n = df.where("first_encounted > last_encounted").count()
     if n:
-        raise UnorderedDateEncountedError(f"{n} listings were last seen before they were first seen")
+        raise ListingRuleError("last seen before first seen", n)
 
 
 def stale_unbroken(df: DataFrame) -> DataFrame:
@@ -168,4 +200,4 @@ def check_unbroken(df: DataFrame) -> None:
     """Unbroken rows must all have been last seen at one date."""
     n = df.where(F.coalesce(~F.col("sequence_broken"), F.lit(False))).agg(F.countDistinct("last_encounted")).first()[0]
     if n != 1:
-        raise UnbrokenListingsError(f"unbroken listings have {n} dates, and {stale_unbroken(df).count()} rows precede the latest")
+        raise ListingRuleError(f"unbroken at {n} dates", stale_unbroken(df).count())

@@ -94,12 +94,12 @@ def test_parallel_listings_are_an_error(spark):
     fine = spark.createDataFrame([(0, "a", 1.0, 1.0, day(1), day(3), True), (1, "a", 1.0, 1.0, day(3), day(5), False)], STORE)
     beside = fine.union(spark.createDataFrame([(2, "a", 1.0, 1.0, day(4), day(6), False)], STORE))
     assert islands.check_and_unduplicate(fine, ordered=True, unbroken=True, parallel=True).count() == 1
-    with pytest.raises(islands.ParallelListingsError):
+    with pytest.raises(islands.ListingRuleError, match="side by side"):
         islands.check_and_unduplicate(beside, parallel=True)
-    with pytest.raises(islands.UnbrokenListingsError):
+    with pytest.raises(islands.ListingRuleError, match="unbroken"):
         islands.check_and_unduplicate(beside, unbroken=True)
     swapped = spark.createDataFrame([(1, "a", 1.0, 1.0, day(1), day(3), True), (0, "a", 1.0, 1.0, day(3), day(5), False)], STORE)
-    with pytest.raises(islands.UnorderedListingsError):
+    with pytest.raises(islands.ListingRuleError, match="out of order"):
         islands.check_and_unduplicate(swapped, ordered=True)
     assert islands.check_and_unduplicate(swapped).count() == 1
 

@@ -49,14 +49,14 @@ def test_every_row_is_in_one_island(spark):
 
 def test_checks_raise(spark):
     swapped = spark.createDataFrame([listing(0, "x", T0 + GAP, T0)], SCHEMA)
-    with pytest.raises(islands.UnorderedDateEncountedError):
+    with pytest.raises(islands.ListingRuleError, match="before first seen"):
         islands.check_dates(swapped)
     unordered = spark.createDataFrame([listing(0, "x", T0 + GAP, T0 + GAP), listing(1, "x", T0, T0)], SCHEMA)
-    with pytest.raises(islands.UnorderedListingsError, match="1 listings"):
+    with pytest.raises(islands.ListingRuleError, match="out of order: 1 listings"):
         islands.check_order(unordered)
     islands.check_order(spark.createDataFrame([listing(0, "x", T0, T0), listing(1, "x", T0, T0)], SCHEMA))
     stale = spark.createDataFrame([listing(0, "x", T0, T0, broken=False), listing(1, "y", T0, T0 + GAP, broken=False)], SCHEMA)
-    with pytest.raises(islands.UnbrokenListingsError):
+    with pytest.raises(islands.ListingRuleError, match="unbroken"):
         islands.check_unbroken(stale)
     islands.check_unbroken(stale.where("row_id = 1"))
 
@@ -65,3 +65,36 @@ def test_keep_first_and_last(spark):
     df = spark.createDataFrame([(1, None), (2, None), (3, "a")], "row_id long, a string")
     assert {r["row_id"] for r in islands.keep_first(df, ["a"], ["row_id"]).collect()} == {1, 3}
     assert {r["row_id"] for r in islands.keep_last(df, ["a"], ["row_id"]).collect()} == {2, 3}
+
+
+def hot_listings(spark, n=4000):
+    """Half of all rows under one property, ties, missing values and long sights that later ones fall under."""
+    from pyspark.sql import functions as F
+
+    r = F.pmod(F.xxhash64("id"), F.lit(997))
+    prop = F.when(F.col("id") % 2 == 0, "hot").when(F.col("id") % 5 == 0, None).otherwise(F.concat(F.lit("p"), F.col("id") % 300))
+    start = F.timestamp_seconds(1_500_000_000 + (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(400)) * F.pmod(F.xxhash64("id", F.lit(2)), F.lit(400))) * 20_000).cast("timestamp_ntz")
+    rows = spark.range(n).select(F.col("id").alias("row_id"), prop.alias("a"), F.lit(1).alias("price_min"), F.lit(1).alias("price_max"), start.alias("first_encounted"), F.when(r > 10, start + F.make_dt_interval(r % 90)).alias("last_encounted"), (r % 2 == 0).alias("sequence_broken"))
+    return rows.repartition(3)
+
+
+@pytest.mark.parametrize("more", [{}, {"running_max": True}, {"null_safe": True}])
+def test_segments_of_a_hot_property_give_the_same_islands(spark, more):
+    df = hot_listings(spark)
+    assert ids(df, segment_rows=150, **more) == ids(df, **more)
+    assert ids(df.limit(0), segment_rows=1) == {}
+
+
+def test_no_segment_holds_more_than_its_share(spark):
+    from parcelmill.functions.ordering import SEGMENT, split_by_size
+
+    few, many = split_by_size(hot_listings(spark), ["a"], ["first_encounted", "last_encounted", "row_id"], 150)
+    sizes = [r["count"] for r in many.groupBy("a", SEGMENT).count().collect()]
+    assert max(sizes) <= 2 * 150 and sum(sizes) + few.count() == 4000
+    assert {r["a"] for r in many.select("a").distinct().collect()} == {"hot", None}
+
+
+def test_parallel_listings_of_a_hot_property(spark):
+    df = hot_listings(spark)
+    found = {r["row_id"] for r in islands.parallel_listings(df, segment_rows=150).collect()}
+    assert found == {r["row_id"] for r in islands.parallel_listings(df).collect()} and len(found) > 100
