@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ordering import contiguous_folds
 from ..operators import stats
+from . import trees
 
 #: Parameters of the models.  Trees stop at depth 30, the most that MLlib has.
 RIDGE_ALPHA = 0.1
@@ -47,7 +48,15 @@ def forest(table: DataFrame, features: str, y: str, **params):
     return RandomForestRegressor(featuresCol=features, labelCol=y, seed=1, **{**FOREST, **params}).fit(table)
 
 
-MODELS: dict[str, Fitter] = {"ols": ols, "ridge": ridge, "boosted": boosted, "forest": forest}
+def _trees(fit: Callable[..., trees.TreeModel]) -> Fitter:
+    """A fitter of trees over the vector column, with the parameters given (the fixed ones by default)."""
+    return lambda table, features, y, **params: fit(table, features, y, **params)
+
+
+MODELS: dict[str, Fitter] = {
+    "ols": ols, "ridge": ridge, "boosted": boosted, "forest": forest,
+    "second_order": _trees(trees.boosted_trees), "extra_trees": _trees(trees.extra_trees), "bagged": _trees(trees.bagged_forest),
+}
 
 
 def assembled(table: DataFrame, columns: Sequence[str]) -> DataFrame:
