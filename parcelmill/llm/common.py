@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Bytes in one Arrow batch: texts can be long, and a Python worker holds a few batches' worth of objects.
@@ -118,6 +119,23 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return found
 
 
+def row_names(docs: DataFrame) -> tuple[DataFrame, str, str | None]:
+    """docs with a name (long) for each different (doc_id, text), and a mark for rows whose doc_id others have too.
+
+    A row that has its doc_id alone is named by it.  Rows that share one, or have none, are named by a hash of id and
+    text.  The third result is None where there are no such rows.
+    """
+    name, mark, key = unused(docs, "row_name", "shared_id", "shared_key")
+    ids = docs.groupBy(F.col("doc_id").cast("long").alias(key)).agg(F.count("*").alias("n")).where((F.col("n") > 1) | F.col(key).isNull())
+    ids = materialise(ids.select(key, F.lit(True).alias(mark)), "shared-ids")
+    own = F.col("doc_id").cast("long")
+    if ids.isEmpty():
+        release(ids)
+        return docs.withColumn(name, own), name, None
+    rows = docs.join(ids, own.eqNullSafe(F.col(key)), "left").drop(key)
+    return rows.withColumn(name, F.when(F.col(mark), F.xxhash64("doc_id", "text")).otherwise(own)), name, mark
+
+
 def ceil_div(a: int, b: int) -> int:
     return -(-a // b)
 

@@ -363,8 +363,8 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(tidied(run), "doc_id long, text string").join(known, "doc_id")
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, head_rows: int = HEAD_ROWS) -> DataFrame:
-    """doc_id and score of every document; labels (doc_id, toxic) are the rows to learn from.
+def score_documents(docs: DataFrame, labels: DataFrame, head_rows: int = HEAD_ROWS, keep: str = "doc_id") -> DataFrame:
+    """The column `keep` (long) and the score of every document; labels (doc_id, toxic) are the rows to learn from.
 
     Scores run from 0 to 1, higher where toxic is likelier.  Null and empty texts get the score of a text without
     evidence.  Where labels hold only one class, every score is 0 or 1 accordingly (0 without labels).  Repeated
@@ -373,11 +373,11 @@ def score_documents(docs: DataFrame, labels: DataFrame, head_rows: int = HEAD_RO
     """
     spark = docs.sparkSession
     prepare(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *([F.col(keep).cast("long").alias(keep)] if keep != "doc_id" else []))
     train = materialise(labelled(docs, labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))), "labelled")
     classes = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(classes) < 2:
-        return docs.select("doc_id", F.lit(1.0 if classes.get(1) else 0.0).alias("score"))
+        return docs.select(keep, F.lit(1.0 if classes.get(1) else 0.0).alias("score"))
     part = F.pmod(F.xxhash64("doc_id", F.lit("calibration")), F.lit(CALIBRATION_PART))
     model = model_rows(gram_counts(train.where(part != 0)))
     head, split = split_model(model, head_rows)
@@ -391,9 +391,9 @@ def score_documents(docs: DataFrame, labels: DataFrame, head_rows: int = HEAD_RO
     rows.sort(key=lambda r: (r["toxic"], r["features"]))
     x, y = np.array([r["features"] for r in rows], float), np.array([r["toxic"] for r in rows], float)
     mean, scale, weights = fit_curve(x, y)
-    scored = featured(docs, sent, ["doc_id"], whole)
+    scored = featured(docs, sent, [keep], whole)
     terms = [F.lit(float(w)) * (F.col("features")[i] - F.lit(float(m))) / F.lit(float(s)) for i, (w, m, s) in enumerate(zip(weights[1:], mean, scale, strict=True))]
     total = F.lit(float(weights[0]))
     for term in terms:
         total = total + term
-    return scored.select("doc_id", (1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), total))))).alias("score"))
+    return scored.select(keep, (1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), total))))).alias("score"))

@@ -79,3 +79,26 @@ def test_null_ids_pass_the_filters(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where(F.col("doc_id").isNull() | (F.col("doc_id") < 100))
     for name, stage in corpus_pipeline.STAGES[:3]:
         assert stage(spark, docs, sf_dir).where("doc_id is null").count() == 1, name
+
+
+def test_groups_stage_tells_rows_by_id_and_text(spark):
+    """A text of its own stays whatever ids it shares; of equal rows one stays; missing ids come last."""
+    x = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    own = "red orange yellow green blue indigo violet black white grey"
+    other = "monday tuesday wednesday thursday friday saturday sunday and again"
+    rows = [(5, x), (7, x + " tail"), (7, own), (9, other), (9, other), (None, x), (None, own + " end"), (3, None), (3, ""), (3, ""), (None, None), (11, "alone"), (12, "alone")]
+    docs = documents(spark, rows).withColumn("row_name", F.lit("mine"))
+    got = sorted((r["doc_id"] or -1, r["text"]) if r["text"] is not None else (r["doc_id"] or -1, "-") for r in corpus_pipeline.keep_one_of_each_group(spark, docs, "").collect())
+    assert got == sorted([(5, x), (7, own), (9, other), (3, "-"), (3, ""), (-1, "-"), (11, "alone")])
+    assert corpus_pipeline.keep_one_of_each_group(spark, docs.where("doc_id = 9"), "").count() == 1
+
+
+def test_toxic_rows_go_alone(spark, sf_dir):
+    """A clean row that shares its id with a toxic one stays, and so does one without an id; a toxic one without id goes."""
+    texts = dict(toxic_corpus())
+    toxic, clean = next(texts[i] for i in range(0, 400, 4)), next(texts[i] for i in range(1, 400, 4))
+    rows = [(9001, toxic), (9001, clean), (None, toxic), (None, clean), (9002, None)]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").unionByName(documents(spark, rows))
+    kept = corpus_pipeline.drop_toxic(spark, docs, sf_dir)
+    assert sorted(str(r["text"]) for r in kept.where("doc_id > 9000").collect()) == sorted([clean, "None"])
+    assert {r["text"] for r in kept.where("doc_id IS NULL").collect()} >= {clean} and toxic not in {r["text"] for r in kept.where("doc_id IS NULL").collect()}
