@@ -7,6 +7,7 @@ type, a size and a price, and nation and supplier for places.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,8 +16,10 @@ from .functions import address, geo, geocode
 from .functions.ordering import contiguous_folds
 from .operators import filters, islands, records, sequences, stats
 from .plans import design_matrix as dm
-from .plans import models
+from .plans import models, trees
 from .sources import web
+from .sources.merging_store import MergingStore
+from .sources.shared import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -102,6 +105,21 @@ def island_running_max(spark, sf_dir):
     return islands.island_ids(rows, ["o_custkey"], "o_orderdate", "o_orderdate", ["o_orderdate", "o_orderkey"], running_max=True).drop("o_orderdate")
 
 
+@query(
+    """
+    WITH a AS (SELECT *, lag(o_orderdate) OVER w AS before FROM orders WINDOW w AS (PARTITION BY o_orderstatus ORDER BY o_orderdate, o_orderkey))
+    SELECT o_orderkey, o_orderstatus,
+           CAST(sum(CASE WHEN before IS NULL OR o_orderdate > before + INTERVAL 1 DAY THEN 1 ELSE 0 END)
+                OVER (PARTITION BY o_orderstatus ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) AS BIGINT) AS island
+    FROM a
+    """
+)
+def island_segments(spark, sf_dir):
+    """Three properties hold all rows: each is cut into segments of a thousand rows."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate")
+    return islands.island_ids(rows, ["o_orderstatus"], "o_orderdate", "o_orderdate", ["o_orderdate", "o_orderkey"], gap_seconds=86_400, segment_rows=1000).drop("o_orderdate")
+
+
 @query(
     """
     WITH r AS (SELECT *, nullif(o_orderpriority, '1-URGENT') AS priority FROM orders),
@@ -208,6 +226,18 @@ def seq_upsert(spark, sf_dir):
     return sequences.upsert(*_store_and_batch(spark, sf_dir), _scraped(), 10)
 
 
+@query(ORACLES["seq_upsert"])
+def seq_store(spark, sf_dir):
+    """The same through a merging store: made, fed twice with the batch, and compacted between."""
+    current, batch = _store_and_batch(spark, sf_dir)
+    store = MergingStore(spark, new_folder(spark, "store"), days=10)
+    store.create(current, ["user_id", "event_type"], buckets=16)
+    store.upsert(batch, datetime.fromisoformat(_SCRAPE), "events", 0)
+    store.compact()
+    store.upsert(batch, datetime.fromisoformat(_SCRAPE), "events", 0)
+    return store.read()
+
+
 @query(_UPSERT + f"SELECT {_STORE_COLUMNS} FROM aged")
 def seq_expire(spark, sf_dir):
     return sequences.expire(_store_and_batch(spark, sf_dir)[0], _scraped(), 10)
@@ -448,17 +478,45 @@ def points_outside(spark, sf_dir):
     return geo.points_outside(points, shapes, cell=100.0).select("point_id")
 
 
-@query("SELECT y.range AS row, x.range AS col, round(x.range * 10.0 / 19, 9) AS X, round(5 + y.range * 20.0 / 39, 9) AS Y FROM range(40) y, range(20) x")
+_GRID = (
+    "WITH b AS (SELECT CAST(min(p_size) AS DOUBLE) AS x0, CAST(max(p_size) AS DOUBLE) AS x1, min(p_retailprice) / 20 AS y0, max(p_retailprice) / 20 AS y1 FROM part), "
+    "g AS (SELECT y.range AS row, x.range AS col, x0 + x.range * ((x1 - x0) / 19) AS X, y0 + y.range * ((y1 - y0) / (CAST(floor((y1 - y0) / (x1 - x0) * 20) AS BIGINT) - 1)) AS Y "
+    "FROM b, range(20) x, range(100000) y WHERE y.range < CAST(floor((y1 - y0) / (x1 - x0) * 20) AS BIGINT)) "
+)
+
+
+def _grid(spark, sf_dir) -> DataFrame:
+    """A grid over the box of sizes and prices."""
+    box = table(spark, sf_dir, "part").agg(F.min("p_size"), F.max("p_size"), F.min("p_retailprice") / 20, F.max("p_retailprice") / 20).first()
+    return geo.coordinate_grid(spark, (float(box[0]), box[2]), (float(box[1]), box[3]), 20)
+
+
+@query(_GRID + "SELECT row, col, round(X, 9) AS X, round(Y, 9) AS Y FROM g")
 def grid_cross(spark, sf_dir):
-    return geo.coordinate_grid(spark, (0.0, 5.0), (10.0, 25.0), 20).select("row", "col", F.round("X", 9).alias("X"), F.round("Y", 9).alias("Y"))
+    return _grid(spark, sf_dir).select("row", "col", F.round("X", 9).alias("X"), F.round("Y", 9).alias("Y"))
 
 
-@query("SELECT y.range AS row, x.range AS col, round(greatest(200.0, least(900.0, 100 + 30 * (x.range * 10.0 / 19) + 20 * (5 + y.range * 20.0 / 39) + 9)), 6) AS estimate FROM range(40) y, range(20) x")
+@query(
+    _GRID + ", m AS (SELECT regr_slope(p_retailprice, p_size) AS b, regr_intercept(p_retailprice, p_size) AS a, min(p_retailprice) + 200 AS low, max(p_retailprice) - 300 AS high FROM part) "
+    "SELECT row, col, round(greatest(low, least(high, a + b * X + 20 * (Y - 70) + 9)), 4) AS estimate FROM g, m"
+)
 def grid_clamp(spark, sf_dir):
-    grid = geo.coordinate_grid(spark, (0.0, 5.0), (10.0, 25.0), 20)
-    inputs = dm.surface_inputs(grid, F.lit("House"), 3, 2, 1)
-    surface = dm.price_surface(inputs, lambda d: d.withColumn("estimate", 100 + 30 * F.col("X") + 20 * F.col("Y") + F.col("bedrooms_^2")), (200.0, 900.0))
-    return surface.select("row", "col", F.round("estimate", 6).alias("estimate"))
+    part = table(spark, sf_dir, "part")
+    fit = models.ols(models.assembled(_price_by_size(spark, sf_dir), ["p_size"]), "features", "y")
+    low, high = part.agg(F.min("p_retailprice") + 200, F.max("p_retailprice") - 300).first()
+    inputs = dm.surface_inputs(_grid(spark, sf_dir), F.lit("House"), 3, 2, 1)
+    surface = dm.price_surface(inputs, lambda d: d.withColumn("estimate", float(fit.intercept) + float(fit.coefficients[0]) * F.col("X") + 20 * (F.col("Y") - 70) + F.col("bedrooms_^2")), (low, high))
+    return surface.select("row", "col", F.round("estimate", 4).alias("estimate"))
+
+
+@query(
+    f"WITH p AS (SELECT min(s_suppkey % 89) + 1.0 AS lon, min(s_suppkey % 41) - 45.5 AS lat FROM supplier), r AS (SELECT radians(lon) AS lon, radians(lat) AS lat FROM p) "
+    f"SELECT round(6378137.0 * lon, 3) AS x, round(6378137.0 * ln(tan(pi() / 4 + lat / 2) * pow((1 - {_E} * sin(lat)) / (1 + {_E} * sin(lat)), {_E} / 2)), 3) AS y FROM r"
+)
+def mercator_corner(spark, sf_dir):
+    lon, lat = table(spark, sf_dir, "supplier").agg(F.min(F.col("s_suppkey") % 89) + 1.0, F.min(F.col("s_suppkey") % 41) - 45.5).first()
+    x, y = geo.mercator_point(lon, lat)
+    return spark.createDataFrame([(round(x, 3), round(y, 3))], "x double, y double")
 
 
 # --- features and models -------------------------------------------------------------------------------------------
@@ -589,25 +647,35 @@ def boosted_estimates(spark, sf_dir):
     return models.boosted(rows, "features", "y", maxIter=3).transform(rows).select("row_id", F.col("prediction").alias("estimate"))
 
 
-_SCORES = [({"depth": "3", "rate": "0.1"}, [0.5, 0.7]), ({"depth": "5", "rate": "0.1"}, [0.6, 0.8]), ({"depth": "3", "rate": "0.2"}, [0.4, 0.5])]
+_ALPHAS = ("0.1", "100000.0", "10000000.0")
+_RIDGES = (
+    "WITH f AS (SELECT p_partkey, p_size, p_retailprice, ntile(3) OVER (ORDER BY p_partkey) - 1 AS fold FROM part), "
+    "s AS (SELECT k.range AS fold, covar_pop(p_retailprice, p_size) * count(*) AS xy, var_pop(p_size) * count(*) AS xx, avg(p_size) AS mx, avg(p_retailprice) AS my FROM range(3) k JOIN f ON f.fold <> k.range GROUP BY 1), "
+    f"m AS (SELECT alpha, fold, xy / (xx + CAST(alpha AS DOUBLE)) AS b, my - xy / (xx + CAST(alpha AS DOUBLE)) * mx AS a FROM s, (VALUES {', '.join(f'({a!r})' for a in _ALPHAS)}) v(alpha)), "
+    "r AS (SELECT alpha, f.fold, 1 - sum(pow(p_retailprice - (a + b * p_size), 2)) / (count(*) * var_pop(p_retailprice)) AS r2 FROM f JOIN m ON m.fold = f.fold GROUP BY 1, 2) "
+)
+
 
+def _ridge_scores(spark, sf_dir) -> DataFrame:
+    """Scores of three penalties over three folds of parts."""
+    return models.test_params(_price_by_size(spark, sf_dir), ["p_size"], "y", models.ridge, {}, [{"alpha": float(a)} for a in _ALPHAS], folds=3)
 
-@query("SELECT '5' AS depth, '0.1' AS rate, 0.7 :: DOUBLE AS mean_score")
+
+@query(_RIDGES + "SELECT alpha, round(avg(r2), 5) AS mean_score FROM r GROUP BY 1 ORDER BY avg(r2) DESC LIMIT 1")
 def best_params(spark, sf_dir):
-    results = spark.createDataFrame(_SCORES, "params map<string,string>, scores array<double>")
-    return stats.best_params(results).select(F.col("params")["depth"].alias("depth"), F.col("params")["rate"].alias("rate"), F.round("mean_score", 9).alias("mean_score"))
+    return stats.best_params(_ridge_scores(spark, sf_dir)).select(F.col("params")["alpha"].alias("alpha"), F.round("mean_score", 5).alias("mean_score"))
 
 
-@query("SELECT '0.1' AS rate, '3:0.6,5:0.7' AS line UNION ALL SELECT '0.2', '3:0.45'")
+@query(_RIDGES + ", l AS (SELECT alpha, round(avg(r2), 5) AS mean_score FROM r GROUP BY 1) SELECT alpha, mean_score, CAST(0 AS INTEGER) AS others FROM l")
 def score_lines(spark, sf_dir):
-    results = spark.createDataFrame(_SCORES, "params map<string,string>, scores array<double>")
-    line = F.array_join(F.transform("line", lambda p: F.concat_ws(":", p["value"], F.round(p["mean_score"], 6).cast("string"))), ",")
-    return stats.score_lines(results, "depth").select(F.col("others")[0]["value"].alias("rate"), line.alias("line"))
+    found = stats.score_lines(_ridge_scores(spark, sf_dir), "alpha").select(F.size("others").alias("others"), F.explode("line").alias("p"))
+    return found.select(F.col("p.value").alias("alpha"), F.round("p.mean_score", 5).alias("mean_score"), "others")
 
 
-@query("SELECT 'depth=3,rate=0.1' AS params, '0.500000;0.700000' AS scores UNION ALL SELECT 'depth=5,rate=0.1', '0.600000;0.800000' UNION ALL SELECT 'depth=3,rate=0.2', '0.400000;0.500000'")
+@query(_RIDGES + "SELECT 'alpha=' || alpha AS params, string_agg(format('{:.4f}', round(r2, 4) + 0.0), ';' ORDER BY fold) AS scores FROM r GROUP BY 1")
 def score_log(spark, sf_dir):
-    return models.score_log_rows(spark.createDataFrame(_SCORES, "params map<string,string>, scores array<double>"))
+    rounded = _ridge_scores(spark, sf_dir).withColumn("scores", F.transform("scores", lambda s: F.round(s, 4)))
+    return models.score_log_rows(rounded).withColumn("scores", F.regexp_replace("scores", "00(;|$)", "$1"))
 
 
 @query("SELECT b.range + 1 AS bedrooms, t.p_type AS property_type, n.n_name AS suburb FROM range(3) b, (SELECT DISTINCT p_type FROM part) t, nation n")
@@ -823,15 +891,99 @@ def place_labels(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"), geo.place_label(F.col("s_name"), F.col("s_suppkey")).alias("label"))
 
 
-@query("SELECT i.range AS place, '$ ' || format('{:,}', CAST(lo AS BIGINT)) || ' - ' || format('{:,}', CAST(hi AS BIGINT)) AS label FROM range(3) i JOIN (VALUES (0, 0, 20000), (1, 20000, 40000), (2, 40000, 1000000)) v(n, lo, hi) ON v.n = i.range")
+@query(
+    "WITH q AS (SELECT o_orderpriority AS priority, CAST(ceil(max(o_totalprice) / 1000) * 1000 AS DOUBLE) AS most FROM orders GROUP BY 1), b AS (SELECT most, row_number() OVER (ORDER BY most) AS n FROM (SELECT DISTINCT most FROM q)) "
+    "SELECT n - 1 AS place, '$ ' || format('{:,}', CAST(coalesce(lag(most) OVER (ORDER BY n), 0) AS BIGINT)) || ' - ' || format('{:,}', CAST(most AS BIGINT)) AS label FROM b"
+)
 def break_labels(spark, sf_dir):
-    return spark.createDataFrame(list(enumerate(geo.break_labels([20000.0, 40000.0, 1000000.0]))), "place long, label string")
+    tops = table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg((F.ceil(F.max("o_totalprice") / 1000) * 1000).cast("double").alias("most"))
+    breaks = sorted({r["most"] for r in tops.collect()})  # one for each priority at most
+    return spark.createDataFrame(list(enumerate(geo.break_labels(breaks))), "place long, label string")
 
 
-@query("SELECT i.range AS row_id, CAST(i.range + 1 AS BIGINT) AS bedrooms, CAST((i.range + 1) * (i.range + 1) AS DOUBLE) AS \"bedrooms_^2\", CAST(1 AS INTEGER) AS \"property_type_House\", CAST(0 AS INTEGER) AS \"property_type_Unit\" FROM range(3) i")
+@query(
+    "WITH t AS (SELECT p_brand, row_number() OVER (ORDER BY p_brand) - 1 AS n FROM (SELECT DISTINCT p_brand FROM part)) "
+    "SELECT b.range * (SELECT count(*) FROM t) + n AS row_id, CAST(b.range + 1 AS BIGINT) AS bedrooms, CAST((b.range + 1) * (b.range + 1) AS DOUBLE) AS \"bedrooms_^2\", "
+    "CAST(p_brand = 'Brand#11' AS INTEGER) AS \"property_type_Brand#11\", CASE WHEN p_brand = 'Brand#12' THEN b.range + 1 ELSE 0 END AS \"bedrooms_by_Brand#12\" FROM range(3) b, t"
+)
 def comparison_encoding(spark, sf_dir):
-    rows = dm.combinations(spark, [([(b, 1, 1) for b in (1, 2, 3)], ["House"], ["reid"])])
-    return dm.encode_like(rows, ["bedrooms", "bedrooms_^2", "property_type_House", "property_type_Unit"]).withColumn("bedrooms", F.col("bedrooms").cast("long"))
+    types = stats.levels(table(spark, sf_dir, "part"), "p_brand")
+    rows = dm.combinations(spark, [([(b, 1, 1) for b in (1, 2, 3)], types, ["reid"])])
+    found = dm.encode_like(rows, ["bedrooms", "bedrooms_^2", "property_type_Brand#11", "bedrooms_by_Brand#12"])
+    return found.withColumns({c: F.col(f"`{c}`").cast("long") for c in ("bedrooms", "bedrooms_by_Brand#12")})
+
+
+# --- tree learners, forgiving hits ---------------------------------------------------------------------------------
+
+_STUMP = ("l_quantity", "l_discount", "l_tax")
+
+
+@query(
+    "WITH x AS (SELECT l_extendedprice AS y, l_quantity AS v0, l_discount AS v1, l_tax AS v2 FROM lineitem), "
+    "u AS (SELECT 0 AS feature, v0 AS v, 53000.0 - y AS g FROM x UNION ALL SELECT 1, v1, 53000.0 - y FROM x UNION ALL SELECT 2, v2, 53000.0 - y FROM x), "
+    "h AS (SELECT feature, v, count(*) AS n, sum(g) AS g FROM u GROUP BY 1, 2), "
+    "c AS (SELECT feature, v, sum(n) OVER w AS ln, sum(g) OVER w AS lg, sum(n) OVER (PARTITION BY feature) AS tn, sum(g) OVER (PARTITION BY feature) AS tg FROM h WINDOW w AS (PARTITION BY feature ORDER BY v)), "
+    "s AS (SELECT *, pow(greatest(abs(lg) - 1, 0), 2) / (ln + 10) + pow(greatest(abs(tg - lg) - 1, 0), 2) / (tn - ln + 10) - pow(greatest(abs(tg) - 1, 0), 2) / (tn + 10) AS gain FROM c WHERE ln >= 4 AND tn - ln >= 4), "
+    "b AS (SELECT * FROM s WHERE gain > 0 ORDER BY gain DESC, feature, v LIMIT 1) "
+    "SELECT '' AS path, CAST(feature AS INTEGER) AS feature, CAST(v AS DOUBLE) AS threshold, CAST(tn AS BIGINT) AS n, round(-sign(tg) * (abs(tg) - 1) / (tn + 10) * 0.3, 3) AS value FROM b "
+    "UNION ALL SELECT 'L', NULL, NULL, CAST(ln AS BIGINT), round(-sign(lg) * (abs(lg) - 1) / (ln + 10) * 0.3, 3) FROM b "
+    "UNION ALL SELECT 'R', NULL, NULL, CAST(tn - ln AS BIGINT), round(-sign(tg - lg) * (abs(tg - lg) - 1) / (tn - ln + 10) * 0.3, 3) FROM b"
+)
+def boosted_stump(spark, sf_dir):
+    """The first tree of second-order boosting, one split deep, over all line items."""
+    rows = table(spark, sf_dir, "lineitem").select(F.struct("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").alias("row_id"), *_STUMP, "l_extendedprice")
+    model = trees.boosted_trees(rows, _STUMP, "l_extendedprice", rounds=1, max_depth=1, rate=0.3, subsample=1.0, base_score=53000.0)
+    return model.split_table(spark).select("path", "feature", "threshold", "n", F.round("value", 3).alias("value"))
+
+
+def _parts_to_learn(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("row_id"), "p_size", (F.col("p_partkey") % 1000).alias("place"), F.length("p_type").alias("type_chars"), F.col("p_retailprice").alias("y"))
+
+
+_LEARNT = ("p_size", "place", "type_chars")
+
+
+@query()
+def boosted_margins(spark, sf_dir):
+    rows = _parts_to_learn(spark, sf_dir)
+    return trees.boosted_trees(rows, _LEARNT, "y", rounds=4, max_depth=4, rate=0.3).transform(rows, "estimate").select("row_id", F.round("estimate", 6).alias("estimate"))
+
+
+@query()
+def extra_tree_estimates(spark, sf_dir):
+    rows = _parts_to_learn(spark, sf_dir)
+    return trees.extra_trees(rows, _LEARNT, "y", trees=20, max_depth=6).transform(rows, "estimate").select("row_id", F.round("estimate", 6).alias("estimate"))
+
+
+@query()
+def out_of_bag(spark, sf_dir):
+    rows = _parts_to_learn(spark, sf_dir)
+    found = trees.bagged_forest(rows, _LEARNT, "y", trees=20, max_depth=6, features=0.7).out_of_bag(rows, "y", "row_id")
+    return found.select("row_id", "y", F.round("estimate", 6).alias("estimate"), "n_trees")
+
+
+_MISSPELT = "CASE c_custkey % 4 WHEN 0 THEN lower(n_name) || ' street' WHEN 1 THEN substr(lower(n_name), 2) || ' street' WHEN 2 THEN lower(n_name) || 's stret' ELSE 'x' || lower(n_name) || ' roads' END"
+
+
+@query(
+    "WITH a AS (SELECT c_custkey AS row_id, CAST(c_custkey % 7 AS VARCHAR) AS number, 'suburb ' || (c_nationkey % 5) AS suburb, " + _MISSPELT + " AS road FROM customer JOIN nation ON n_nationkey = c_nationkey), "
+    "g AS (SELECT CAST(i.range AS VARCHAR) AS number, lower(n_name) || ' street' AS street, 'suburb ' || (n_nationkey % 5) AS city, n_nationkey + i.range / 10 AS x, n_nationkey - 0.5 AS y FROM nation, range(6) i), "
+    "m AS (SELECT a.row_id, g.*, levenshtein(a.road, g.street) AS edits FROM a JOIN g ON g.city = a.suburb AND g.number = a.number WHERE levenshtein(a.road, g.street) <= 2), "
+    "b AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY edits, street) = 1) "
+    "SELECT a.row_id, b.street AS street_found, CAST(b.edits AS INTEGER) AS edits, CAST(b.y AS DOUBLE) AS latitude, round(CAST(b.x AS DOUBLE), 6) AS longitude, b.row_id IS NOT NULL AS geocoding_is_valid FROM a LEFT JOIN b ON a.row_id = b.row_id"
+)
+def geocode_forgiving(spark, sf_dir):
+    nation = table(spark, sf_dir, "nation")
+    asked = table(spark, sf_dir, "customer").join(F.broadcast(nation), F.col("n_nationkey") == F.col("c_nationkey")).select(
+        F.col("c_custkey").alias("row_id"), (F.col("c_custkey") % 7).cast("string").alias("house_number"), F.concat(F.lit("suburb "), (F.col("c_nationkey") % 5).cast("string")).alias("suburb"), F.expr(_MISSPELT).alias("road"), F.lit("").alias("house"),
+    )
+    numbers = spark.range(6).select(F.col("id").alias("i"))
+    streets = nation.crossJoin(F.broadcast(numbers)).select(
+        F.col("i").cast("string").alias("number"), F.concat(F.lower("n_name"), F.lit(" street")).alias("street"), F.concat(F.lit("suburb "), (F.col("n_nationkey") % 5).cast("string")).alias("city"),
+        F.lit("act").alias("region"), F.lit(2600).alias("postcode"), (F.col("n_nationkey") + F.col("i") / 10).alias("x"), (F.col("n_nationkey") - 0.5).alias("y"), F.lit(1).alias("hit_rank"),
+    )
+    found = geocode.geocode_forgiving(asked, streets)
+    return found.select("row_id", "street_found", "edits", "latitude", F.round("longitude", 6).alias("longitude"), "geocoding_is_valid")
 
 
 @query()

@@ -77,3 +77,65 @@ def geocode(addresses: DataFrame, gazetteer: DataFrame, key: str = "row_id", str
     best = Window.partitionBy(key).orderBy(F.desc("_ok"), F.col("hit_rank").asc_nulls_last())
     first = met.withColumn("_n", F.row_number().over(best)).where("_n = 1")
     return first.select(*addresses.columns, F.col("hit_y").cast("double").alias("latitude"), F.col("hit_x").cast("double").alias("longitude"), F.col("_ok").alias("geocoding_is_valid"))
+
+
+# --- forgiving hits ------------------------------------------------------------------------------------------------
+
+#: Edits that a street's name may be away, and characters from which on it may be.
+MOST_EDITS = 2
+LEAST_CHARS = 4
+
+
+def street_pieces(street: Column, size: Column, side: str) -> Column:
+    """Keys under which streets within MOST_EDITS edits meet: one of three parts of a name is left as it is.
+
+    side "kept": the parts of a name of its own length.  side "asked": for every length that the other name may have and
+    every place that its part may have moved to, the substring there.
+    """
+    third = lambda n, i: F.floor(n * i / (MOST_EDITS + 1)).cast("int")
+    pieces = []
+    for i in range(MOST_EDITS + 1):
+        if side == "kept":
+            start, end = third(size, i), third(size, i + 1)
+            pieces.append(F.array(F.struct(size.alias("size"), F.lit(i).alias("part"), F.substr(street, start + 1, end - start).alias("piece"))))
+        else:
+            for more in range(-MOST_EDITS, MOST_EDITS + 1):
+                n = size + more
+                start, end = third(n, i), third(n, i + 1)
+                moves = F.array(*[F.when((start + m >= 0) & (end + m <= size), F.struct(n.alias("size"), F.lit(i).alias("part"), F.substr(street, start + m + 1, end - start).alias("piece"))) for m in range(-MOST_EDITS, MOST_EDITS + 1)])
+                pieces.append(F.when(n > MOST_EDITS, F.filter(moves, lambda p: p.isNotNull())))
+    return F.array_distinct(F.flatten(F.filter(F.array(*pieces), lambda p: p.isNotNull())))
+
+
+def near_streets(asked: DataFrame, gazetteer: DataFrame) -> DataFrame:
+    """suburb, road, street, edits: the gazetteer's streets of a suburb within MOST_EDITS edits of a road asked for.
+
+    asked: suburb, road; gazetteer: suburb, street; all in lower case.  Names of fewer than LEAST_CHARS characters have
+    to be equal.  A street that is meant shares one of three parts with the road, so both sides are posted under parts
+    and only streets that meet are measured: no suburb is paired with itself, and none is left out.
+    """
+    roads = asked.select("suburb", "road").where("suburb IS NOT NULL AND road IS NOT NULL").distinct()
+    streets = gazetteer.select("suburb", "street").where("suburb IS NOT NULL AND street IS NOT NULL").distinct()
+    same = roads.join(streets.withColumn("road", F.col("street")), ["suburb", "road"]).withColumn("edits", F.lit(0))
+    long = F.length("road") >= LEAST_CHARS
+    wanted = roads.where(long).select("suburb", "road", F.explode(street_pieces(F.col("road"), F.length("road"), "asked")).alias("key"))
+    held = streets.where(F.length("street") >= LEAST_CHARS).select("suburb", "street", F.explode(street_pieces(F.col("street"), F.length("street"), "kept")).alias("key"))
+    met = wanted.join(held, ["suburb", "key"]).where("road <> street").select("suburb", "road", "street").distinct()
+    near = met.withColumn("edits", F.levenshtein("road", "street", MOST_EDITS)).where(F.col("edits").between(1, MOST_EDITS))
+    return same.select("suburb", "road", "street", "edits").unionByName(near)
+
+
+def geocode_forgiving(addresses: DataFrame, gazetteer: DataFrame, key: str = "row_id") -> DataFrame:
+    """Addresses with latitude, longitude, street_found, edits and geocoding_is_valid; spelling may be off a little.
+
+    The suburb and street number must be equal, the street within MOST_EDITS edits; fewest edits first, then the
+    smallest rank, then the street's name.  Without a hit: nulls and false.  Missing parts hit nothing; addresses that
+    are repeated are answered each; an empty gazetteer hits nothing.
+    """
+    asked = clean_parts(addresses).select(F.col(key).alias("_key"), F.lower("suburb").alias("suburb"), F.lower("road").alias("road"), street_number(F.col("house_number")).alias("number")).where("number <> ''")
+    table = gazetteer.select(F.lower("city").alias("suburb"), F.lower("street").alias("street"), F.lower("number").alias("number"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "hit_rank")
+    hits = asked.join(near_streets(asked, table), ["suburb", "road"]).join(table, ["suburb", "street", "number"])
+    order = F.struct("edits", F.coalesce("hit_rank", F.lit((1 << 31) - 1)).alias("r"), "street", "x", "y")
+    best = hits.groupBy("_key").agg(F.min_by(F.struct("x", "y", "street", "edits"), order).alias("_hit"))
+    found = addresses.join(best, F.col(key) == F.col("_key"), "left")
+    return found.select(*addresses.columns, F.col("_hit.y").alias("latitude"), F.col("_hit.x").alias("longitude"), F.col("_hit.street").alias("street_found"), F.col("_hit.edits").alias("edits"), F.col("_hit").isNotNull().alias("geocoding_is_valid"))

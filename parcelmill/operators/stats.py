@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .filters import cap
 from .islands import duplicate_groups
+from .quantiles import quantiles
 
 #: The pivots of the feature report (row, column, cap) and its counts.
 FEATURE_PIVOTS = (("property_type", "bedrooms", 8), ("suburb", "bedrooms", 8), ("suburb", "property_type", None))
@@ -77,9 +78,9 @@ def feature_tables(df: DataFrame) -> dict[str, DataFrame]:
 
 
 def describe(df: DataFrame, column: str) -> DataFrame:
-    """Count, mean, sample deviation, extremes and exact linear quartiles, in one row."""
-    c = F.col(column)
-    quartiles = [F.percentile(c, F.lit(p)).alias(f"p{int(100 * p)}") for p in (0.25, 0.5, 0.75)]
+    """Count, mean, sample deviation, extremes and exact linear quartiles (by selection), in one row."""
+    c, shares = F.col(column), (0.25, 0.5, 0.75)
+    quartiles = [F.lit(v).cast("double").alias(f"p{int(100 * p)}") for p, v in zip(shares, quantiles(df, column, shares), strict=True)]
     return df.agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("least"), *quartiles, F.max(c).alias("most"))
 
 
