@@ -29,6 +29,9 @@ SHARD_DOCS = 25_000
 #: Entries of a worker's cache of word ids; longer words are encoded anew.
 CACHE_ENTRIES = 250_000
 CACHE_CHARS = 48
+#: Marks that the tokenizer splits off the end of a word as one run: not the apostrophe, which begins short words, nor
+#: what its added tokens are made of.
+MARKS = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
 #: What the tokenizer's added tokens start with.
 ADDED = "<|"
 
@@ -51,19 +54,6 @@ _PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _SYMBOLS = {b: b for b in _PRINTABLE} | {b: 0x100 + i for i, b in enumerate(x for x in range(256) if x not in set(_PRINTABLE))}
 
 
-def plain(word: str) -> bool:
-    """Whether normalising and splitting leave a word as it is: lower-case letters of Latin-1 alone."""
-    if not (word.isalpha() and word.islower()):
-        return False
-    if word.isascii():
-        return True
-    try:
-        word.encode("latin-1")
-    except UnicodeEncodeError:
-        return False
-    return True
-
-
 def packed(ids: list[int]) -> bytes:
     """Little-endian unsigned 32-bit ids."""
     found = array("I", ids)
@@ -72,25 +62,48 @@ def packed(ids: list[int]) -> bytes:
     return found.tobytes()
 
 
-def id_bytes(path: str, words: list[str]) -> list[bytes]:
-    """Little-endian 32-bit ids of words.  Plain words, and those with one full stop or comma after them, go straight
-    to the tokenizer's model; all others take its whole way."""
-    whole = tokenizer(path)
-    merge = whole.model.tokenize
+_four: list[bytes] = []
+
 
-    def symbols(word: str) -> str:
-        return word if word.isascii() else word.encode().decode("latin-1").translate(_SYMBOLS)
+def four_bytes(whole) -> list[bytes]:
+    """Each id of the vocabulary as little-endian unsigned 32 bits."""
+    if not _four:
+        _four.extend(i.to_bytes(4, "little") for i in range(max(whole.get_vocab().values()) + 1))
+    return _four
 
-    ends = {mark: packed([t.id for t in merge(mark)]) for mark in (".", ",")}
+
+def id_bytes(path: str, words: list[str]) -> list[bytes]:
+    """Little-endian 32-bit ids of words.
+
+    Words of lower-case Latin-1 letters, which normalising and splitting leave as they are, go straight to the
+    tokenizer's model, and so do marks after them, which it takes as one word more; all others take its whole way.
+    """
+    whole = tokenizer(path)
+    merge, four = whole.model.tokenize, four_bytes(whole)
+    ends: dict[str, bytes] = {}
     found: list[bytes] = [b""] * len(words)
     others = []
     for i, word in enumerate(words):
-        if plain(word):
-            found[i] = packed([t.id for t in merge(symbols(word))])
-        elif word[-1:] in ends and plain(word[:-1]):
-            found[i] = packed([t.id for t in merge(symbols(word[:-1]))]) + ends[word[-1]]
-        elif word:
-            others.append(i)
+        stem = word.rstrip(MARKS)
+        if not (stem.isalpha() and stem.islower()):
+            if word:
+                others.append(i)
+            continue
+        if stem.isascii():
+            ids = b"".join([four[t.id] for t in merge(stem)])
+        else:
+            try:
+                stem.encode("latin-1")
+            except UnicodeEncodeError:
+                others.append(i)
+                continue
+            ids = b"".join([four[t.id] for t in merge(stem.encode().decode("latin-1").translate(_SYMBOLS))])
+        if len(stem) < len(word):
+            run = word[len(stem) :]
+            if run not in ends:
+                ends[run] = b"".join([four[t.id] for t in merge(run)])
+            ids += ends[run]
+        found[i] = ids
     for i, x in zip(others, whole.encode_batch_fast([words[i] for i in others], add_special_tokens=False) if others else [], strict=True):
         found[i] = packed(x.ids)
     return found
