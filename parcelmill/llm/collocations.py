@@ -16,8 +16,11 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,11 +30,16 @@ from .common import column, materialise, prepare, release, texts, tidied
 
 #: Words of the longest phrase.
 LONGEST = 5
-#: Words of a chunk (all languages together), and places of a range before equal keys are merged.
-CHUNK_WORDS = 4_000_000
+#: Words of a chunk, which is of one language, words of all chunks that a task has open, and places of a range before
+#: equal keys are merged.
+CHUNK_WORDS = 2_000_000
+OPEN_WORDS = 6_000_000
 RANGE_PLACES = 500_000
 #: The dictionary is numbered in so many parts.
 DICTIONARY_PARTS = 64
+#: A dictionary of at most so many words, none longer than this, is sent to the tasks; a larger one is joined.
+SENT_WORDS = 300_000
+SENT_CHARS = 200
 #: Fixed by the contract: marks and line ends that end a piece.
 BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"
 
@@ -52,12 +60,13 @@ class Codes(dict):
 
 
 def planes(values: np.ndarray) -> bytes:
-    """32-bit values byte plane by byte plane: planes of small values are zeros, which the files' codec packs."""
-    return np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+    """32-bit values (any shape) byte plane by byte plane, packed: codes and ids are small where words are frequent, so
+    the upper planes are mostly zeros."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.astype("<u4").reshape(-1).view(np.uint8).reshape(-1, 4).T).tobytes())
 
 
 def from_planes(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
+    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
 
 
 def encode_chunks(docs: DataFrame) -> DataFrame:
@@ -66,21 +75,21 @@ def encode_chunks(docs: DataFrame) -> DataFrame:
     def run(batches):
         part, number = TaskContext.get().partitionId(), 0
         open_: dict[str, tuple[Codes, list[np.ndarray]]] = {}
+        size: Counter[str] = Counter()
 
-        def chunks():
+        def closed(lang: str) -> pa.RecordBatch:
             nonlocal number
-            for lang, (codes, parts) in open_.items():
-                found = np.concatenate(parts)
-                words = list(codes)[1:]
-                counts = np.bincount(found, minlength=len(words) + 1)[1:]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([part << 32 | number], pa.int64()), pa.array([lang], pa.string()), pa.array([[w.decode() for w in words]], pa.list_(pa.string())), pa.array([counts], pa.list_(pa.int64())), pa.array([planes(found)], pa.binary())],
-                    ["chunk", "lang", "words", "counts", "codes"],
-                )
-                number += 1
-            open_.clear()
-
-        held = 0
+            codes, parts = open_.pop(lang)
+            del size[lang]
+            found = np.concatenate(parts)
+            words = list(codes)[1:]
+            counts = np.bincount(found, minlength=len(words) + 1)[1:]
+            number += 1
+            return pa.RecordBatch.from_arrays(
+                [pa.array([part << 32 | number], pa.int64()), pa.array([lang], pa.string()), pa.array([[w.decode() for w in words]], pa.list_(pa.string())), pa.array([counts], pa.list_(pa.int64())), pa.array([planes(found)], pa.binary())],
+                ["chunk", "lang", "words", "counts", "codes"],
+            )
+
         for batch in batches:
             for lang, text in zip(column(batch, "_lang"), texts(batch, "_text"), strict=True):
                 if lang not in open_:
@@ -89,28 +98,31 @@ def encode_chunks(docs: DataFrame) -> DataFrame:
                 found = words_and_breaks(text)
                 found.append(b".")
                 parts.append(np.fromiter(map(codes.__getitem__, found), np.uint32, len(found)))
-                held += len(found)
-                if held >= CHUNK_WORDS:
-                    yield from chunks()
-                    held = 0
-        yield from chunks()
+                size[lang] += len(found)
+                if size[lang] >= CHUNK_WORDS:
+                    yield closed(lang)
+                elif size.total() >= OPEN_WORDS:
+                    yield closed(size.most_common(1)[0][0])
+        for lang in list(open_):
+            yield closed(lang)
 
     return docs.mapInArrow(tidied(run), "chunk long, lang string, words array<string>, counts array<long>, codes binary")
 
 
 def numbered(words: DataFrame) -> DataFrame:
-    """lang, word, f with id (from 1, without gaps) and place (the sum of f over smaller ids).
+    """lang, word, f with id (from 1, without gaps, frequent words first) and place (the sum of f over smaller ids).
 
-    Numbers are given inside parts of the table, and each part starts where the totals of those before it end.
+    Numbers are given inside ranges of the table, and each range starts where the totals of those before it end.
     """
-    parted = materialise(words.withColumn("part", F.pmod(F.xxhash64("word", "lang"), F.lit(DICTIONARY_PARTS)).cast("int")).repartition("part"), "collocation-words")
-    inside = Window.partitionBy("part").orderBy("word", "lang")
-    own = parted.withColumn("i", F.row_number().over(inside)).withColumn("p", F.sum("f").over(inside) - F.col("f"))
+    ranged = words.repartitionByRange(DICTIONARY_PARTS, F.desc("f"), "word", "lang").withColumn("part", F.spark_partition_id())
+    parted = materialise(ranged, "collocation-words")
+    inside = Window.partitionBy("part").orderBy(F.desc("f"), "word", "lang").rowsBetween(Window.unboundedPreceding, 0)
+    own = parted.withColumn("i", F.count("*").over(inside)).withColumn("p", F.sum("f").over(inside) - F.col("f"))
     totals = {r["part"]: (r["n"], r["f"]) for r in parted.groupBy("part").agg(F.count("*").alias("n"), F.sum("f").alias("f")).collect()}
     starts, ids, places = [], 0, 0
-    for part in range(DICTIONARY_PARTS):
+    for part in sorted(totals):
         starts.append((part, ids, places))
-        ids, places = ids + totals.get(part, (0, 0))[0], places + totals.get(part, (0, 0))[1]
+        ids, places = ids + totals[part][0], places + totals[part][1]
     if ids >= 1 << 32:
         raise ValueError("more than 2^32 frequent words: raise the least count")
     starts = words.sparkSession.createDataFrame(starts, "part int, ids long, places long")
@@ -152,28 +164,43 @@ def windows(ids: np.ndarray, longest: int) -> np.ndarray:
     return out[out[:, 1] != 0]
 
 
-def range_keys(chunks: DataFrame, total: int, longest: int) -> DataFrame:
-    """bucket, keys, counts: the merged windows of each chunk, a row for each range they lie in."""
+def range_keys(chunks: DataFrame, total: int, longest: int, sent=None) -> DataFrame:
+    """bucket, keys, counts: the merged windows of each chunk, a row for each range they lie in.
+
+    What a chunk's words are numbered comes with the chunk (codes, pages), or from the whole dictionary as sent to the
+    tasks (lang, words, codes).
+    """
+
+    def pages(batch):
+        """codes, and for each word that counts its code, id, count and place."""
+        if sent is None:
+            for codes, words in zip(column(batch, "codes"), column(batch, "pages"), strict=True):
+                yield codes, *[np.array([w[k] for w in words], np.int64) for k in ("code", "id", "f", "place")]
+            return
+        rows, numbers = sent.value
+        for lang, words, codes in zip(column(batch, "lang"), column(batch, "words"), column(batch, "codes"), strict=True):
+            known = rows.get(lang, {})
+            at = np.fromiter((known.get(w, -1) for w in words), np.int64, len(words))
+            code = np.flatnonzero(at >= 0)
+            yield codes, code + 1, *numbers[at[code]].T
 
     def run(batches):
         for batch in batches:
-            for codes, words in zip(column(batch, "codes"), column(batch, "pages"), strict=True):
-                if not words:
+            for codes, code, own, f, place in pages(batch):
+                if not len(code):
                     continue
                 found = from_planes(codes)
                 lut = np.zeros(int(found.max(initial=0)) + 1, np.uint32)
-                code = np.array([w["code"] for w in words])
-                own = np.array([w["id"] for w in words], np.uint32)
                 lut[code] = own
                 keys, counts = merged(windows(lut[found], longest), None)
                 if not len(keys):
                     continue
                 order = np.argsort(own)
-                own, f, place = own[order], np.array([w["f"] for w in words], np.float64)[order], np.array([w["place"] for w in words], np.float64)[order]
+                own, f, place = own[order], f[order].astype(np.float64), place[order].astype(np.float64)
                 # The place on the line: the second and third word split the stretches before them.
                 at = np.searchsorted(own, keys[:, 0])
                 where, width = place[at], f[at]
-                for n in (1, 2):
+                for n in range(1, min(3, longest)):
                     at = np.minimum(np.searchsorted(own, keys[:, n]), len(own) - 1)
                     absent = keys[:, n] == 0
                     where = where + np.where(absent, 0, width * (place[at] / total))
@@ -184,11 +211,21 @@ def range_keys(chunks: DataFrame, total: int, longest: int) -> DataFrame:
                 for a in range(0, len(cuts), 64):
                     group = list(zip(cuts[a : a + 64], ends[a : a + 64], strict=True))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(bucket[cuts[a : a + 64]]), pa.array([b"".join(planes(keys[x:y, n]) for n in range(longest)) for x, y in group], pa.binary()), pa.array([planes(counts[x:y]) for x, y in group], pa.binary())],
+                        [pa.array(bucket[cuts[a : a + 64]]), pa.array([planes(keys[x:y].T) for x, y in group], pa.binary()), pa.array([planes(counts[x:y]) for x, y in group], pa.binary())],
                         ["bucket", "keys", "counts"],
                     )
 
-    return chunks.select("codes", "pages").mapInArrow(tidied(run), "bucket long, keys binary, counts binary")
+    return chunks.select(*(["codes", "pages"] if sent is None else ["lang", "words", "codes"])).mapInArrow(tidied(run), "bucket long, keys binary, counts binary")
+
+
+def as_sent(words: DataFrame):
+    """The dictionary for broadcasting: rows by language and word, and (id, count, place) by row."""
+    rows: dict[str, dict[str, int]] = {}
+    numbers = []
+    for r in words.select("lang", "word", "id", "f", "place").collect():
+        rows.setdefault(r["lang"], {})[r["word"]] = len(numbers)
+        numbers.append((r["id"], r["f"], r["place"]))
+    return words.sparkSession.sparkContext.broadcast((rows, np.array(numbers, np.int64).reshape(-1, 3)))
 
 
 def prefix_counts(ranges: DataFrame, least: int, longest: int) -> DataFrame:
@@ -224,8 +261,7 @@ def prefix_counts(ranges: DataFrame, least: int, longest: int) -> DataFrame:
                     yield counted(*closed())
                     held, rows = [], 0
                 now = bucket
-                data = np.frombuffer(keys, np.uint8).reshape(longest, -1)
-                held.append((np.stack([from_planes(p) for p in data], axis=1), from_planes(counts).astype(np.int64)))
+                held.append((np.ascontiguousarray(from_planes(keys).reshape(longest, -1).T), from_planes(counts).astype(np.int64)))
                 rows += len(held[-1][1])
                 if rows > 4 * RANGE_PLACES and rows > 2 * len(held[0][1]):
                     # Equal keys of many chunks are merged as they come, so a range holds its distinct keys alone.
@@ -255,10 +291,13 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = LONGEST, top:
     sums = materialise(counted.groupBy("lang").agg(F.sum("f").alias("n"), F.sum(F.when(F.col("f") >= least, F.col("f"))).alias("often")), "collocation-sums")
     total = sums.agg(F.sum("often")).first()[0] or 1
     words = materialise(numbered(counted.where(F.col("f") >= least).select("lang", "word", "f")), "collocation-dictionary")
-    # Each chunk's page of ids: its own words alone, so no dictionary is held whole.
-    coded = pages.select("chunk", "lang", "code", "word").join(words, ["lang", "word"]).groupBy("chunk").agg(F.collect_list(F.struct("code", "id", "f", "place")).alias("pages"))
-    paged = chunks.select("chunk", "codes").join(coded, "chunk")
-    grams = materialise(prefix_counts(range_keys(paged, total, longest), least, longest), "collocation-grams")
+    if words.where(F.length("word") <= SENT_CHARS).limit(SENT_WORDS + 1).count() <= SENT_WORDS and words.where(F.length("word") > SENT_CHARS).isEmpty():
+        ranges = range_keys(chunks, total, longest, as_sent(words))
+    else:
+        # Each chunk gets a page of its own words' ids, so no dictionary is held whole.
+        coded = pages.select("chunk", "lang", "code", "word").join(words, ["lang", "word"]).groupBy("chunk").agg(F.collect_list(F.struct("code", "id", "f", "place")).alias("pages"))
+        ranges = range_keys(chunks.select("chunk", "codes").join(coded, "chunk"), total, longest)
+    grams = materialise(prefix_counts(ranges, least, longest), "collocation-grams")
     scored = _scored(grams, words, sums)
     release(chunks, counted, grams)
     return _ranked(scored, words, top)

@@ -44,8 +44,9 @@ def texts_of(seed, n):
     return rows + [("en", "very hot pair " * 200), ("en", None), ("fr", ""), (None, " \t ")]
 
 
-@pytest.mark.parametrize("least, longest, top", [(3, 5, 20), (2, 3, 2000), (6, 5, 5)])
-def test_phrases_equal_brute_force(spark, monkeypatch, least, longest, top):
+@pytest.mark.parametrize("least, longest, top, sent", [(3, 5, 20, 0), (2, 3, 2000, 10**6), (6, 5, 5, 10**6), (4, 2, 50, 0)])
+def test_phrases_equal_brute_force(spark, monkeypatch, least, longest, top, sent):
+    monkeypatch.setattr(c, "SENT_WORDS", sent)  # 0: the dictionary is joined
     monkeypatch.setattr(c, "CHUNK_WORDS", 400)
     monkeypatch.setattr(c, "RANGE_PLACES", 37)  # many ranges: pairs lie in several
     rows = texts_of(least, 150)
