@@ -16,7 +16,7 @@ from .functions import address, geo, geocode
 from .functions.ordering import contiguous_folds
 from .operators import filters, islands, records, sequences, stats
 from .plans import design_matrix as dm
-from .plans import models, trees
+from .plans import models, spatial, trees
 from .sources import web
 from .sources.merging_store import MergingStore
 from .sources.shared import new_folder
@@ -994,9 +994,8 @@ def identifiable_columns(spark, sf_dir):
 
 @query()
 def spatial_error_fit(spark, sf_dir):
-    # The solver is for small samples: nations, each with the means of all its customers, are one at any scale.
-    means = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.avg("c_acctbal").alias("y"))
-    points = table(spark, sf_dir, "nation").join(means, F.col("n_nationkey") == F.col("c_nationkey")).select(F.col("n_nationkey").cast("long").alias("row_id"), F.col("n_regionkey").cast("double").alias("x"), "y")
-    near = geo.knn_join(points, "row_id", "x", "y", 4).withColumn("w", F.lit(1.0))
-    intercept, (slope,), lam = models.spatial_error_fit(points, ["x"], "y", near)
-    return spark.createDataFrame([(intercept, slope, lam)], "intercept double, slope double, lambda double")
+    """All parts, with their nearest neighbours by size and price band as weights."""
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("row_id"), F.col("p_size").cast("double").alias("x"), (F.col("p_partkey") % 997).cast("double").alias("place"), F.col("p_retailprice").alias("y"))
+    near = geo.knn_join(parts, "row_id", "x", "place", 4).withColumn("w", F.lit(1.0))
+    fit = spatial.spatial_error_fit(parts, ["x"], "y", near, probes=16, powers=8)
+    return spark.createDataFrame([(fit.intercept, fit.coefficients[0], fit.lam, fit.rows)], "intercept double, slope double, lambda double, n long")
