@@ -31,9 +31,9 @@ from .ngram_join import runs_of, star_pairs, tile_plan, tiled, told_apart, whole
 
 #: (least length, edits): lines of that length and more may be that many edits from a longer one, or from one as long.
 EDIT_BANDS = ((40, 1), (200, 2))
-#: Lines of fewer characters than this are left alone: they repeat by chance.  Those below the first band's length take
+#: Lines of fewer characters than this are left alone (blank ones always are).  Those below the first band's length take
 #: part by exact repeats alone.
-LEAST_CHARS = 20
+LEAST_CHARS = 1
 #: Lines under one key that are paired at once.
 SMALL_GROUP = 8
 #: Segments of lines under larger keys.
@@ -517,8 +517,8 @@ def cut_lines(docs: DataFrame, least: int = LEAST_CHARS, bands=EDIT_BANDS) -> tu
 def dedup_lines(docs: DataFrame, least: int = LEAST_CHARS, bands=EDIT_BANDS) -> DataFrame:
     """The documents' columns with repeated lines cut from text (n_chars follows), and n_lines, n_cut of each.
 
-    Of each class of equal or nearly equal lines, the one with the smallest (doc_id, line number) stays.  Lines of
-    fewer than `least` characters, and blank ones, are left alone; lines below the first band's length are compared
+    Of each class of equal or nearly equal lines, the one with the smallest (doc_id, line number) stays.  Blank lines,
+    and those of fewer than `least` characters, are left alone; lines below the first band's length are compared
     exactly.  A document that loses every line that takes part keeps the rest as its text.  Null texts stay null and
     empty ones empty; rows with a null doc_id take no part and are left alone.  Rows that share a doc_id are documents
     of their own (in order of a hash of their texts); rows equal in doc_id and text lose the same lines.  Further

@@ -150,7 +150,7 @@ ORACLES: dict[str, str] = {
     "op7_line_dedup": """
         WITH RECURSIVE raw AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents),
         l AS (SELECT doc_id, unnest(range(len(parts))) AS line_no, unnest(parts) AS line FROM raw),
-        d AS (SELECT line, length(line) AS n, min(row(doc_id, line_no)) AS first FROM l WHERE length(line) >= 20 AND regexp_matches(line, '[^\\s]') GROUP BY line),
+        d AS (SELECT line, length(line) AS n, min(row(doc_id, line_no)) AS first FROM l WHERE regexp_matches(line, '[^\\s]') GROUP BY line),
         e AS (SELECT line, n FROM d WHERE n >= 40),
         own AS (SELECT line, n AS size, 0 AS side, left(line, n // 2) AS part FROM e UNION ALL SELECT line, n, 1, right(line, n - n // 2) FROM e),
         longer AS (SELECT line, n - 1 AS size, 0 AS side, left(line, (n - 1) // 2) AS part FROM e UNION ALL SELECT line, n - 1, 1, right(line, n - 1 - (n - 1) // 2) FROM e),

@@ -278,9 +278,10 @@ def plain_raking(rows, targets):
     return weight
 
 
-@pytest.mark.parametrize("broadcast", [100_000, 0])
-def test_mixing_equals_plain_raking(spark, broadcast, monkeypatch):
+@pytest.mark.parametrize("broadcast, pairs", [(100_000, 100_000), (0, 100_000), (0, 1)])
+def test_mixing_equals_plain_raking(spark, broadcast, pairs, monkeypatch):
     monkeypatch.setattr(mixing, "BROADCAST_SOURCES", broadcast)
+    monkeypatch.setattr(mixing, "MOST_PAIRS", pairs)  # 1: everything is raked as tables
     rng = random.Random(9)
     docs = documents(spark, [(i, sentence(rng, rng.randint(5, 80))) for i in range(400)])
     rows = mixing.mix(docs, {"lang": {"en": 0.3, "fr": 0.7}}, budget=0.4).collect()
@@ -305,7 +306,7 @@ def test_mixing_by_stated_columns_and_targets_that_cannot_be_met(spark):
 
 
 def test_mixing_odd_rows(spark):
-    docs = documents(spark, odd_rows()).withColumns({c: F.lit("mine") for c in ("weight", "topic", "selected", "tokens", "wanted", "_topic", "_weight", "_source", "_row")})
+    docs = documents(spark, odd_rows()).withColumns({c: F.lit("mine") for c in ("weight", "topic", "selected", "tokens", "wanted", "_topic", "_weight", "_source", "_row", "a.b")})
     docs = docs.unionByName(docs.limit(1).withColumns({"source": F.lit(None).cast("string"), "lang": F.lit(None).cast("string")}))
     rows = mixing.mix(docs).collect()
     assert len(rows) == len(odd_rows()) + 1 and all(0 <= r["probability"] <= 1 for r in rows)
@@ -453,7 +454,7 @@ def test_short_lines_repeat_exactly(spark):
     line = "a line of thirty characters..."
     rows = [(1, f"{line}\nshort"), (2, f"{line}\nshort"), (3, line[:-1] + "!")]
     got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(documents(spark, rows)).collect()}
-    assert got == {1: rows[0][1], 2: "short", 3: rows[2][1]}
+    assert got == {1: rows[0][1], 2: "", 3: rows[2][1]}
 
 
 def test_line_of_a_hundred_thousand_characters(spark):
