@@ -30,7 +30,7 @@ def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Lines equal to, or a few edits from, a line of an earlier document or place are cut.
 
     A document from which lines were cut, and that has nothing but blanks left, goes: every line that it held stands in
-    others or nearly so.  Lines too short to take part keep their document, as they may stand nowhere else.
+    others or nearly so.  Null and empty texts, and those of blanks alone, stay; rows without an id are left alone.
     """
     found, _, n_cut = line_dedup.cut_lines(docs)
     own = F.col("text").rlike(r"(?U)[^\s\x1c-\x1f]")
