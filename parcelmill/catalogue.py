@@ -530,14 +530,14 @@ def kfold_assign(spark, sf_dir):
 @query("SELECT p_partkey, CAST(dense_rank() OVER (ORDER BY p_brand) - 1 AS BIGINT) AS code FROM part")
 def label_encode(spark, sf_dir):
     part = table(spark, sf_dir, "part")
-    return part.select("p_partkey", dm.encode(F.col("p_brand"), dm.encoder(part, "p_brand")).alias("code"))
+    return dm.encode_joined(part.select("p_partkey", "p_brand"), "p_brand", dm.level_table(part, "p_brand"), "code").select("p_partkey", "code")
 
 
 @query("SELECT DISTINCT p_brand AS brand FROM part")
 def label_decode(spark, sf_dir):
     part = table(spark, sf_dir, "part")
-    values = dm.encoder(part, "p_brand")
-    return part.select(dm.decode(dm.encode(F.col("p_brand"), values), values).alias("brand")).distinct()
+    levels = dm.level_table(part, "p_brand")
+    return dm.decode_joined(dm.encode_joined(part.select("p_brand"), "p_brand", levels, "code"), "code", levels, "brand").select("brand").distinct()
 
 
 @query("SELECT o_orderkey, " + ", ".join(f"CAST(o_orderstatus = '{s}' AS INTEGER) AS \"o_orderstatus_{s}\"" for s in _STATUSES) + " FROM orders")

@@ -15,6 +15,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ordering import dense_index
 from ..operators import filters
 from ..operators.islands import check_and_unduplicate
 from ..operators.stats import levels
@@ -109,6 +110,34 @@ def encoder(df: DataFrame, column: str) -> list[str]:
     return [r[0] for r in df.select(F.coalesce(F.col(column).cast("string"), F.lit("None")).alias("v")).distinct().orderBy("v").collect()]
 
 
+#: Levels that are broadcast; more are joined.
+BROADCAST_LEVELS = 10_000
+
+
+def level_table(df: DataFrame, column: str) -> DataFrame:
+    """value and code of each text of a column, in order from 0, the missing one as "None": encoder() as a table, for any
+    number of levels."""
+    values = df.select(F.coalesce(F.col(f"`{column}`").cast("string"), F.lit("None")).alias("value")).distinct()
+    return dense_index(values, "value", "code")
+
+
+def _joined(df: DataFrame, levels: DataFrame, on: Column, side: str, made: str, name: str) -> DataFrame:
+    table = levels.select(F.col(side).alias("_on"), F.col(made).alias("_made"))
+    if levels.limit(BROADCAST_LEVELS + 1).count() <= BROADCAST_LEVELS:
+        table = F.broadcast(table)
+    return df.join(table, on == F.col("_on"), "left").withColumn(name, F.col("_made")).drop("_on", "_made")
+
+
+def encode_joined(df: DataFrame, column: str, levels: DataFrame, name: str) -> DataFrame:
+    """df with the code of a column's text; null for one that the levels do not hold."""
+    return _joined(df, levels, F.coalesce(F.col(f"`{column}`").cast("string"), F.lit("None")), "value", "code", name)
+
+
+def decode_joined(df: DataFrame, code: str, levels: DataFrame, name: str) -> DataFrame:
+    """df with the text of a code; null for one that the levels do not hold."""
+    return _joined(df, levels, F.col(f"`{code}`"), "code", "value", name)
+
+
 def encode(column: Column, values: Sequence[str]) -> Column:
     return F.array_position(F.array(*[F.lit(v) for v in values]), F.coalesce(column.cast("string"), F.lit("None"))) - 1
 

@@ -7,6 +7,7 @@ names the current one.
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -182,5 +183,12 @@ def write_failures(log: DataFrame, path: str) -> None:
     log.select("error_number", "error_type", "sale_type", "address", "details").orderBy("error_number").write.mode("overwrite").option("header", True).csv(path)
 
 
-def append_scores(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").option("header", True).csv(path)
+def append_scores(rows: DataFrame, path: str, run: str | None = None) -> None:
+    """Add a run's rows to a log of scores.  A run has a folder of its own, so one that is repeated replaces what it
+    wrote before; without a name it gets a new one."""
+    rows.write.mode("overwrite").option("header", True).csv(f"{path}/run={run or uuid.uuid4().hex}")
+
+
+def read_scores(spark: SparkSession, path: str) -> DataFrame:
+    """All runs of a log of scores, with the run's name."""
+    return spark.read.option("header", True).csv(path)

@@ -54,6 +54,9 @@ def test_parameter_tests_and_their_log(spark, tmp_path):
     io.append_scores(rows, str(tmp_path / "log"))
     io.append_scores(rows, str(tmp_path / "log"))
     assert spark.read.option("header", True).csv(str(tmp_path / "log")).count() == 4
+    for _ in range(2):  # a run that is repeated replaces itself
+        io.append_scores(rows, str(tmp_path / "log"), "nightly")
+    assert io.read_scores(spark, str(tmp_path / "log")).count() == 6
     assert models.best_by_search(table, ["x"], "y", models.ridge, [{"alpha": 0.1}, {"alpha": 1e6}])[0] == {"alpha": 0.1}
 
 

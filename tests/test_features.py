@@ -132,3 +132,18 @@ def test_map_breaks_ascend():
             assert list(found) == sorted(found)
     with pytest.raises(ValueError):
         stats.map_breaks("loans", "House")
+
+
+@pytest.mark.parametrize("broadcast", [10_000, 0])
+def test_codes_by_a_level_table(spark, monkeypatch, broadcast):
+    """The codes of the encoder, missing values as a level, unknown ones as null, whether levels are broadcast or joined."""
+    monkeypatch.setattr(dm, "BROADCAST_LEVELS", broadcast)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(["b", "a", None, "b", "Z", ""])], "row_id long, `v.x` string")
+    levels = dm.level_table(df, "v.x")
+    values = sorted({"b", "a", "None", "Z", ""})
+    assert {r["value"]: r["code"] for r in levels.collect()} == {v: i for i, v in enumerate(values)}
+    more = df.unionByName(spark.createDataFrame([(9, "new")], df.schema))
+    coded = dm.encode_joined(more, "v.x", levels, "code")
+    assert {r["row_id"]: r["code"] for r in coded.collect()} == {**{i: values.index(v if v is not None else "None") for i, v in enumerate(["b", "a", None, "b", "Z", ""])}, 9: None}
+    back = dm.decode_joined(coded, "code", levels, "text")
+    assert {r["row_id"]: r["text"] for r in back.collect()} == {0: "b", 1: "a", 2: "None", 3: "b", 4: "Z", 5: "", 9: None}
