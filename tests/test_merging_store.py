@@ -158,3 +158,17 @@ def test_a_stream_makes_and_feeds_the_store(spark, tmp_path):
 def test_other_columns_are_an_error(spark, store):
     with pytest.raises(ValueError):
         store.upsert(spark.createDataFrame([(0, "z", T0)], "batch_row_id long, name string, date_scraped timestamp_ntz"), T0)
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    from types import SimpleNamespace
+
+    from parcelmill.sources.shared import shared_folder
+
+    def session(master, folder=None):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: folder, set=lambda k, v: None), sparkContext=SimpleNamespace(master=master))
+
+    with pytest.raises(RuntimeError):
+        shared_folder(session("spark://host:7077"))
+    assert shared_folder(session("spark://host:7077", "hdfs://shared")) == "hdfs://shared"
+    assert shared_folder(session("local[2]")).startswith("file://")
