@@ -231,3 +231,16 @@ def test_set_ids_are_of_sets():
     assert (a == b).all() and len(a) == 2
     assert len(ngram_join.shingles("one two")) == 1 and not len(ngram_join.shingles(" \n")) and not len(ngram_join.shingles(None))
     assert zlib.crc32(a.tobytes()) == zlib.crc32(b.tobytes())
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    from types import SimpleNamespace
+
+    from parcelmill.llm.common import shared_dir
+
+    def session(master, folder=None):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: folder, set=lambda k, v: None), sparkContext=SimpleNamespace(master=master))
+
+    with pytest.raises(RuntimeError):
+        shared_dir(session("spark://host:7077"))
+    assert shared_dir(session("spark://host:7077", "hdfs://shared")) == "hdfs://shared"
