@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import time
 import urllib.request
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from .shared import Files
+
 #: Attempts and seconds for a page, first and longest wait of the back-off.
 ATTEMPTS, TIMEOUT = 20, 1.0
 FIRST_DELAY, LAST_DELAY = 0.1, 5.0
@@ -107,5 +109,30 @@ class ListingPages(DataSource):
         return ListingPagesReader(self.options)
 
 
+def crawl(spark, path: str, places: Sequence[tuple[str, int]], places_per_step: int = 64, most_steps: int | None = None, **options):
+    """Fetch the pages of all places and store them as Parquet, going on where a crawl of these places stopped.
+
+    A step is a Spark job over the next places, one task each, and a folder of its own.  Spark marks a folder complete
+    as the last thing it does, so a step that broke off is done again and replaces what it left, and complete steps are
+    passed over: each page is stored once however often a crawl is broken off.  most_steps ends a crawl early.  Returns
+    the pages stored so far (state, postcode, page, html).
+    """
+    spark.dataSource.register(ListingPages)
+    files, done = Files(spark, path), 0
+    reader = spark.read.format("listing_pages").options(**options)
+    steps = range(0, len(places), places_per_step)
+    for at in steps:
+        if "_SUCCESS" in files.names(f"step-{at:09d}-{places_per_step}"):
+            continue
+        if most_steps is not None and done >= most_steps:
+            break
+        wanted = ",".join(f"{state}:{postcode}" for state, postcode in places[at : at + places_per_step])
+        reader.option("places", wanted).load().write.mode("overwrite").parquet(f"{path}/step-{at:09d}-{places_per_step}")
+        done += 1
+    complete = [f"{path}/{n}" for n in files.names() if n.startswith("step-") and "_SUCCESS" in files.names(n)]
+    schema = "state string, postcode int, page int, html string"
+    return spark.read.schema(schema).parquet(*complete) if complete else spark.createDataFrame([], schema)
+
+
 def search_description(states: list[str], postcodes: list[int]) -> str:
     return ", ".join(f"{s} {p}" for s, p in zip(states, postcodes, strict=True))

@@ -107,6 +107,27 @@ def test_listing_pages_source(spark, tmp_path):
     assert [(r["page"], r["html"]) for r in df.orderBy("page").collect()] == [(1, "page 1"), (2, "page 2")]
 
 
+def test_a_crawl_goes_on_where_it_stopped(spark, tmp_path):
+    """Stopped after one step, broken off inside the next, and run again twice: each page is stored once."""
+    site, store = tmp_path / "site", str(tmp_path / "pages")
+    places = [("act", 2600 + i) for i in range(5)]
+    for state, code in places:
+        for n in range(1, 4):
+            url = web.page_url_of(str(site) + "/", n, code, state, "")
+            (tmp_path / url).parent.mkdir(parents=True, exist_ok=True)
+            (tmp_path / url).write_text(f"{code} {n}" if n < 3 else "no results")
+    options = {"base": f"file://{site}/", "lastPage": "9"}
+    assert web.crawl(spark, store, places, 2, most_steps=1, **options).count() == 4
+    broken = tmp_path / "pages" / "step-000000002-2"
+    broken.mkdir()
+    (broken / "part-0.parquet").write_text("half a file")
+    (site.parent / web.page_url_of(str(site) + "/", 1, 2600, "act", "")).write_text("changed: not fetched again")
+    for _ in range(2):
+        got = web.crawl(spark, store, places, 2, **options)
+        assert sorted((r["postcode"], r["page"], r["html"]) for r in got.collect()) == [(c, n, f"{c} {n}") for _, c in places for n in (1, 2)]
+    assert web.crawl(spark, str(tmp_path / "none"), [], **options).count() == 0
+
+
 def test_settings(tmp_path):
     (tmp_path / "s.json").write_text(json.dumps({"name": "n", "sales": {"limit": 1, "act": {"limit": 2, "out_path": "out/x.csv"}}}))
     s = Settings.load(str(tmp_path / "s.json"), "sales", "act", str(tmp_path))
