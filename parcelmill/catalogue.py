@@ -913,6 +913,23 @@ def comparison_encoding(spark, sf_dir):
     return found.withColumns({c: F.col(f"`{c}`").cast("long") for c in ("bedrooms", "bedrooms_by_Brand#12")})
 
 
+_FEATURES = "SELECT o_orderpriority AS suburb, o_orderstatus AS property_type, o_custkey % 11 AS bedrooms FROM orders"
+
+
+@query(
+    f"WITH f AS ({_FEATURES}) SELECT suburb, " + ", ".join(f'count(*) FILTER (bedrooms = {n}) AS "{n}"' for n in range(8)) + ', count(*) FILTER (bedrooms >= 8) AS "8+" FROM f GROUP BY suburb'
+)
+def feature_report(spark, sf_dir):
+    """One of the feature report's tables: suburbs by bedrooms, eight and more together."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("suburb"), F.col("o_orderstatus").alias("property_type"), (F.col("o_custkey") % 11).alias("bedrooms"))
+    return stats.feature_tables(rows)["suburb_bedrooms"]
+
+
+@query(f"SELECT p_partkey, CAST(CASE WHEN p_size - 5 >= {filters.COUNT_CAP} THEN {filters.COUNT_CAP} WHEN p_size - 5 >= 1 THEN p_size - 5 END AS INTEGER) AS bucket FROM part")
+def count_buckets(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", filters.bucket((F.col("p_size") - 5).cast("int")).alias("bucket"))
+
+
 # --- tree learners, forgiving hits ---------------------------------------------------------------------------------
 
 _STUMP = ("l_quantity", "l_discount", "l_tax")
