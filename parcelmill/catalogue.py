@@ -730,6 +730,28 @@ def address_validate(spark, sf_dir):
     return found.select("c_custkey", "a.address_is_valid", "a.suburb")
 
 
+_RESTORED = (
+    "CASE c_custkey % 5 WHEN 0 THEN lower(c_name) || '|suburb' WHEN 1 THEN 'block ' || c_nationkey || ' section 7|road;' || lower(c_name) || '|suburb' "
+    f"WHEN 2 THEN '{address.PROTECTED_STREETS[0].lower()}|road;' || lower(c_name) || '|suburb' WHEN 3 THEN 'high street|road;low street|road;' || lower(c_name) || '|suburb' ELSE 'high street|road;' || lower(c_name) || '|suburb' END"
+)
+
+
+@query(f"SELECT c_custkey, {_RESTORED} || ';act|state;2600|postcode' AS restored, c_custkey % 5 <> 3 AS valid FROM customer")
+def address_restore(spark, sf_dir):
+    """Fake streets go, marks of blocks and protected streets come off, and a label that is there twice is not valid."""
+    k, name = F.col("c_custkey") % 5, address.component(F.lower("c_name"), "suburb")
+    road = lambda value: address.component(value, "road")
+    rest = F.array(address.component("act", "state"), address.component("2600", "postcode"))
+    block = F.concat(F.lit("block __"), F.col("c_nationkey").cast("string"), F.lit("__ section __7__"))
+    parts = (
+        F.when(k == 0, F.array(road("__no_street__ street"), name)).when(k == 1, F.array(road(block), name)).when(k == 2, F.array(road(address.protected(address.PROTECTED_STREETS[0]).lower()), name))
+        .when(k == 3, F.array(road("high street"), road("low street"), name)).otherwise(F.array(road("high street"), name))
+    )
+    restored = address.restore(F.concat(parts, rest))
+    text = F.array_join(F.transform(restored, lambda c: F.concat(c["value"], F.lit("|"), c["label"])), ";")
+    return table(spark, sf_dir, "customer").select("c_custkey", text.alias("restored"), address.valid_components(restored).alias("valid"))
+
+
 @query(
     "SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'the towers' END AS house, CASE c_custkey % 3 WHEN 0 THEN c_custkey || '/5' ELSE CAST(c_custkey AS VARCHAR) END AS house_number, "
     "CASE c_custkey % 3 WHEN 1 THEN 'rolph place' ELSE 'high street' END AS road, 'reid' AS suburb, 'act' AS state, '2612' AS postcode, true AS address_is_valid FROM customer"
