@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 from parcelmill.operators import quantiles, stats
 
 
-@pytest.mark.parametrize("shape", ["even", "wide", "heavy", "few"])
-@pytest.mark.parametrize("parts", [256, 3])
+@pytest.mark.parametrize("shape, parts", [("even", 3), ("wide", 256), ("heavy", 256), ("few", 256)])
 def test_quantiles_equal_sorting(spark, monkeypatch, shape, parts):
     monkeypatch.setattr(quantiles, "PARTS", parts)
     rng = random.Random(shape)
