@@ -11,6 +11,10 @@ from ..sources.shared import written
 
 #: Width of the key ranges that are numbered apart.
 BUCKET = 1_000_000
+#: Rows of the ranges that segments are cut from; larger segments have ranges of their own size.
+RANGE_ROWS = 250_000
+#: Ids of rows count up inside a partition below this.
+IN_PARTITION = 1 << 33
 #: The column that numbers segments, and how many large groups are broadcast.
 SEGMENT = "_segment"
 LARGE_GROUPS = 10_000
@@ -21,19 +25,23 @@ def dense_index(df: DataFrame, key: str, name: str, bucket: int = BUCKET) -> Dat
 
     Rows are numbered inside ranges of the key, and each range starts where the counts of those before it end: only the
     table of range counts is ordered as a whole.  A table of at most `bucket` rows is one range.  Larger ones are cut
-    at sampled bounds, about `bucket` rows each however uneven the keys are, and written to shared storage, as the
-    bounds must not be drawn anew.
+    at sampled bounds, about `bucket` rows each however uneven the keys are, numbered where they lie, and written to
+    shared storage, as the bounds must not be drawn anew.
     """
     n = df.count()
     if n <= bucket:
-        ranged = df.withColumn("_range", F.lit(0))
-    else:
-        ranged = written(df.repartitionByRange(-(-n // bucket), key).withColumn("_range", F.spark_partition_id()), "ranges")
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(key)).cast("long") - 1)
+    ranged = written(_numbered(df, -(-n // bucket), [key], "_at"), "ranges")
+    ranged = ranged.withColumns({"_range": F.floor(F.col("_at") / IN_PARTITION), "_inside": F.col("_at") % IN_PARTITION}).drop("_at")
     counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = F.row_number().over(Window.partitionBy("_range").orderBy(key)) - 1
-    return ranged.withColumn("_inside", inside).join(F.broadcast(starts), "_range").withColumn(name, F.col("_start") + F.col("_inside")).drop("_range", "_inside", "_start")
+    return ranged.join(F.broadcast(starts), "_range").withColumn(name, F.col("_start") + F.col("_inside")).drop("_range", "_inside", "_start")
+
+
+def _numbered(df: DataFrame, ranges: int, order_by: Sequence[str], name: str) -> DataFrame:
+    """df in ranges of the order columns, each sorted, with range * IN_PARTITION + place in the range as `name`."""
+    return df.repartitionByRange(ranges, *order_by).sortWithinPartitions(*order_by).withColumn(name, F.monotonically_increasing_id())
 
 
 def meet(df: DataFrame, groups: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
@@ -57,8 +65,9 @@ def meet_null_safe(df: DataFrame, groups: DataFrame, by: Sequence[str]) -> DataF
 def split_by_size(df: DataFrame, by: Sequence[str], order_by: Sequence[str], segment_rows: int) -> tuple[DataFrame, DataFrame | None]:
     """Rows of groups with at most segment_rows rows, and those of larger groups with a segment number.
 
-    Segments are ranges of the order columns with about segment_rows rows each, all large groups together, so no group
-    has more than that in one segment however its rows lie.  The second part is written to shared storage: its ranges
+    Segments are ranges of the order columns with at most segment_rows rows each, all large groups together, so no group
+    has more than that in one segment however its rows lie.  They are cut from sorted ranges of at least about RANGE_ROWS
+    rows: small segments do not cost a task each.  The second part is written to shared storage: its ranges
     come from a sample and must not be drawn anew.  It is None if there is no large group.
     """
     if df.count() <= segment_rows:
@@ -71,7 +80,9 @@ def split_by_size(df: DataFrame, by: Sequence[str], order_by: Sequence[str], seg
     named = large.select(*[F.col(f"`{c}`").alias(f"_g_{c}") for c in by])
     named = F.broadcast(named) if groups <= LARGE_GROUPS else named
     same = null_safe([F.col(f"`{c}`") for c in by], [F.col(f"`_g_{c}`") for c in by])
-    many = df.join(named, same, "left_semi").repartitionByRange(-(-rows // segment_rows), *order_by).withColumn(SEGMENT, F.spark_partition_id())
+    many = _numbered(df.join(named, same, "left_semi"), -(-rows // max(segment_rows, RANGE_ROWS)), order_by, SEGMENT)
+    inside = F.col(SEGMENT) % IN_PARTITION
+    many = many.withColumn(SEGMENT, F.col(SEGMENT) - inside + F.floor(inside / segment_rows))
     return df.join(named, same, "left_anti"), written(many, "segments")
 
 
