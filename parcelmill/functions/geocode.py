@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .address import STATES
+from .ordering import meet
 
 #: What is taken out of address parts, and the suffix of each part of a query.
 UNWANTED = r"""["'*^]|%22"""
@@ -44,13 +45,9 @@ def state_code(c: Column) -> Column:
     return F.coalesce(F.element_at(table, low), low)
 
 
-def hit_matches(strict: bool = False) -> Column:
-    """Whether a hit is the address asked for: the street alone, or street, city, region and postcode if strict."""
-    pairs = [("hit_street", "road"), ("hit_city", "suburb"), ("hit_region", "state"), ("hit_postcode", "postcode")][: None if strict else 1]
-    ok = F.lit(True)
-    for a, b in pairs:
-        ok = ok & F.coalesce(state_code(F.col(a).cast("string")) == state_code(F.col(b).cast("string")), F.lit(False))
-    return ok
+def hit_pairs(strict: bool = False) -> list[tuple[str, str]]:
+    """What a hit and an address have to share: the street alone, or street, city, region and postcode if strict."""
+    return [("hit_street", "road"), ("hit_city", "suburb"), ("hit_region", "state"), ("hit_postcode", "postcode")][: None if strict else 1]
 
 
 def first_hit(hits: Column, wanted: Column) -> Column:
@@ -63,20 +60,32 @@ def geocode(addresses: DataFrame, gazetteer: DataFrame, key: str = "row_id", str
 
     gazetteer: number, street, city, region, postcode, x, y, hit_rank.  Hits share suburb and street number; the road, and
     then the smallest rank, choose among them.  Without a hit: null, null, false.
+
+    Only the best entry of all that an address cannot tell apart is ever a hit, so the gazetteer is brought down to those
+    first: an address meets two rows at most, the best of its own street and the best of its suburb and number.
     """
     cleaned = clean_parts(addresses)
     asked = cleaned.withColumns({"_number": street_number(F.col("house_number")), "_suburb": F.lower("suburb")})
+    place, pairs = ["_number", "_suburb"], hit_pairs(strict)
+    codes = [f"_{hit}" for hit, _ in pairs]
+    order = F.struct(F.col("hit_rank").isNull().alias("unranked"), "hit_rank", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
     table = gazetteer.select(
-        F.lower("number").alias("_number"), F.lower("city").alias("_suburb"), F.col("street").alias("hit_street"), F.col("city").alias("hit_city"), F.col("region").alias("hit_region"),
-        F.col("postcode").alias("hit_postcode"), F.col("x").alias("hit_x"), F.col("y").alias("hit_y"), "hit_rank",
-    )
-    if gazetteer.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        table = F.broadcast(table)
-    met = asked.join(table, ["_number", "_suburb"], "left")
-    met = met.withColumn("_ok", F.coalesce(hit_matches(strict), F.lit(False)))
-    best = Window.partitionBy(key).orderBy(F.desc("_ok"), F.col("hit_rank").asc_nulls_last())
+        F.lower("number").alias("_number"), F.lower("city").alias("_suburb"), order.alias("_order"),
+        *[state_code(F.col(hit.removeprefix("hit_")).cast("string")).alias(c) for c, (hit, _) in zip(codes, pairs, strict=True)],
+    ).where("_number IS NOT NULL AND _suburb IS NOT NULL")
+    own = table.groupBy(*place, *codes).agg(F.min("_order").alias("_own"))
+    any_ = table.groupBy(*place).agg(F.min("_order").alias("_any"))
+    asked = asked.withColumns({c: state_code(F.col(part).cast("string")) for c, (_, part) in zip(codes, pairs, strict=True)})
+
+    def joined(rows: DataFrame, hits: DataFrame, by: list[str]) -> DataFrame:
+        few = hits.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        return rows.join(F.broadcast(hits), by, "left") if few else meet(rows, hits, by, "left")
+
+    met = joined(joined(asked, own, [*place, *codes]), any_, place)
+    met = met.select(*addresses.columns, F.col("_own").isNotNull().alias("_ok"), F.coalesce("_own", "_any").alias("_hit"))
+    best = Window.partitionBy(key).orderBy(F.desc("_ok"), F.col("_hit.hit_rank").asc_nulls_last())
     first = met.withColumn("_n", F.row_number().over(best)).where("_n = 1")
-    return first.select(*addresses.columns, F.col("hit_y").cast("double").alias("latitude"), F.col("hit_x").cast("double").alias("longitude"), F.col("_ok").alias("geocoding_is_valid"))
+    return first.select(*addresses.columns, F.col("_hit.y").alias("latitude"), F.col("_hit.x").alias("longitude"), F.col("_ok").alias("geocoding_is_valid"))
 
 
 # --- forgiving hits ------------------------------------------------------------------------------------------------
@@ -134,8 +143,11 @@ def geocode_forgiving(addresses: DataFrame, gazetteer: DataFrame, key: str = "ro
     """
     asked = clean_parts(addresses).select(F.col(key).alias("_key"), F.lower("suburb").alias("suburb"), F.lower("road").alias("road"), street_number(F.col("house_number")).alias("number")).where("number <> ''")
     table = gazetteer.select(F.lower("city").alias("suburb"), F.lower("street").alias("street"), F.lower("number").alias("number"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "hit_rank")
-    hits = asked.join(near_streets(asked, table), ["suburb", "road"]).join(table, ["suburb", "street", "number"])
-    order = F.struct("edits", F.coalesce("hit_rank", F.lit((1 << 31) - 1)).alias("r"), "street", "x", "y")
+    # Of entries that share suburb, street and number only the first can be a hit.
+    rank = F.coalesce("hit_rank", F.lit((1 << 31) - 1)).alias("r")
+    first = table.groupBy("suburb", "street", "number").agg(F.min(F.struct(rank, "x", "y")).alias("_first")).select("suburb", "street", "number", "_first.*")
+    hits = asked.join(near_streets(asked, table), ["suburb", "road"]).join(first, ["suburb", "street", "number"])
+    order = F.struct("edits", "r", "street", "x", "y")
     best = hits.groupBy("_key").agg(F.min_by(F.struct("x", "y", "street", "edits"), order).alias("_hit"))
     found = addresses.join(best, F.col(key) == F.col("_key"), "left")
     return found.select(*addresses.columns, F.col("_hit.y").alias("latitude"), F.col("_hit.x").alias("longitude"), F.col("_hit.street").alias("street_found"), F.col("_hit.edits").alias("edits"), F.col("_hit").isNotNull().alias("geocoding_is_valid"))
