@@ -8,7 +8,7 @@ drawn with probability min(1, c * weight), with c set so that the expected token
 of its id.
 
 Where documents have no topic column, topics are clusters: spherical k-means over words of five characters and more, by
-hashed tf-idf, fitted on a bounded sample.  Tokens are words unless a column of counts is named.
+hashed tf-idf, fitted on all documents.  Tokens are words unless a column of counts is named.
 """
 
 from __future__ import annotations
@@ -17,22 +17,23 @@ import math
 import warnings
 import zlib
 from collections import Counter
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, materialise, prepare, release, tidied, unused, worker_cache
+from .common import materialise, mix64, prepare, release, tidied, unused, worker_cache
 
 DIMENSIONS = ("source", "lang", "topic")
-#: Clusters, least length of their words, places of a document's vector, documents of the sample they are fitted on.
+#: Clusters, least length of their words, places of a document's vector, rounds of the clusters' means.
 TOPICS = 8
 TOPIC_CHARS = 5
 PLACES = 512
-TOPIC_SAMPLE = 4096
 TOPIC_ROUNDS = 12
+#: Vectors are in whole parts of this.
+STEPS = 1 << 20
 #: Share of the tokens to draw; exponent of the default targets (1 keeps the shares there are, 0 makes them equal).
 BUDGET = 0.5
 TEMPER = 0.5
@@ -76,69 +77,155 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def fit_topics(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """idf of every place, and the unit centres of the clusters, from texts' place_counts in a fixed order."""
-    df = (counts > 0).sum(0)
-    idf = np.log((len(counts) + 1) / (df + 1))
-    points = vectors(counts, idf)
-    if not len(points):
+    """idf of every place, and the unit centres of the clusters, from texts' place_counts that are at hand."""
+    marks = np.arange(len(counts))
+
+    def farthest(idf, centres):
+        at = least_alike(counts, marks, idf, centres)
+        return units(counts[at : at + 1], idf)[0]
+
+    return _fitted(lambda: (len(counts), (counts > 0).sum(0)), farthest, lambda idf, middle: cluster_sums(counts, idf, middle))
+
+
+def units(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """vectors in whole steps of 1 / STEPS: their products and sums are exact, in whatever order they are added."""
+    return np.rint(vectors(counts, idf) * STEPS)
+
+
+def least_alike(counts: np.ndarray, marks: np.ndarray, idf: np.ndarray, centres: np.ndarray | None) -> int:
+    """The row that is least like the centre it is most like; of several the one with the smallest mark."""
+    alike = likeness(counts, idf, centres)
+    return int(np.lexsort((marks, alike))[0])
+
+
+def likeness(counts: np.ndarray, idf: np.ndarray, centres: np.ndarray | None) -> np.ndarray:
+    return np.zeros(len(counts)) if centres is None else (units(counts, idf) @ centres.T).max(1)
+
+
+def cluster_sums(counts: np.ndarray, idf: np.ndarray, middle: np.ndarray) -> np.ndarray:
+    """Sums of the vectors that are nearest to each centre."""
+    points = units(counts, idf)
+    own = np.eye(len(middle))[(points @ middle.T).argmax(1)]
+    return (own.T @ points).astype(np.int64)
+
+
+def _fitted(frequencies: Callable, farthest: Callable, sums: Callable) -> tuple[np.ndarray, np.ndarray]:
+    """Farthest-first seeds, then rounds of assignment and means.  Each step is a sum or a least over all texts."""
+    n, held = frequencies()
+    idf = np.log((n + 1) / (held + 1))
+    if not n:
         return idf, np.zeros((1, PLACES))
-    # Farthest-first seeds, then rounds of assignment and means.
-    centres = [points[0]]
-    for _ in range(min(TOPICS, len(points)) - 1):
-        centres.append(points[int(np.argmin((points @ np.stack(centres).T).max(1)))])
-    middle = np.stack(centres)
+    middle = farthest(idf, None)[None]
+    for _ in range(min(TOPICS, n) - 1):
+        middle = np.vstack([middle, farthest(idf, middle)])
     for _ in range(TOPIC_ROUNDS):
-        own = (points @ middle.T).argmax(1)
-        sums = np.stack([points[own == k].sum(0) if (own == k).any() else middle[k] for k in range(len(middle))])
-        middle = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
-    return idf, middle
+        total = sums(idf, middle)
+        norm = np.linalg.norm(total.astype(float), axis=1, keepdims=True)
+        before, middle = middle, np.where(norm > 0, np.rint(total / np.maximum(norm, 1) * STEPS), middle)
+        if (before == middle).all():
+            break
+    return idf, middle / STEPS
 
 
-def described(docs: DataFrame, topic: str, size: str, topic_col: str | None, tokens_col: str | None) -> DataFrame:
-    """docs with the columns topic (text) and size (tokens) added; a topic is missing where a text has no long word."""
-    spark = docs.sparkSession
-    topics = None
-    if topic_col is None:
-        n = docs.count()
-        part = F.pmod(F.xxhash64("doc_id", "text", F.lit("topics")), F.lit(1 << 30)) < math.ceil(min(1.0, 2 * TOPIC_SAMPLE / max(n, 1)) * (1 << 30))
+def sparse(counts: np.ndarray) -> list[bytes]:
+    """Rows of place_counts as bytes: count * PLACES + place for each place held."""
+    row, place = np.nonzero(counts)
+    codes = counts[row, place] * PLACES + place
+    ends = np.cumsum(np.bincount(row, minlength=len(counts))) * 8
+    flat = codes.astype("<i8").tobytes()
+    return [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+
+
+def dense(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """place_counts from a column of sparse rows, and a mark (hash) of each row."""
+    sizes = np.fromiter(map(len, rows := column.to_pylist()), np.int64, len(column)) // 8
+    codes = np.frombuffer(b"".join(rows), "<i8")
+    row = np.repeat(np.arange(len(rows)), sizes)
+    counts = np.zeros((len(rows), PLACES), np.int64)
+    counts[row, codes % PLACES] = codes // PLACES
+    marks = np.zeros(len(rows), np.uint64)
+    np.add.at(marks, row, mix64(codes.astype(np.uint64)))
+    return counts, mix64(marks).view(np.int64)
 
-        def places(batches):
+
+def fit_all_topics(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """fit_topics over a table of sparse rows (`places`), all of them: each step is a pass whose sums meet by place."""
+
+    def summed(make, size: int) -> np.ndarray:
+        def run(batches):
+            total = np.zeros(size, np.int64)
             for batch in batches:
-                counts = place_counts([words_of(t) for t in column(batch, "text")], Places())
-                held = [np.flatnonzero(c) for c in counts]
-                many = pa.list_(pa.int32())
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([h.tolist() for h in held], many), pa.array([c[h].tolist() for c, h in zip(counts, held, strict=True)], many)], ["mark", "places", "n"])
-
-        # Texts become their counts where they lie: a sampled one is at most PLACES pairs.
-        sample = docs.where(part).select(F.xxhash64("text").alias("mark"), "text").mapInArrow(places, "mark long, places array<int>, n array<int>")
-        rows = sample.where(F.size("places") > 0).orderBy("mark", "places", "n").limit(TOPIC_SAMPLE).toArrow()
-        counts = np.zeros((rows.num_rows, PLACES), np.int64)
-        for i, (places_here, n_here) in enumerate(zip(rows.column("places").to_pylist(), rows.column("n").to_pylist(), strict=True)):
-            counts[i, places_here] = n_here
-        topics = spark.sparkContext.broadcast(fit_topics(counts))
-    added = [*([topic] if topic_col is None else []), *([size] if tokens_col is None else [])]
-    if added:
+                total += make(dense(batch.column(0))[0]).ravel()
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["at", "n"])
+
+        found = np.zeros(size, np.int64)
+        for r in texts.mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+            found[r["at"]] = r["n"]
+        return found
+
+    def frequencies():
+        found = summed(lambda counts: np.append((counts > 0).sum(0), len(counts)), PLACES + 1)
+        return int(found[-1]), found[:-1]
+
+    def farthest(idf, centres):
+        def run(batches):
+            best = None
+            for batch in batches:
+                counts, marks = dense(batch.column(0))
+                if len(counts):
+                    at = least_alike(counts, marks, idf, centres)
+                    own = (float(likeness(counts[at : at + 1], idf, centres)[0]), int(marks[at]), batch.column(0)[at].as_py())
+                    best = own if best is None else min(best, own)
+            yield pa.RecordBatch.from_arrays([pa.array([b] if best else [], t) for b, t in zip(best or [None] * 3, (pa.float64(), pa.int64(), pa.binary()), strict=True)], ["alike", "mark", "places"])
+
+        found = texts.mapInArrow(run, "alike double, mark long, places binary").agg(F.min(F.struct("alike", "mark", "places")).alias("s")).first()["s"]
+        return units(dense(pa.array([bytes(found["places"])], pa.binary()))[0], idf)[0]
+
+    def sums(idf, middle):
+        return summed(lambda counts: cluster_sums(counts, idf, middle), len(middle) * PLACES).reshape(len(middle), PLACES)
+
+    return _fitted(frequencies, farthest, sums)
+
+
+def described(docs: DataFrame, topic: str, size: str, topic_col: str | None, tokens_col: str | None) -> DataFrame:
+    """docs with the columns topic (text) and size (tokens) added; a topic is missing where a text has no long word.
+
+    Where topics are clusters, texts are read once: their counts by place are written with the rows, the clusters are
+    fitted on the counts of all rows, and each row's topic follows from its own.
+    """
+    wanted = [*(["places"] if topic_col is None else []), *([size] if tokens_col is None else [])]
+    names, at = docs.columns, docs.columns.index("text")
+    if wanted:
         # By position: mapInArrow does not take names with a dot.
-        names, at = docs.columns, docs.columns.index("text")
         places_of = [f"c{i}" for i in range(len(names))]
+        more_names = [f"d{i}" for i in range(len(wanted))]
 
         def run(batches):
             cache = worker_cache("mixing").setdefault("places", Places())
             for batch in batches:
                 split = [words_of(t) for t in batch.column(at).to_pylist()]
                 more = []
-                if topics is not None:
-                    idf, middle = topics.value
-                    counts = place_counts(split, cache)
-                    near = (vectors(counts, idf) @ middle.T).argmax(1).tolist()
-                    more.append(pa.array([str(k) if some else None for k, some in zip(near, counts.any(1).tolist(), strict=True)], pa.string()))
+                if topic_col is None:
+                    more.append(pa.array(sparse(place_counts(split, cache)), pa.binary()))
                 if tokens_col is None:
                     more.append(pa.array([len(w) for w in split], pa.int64()))
-                yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*places_of, *added])
-
-        kinds = {topic: "string", size: "long"}
-        types = [*(f"{c} {t}" for c, (_, t) in zip(places_of, docs.dtypes, strict=True)), *(f"`{a}` {kinds[a]}" for a in added)]
-        docs = docs.toDF(*places_of).mapInArrow(tidied(run), ", ".join(types)).toDF(*names, *added)
+                yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*places_of, *more_names])
+
+        types = [*(f"{c} {t}" for c, (_, t) in zip(places_of, docs.dtypes, strict=True)), *(f"{d} {'binary' if w == 'places' else 'long'}" for d, w in zip(more_names, wanted, strict=True))]
+        rows = docs.toDF(*places_of).mapInArrow(tidied(run), ", ".join(types))
+        if topic_col is None:
+            rows = materialise(rows, "described")
+            idf, middle = fit_all_topics(rows.where(F.octet_length("d0") > 0).select("d0"))
+
+            @F.arrow_udf("string")
+            def nearest(places: pa.Array) -> pa.Array:
+                counts, _ = dense(places)
+                near = (units(counts, idf) @ np.rint(middle * STEPS).T).argmax(1).tolist()
+                return pa.array([str(k) if some else None for k, some in zip(near, counts.any(1).tolist(), strict=True)], pa.string())
+
+            rows = rows.withColumn("d0", nearest("d0"))
+        docs = rows.toDF(*names, *[topic if w == "places" else w for w in wanted])
     if topic_col is not None:
         docs = docs.withColumn(topic, F.col(topic_col).cast("string"))
     return docs if tokens_col is None else docs.withColumn(size, F.greatest(F.coalesce(F.col(tokens_col).cast("long"), F.lit(0)), F.lit(0)))
