@@ -52,6 +52,7 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    tidy_driver(spark)
     target, files = _files(spark, path)
     files.deleteOnExit(target)
     found = spark.read.schema(df.schema).parquet(path)
@@ -59,6 +60,18 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return found
 
 
+def tidy_driver(spark: SparkSession) -> None:
+    """Let a driver whose heap has grown past half of its bound collect, and give back what it has freed.
+
+    Every small table that a join broadcasts takes some 8 MB of the driver's heap until a collection finds it dead, and
+    Spark drops broadcasts only then: a chain of hundreds of joins grows the heap to its bound without need.
+    """
+    runtime = spark.sparkContext._jvm.java.lang.Runtime.getRuntime()
+    if 2 * runtime.totalMemory() > runtime.maxMemory():
+        runtime.gc()
+        give_back()
+
+
 def release(*tables: DataFrame) -> None:
     """Drop the files of materialised tables whose readers have all been written."""
     for table in tables:
