@@ -17,10 +17,12 @@ import math
 import warnings
 import zlib
 from collections import Counter
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +36,11 @@ PLACES = 512
 TOPIC_ROUNDS = 12
 #: Vectors are in whole parts of this.
 STEPS = 1 << 20
+#: Bytes of a word that are hashed side by side with those of others; longer words are hashed each.
+NEAR = 48
+#: Largest count in 16 bits beside a place; texts whose vectors are made at once.
+MOST_COUNT = (1 << 16) // PLACES - 1
+BLOCK = 256
 #: Share of the tokens to draw; exponent of the default targets (1 keeps the shares there are, 0 makes them equal).
 BUDGET = 0.5
 TEMPER = 0.5
@@ -67,9 +74,124 @@ def place_counts(split: list[list[bytes]], places: Places) -> np.ndarray:
     return np.bincount(np.repeat(np.arange(len(found)) * PLACES, sizes) + flat, minlength=len(found) * PLACES).reshape(-1, PLACES)
 
 
+def byte_tables() -> tuple[np.ndarray, np.ndarray]:
+    """CRC-32 of zeros by their number, and what each lower-cased byte adds to it by its distance from a word's end."""
+    zeros = np.array([zlib.crc32(bytes(n)) for n in range(NEAR + 1)], np.uint32)
+    adds = np.array([[zlib.crc32(bytes([b]).lower() + bytes(d)) for b in range(256)] for d in range(NEAR)], np.uint32)
+    return zeros, adds ^ zeros[1:, None]
+
+
+def text_counts(texts: pa.Array, tables: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, pa.Array]:
+    """The number of words of each text, and its place_counts as a sparse row, for a whole column: words are cut by
+    comparing bytes, and as CRC-32 is linear, that of all words is summed byte by byte from byte_tables.  Null is empty."""
+    end, blank = (pa.scalar(x, pa.large_binary()) for x in (b"", b" "))
+    joined = pc.binary_join_element_wise(texts.cast(pa.large_binary()), end, blank, null_handling="replace")
+    n = len(joined)
+    offsets = np.frombuffer(joined.buffers()[1], "<i8")[joined.offset : joined.offset + n + 1]
+    raw = np.frombuffer(joined.buffers()[2] or b"", np.uint8)[: offsets[-1]]
+    blanks = (raw == 32) | (raw - np.uint8(9) < 5)
+    bounds = np.flatnonzero(np.diff(blanks, prepend=True))
+    starts, ends = bounds[::2], bounds[1::2]
+    words = np.diff(np.searchsorted(starts, offsets))
+
+    held = ends - starts >= TOPIC_CHARS
+    starts, ends = starts[held], ends[held]
+    row = np.repeat(np.arange(n), np.diff(np.searchsorted(starts, offsets)))
+    # Longest first: those that reach to a distance are the first ones.
+    sizes = np.minimum(ends - starts, NEAR + 1).astype(np.uint8)
+    order = np.argsort(NEAR + 1 - sizes, kind="stable")
+    reach = len(sizes) - np.cumsum(np.bincount(sizes, minlength=NEAR + 2))
+    zeros, adds = tables
+    found, last, far = zeros[np.minimum(sizes[order], NEAR)], ends[order] - 1, int(reach[NEAR])
+    for d in range(NEAR):
+        if reach[d] == far:
+            break
+        found[far : reach[d]] ^= adds[d].take(raw.take(last[far : reach[d]] - d))
+    for i, k in enumerate(order[:far].tolist()):
+        found[i] = zlib.crc32(raw[starts[k] : ends[k]].tobytes().lower())
+    keys = np.sort(row[order] * PLACES + found % PLACES)
+    heads = np.flatnonzero(np.diff(keys, prepend=-1))
+    return words, encoded(n, *np.divmod(keys[heads], PLACES), np.diff(heads, append=len(keys)))
+
+
+def encoded(n: int, row: np.ndarray, place: np.ndarray, count: np.ndarray) -> pa.Array:
+    """Sparse rows: 16 bits for each place that a row holds, count * PLACES + place; counts over MOST_COUNT take several."""
+    if count.max(initial=0) > MOST_COUNT:
+        parts = -(-count // MOST_COUNT)
+        rest = count - (parts - 1) * MOST_COUNT
+        row, place, count = np.repeat(row, parts), np.repeat(place, parts), np.full(parts.sum(), MOST_COUNT)
+        count[np.cumsum(parts) - 1] = rest
+    ends = np.append(0, np.cumsum(np.bincount(row, minlength=n)) * 2).astype("<i4")
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer((count * PLACES + place).astype("<u2"))])
+
+
+def sparse(counts: np.ndarray) -> list[bytes]:
+    """place_counts as sparse rows."""
+    row, place = np.nonzero(counts)
+    return encoded(len(counts), row, place, counts[row, place]).to_pylist()
+
+
+class Block(NamedTuple):
+    """What some texts hold: how many texts, and for each place held text * PLACES + place and count * PLACES + place."""
+
+    n: int
+    at: np.ndarray
+    codes: np.ndarray
+
+    def marks(self) -> np.ndarray:
+        """A hash of each text's counts."""
+        found = np.zeros(self.n, np.uint64)
+        np.add.at(found, self.at // PLACES, mix64(self.codes.astype(np.uint64)))
+        return mix64(found).view(np.int64)
+
+
+def blocks(column: pa.Array) -> Iterator[Block]:
+    """A column of sparse rows, BLOCK rows at a time: their vectors stay in the processor's cache."""
+    ends = np.frombuffer(column.buffers()[1] or bytes(4), "<i4")[column.offset : column.offset + len(column) + 1]
+    held = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    for first in range(0, len(column), BLOCK):
+        cut = ends[first : first + BLOCK + 1]
+        n, codes = len(cut) - 1, held[cut[0] : cut[-1]].view("<u2")
+        at = codes % PLACES + np.repeat(np.arange(n) * PLACES, np.diff(cut) // 2)
+        if codes.max(initial=0) >= MOST_COUNT * PLACES:
+            more = np.flatnonzero(at[1:] == at[:-1]) + 1
+            first, counts = np.ones(len(at), bool), codes[more] // PLACES
+            first[more] = False
+            at, codes = at[first], codes[first].astype(np.int64)
+            np.add.at(codes, more - np.arange(1, len(more) + 1), counts.astype(np.int64) * PLACES)
+        yield Block(n, at, codes)
+
+
+def pointing(idf: np.ndarray) -> Callable[[Block], np.ndarray]:
+    """The units of a block's texts."""
+    table = np.outer(np.log1p(np.arange(MOST_COUNT + 1)), idf).ravel()
+
+    def points(block: Block) -> np.ndarray:
+        weights = table.take(block.codes, mode="clip")
+        large = np.flatnonzero(block.codes >= len(table))
+        weights[large] = np.log1p(block.codes[large] // PLACES) * idf[block.codes[large] % PLACES]
+        found = np.zeros(block.n * PLACES)
+        found[block.at] = weights
+        return whole_steps(found.reshape(-1, PLACES))
+
+    return points
+
+
 def vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    found = np.log1p(counts) * idf
-    return found / np.maximum(np.linalg.norm(found, axis=1, keepdims=True), 1e-12)
+    return normed(np.log1p(counts) * idf)
+
+
+def normed(found: np.ndarray) -> np.ndarray:
+    """found, which is overwritten, with rows of length 1."""
+    found /= np.maximum(np.sqrt((found * found).sum(1, keepdims=True)), 1e-12)
+    return found
+
+
+def whole_steps(found: np.ndarray) -> np.ndarray:
+    """Rows of length 1 in whole steps of 1 / STEPS: their products and sums are exact, in whatever order they are added."""
+    found = normed(found)
+    found *= STEPS
+    return np.rint(found, out=found)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -78,33 +200,26 @@ def words_of(text: str | None) -> list[bytes]:
 
 def fit_topics(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """idf of every place, and the unit centres of the clusters, from texts' place_counts that are at hand."""
-    marks = np.arange(len(counts))
 
     def farthest(idf, centres):
-        at = least_alike(counts, marks, idf, centres)
-        return units(counts[at : at + 1], idf)[0]
+        points = units(counts, idf)
+        return points[np.argmin(likeness(points, centres))]
 
-    return _fitted(lambda: (len(counts), (counts > 0).sum(0)), farthest, lambda idf, middle: cluster_sums(counts, idf, middle))
+    return _fitted(lambda: (len(counts), (counts > 0).sum(0)), farthest, lambda idf, middle: cluster_sums(units(counts, idf), middle))
 
 
 def units(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """vectors in whole steps of 1 / STEPS: their products and sums are exact, in whatever order they are added."""
-    return np.rint(vectors(counts, idf) * STEPS)
-
+    """The vectors of place_counts in whole steps."""
+    return whole_steps(np.log1p(counts) * idf)
 
-def least_alike(counts: np.ndarray, marks: np.ndarray, idf: np.ndarray, centres: np.ndarray | None) -> int:
-    """The row that is least like the centre it is most like; of several the one with the smallest mark."""
-    alike = likeness(counts, idf, centres)
-    return int(np.lexsort((marks, alike))[0])
 
+def likeness(points: np.ndarray, centres: np.ndarray | None) -> np.ndarray:
+    """How like each point is to the centre it is most like."""
+    return np.zeros(len(points)) if centres is None else (points @ centres.T).max(1)
 
-def likeness(counts: np.ndarray, idf: np.ndarray, centres: np.ndarray | None) -> np.ndarray:
-    return np.zeros(len(counts)) if centres is None else (units(counts, idf) @ centres.T).max(1)
 
-
-def cluster_sums(counts: np.ndarray, idf: np.ndarray, middle: np.ndarray) -> np.ndarray:
-    """Sums of the vectors that are nearest to each centre."""
-    points = units(counts, idf)
+def cluster_sums(points: np.ndarray, middle: np.ndarray) -> np.ndarray:
+    """Sums of the points that are nearest to each centre."""
     own = np.eye(len(middle))[(points @ middle.T).argmax(1)]
     return (own.T @ points).astype(np.int64)
 
@@ -127,35 +242,16 @@ def _fitted(frequencies: Callable, farthest: Callable, sums: Callable) -> tuple[
     return idf, middle / STEPS
 
 
-def sparse(counts: np.ndarray) -> list[bytes]:
-    """Rows of place_counts as bytes: count * PLACES + place for each place held."""
-    row, place = np.nonzero(counts)
-    codes = counts[row, place] * PLACES + place
-    ends = np.cumsum(np.bincount(row, minlength=len(counts))) * 8
-    flat = codes.astype("<i8").tobytes()
-    return [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
-
-
-def dense(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """place_counts from a column of sparse rows, and a mark (hash) of each row."""
-    sizes = np.fromiter(map(len, rows := column.to_pylist()), np.int64, len(column)) // 8
-    codes = np.frombuffer(b"".join(rows), "<i8")
-    row = np.repeat(np.arange(len(rows)), sizes)
-    counts = np.zeros((len(rows), PLACES), np.int64)
-    counts[row, codes % PLACES] = codes // PLACES
-    marks = np.zeros(len(rows), np.uint64)
-    np.add.at(marks, row, mix64(codes.astype(np.uint64)))
-    return counts, mix64(marks).view(np.int64)
-
-
 def fit_all_topics(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """fit_topics over a table of sparse rows (`places`), all of them: each step is a pass whose sums meet by place."""
+    """fit_topics over a table of sparse rows (`places`), all of them: each step is a pass whose sums meet by place.  Of
+    texts that are equally far the one with the smallest mark is taken."""
 
     def summed(make, size: int) -> np.ndarray:
         def run(batches):
             total = np.zeros(size, np.int64)
             for batch in batches:
-                total += make(dense(batch.column(0))[0]).ravel()
+                for block in blocks(batch.column(0)):
+                    total += make(block).ravel()
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["at", "n"])
 
@@ -165,25 +261,29 @@ def fit_all_topics(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         return found
 
     def frequencies():
-        found = summed(lambda counts: np.append((counts > 0).sum(0), len(counts)), PLACES + 1)
+        found = summed(lambda block: np.append(np.bincount(block.at % PLACES, minlength=PLACES), block.n), PLACES + 1)
         return int(found[-1]), found[:-1]
 
     def farthest(idf, centres):
         def run(batches):
-            best = None
+            best, points = None, pointing(idf)
             for batch in batches:
-                counts, marks = dense(batch.column(0))
-                if len(counts):
-                    at = least_alike(counts, marks, idf, centres)
-                    own = (float(likeness(counts[at : at + 1], idf, centres)[0]), int(marks[at]), batch.column(0)[at].as_py())
-                    best = own if best is None else min(best, own)
+                for k, block in enumerate(blocks(batch.column(0))):
+                    alike = np.zeros(block.n) if centres is None else likeness(points(block), centres)
+                    least = float(alike.min())
+                    if best is None or least <= best[0]:
+                        marks = np.where(alike == least, block.marks(), np.iinfo(np.int64).max)
+                        at = int(marks.argmin())
+                        own = (least, int(marks[at]), batch.column(0)[k * BLOCK + at].as_py())
+                        best = own if best is None else min(best, own)
             yield pa.RecordBatch.from_arrays([pa.array([b] if best else [], t) for b, t in zip(best or [None] * 3, (pa.float64(), pa.int64(), pa.binary()), strict=True)], ["alike", "mark", "places"])
 
         found = texts.mapInArrow(run, "alike double, mark long, places binary").agg(F.min(F.struct("alike", "mark", "places")).alias("s")).first()["s"]
-        return units(dense(pa.array([bytes(found["places"])], pa.binary()))[0], idf)[0]
+        return pointing(idf)(next(blocks(pa.array([bytes(found["places"])], pa.binary()))))[0]
 
     def sums(idf, middle):
-        return summed(lambda counts: cluster_sums(counts, idf, middle), len(middle) * PLACES).reshape(len(middle), PLACES)
+        points = pointing(idf)
+        return summed(lambda block: cluster_sums(points(block), middle), len(middle) * PLACES).reshape(len(middle), PLACES)
 
     return _fitted(frequencies, farthest, sums)
 
@@ -202,14 +302,12 @@ def described(docs: DataFrame, topic: str, size: str, topic_col: str | None, tok
         more_names = [f"d{i}" for i in range(len(wanted))]
 
         def run(batches):
-            cache = worker_cache("mixing").setdefault("places", Places())
+            cache = worker_cache("mixing")
+            if "tables" not in cache:
+                cache["tables"] = byte_tables()
             for batch in batches:
-                split = [words_of(t) for t in batch.column(at).to_pylist()]
-                more = []
-                if topic_col is None:
-                    more.append(pa.array(sparse(place_counts(split, cache)), pa.binary()))
-                if tokens_col is None:
-                    more.append(pa.array([len(w) for w in split], pa.int64()))
+                words, counts = text_counts(batch.column(at), cache["tables"])
+                more = [*([counts] if topic_col is None else []), *([pa.array(words, pa.int64())] if tokens_col is None else [])]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*places_of, *more_names])
 
         types = [*(f"{c} {t}" for c, (_, t) in zip(places_of, docs.dtypes, strict=True)), *(f"{d} {'binary' if w == 'places' else 'long'}" for d, w in zip(more_names, wanted, strict=True))]
@@ -218,11 +316,12 @@ def described(docs: DataFrame, topic: str, size: str, topic_col: str | None, tok
             rows = materialise(rows, "described")
             idf, middle = fit_all_topics(rows.where(F.octet_length("d0") > 0).select("d0"))
 
+            points = pointing(idf)
+
             @F.arrow_udf("string")
             def nearest(places: pa.Array) -> pa.Array:
-                counts, _ = dense(places)
-                near = (units(counts, idf) @ np.rint(middle * STEPS).T).argmax(1).tolist()
-                return pa.array([str(k) if some else None for k, some in zip(near, counts.any(1).tolist(), strict=True)], pa.string())
+                near = [k for block in blocks(places) for k in (points(block) @ np.rint(middle * STEPS).T).argmax(1).tolist()]
+                return pa.array([str(k) if size else None for k, size in zip(near, pc.binary_length(places).to_pylist(), strict=True)], pa.string())
 
             rows = rows.withColumn("d0", nearest("d0"))
         docs = rows.toDF(*names, *[topic if w == "places" else w for w in wanted])
