@@ -12,26 +12,32 @@ import sys
 import zlib
 from array import array
 from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ceil_div, column, materialise, prepare, texts, tidied, worker_cache
+from .common import ceil_div, materialise, prepare, tidied, worker_cache
 
 WINDOW = 4096
 #: Numbers of sequences that one full window fills; those of shards lie below.
 FULL_FROM = 1 << 62
 #: Documents a shard is sized for.  A shard's rows are six numbers each.
 SHARD_DOCS = 25_000
-#: Entries of a worker's cache of word ids; longer words are encoded anew.
-CACHE_ENTRIES = 250_000
-CACHE_CHARS = 48
+#: Entries of a worker's cache of word ids, some 40 bytes each; longer words are encoded anew.
+CACHE_ENTRIES = 400_000
+CACHE_BYTES = 48
+#: Bytes of the batches that are encoded together.
+CHUNK_BYTES = 8 << 20
 #: Marks that the tokenizer splits off the end of a word as one run: not the apostrophe, which begins short words, nor
 #: what its added tokens are made of.
 MARKS = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
+#: Lower-case letters that normalising leaves as they are.
+LETTERS = "".join(c for c in map(chr, range(256)) if c.isalpha() and c.islower())
 #: What the tokenizer's added tokens start with.
 ADDED = "<|"
 
@@ -76,78 +82,100 @@ def id_bytes(path: str, words: list[str]) -> list[bytes]:
     """Little-endian 32-bit ids of words.
 
     Words of lower-case Latin-1 letters, which normalising and splitting leave as they are, go straight to the
-    tokenizer's model, and so do marks after them, which it takes as one word more; all others take its whole way.
+    tokenizer's model; all others take its whole way.
     """
     whole = tokenizer(path)
     merge, four = whole.model.tokenize, four_bytes(whole)
-    ends: dict[str, bytes] = {}
     found: list[bytes] = [b""] * len(words)
     others = []
     for i, word in enumerate(words):
-        stem = word.rstrip(MARKS)
-        if not (stem.isalpha() and stem.islower()):
+        if not (word.isalpha() and word.islower()):
             if word:
                 others.append(i)
             continue
-        if stem.isascii():
-            ids = b"".join([four[t.id] for t in merge(stem)])
+        if word.isascii():
+            found[i] = b"".join([four[t.id] for t in merge(word)])
         else:
             try:
-                stem.encode("latin-1")
+                word.encode("latin-1")
             except UnicodeEncodeError:
                 others.append(i)
                 continue
-            ids = b"".join([four[t.id] for t in merge(stem.encode().decode("latin-1").translate(_SYMBOLS))])
-        if len(stem) < len(word):
-            run = word[len(stem) :]
-            if run not in ends:
-                ends[run] = b"".join([four[t.id] for t in merge(run)])
-            ids += ends[run]
-        found[i] = ids
+            found[i] = b"".join([four[t.id] for t in merge(word.encode().decode("latin-1").translate(_SYMBOLS))])
     for i, x in zip(others, whole.encode_batch_fast([words[i] for i in others], add_special_tokens=False) if others else [], strict=True):
         found[i] = packed(x.ids)
     return found
 
 
-def split_words(text: str) -> list[str]:
-    """Pieces between spaces and line ends.  Latin-1 texts are lower-cased first, as the tokenizer would, letter by
-    letter, so that more pieces repeat; but for pieces that may hold one of its added tokens, which it looks for before
-    it lower-cases."""
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        pass
-    else:
-        if ADDED not in text:
-            text = text.lower()
-        else:
-            return [word if ADDED in word else word.lower() for word in text.replace("\n", " ").split(" ")]
-    return text.replace("\n", " ").split(" ")
+def lowered(words: pa.Array) -> pa.Array:
+    """Words of Latin-1 characters in lower case, as the tokenizer would make them letter by letter, so that more of
+    them repeat.  Others stay, as characters may combine there, and so do words that may hold one of its added tokens,
+    which it looks for before it lower-cases."""
+    plain = pc.string_is_ascii(words)
+    other = pc.invert(plain)
+    plain = pc.replace_with_mask(plain, other, pc.invert(pc.match_substring_regex(words.filter(other), r"[^\x00-\x{FF}]")))
+    return pc.if_else(pc.and_not(plain, pc.match_substring(words, ADDED)), pc.utf8_lower(words), words)
+
+
+def stems_and_marks(words: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Words of lower-case Latin-1 letters and marks after them fall into the letters and the marks, which the tokenizer
+    takes as one word more; others stay whole, with no marks."""
+    stems, marks = pc.utf8_rtrim(words, MARKS), pc.utf8_ltrim(words, LETTERS)
+    sizes = pc.binary_length(stems)
+    apart = pc.and_(pc.greater(sizes, 0), pc.equal(pc.add(sizes, pc.binary_length(marks)), pc.binary_length(words)))
+    return pc.if_else(apart, stems, words), pc.if_else(apart, marks, pa.scalar("", words.type))
+
+
+def stem_ids(path: str, stems: pa.Array) -> pa.Array:
+    """The ids of different stems as bytes.  A worker keeps those of the stems it has met last."""
+    cache = worker_cache("packing", path)
+    known, known_ids = cache.get("stems", stems[:0]), cache.get("ids", pa.array([], pa.large_binary()))
+    at = pc.index_in(stems, value_set=known)
+    missing = at.is_null()
+    new = stems.filter(missing)
+    places = np.arange(len(known), len(known) + len(new), dtype=np.int32)
+    ids = pa.concat_arrays([known_ids, pa.array(id_bytes(path, strings(new)), pa.large_binary())])
+    found = ids.take(pc.replace_with_mask(at, missing, pa.array(places)))
+    older = np.ones(len(known), bool)
+    older[at.drop_null().to_numpy()] = False
+    older, short = pa.array(older), pc.less_equal(pc.binary_length(stems), CACHE_BYTES)
+    cache["stems"] = pa.concat_arrays([stems.filter(short), known.filter(older)])[:CACHE_ENTRIES]
+    cache["ids"] = pa.concat_arrays([found.filter(short), known_ids.filter(older)])[:CACHE_ENTRIES]
+    return found
+
 
+def strings(words: pa.Array) -> list[str]:
+    return words.to_numpy(zero_copy_only=False).tolist()
 
-def encode_docs(path: str, docs: list[str]) -> list[bytes]:
+
+def encode_docs(path: str, docs: list[str] | pa.Array) -> list[bytes]:
     """Little-endian 32-bit ids of each text.
 
     The tokenizer drops white space between words and merges nothing across it, so a text's ids are those of its
-    pieces between spaces and line ends; pieces repeat, and a cache keeps their ids.
+    pieces between spaces and line ends.  Pieces repeat: each different one is looked at once, and taken where it comes.
     """
-    cache = worker_cache("packing", path)
-    split = [split_words(t) for t in docs]
-    wanted = set().union(*split)
-    long = [w for w in wanted if len(w) > CACHE_CHARS]
-    wanted.difference_update(long)
-    missing = wanted - cache.keys()
-    if len(cache) + len(missing) > CACHE_ENTRIES:
-        # What this batch needs stays: mostly the words that come everywhere.
-        kept = {w: cache[w] for w in wanted - missing}
-        cache.clear()
-        cache.update(kept)
-    new = list(missing)
-    cache.update(zip(new, id_bytes(path, new), strict=True))
-    if not long:
-        return [b"".join(map(cache.__getitem__, words)) for words in split]
-    once = dict(zip(long, id_bytes(path, long), strict=True))
-    return [b"".join([cache[w] if w in cache else once[w] for w in words]) for words in split]
+    split = pc.split_pattern(pc.replace_substring(pa.array(docs, pa.large_string()), "\n", " "), " ")
+    words = split.flatten().dictionary_encode()
+    stems, marks = (x.dictionary_encode() for x in stems_and_marks(lowered(words.dictionary)))
+    ids = stem_ids(path, stems.dictionary).take(stems.indices)
+    ends = pa.array(id_bytes(path, strings(marks.dictionary)), pa.large_binary()).take(marks.indices)
+    nothing = pa.scalar(b"", pa.large_binary())
+    each = pc.binary_join_element_wise(ids, ends, nothing).take(words.indices)
+    return pc.binary_join(pa.ListArray.from_arrays(split.offsets, each), nothing).to_pylist()
+
+
+def chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches put together up to CHUNK_BYTES, so that more words repeat in each."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= CHUNK_BYTES:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def cut_pieces(docs: DataFrame, tokenizer_path: str, separator: int, window: int = WINDOW) -> DataFrame:
@@ -162,9 +190,10 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, separator: int, window: int
     def cut(batches):
         seen: Counter[tuple[int | None, int]] = Counter()
         task = TaskContext.get().partitionId() << 32
-        for batch in batches:
+        for chunk in chunks(batches):
             rows: list[list] = [[] for _ in names]
-            for doc_id, ids in zip(column(batch, "doc_id"), encode_docs(tokenizer_path, texts(batch)), strict=True):
+            docs_here = pc.fill_null(chunk["text"].cast(pa.large_string()), "").combine_chunks()
+            for doc_id, ids in zip(chunk["doc_id"].to_pylist(), encode_docs(tokenizer_path, docs_here), strict=True):
                 ids += end
                 name = (doc_id, zlib.crc32(ids))
                 repeat = task + seen[name] if seen[name] else 0

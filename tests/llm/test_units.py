@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -42,6 +43,42 @@ def test_look_alikes_of_added_tokens_stay_as_they_are():
     assert np.frombuffer(whole[0], "<u4").tolist() == [320, 27, 347, 40786, 4160, 91, 285, 321]
 
 
+def test_words_are_encoded_once_whatever_their_case_and_marks(monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = ["Größe, größe. GRÖSSE; \u201cbolder\u201d Größe!", "\u2013 Bolder, größe: BOLDER... bolder", "größe\nbolder"]
+    whole = [np.array(x.ids, "<u4").tobytes() for x in packing.tokenizer(path).encode_batch(texts, add_special_tokens=False)]
+    asked, encode = [], packing.id_bytes
+    monkeypatch.setattr(packing, "id_bytes", lambda path, words: asked.extend(words) or encode(path, words))
+    packing.worker_cache("packing", path).clear()
+    assert packing.encode_docs(path, texts) == whole
+    assert sorted(w for w in asked if any(c.isalpha() for c in w)) == ["bolder", "grösse", "größe", "\u201cbolder\u201d"]
+    asked.clear()
+    assert packing.encode_docs(path, texts[::-1]) == whole[::-1]
+    assert not [w for w in asked if any(c.isalpha() for c in w)]
+
+
+def test_a_full_cache_keeps_the_last_words_and_changes_no_ids(monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    monkeypatch.setattr(packing, "CACHE_ENTRIES", 5)
+    packing.worker_cache("packing", path).clear()
+    texts = strings(600, 4) + ["".join(map(chr, range(256))), " ".join(map(chr, range(256)))]
+    for at in range(0, len(texts), 7):
+        part = texts[at : at + 7]
+        assert packing.encode_docs(path, part) == [np.array(x.ids, "<u4").tobytes() for x in packing.tokenizer(path).encode_batch(part, add_special_tokens=False)]
+        assert len(packing.worker_cache("packing", path)["stems"]) <= 5
+    for text in ["one two three four", "one five six", "seven " + "x" * 60]:
+        packing.encode_docs(path, [text])
+    assert packing.worker_cache("packing", path)["stems"].to_pylist() == ["seven", "one", "five", "six", "two"]
+
+
+def test_batches_are_encoded_together(monkeypatch):
+    batches = [pa.RecordBatch.from_pydict({"doc_id": [i], "text": ["x" * 10]}) for i in range(10)]
+    assert [t["doc_id"].to_pylist() for t in packing.chunks(iter(batches))] == [[*range(10)]]
+    monkeypatch.setattr(packing, "CHUNK_BYTES", 3 * batches[0].nbytes)
+    assert [t["doc_id"].to_pylist() for t in packing.chunks(iter(batches))] == [[0, 1, 2], [3, 4, 5], [6, 7, 8], [9]]
+    assert list(packing.chunks(iter([]))) == []
+
+
 def test_best_fit_takes_the_tightest_window():
     rng = random.Random(3)
     for _ in range(200):
