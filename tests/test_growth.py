@@ -1,8 +1,11 @@
 """What must not grow with the tables: broadcasts, rows that meet, tasks of segments, blocks of tree learners."""
 
 import pytest
+from conftest import SF
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
+from parcelmill import catalogue
 from parcelmill.functions import geo, geocode, ordering
 from parcelmill.plans import models
 
@@ -72,3 +75,13 @@ def test_tree_learners_get_small_blocks_in_one_order(spark, monkeypatch):
     assert models.dealt(rows, "features", "y", 1000) is rows
     fitted = [models.boosted(r, "features", "y", maxIter=2).toDebugString.splitlines()[1:] for r in (rows, rows)]
     assert fitted[0] == fitted[1]
+
+
+def test_boosted_estimates_ask_for_the_whole_model(spark, monkeypatch):
+    """All 3000 trees as deep as MLlib lets them grow; the fit itself is cut short here, to see what was asked for."""
+    asked = {}
+    monkeypatch.setattr(models, "GBTRegressor", lambda **params: asked.update(params) or GBTRegressor(**{**params, "maxIter": 2, "maxDepth": 2}))
+    rows = catalogue.boosted_estimates(spark, SF)
+    assert (asked["maxIter"], asked["maxDepth"], asked["stepSize"], asked["subsamplingRate"], asked["lossType"]) == (3000, 30, 0.01, 0.5, "absolute")
+    assert rows.where("estimate IS NOT NULL").count() == spark.read.parquet(f"{SF}/part.parquet").count()
+    assert spark.sparkContext.getCheckpointDir() is not None
