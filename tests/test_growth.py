@@ -1,5 +1,8 @@
 """What must not grow with the tables: broadcasts, rows that meet, tasks of segments, blocks of tree learners."""
 
+import math
+from collections import Counter
+
 import pytest
 from conftest import SF
 from pyspark.ml.regression import GBTRegressor
@@ -25,6 +28,37 @@ def test_neighbour_joins_broadcast_no_points(spark):
     assert {(r["i"], r["j"]) for r in near.collect()} == want
 
 
+def rows_of_joins(df) -> list[int]:
+    """Rows that the merge joins of a plan made when it ran."""
+    found, open_ = [], [df._jdf.queryExecution().executedPlan()]
+    while open_:
+        node = open_.pop()
+        if "AdaptiveSparkPlan" in node.nodeName():
+            open_.append(node.executedPlan())
+        elif "QueryStage" in node.nodeName():
+            open_.append(node.plan())
+        elif node.nodeName() == "SortMergeJoin":
+            found.append(node.metrics().apply("numOutputRows").value())
+        open_ += [node.children().apply(i) for i in range(node.children().size())]
+    return found
+
+
+@pytest.mark.parametrize("most", [1024, 5])
+def test_places_meet_with_lists_of_their_points(spark, monkeypatch, most):
+    """600 points at 24 places: over 60 000 pairs, but no more rows meet than pairs of lists."""
+    monkeypatch.setattr(geo, "LIST", most)
+    k = F.col("id")
+    points = spark.range(600).select((k % 590).alias("k"), (k % 6 - 3).cast("double").alias("x"), (F.floor(k / 6) % 4 * 1.1 - 2).alias("y"))
+    odd = spark.createDataFrame([(700, None, 0.0), (None, 0.0, -2.0), (701, -0.0, -2.0), (702, float("nan"), 0.0), (703, 2.0 - 1e-16, 1e9)], "k long, x double, y double")
+    near = geo.radius_join(points.unionByName(odd), "k", "x", "y", 1.2, digits=9)
+    got = Counter((r["i"], r["j"], r["w"]) for r in near.collect())
+    rows = [r for r in points.unionByName(odd).collect() if None not in tuple(r)]
+    apart = [(a.k, b.k, math.hypot(a.x - b.x, a.y - b.y)) for a in rows for b in rows if a.k != b.k]
+    assert got == Counter((i, j, round(w, 9)) for i, j, w in apart if w <= 1.2)
+    chunks = -(-26 // most)
+    assert 0 < max(rows_of_joins(near)) <= (24 * chunks + 3) * 9 * chunks < 60_000 < sum(got.values())
+
+
 @pytest.mark.parametrize("most", [200_000, 1])
 def test_addresses_meet_two_hits_at_most(spark, monkeypatch, most):
     """400 addresses of one suburb and number, 401 entries there: 160 400 pairs, of which none but the best count."""
